@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evmatch.llm import mixing, packing, sharding
+from evmatch.llm import mixing, packing, sharding, simhash
 
-MODULES = (sharding, mixing, packing)
+MODULES = (simhash, sharding, mixing, packing)
 
 
 def queries() -> dict:
