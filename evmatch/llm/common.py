@@ -37,9 +37,13 @@ class Scratch:
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{self.n}")
+        self.schema = df.schema
+        return self.again()
+
+    def again(self) -> DataFrame:
+        """The last table once more, with columns of its own for a join with itself."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{self.n}")
 
     def drop(self, *numbers: int) -> None:
         """Deletes tables that no later step reads."""
