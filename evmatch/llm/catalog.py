@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evmatch.llm import kdtree, mixing, packing, sharding, simhash
+from evmatch.llm import kdtree, media, mixing, packing, sharding, simhash
 
-MODULES = (simhash, sharding, mixing, kdtree, packing)
+MODULES = (simhash, media, sharding, mixing, kdtree, packing)
 
 
 def queries() -> dict:
