@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evmatch.llm import kdtree, media, mixing, packing, quality, sharding, simhash
+from evmatch.llm import kdtree, media, mixing, packing, quality, sharding, simhash, toxicity
 
-MODULES = (simhash, media, sharding, quality, mixing, kdtree, packing)
+MODULES = (simhash, media, sharding, quality, toxicity, mixing, kdtree, packing)
 
 
 def queries() -> dict:
