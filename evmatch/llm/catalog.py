@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evmatch.llm import html, kdtree, media, mixing, packing, quality, sharding, simhash, toxicity
+from evmatch.llm import html, kdtree, media, mixing, packing, quality, sharding, simhash, suffixes, toxicity
 
-MODULES = (simhash, media, sharding, html, quality, toxicity, mixing, kdtree, packing)
+MODULES = (simhash, media, sharding, html, quality, toxicity, suffixes, mixing, kdtree, packing)
 
 
 def queries() -> dict:
