@@ -149,16 +149,16 @@ def score(docs: DataFrame, model: GatedAttention | None, row_id: str = "doc_id",
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            found: list[np.ndarray] = []
-            for lo in range(0, len(texts), 256):
-                bags = [encode(t.as_py()) for t in texts[lo : lo + 256]]
-                found.append(model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])]))[0] if model else np.full(len(bags), 0.5))
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(found) if found else np.zeros(0))], [*batch.schema.names[:-1], "score"])
-
-    kept = docs.select(row_id, *keep, F.col(text).alias("_text_to_score"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                bags = [encode(t.as_py()) for t in some.column(0)]
+                found = model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])]))[0] if model else np.full(len(bags), 0.5)
+                yield pa.RecordBatch.from_arrays([*some.columns[skip:], pa.array(found)], [*some.schema.names[skip:], "score"])
+
+    skip = int(text not in keep)  # a kept text travels once
+    rest = [c for c in (row_id, *keep) if c != text]
+    kept = docs.select(F.col(text), *rest)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[skip:])
     return kept.mapInArrow(each, f"{kinds}, score double")
 
 
