@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,18 +26,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evmatch.llm.common import table, with_rank
+from evmatch.llm.common import materialize, table, with_rank
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
-KEPT_CHUNKS, LONGEST_CHUNK = 200_000, 64
+KEPT_CHUNKS, LONGEST_CHUNK = 400_000, 64
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself where it is visible."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+LETTERS = _byte_letters()
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LOOSE = re.compile(r" (?:\s|\Z)")
 
 
 class Chunks(dict):
-    """Token ids, as little-endian bytes, of text chunks that follow a space.
+    """Token ids, as little-endian bytes, of text chunks that follow a space (or, with lead "", that do not).
 
     The vocabulary's pre-tokenizer never joins a space that precedes a visible character to what is
-    before it, so ids of a text are the ids of its chunks in a row.  The least recent are forgotten
-    all at once when there are too many.
+    before it, nor a line end between visible characters to either, so the ids of a text are the ids
+    of its chunks in a row.  A chunk of letters with marks behind is its letters' and its marks'
+    pre-tokens, which go to the vocabulary's model at once; any other chunk goes the long way.
+    When there are too many, all are forgotten.
     """
 
     def __init__(self, path: str, lead: str = " ", rest: Chunks | None = None):
@@ -47,8 +62,9 @@ class Chunks(dict):
             self.tokenizer = Tokenizer.from_file(path)
         else:
             self.tokenizer = rest.tokenizer
-        self.lead, self.path = lead, path
-        self.after_newline = self if lead == "" else Chunks(path, "", self)
+        self.model = self.tokenizer.model
+        self.lead, self.space = lead, LETTERS[32] if lead else ""
+        self.bare = self if lead == "" else Chunks(path, "", self)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -56,8 +72,15 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         head, line, tail = chunk.partition("\n")
         if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
-            return self[head] + self.after_newline["\n"] + self.after_newline[tail]
-        found = self.ids(self.lead + chunk)
+            return self[head] + self.bare["\n"] + self.bare[tail]
+        word = chunk.rstrip(MARKS)
+        if len(word) < len(chunk) and word.isalpha() and max(word) < "\u3000":
+            found = self[word] + self.bare[chunk[len(word) :]]
+        elif word and word == chunk and word.isalpha() and max(word) < "\u3000":
+            spelled = self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS))
+            found = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        else:
+            found = self.ids(self.lead + chunk)
         if len(chunk) <= LONGEST_CHUNK:
             if len(self) >= KEPT_CHUNKS:
                 self.clear()
@@ -68,10 +91,7 @@ class Chunks(dict):
         if "<|" in text:  # a special token's own string may span chunks
             return self.ids(text)
         parts = text.split(" ")
-        if len(parts) == 1:
-            return self.after_newline[text] if text else b""
-        safe = all(p and not p[0].isspace() for p in parts[1:])
-        if not safe:
+        if LOOSE.search(text):
             joined = parts[:1]
             for p in parts[1:]:
                 if p and not p[0].isspace():
@@ -79,7 +99,7 @@ class Chunks(dict):
                 else:
                     joined[-1] += " " + p
             parts = joined
-        return (self.after_newline[parts[0]] if parts[0] else b"") + b"".join(map(self.__getitem__, parts[1:]))
+        return (self.bare[parts[0]] if parts[0] else b"") + b"".join(map(self.__getitem__, parts[1:]))
 
 
 _CHUNKS: dict[str, Chunks] = {}
@@ -198,7 +218,8 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, row_id: str =
     A null or empty text is one piece that holds the end id alone; repeated rows are packed each for
     itself; an empty table gives no rows; other columns are not read.
     """
-    cut = pieces(df, capacity, vocabulary, row_id, text, with_ids)
+    # written first: a range sort reads its input twice, and the texts should be tokenized once
+    cut = materialize(pieces(df, capacity, vocabulary, row_id, text, with_ids), "pieces")
     ranked = with_rank(cut, ["length"], ["_id", "start", "ids_crc32"], tag="pack")
     counts = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}  # capacity rows at most
     found = lookup(plan(counts, capacity))
