@@ -27,9 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that share the smallest id of a group one stays; rows without an id stay."""
-    found = simhash.near_duplicates(docs, size=5)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    """Of each group the row of the smallest id stays; rows without an id, and rows that share an id, do too."""
+    gone = simhash.similar_documents(docs).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
