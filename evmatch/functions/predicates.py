@@ -27,11 +27,11 @@ def _bounds(d: Column, m: Matcher) -> Column:
     if m.high is not None:
         upper = d <= m.high if m.high_in else d < m.high
         fine = upper if m.low is None else fine & upper
-    return F.coalesce(fine, F.lit(False))
+    return fine
 
 
 def predicate(m: Matcher, v: Column, d: Column | None) -> Column:
-    """Never null where v is not; ``d`` is None where no leaf of the field can be a number."""
+    """Null, if it is, counts as no; ``d`` is None where no leaf of the field can be a number."""
     if m.op == "exists":
         return v.isNotNull()
     if m.op == "exact":

@@ -23,9 +23,17 @@ from evmatch.plans.pattern import Path, Pattern, parse
 
 JSON = "application/json"
 FEW = 50  # patterns up to which each is an expression of its own
+PUSHED = 8  # ids up to which rows without a match are filtered out by the scan
 REBUILD_LEAST, REBUILD_SHARE = 1000, 0.2
 
 
+def _or(columns: Iterable[Column]) -> Column:
+    whole: Column | None = None
+    for c in columns:
+        whole = c if whole is None else whole | c
+    return F.lit(False) if whole is None else whole
+
+
 @dataclass(frozen=True)
 class PrunerStats:
     """Results given, and results held back because their pattern was deleted."""
@@ -193,7 +201,7 @@ class PatternSet:
     # ---- DataFrames
 
     def _compiled(self, df: DataFrame) -> tuple[DataFrame, dict[Hashable, Column]]:
-        """One boolean Column per id."""
+        """One boolean Column per id; null counts as no, so that comparisons stay plain enough for the scan."""
         live = self._live()
         paths = self._paths(live)
         typed = isinstance(self.flattener, TypedFlattener)
@@ -207,7 +215,7 @@ class PatternSet:
             leaves = {p: F.col(names[p]) for p in deep}
         found: dict[Hashable, Column] = {}
         for e in live:
-            one = F.coalesce(columns.pattern_column(e.pattern, scalar, leaves, arrays), F.lit(False))
+            one = columns.pattern_column(e.pattern, scalar, leaves, arrays)
             found[e.id] = found[e.id] | one if e.id in found else one
         return df, found
 
@@ -231,6 +239,8 @@ class PatternSet:
         if plan == "columns" or not live:
             flat, found = self._compiled(df)
             ids = F.array_compact(F.array(*(F.when(c, F.lit(str(i))) for i, c in found.items()))) if found else F.array().cast("array<string>")
+            if 0 < len(found) <= PUSHED:
+                flat = flat.filter(_or(found.values()))
             return flat.select(*key, F.explode(ids).alias("pattern_id"))
         paths = self._paths(live)
         flat, leaves = self.flattener(df, paths)
@@ -243,17 +253,14 @@ class PatternSet:
         """The rows that match any pattern.  Comparisons of plain columns reach the scan."""
         kept = df.columns
         flat, found = self._compiled(df)
-        whole = F.lit(False)
-        for n, c in enumerate(found.values()):
-            whole = c if n == 0 else whole | c
-        return flat.filter(whole).select(*kept)
+        return flat.filter(_or(found.values())).select(*kept)
 
     def count_column(self, df: DataFrame, into: str = "n_matches") -> DataFrame:
         kept = df.columns
         flat, found = self._compiled(df)
         total = F.lit(0)
         for c in found.values():
-            total = total + c.cast("int")
+            total = total + F.coalesce(c, F.lit(False)).cast("int")
         return flat.withColumn(into, total).select(*kept, into)
 
     def leaf_count(self, df: DataFrame, into: str = "n_leaves") -> DataFrame:
