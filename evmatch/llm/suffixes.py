@@ -89,7 +89,8 @@ def anchors(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.
         width += by
     first = np.flatnonzero(np.diff(place, prepend=-1))
     at = place[first].astype(np.int64)
-    return (digits[at] >> np.uint64(64 - DIGIT)).astype(np.int64), at, first, np.append(first[1:], len(place)) - 1
+    digit = digits[at] * np.uint64(_STEP) >> np.uint64(64 - DIGIT)  # least hashes have no leading bits: mixed again
+    return digit.astype(np.int64), at, first, np.append(first[1:], len(place)) - 1
 
 
 # ---------------------------------------------------------------- 1: anchors in several documents
@@ -209,15 +210,48 @@ def _reduce_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 # ---------------------------------------------------------------- 2: contexts
 
-_SECOND = "digit long, context binary, off int, id long, h long, at array<int>"
+_SECOND = "bucket int, blob binary, id long, h long, at array<int>"
 _LISTS = pa.list_(pa.int32())
-
-
-def _second_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), _LISTS]
-    for lo in range(0, len(rows), 20_000):
-        cols = zip(*rows[lo : lo + 20_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], ["digit", "context", "off", "id", "h", "at"])
+Entry = tuple[int, bytes, int, int, int, list[int]]  # digit, context, place of the anchor in it, id, hash of the text, starts
+
+
+def _second_rows(buckets: list[int], blobs: list[bytes] | None, docs: list[tuple[int, int]] | None = None, at: list[list[int]] | None = None) -> pa.RecordBatch:
+    n = len(buckets)
+    cols = [pa.array(buckets, type=pa.int32()), pa.array(blobs, type=pa.binary()) if blobs else pa.nulls(n, pa.binary())]
+    cols += [pa.array([i for i, _ in docs], type=pa.int64()), pa.array([h for _, h in docs], type=pa.int64()), pa.array(at, type=_LISTS)] if docs else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, _LISTS)]
+    return pa.RecordBatch.from_arrays(cols, ["bucket", "blob", "id", "h", "at"])
+
+
+def _pack_entries(entries: list[Entry]) -> bytes:
+    """Entries sorted by digit, column by column, compressed."""
+    digits, contexts, offs, ids, hashes, starts = zip(*entries, strict=True)
+    docs = sorted(set(zip(ids, hashes, strict=True)))
+    at = {d: n for n, d in enumerate(docs)}
+    columns = [
+        _pack(np.diff(np.array(digits, dtype=np.int64), prepend=0), "<u8"),
+        zstandard.ZstdCompressor(level=3).compress(b"".join(contexts)),
+        _pack(np.array([len(c) for c in contexts]), "u1"),
+        _pack(np.array(offs), "u1"),
+        _pack(np.array([at[d] for d in zip(ids, hashes, strict=True)]), "<u4"),
+        _pack(np.array([len(x) for x in starts]), "<u4"),
+        _pack(np.array([a for x in starts for a in x]), "<u4"),
+        _pack(np.array([i for i, _ in docs]), "<i8"),
+        _pack(np.array([h for _, h in docs]), "<i8"),
+    ]
+    return struct.pack("<9I", *map(len, columns)) + b"".join(columns)
+
+
+def _unpack_entries(blob: bytes) -> list[Entry]:
+    sizes, at, parts = struct.unpack_from("<9I", blob), 36, []
+    for n in sizes:
+        parts.append(blob[at : at + n])
+        at += n
+    kinds = ("<u8", "", "u1", "u1", "<u4", "<u4", "<u4", "<i8", "<i8")
+    digits, text, lengths, offs, order, many, starts, ids, hashes = (_unpack(p, k) if k else zstandard.ZstdDecompressor().decompress(p) for p, k in zip(parts, kinds, strict=True))
+    ends, lasts = np.cumsum(lengths, dtype=np.int64).tolist(), np.cumsum(many, dtype=np.int64).tolist()
+    digits, starts = np.cumsum(digits.astype(np.int64)).tolist(), starts.tolist()
+    ids, hashes, n = ids[order].tolist(), hashes[order].tolist(), lengths.tolist()
+    return [(digits[k], text[ends[k] - n[k] : ends[k]], int(offs[k]), ids[k], hashes[k], starts[lasts[k] - int(many[k]) : lasts[k]]) for k in range(len(digits))]
 
 
 def text_hash(data: bytes) -> int:
@@ -239,44 +273,61 @@ class Spans:
                 mine += [a, a + length]
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, body, digits) to a row per distinct context, with the smallest document that has it,
-    and rows without context: the spans of the others."""
-    smallest: dict[tuple[bytes, int], tuple[int, int, list[int], int]] = {}
-    spans, size = Spans(), 0
+def _contexts(buckets: int):
+    """From (id, body, digits) to a blob per flush and bucket of the distinct contexts, each with the
+    smallest document that has it, and rows with the spans of the others."""
+    shift = DIGIT - buckets.bit_length() + 1
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        yield from _second_rows([(digit, c, off, i, h, at) for (c, off), (i, h, at, digit) in smallest.items()])
-        yield from _second_rows([(h & 0xFFFFFFFF, None, None, i, h, at) for (i, h), at in spans.of.items()])
+    def flush(smallest: dict, others: list[Entry], spans: Spans) -> Iterator[pa.RecordBatch]:
+        entries = sorted([(digit, c, off, i, h, at) for (c, off), (i, h, at, digit) in smallest.items()] + others, key=lambda e: e[0])
+        lo, held, many, size = 0, [], [], 0
+        while lo < len(entries):
+            bucket, hi = entries[lo][0] >> shift, lo
+            while hi < len(entries) and entries[hi][0] >> shift == bucket:
+                hi += 1
+            many.append(bucket)
+            held.append(_pack_entries(entries[lo:hi]))
+            size += len(held[-1])
+            lo = hi
+            if size > 4 << 20 or lo == len(entries):
+                yield _second_rows(many, held)
+                held, many, size = [], [], 0
+        rows = list(spans.of.items())
+        for lo in range(0, len(rows), 20_000):
+            some = rows[lo : lo + 20_000]
+            yield _second_rows([d[1] % buckets for d, _ in some], None, [d for d, _ in some], [at for _, at in some])
 
-    for batch in batches:
-        for i, t, k in zip(*batch.columns, strict=True):
-            doc, data, wanted = i.as_py(), _bytes(t.as_py()), np.unique(k.values.to_numpy(zero_copy_only=False))
-            h = text_hash(data)
-            digits, place, first, last = anchors(np.frombuffer(data, dtype=np.uint8))
-            spot = np.searchsorted(wanted, digits)
-            hit = wanted[np.minimum(spot, len(wanted) - 1)] == digits
-            for digit, p, a, b in zip(digits[hit].tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
-                key = (data[a : b + DEPTH], p - a)
-                seen = smallest.get(key)
-                if seen is None:
-                    smallest[key] = (doc, h, [a], digit)
-                    size += 200
-                elif seen[0] == doc and seen[1] == h:
-                    seen[2].append(a)
-                elif seen[0] <= doc:
-                    if seen[0] < doc:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smallest: dict[tuple[bytes, int], tuple[int, int, list[int], int]] = {}
+        spans, others, size = Spans(), [], 0
+        for batch in batches:
+            for i, t, k in zip(*batch.columns, strict=True):
+                doc, data, wanted = i.as_py(), _bytes(t.as_py()), np.unique(k.values.to_numpy(zero_copy_only=False))
+                h = text_hash(data)
+                digits, place, first, last = anchors(np.frombuffer(data, dtype=np.uint8))
+                spot = np.searchsorted(wanted, digits)
+                hit = wanted[np.minimum(spot, len(wanted) - 1)] == digits
+                for digit, p, a, b in zip(digits[hit].tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+                    key = (data[a : b + DEPTH], p - a)
+                    seen = smallest.get(key)
+                    if seen is None:
+                        smallest[key] = (doc, h, [a], digit)
+                        size += 250
+                    elif seen[0] == doc and seen[1] == h:
+                        seen[2].append(a)
+                    elif seen[0] < doc:
                         spans.add((doc, h), [a], len(key[0]))
-                    else:  # another row of the same id
-                        yield from _second_rows([(digit, *key, doc, h, [a])])
-                else:
-                    spans.add(seen[:2], seen[2], len(key[0]))
-                    smallest[key] = (doc, h, [a], digit)
-            if size > FLUSH_BYTES:
-                yield from flush()
-                smallest.clear()
-                spans, size = Spans(), 0
-    yield from flush()
+                    elif seen[0] == doc:  # another row of the same id
+                        others.append((digit, *key, doc, h, [a]))
+                    else:
+                        spans.add(seen[:2], seen[2], len(key[0]))
+                        smallest[key] = (doc, h, [a], digit)
+                if size > FLUSH_BYTES:
+                    yield from flush(smallest, others, spans)
+                    smallest, spans, others, size = {}, Spans(), [], 0
+        yield from flush(smallest, others, spans)
+
+    return each
 
 
 def windows_by_radix(group: np.ndarray, data: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -310,64 +361,62 @@ def windows_by_radix(group: np.ndarray, data: np.ndarray, ids: np.ndarray) -> np
     return out
 
 
+def _spans_of(entries: list[Entry]) -> Spans:
+    """What the documents of one bucket lose; entries are those of all map tasks."""
+    spans, groups = Spans(), {}
+    for digit, c, off, i, h, at in entries:
+        group = groups.setdefault(digit, {})
+        seen = group.get((c, off))
+        if seen is None:
+            group[c, off] = (i, h, at)
+        elif seen[0] == i and seen[1] == h:
+            seen[2].extend(at)
+        elif seen[0] == i:  # another row of the same id: the radix sort will meet it
+            group[c, off, h] = (i, h, at)
+        elif seen[0] < i:
+            spans.add((i, h), at, len(c))
+        else:
+            spans.add(seen[:2], seen[2], len(c))
+            group[c, off] = (i, h, at)
+    rows = [(n, *key[:2], i, h, at) for n, group in enumerate(groups.values()) if len(group) > 1 for key, (i, h, at) in group.items()]
+    if not rows:
+        return spans
+    many = np.array([len(r[1]) - DEPTH + 1 for r in rows])
+    whose = np.repeat(np.arange(len(rows)), many)
+    inner = np.arange(len(whose)) - np.repeat(np.cumsum(many) - many, many)
+    flat = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8)
+    start = np.cumsum([0, *(len(r[1]) for r in rows)])[:-1][whose] + inner
+    place = np.array([r[2] for r in rows])[whose] - inner  # of the anchor in the window
+    group = np.array([r[0] for r in rows], dtype=np.int64)[whose] * DEPTH + place
+    hit = windows_by_radix(group, flat[start[:, None] + np.arange(DEPTH)], np.array([r[3] for r in rows], dtype=np.int64)[whose])
+    for w, k in zip(whose[hit].tolist(), inner[hit].tolist(), strict=True):
+        _, _, _, i, h, at = rows[w]
+        spans.add((i, h), [a + k for a in at], DEPTH)
+    return spans
+
+
 def _reduce_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by digit to (id, h, spans)."""
-    spans = Spans()
+    """From rows sorted by bucket to (id, h, spans)."""
 
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = list(spans.of.items())
-        for lo in range(0, len(rows), 20_000):
-            some = rows[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([i for (i, _), _ in some], type=pa.int64()), pa.array([h for (_, h), _ in some], type=pa.int64()), pa.array([at for _, at in some], type=_LISTS)], ["id", "h", "at"])
-
-    def close(held: list[tuple[int, dict]]) -> None:
-        """held: of each digit, its distinct contexts with the smallest document of each."""
-        rows = [(n, *key[:2], i, h, at) for n, group in enumerate(held) if len(group) > 1 for key, (i, h, at) in group.items()]
-        if not rows:
-            return
-        many = np.array([len(r[1]) - DEPTH + 1 for r in rows])
-        whose = np.repeat(np.arange(len(rows)), many)
-        inner = np.arange(len(whose)) - np.repeat(np.cumsum(many) - many, many)
-        flat = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8)
-        start = np.cumsum([0, *(len(r[1]) for r in rows)])[:-1][whose] + inner
-        place = np.array([r[2] for r in rows])[whose] - inner  # of the anchor in the window
-        group = np.array([r[0] for r in rows], dtype=np.int64)[whose] * DEPTH + place
-        hit = windows_by_radix(group, flat[start[:, None] + np.arange(DEPTH)], np.array([r[3] for r in rows], dtype=np.int64)[whose])
-        for w, k in zip(whose[hit].tolist(), inner[hit].tolist()):
-            _, _, _, i, h, at = rows[w]
-            spans.add((i, h), [a + k for a in at], DEPTH)
-
-    now, held, group, size = None, [], {}, 0
+    def out(docs: list[tuple[tuple[int, int], list[int]]]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(docs), 20_000):
+            some = docs[lo : lo + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d, _ in some], type=pa.int64()) for k in (0, 1)] + [pa.array([at for _, at in some], type=_LISTS)], ["id", "h", "at"])
+
+    now, held = None, []
     for batch in batches:
-        for digit, c, off, i, h, at in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            if c is None:
-                mine = spans.of.setdefault((i, h), [])
-                mine += at
-                continue
-            if digit != now:
-                now, group = digit, {}
-                if size > FLUSH_BYTES:
-                    close(held)
-                    yield from out()
-                    held, size, spans = [], 0, Spans()
-                held.append(group)
-            key = (c, off)
-            seen = group.get(key)
-            if seen is None:
-                group[key] = (i, h, at)
-                size += 400
-            elif seen[0] == i:
-                if seen[1] == h:
-                    seen[2].extend(at)
-                else:  # another row of the same id: a context of its own, which the radix sort will meet
-                    group[c, off, h] = (i, h, at)
-            elif seen[0] < i:
-                spans.add((i, h), at, len(c))
-            else:
-                spans.add(seen[:2], seen[2], len(c))
-                group[key] = (i, h, at)
-    close(held)
-    yield from out()
+        done = batch.filter(pa.array(np.asarray(batch.column(2).is_valid())))
+        if done.num_rows:
+            yield done.select(["id", "h", "at"])
+        for b, blob in zip(batch.column(0), batch.column(1), strict=True):
+            if blob.is_valid:
+                if b.as_py() != now:
+                    if held:
+                        yield from out(list(_spans_of([e for x in held for e in _unpack_entries(x)]).of.items()))
+                    now, held = b.as_py(), []
+                held.append(blob.as_py())
+    if held:
+        yield from out(list(_spans_of([e for x in held for e in _unpack_entries(x)]).of.items()))
 
 
 # ---------------------------------------------------------------- the whole
@@ -393,7 +442,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     pairs = first.mapInArrow(_reduce_first, "id long, digit long")
     digits = pairs.groupBy("id").agg(F.collect_list("digit").alias("digits"))  # as many as a text has anchors
     again = known.join(digits.hint("shuffle_hash"), "id").select("id", "body", "digits")
-    second = again.mapInArrow(_contexts, _SECOND).repartition("digit").sortWithinPartitions("digit")
+    second = again.mapInArrow(_contexts(buckets), _SECOND).repartition("bucket").sortWithinPartitions("bucket")
     spans = second.mapInArrow(_reduce_second, "id long, h long, at array<int>")
     return spans.groupBy("id").agg(F.collect_list(F.struct("h", "at")).alias("found"))
 
