@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -30,10 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor never costs an iteration again."""
+    """Tables written to the shared folder, so that a lost executor never costs an iteration again.
+
+    Results read them lazily, so they stay until the driver's Python ends.
+    """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+        atexit.register(self._delete, "")
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,11 +52,14 @@ class Scratch:
 
     def drop(self, *numbers: int) -> None:
         """Deletes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for n in numbers:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(f"/{n}")
+
+    def _delete(self, below: str) -> None:
+        context = self.spark.sparkContext
+        if context._jsc is not None:  # the session still runs
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}{below}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
