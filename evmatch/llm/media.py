@@ -6,8 +6,9 @@ The Huffman table gives difference category s a code of 9 - s bits, so that ever
 exactly 9 bits with its extra bits; a frame is then packed and unpacked as one bit matrix.
 
 Reading: the RIFF tree and ``idx1`` are parsed, frames are taken by the index (or by walking
-``movi`` where there is none) and decoded by what their own headers say: any Huffman table, any of
-the seven predictors, restart intervals.  Shots come from differences of consecutive frames'
+``movi`` where there is none) and decoded by what their own headers say: lossless frames of any
+Huffman table, predictor and restart interval, and baseline (DCT) frames, of which the luminance is
+taken.  Shots come from differences of consecutive frames'
 histograms that exceed the running mean of the shot by a multiple of its spread.
 """
 
@@ -178,6 +179,141 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
     return (out << h.shift).astype(np.uint8 if h.precision <= 8 else np.uint16)
 
 
+# ---------------------------------------------------------------- baseline JPEG
+
+#: fixed values: the Huffman tables that motion-JPEG frames may leave out: how many codes of each
+#: length, and the symbols; those of long runs follow in order, from the given size on
+_LUMA_RUNS = {4: 3, 5: 3, 6: 3, 7: 3, 8: 3, 9: 2, 10: 2, 11: 2, 12: 2, 13: 2, 14: 1, 15: 1}
+_CHROMA_RUNS = {4: 3, 5: 3, 6: 3, 7: 3, 8: 2, 9: 2, 10: 2, 11: 2, 12: 2, 13: 2, 14: 2, 15: 2}
+_LUMA = "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a"
+_CHROMA = "0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a"
+_COUNTS = {
+    0x00: [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], 0x01: [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0],
+    0x10: [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], 0x11: [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+}
+_ZIGZAG = sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+
+
+def huffman(counts: list[int], symbols: list[int]) -> dict[tuple[int, int], int]:
+    """(length, code) -> symbol, by canonical codes."""
+    found, code, k = {}, 0, 0
+    for bits, many in enumerate(counts, 1):
+        for _ in range(many):
+            found[bits, code] = symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return found
+
+
+def standard_tables() -> dict[int, dict[tuple[int, int], int]]:
+    out = {which: huffman(_COUNTS[which], list(range(12))) for which in (0x00, 0x01)}
+    for which, head, runs in ((0x10, _LUMA, _LUMA_RUNS), (0x11, _CHROMA, _CHROMA_RUNS)):
+        symbols = list(bytes.fromhex(head))
+        rest = [r << 4 | k for r, low in runs.items() for k in range(low, 11) if r << 4 | k not in symbols]
+        out[which] = huffman(_COUNTS[which], symbols + rest)
+    return out
+
+
+_DCT = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+
+
+def decode_baseline(jpeg: bytes) -> np.ndarray:
+    """Luminance of a baseline or extended sequential JPEG of 8 bits in one interleaved scan."""
+    at, quant, tables, restart, parts = 2, {}, standard_tables(), 0, None
+    while True:
+        if at + 4 > len(jpeg) or jpeg[at] != 0xFF:
+            raise ValueError("broken JPEG marker")
+        marker, length = jpeg[at + 1], struct.unpack(">H", jpeg[at + 2 : at + 4])[0]
+        body = jpeg[at + 4 : at + 2 + length]
+        at += 2 + length
+        if marker == 0xDB:
+            while body:
+                wide = 2 if body[0] >> 4 else 1
+                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], dtype=">u2" if wide == 2 else "u1").astype(np.int64)
+                body = body[1 + 64 * wide :]
+        elif marker == 0xC4:
+            while body:
+                n = 17 + sum(body[1:17])
+                tables[body[0]], body = huffman(list(body[1:17]), list(body[17:n])), body[n:]
+        elif marker in (0xC0, 0xC1):
+            height, width = struct.unpack(">HH", body[1:5])
+            parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
+        elif 0xC2 <= marker <= 0xCF and marker != 0xCC:
+            raise ValueError("not a sequential JPEG")
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body)[0]
+        elif marker == 0xDA:
+            if parts is None or body[0] != len(parts):
+                raise ValueError("one interleaved scan is expected")
+            uses = {body[k]: (body[k + 1] >> 4, body[k + 1] & 15) for k in range(1, 1 + 2 * body[0], 2)}
+            break
+    data = jpeg[at:]
+    place, bits, held = 0, 0, 0
+
+    def take(n: int) -> int:
+        nonlocal place, bits, held
+        while held < n:
+            byte = data[place] if place < len(data) else 0
+            place += 2 if byte == 0xFF and data[place + 1 : place + 2] == b"\0" else 1
+            bits, held = (bits << 8 | byte) & (1 << 40) - 1, held + 8
+        held -= n
+        return bits >> held & (1 << n) - 1
+
+    def symbol(codes: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for n in range(1, 17):
+            code = code << 1 | take(1)
+            if (n, code) in codes:
+                return codes[n, code]
+        raise ValueError("no such Huffman code")
+
+    def signed(n: int) -> int:
+        x = take(n) if n else 0
+        return x if not n or x >> n - 1 else x - (1 << n) + 1
+
+    if len(parts) == 1:  # a scan of one component has no sampling
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    columns, rows = -(-width // (8 * across)), -(-height // (8 * down))
+    first = parts[0]
+    out = np.zeros((rows * first[2] * 8, columns * first[1] * 8))
+    before = dict.fromkeys((p[0] for p in parts), 0)
+    for unit in range(rows * columns):
+        if restart and unit and unit % restart == 0:
+            place = next(k for k in range(max(0, place - 2), len(data) - 1) if data[k] == 0xFF and 0xD0 <= data[k + 1] <= 0xD7) + 2
+            bits, held, before = 0, 0, dict.fromkeys(before, 0)
+        for name, h, v, q in parts:
+            dc, ac = uses[name]
+            for k in range(h * v):
+                block = np.zeros(64, dtype=np.int64)
+                before[name] += signed(symbol(tables[dc]))
+                block[0], n = before[name], 1
+                while n < 64:
+                    rs = symbol(tables[0x10 | ac])
+                    if rs == 0:
+                        break
+                    n += rs >> 4
+                    if rs & 15:
+                        if n > 63:
+                            raise ValueError("a run beyond the block")
+                        block[n] = signed(rs & 15)
+                    n += 1
+                if name == first[0]:
+                    square = np.zeros(64)
+                    square[_ZIGZAG] = block * quant[q]
+                    y, x = (unit // columns * v + k // h) * 8, (unit % columns * h + k % h) * 8
+                    out[y : y + 8, x : x + 8] = _DCT.T @ square.reshape(8, 8) @ _DCT
+    return np.clip(np.rint(out[:height, :width] + 128), 0, 255).astype(np.uint8)
+
+
+def decode_any(jpeg: bytes) -> np.ndarray:
+    """A frame by the process that its header names."""
+    at = 2
+    while at + 4 <= len(jpeg) and jpeg[at] == 0xFF and jpeg[at + 1] not in (0xC0, 0xC1, 0xC3):
+        at += 2 + struct.unpack(">H", jpeg[at + 2 : at + 4])[0]
+    return decode_baseline(jpeg) if jpeg[at + 1 : at + 2] in (b"\xc0", b"\xc1") else decode_frame(jpeg)
+
+
 def decode_frames(jpegs: list[bytes]) -> list[np.ndarray]:
     """Samples of each frame.  Frames that all begin with the 9-bit header are unpacked as one bit matrix."""
     size = UNIT * 9 // 8
@@ -189,7 +325,7 @@ def decode_frames(jpegs: list[bytes]) -> list[np.ndarray]:
             bits = np.unpackbits(np.frombuffer(b"".join(cut), dtype=np.uint8).reshape(len(cut), size), axis=1).reshape(len(cut), UNIT, 9)
             words = bits.astype(np.uint16) @ _WEIGHTS
             return list(_restore(_BACK[words].reshape(len(cut), HEIGHT, WIDTH)))
-    return [decode_frame(j) for j in jpegs]
+    return [decode_any(j) for j in jpegs]
 
 
 # ---------------------------------------------------------------- AVI

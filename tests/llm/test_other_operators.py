@@ -41,6 +41,53 @@ def test_avi_without_index_and_broken_files(spark):
     assert {r["doc_id"] for r in media.clips(df).collect()} == {1}
 
 
+def baseline(samples, quality, with_tables=True):
+    """A grey baseline JPEG, by the standard tables."""
+    tables = media.standard_tables()
+    codes = [{s: k for k, s in tables[w].items()} for w in (0x00, 0x10)]
+    h, w = samples.shape
+    quant, bits, before = np.full(64, quality), "", 0
+
+    def put(table, symbol, value, size):
+        n, code = codes[table][symbol]
+        return f"{code:0{n}b}" + (f"{value if value > 0 else value + (1 << size) - 1:0{size}b}" if size else "")
+
+    for y in range(0, h, 8):
+        for x in range(0, w, 8):
+            block = np.rint((media._DCT @ (samples[y : y + 8, x : x + 8] - 128.0) @ media._DCT.T).ravel()[media._ZIGZAG] / quant).astype(int)
+            d, before, run = int(block[0]) - before, int(block[0]), 0
+            bits += put(0, abs(d).bit_length(), d, abs(d).bit_length())
+            for n in range(1, 64):
+                v = int(block[n])
+                if not v:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits, run = bits + put(1, 0xF0, 0, 0), run - 16
+                bits, run = bits + put(1, run << 4 | abs(v).bit_length(), v, abs(v).bit_length()), 0
+            if run:
+                bits += put(1, 0, 0, 0)
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    sof = h.to_bytes(2, "big") + w.to_bytes(2, "big")
+    head = media._segment(0xDB, bytes([0, *quant])) + media._segment(0xC0, b"\x08" + sof + bytes([1, 1, 0x11, 0]))
+    if with_tables:
+        for which in (0x00, 0x10):
+            head += media._segment(0xC4, bytes([which, *media._COUNTS[which], *tables[which].values()]))
+    return b"\xff\xd8" + head + media._segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("with_tables", [True, False])
+def test_baseline_frames(with_tables):
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[0:24, 0:40]
+    for samples, most in ((rng.integers(0, 256, (24, 40)), 2), ((128 + 100 * np.sin(x / 5) * np.cos(y / 7)).astype(int), 2)):
+        frames = [baseline(samples, 1, with_tables)] * 3
+        found = media.decode_frames(media.read_avi(media.write_avi(frames, 40, 24)).frames)
+        assert len(found) == 3 and np.abs(found[0].astype(int) - samples).max() <= most
+    assert all(len(t) == (162 if w >> 4 else 12) and len(set(t.values())) == len(t) for w, t in media.standard_tables().items())
+
+
 def test_shots():
     rng = np.random.default_rng(4)
     dark, light = rng.integers(0, 60, (10, 12, 16)), rng.integers(180, 250, (15, 12, 16))
