@@ -12,7 +12,6 @@ neither vectors nor queries are ever held whole or sent to all executors.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
