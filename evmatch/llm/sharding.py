@@ -32,14 +32,12 @@ def interleave(df: DataFrame, n_shards: int, seed: int = SEED, source: str = "so
     sizes = ranked.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
     mixed = ranked.join(sizes, "_key").withColumn("_fraction", (F.col("rank") * 2 + 1).cast("double") / (F.col("_rows") * 2).cast("double")).drop("rank", "_rows")
     placed = with_rank(mixed, [], ["_fraction", "_hash", "_key", *ties], tag="shard-mix")
-    total = placed.agg(F.count(F.lit(1)).alias("_total"))
-    shard = F.least(F.lit(n_shards - 1), F.floor(((F.col("rank") + 1) * n_shards - 1) / F.col("_total"))).cast("int")
-    out = placed.crossJoin(F.broadcast(total))  # one row
-    # exact cut: shard s starts at floor(s * total / n)
-    start = lambda s: F.expr(f"({s} * _total) div {n_shards}")
-    out = out.withColumn("_guess", shard)
-    out = out.withColumn("shard", F.when(F.col("rank") < start("_guess"), F.col("_guess") - 1).when(F.col("rank") >= start("(_guess + 1)"), F.col("_guess") + 1).otherwise(F.col("_guess")).cast("int"))
-    out = out.withColumn("slot", F.col("rank") - start("shard"))
+    total = placed.count()
+    # exact cut: shard s starts at floor(s * total / n), so row r is in floor(((r + 1) * n - 1) / total)
+    shard = F.expr(f"cast(((rank + 1) * {n_shards} - 1) div {max(1, total)} as int)")
+    out = placed.withColumn("shard", shard)
+    start = F.expr(f"(cast(shard as long) * {total}) div {n_shards}")
+    out = out.withColumn("slot", F.col("rank") - start)
     return out.select(F.col("_id").alias(row_id), F.col("_source").alias(source), *(F.col(f"_c_{k}").alias(k) for k in carry), "shard", "slot")
 
 
