@@ -43,6 +43,7 @@ BUCKET_BYTES = 4 << 20  # of text, to a bucket of anchors
 FLUSH_ANCHORS, FLUSH_BYTES, SLICE = 3_000_000, 48 << 20, 1 << 20
 _BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
+_PLACE = np.uint64((1 << 21) - 1)  # more than a slice is long
 
 
 def _bytes(text: str | None) -> bytes:
@@ -79,16 +80,17 @@ def anchors(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.
             d, *rest = anchors(data[at : at + SLICE + depth - 1], depth, gram)
             parts.append((d, *(r + at for r in rest)))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    least = gram_hashes(data, gram)
-    digits, place, width, want = least, np.arange(len(least), dtype=np.int32), 1, depth - gram + 1
+    digits = gram_hashes(data, gram)
+    # place below, leading hash bits above: one minimum finds the least, the leftmost of equals
+    least = digits & ~_PLACE | np.arange(len(digits), dtype=np.uint64)
+    width, want = 1, depth - gram + 1
     while width < want:
         by = min(width, want - width)
-        later = least[by:] < least[:-by]  # strictly: the leftmost of equals stays
-        place = np.where(later, place[by:], place[:-by])
-        least = np.where(later, least[by:], least[:-by])
+        least = np.minimum(least[by:], least[:-by])
         width += by
+    place = (least & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
-    at = place[first].astype(np.int64)
+    at = place[first]
     digit = digits[at] * np.uint64(_STEP) >> np.uint64(64 - DIGIT)  # least hashes have no leading bits: mixed again
     return digit.astype(np.int64), at, first, np.append(first[1:], len(place)) - 1
 
