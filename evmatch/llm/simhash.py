@@ -284,20 +284,202 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, seed: int = SEED, row_id
     return out.select(F.col("_id").alias(row_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SEEDS, SIMILAR_WORDS, SIMILARITY = 12, 5, 0.8
+SIMILAR_WORDS, SIMILARITY = 5, (4, 5)
+#: shingles of more documents than COMMON come last in the order; counts travel in SHARDS pieces
+COMMON, SHARDS, SIGNATURE = 100, 1024, 512
 
 
-def _sets(df: DataFrame) -> DataFrame:
-    """From (node, text) to (node, sorted distinct hashes of the five-word shingles)."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles."""
+    return np.unique(np.concatenate([*shingle_hashes(text, SIMILAR_WORDS), np.zeros(0, np.uint64)]))
+
+
+def set_number(members: np.ndarray) -> int:
+    """Equal of equal sets only, but for one chance in 2^64."""
+    return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From (id, body) the upper halves of the hashes that are in more than COMMON rows, sorted, and their counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces(held: list[np.ndarray]) -> pa.RecordBatch:
+            halves, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(halves, np.arange(1, SHARDS, dtype=np.uint64) << np.uint64(22))
+            columns = [[x.tobytes() for x in np.split(y.astype(np.uint32), cuts)] for y in (halves, n)]
+            return pa.RecordBatch.from_arrays([pa.array(range(SHARDS), type=pa.int32()), *(pa.array(c, type=pa.binary()) for c in columns)], ["shard", "halves", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for t in batch.column(1):
+                held.append(np.unique((shingle_set(t.as_py()) >> np.uint64(32)).astype(np.uint32)))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    yield pieces(held)
+                    held, size = [], 0
+        if size:
+            yield pieces(held)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def often(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            halves, n = (np.frombuffer(b"".join(x), dtype=np.uint32) for x in zip(*held, strict=True))
+            found, at = np.unique(halves, return_inverse=True)
+            n = np.bincount(at, n, minlength=len(found)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[n > COMMON].astype(np.int64)), pa.array(n[n > COMMON])], ["half", "n"])
+
+        now, held = None, []
+        for batch in batches:
+            for shard, halves, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now and held:
+                    yield often(held)
+                    held = []
+                now = shard
+                held.append((halves, n))
+        if held:
+            yield often(held)
+
+    counted = rows.mapInArrow(count, "shard int, halves binary, n binary").repartition("shard").sortWithinPartitions("shard")
+    got = counted.mapInArrow(total, "half long, n long").toArrow()
+    halves, n = (got.column(k).to_numpy() for k in range(2))
+    order = np.argsort(halves)
+    return halves[order].astype(np.uint32), n[order]
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """From (id, body) to (id, node, size, signature, prefix): a number of the shingle set, its size, the parity of its members by SIGNATURE hash values, and its first members in the order of
+    (count if common, hash), so many that similar sets share one."""
+    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves, n = common.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                sets = [np.unique(np.concatenate([*shingle_hashes(t.as_py(), SIMILAR_WORDS), np.zeros(0, np.uint64)])).tobytes() for t in some.column(1)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, type=pa.binary())], ["node", "shingles"])
+            found = []
+            for t in batch.column(1):
+                s = shingle_set(t.as_py())
+                half = (s >> np.uint64(32)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(halves, half), max(0, len(halves) - 1))
+                often = np.where(halves[at] == half, n[at], 0) if len(halves) else np.zeros(len(s), np.int64)
+                first = np.lexsort((s, often))[: len(s) - (SIMILARITY[0] * len(s) + SIMILARITY[1] - 1) // SIMILARITY[1] + 1]
+                parity = np.bincount((s % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+                found.append((set_number(s), len(s), np.packbits(parity.astype(np.uint8)).tobytes(), s[first].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = [pa.array(c, type=k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], type=k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "size", "signature", "prefix"])
+
+    return rows.mapInArrow(each, "id long, node long, size long, signature binary, prefix binary")
+
+
+def _postings(nodes: DataFrame) -> DataFrame:
+    """From (node, label, size, prefix) to a row (key, node, label, place) per member of the prefix;
+    place is what is left of the set from this member on, and the set's size."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                node, label, size = (batch.column(k).slice(lo, 1024).to_numpy() for k in range(3))
+                sets = [np.frombuffer(p, dtype=np.int64) for p in batch.column(3).slice(lo, 1024).to_pylist()]
+                many = np.array([len(s) for s in sets])
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                size = np.repeat(size, many)
+                columns = [np.concatenate(sets), np.repeat(node, many), np.repeat(label, many), size - nth << 32 | size]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "label", "place"])
+
+    return nodes.select("node", "label", "size", "prefix").mapInArrow(each, "key long, node long, label long, place long").repartition("key").sortWithinPartitions("key")
+
+
+def _may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets whose first common member has these places can be similar."""
+    p, q = SIMILARITY
+    return (p + q) * np.minimum(x >> 32, y >> 32) >= p * ((x & 0xFFFFFFFF) + (y & 0xFFFFFFFF))
+
+
+def first_with_others(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of (key, node, label, place) sorted by key: each key's smallest node, with every other."""
+    order = np.lexsort((rows[1], rows[0]))
+    starts = np.flatnonzero(np.append(True, np.diff(rows[0][order]) != 0))
+    head = order[np.repeat(starts, np.diff(np.append(starts, len(order))))]
+    fits = (head != order) & _may(rows[3][head], rows[3][order])
+    yield head[fits], order[fits]
+
+
+def across_labels(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of (key, node, label, place) sorted by key: all pairs of a key that have different labels."""
+    edges = np.flatnonzero(np.diff(rows[0])) + 1
+    starts = np.append(0, edges)
+    many = np.diff(np.append(starts, rows.shape[1]))
+    mixed = np.maximum.reduceat(rows[2], starts) != np.minimum.reduceat(rows[2], starts)
+    small = np.flatnonzero(np.repeat(mixed & (many <= 256), many))
+    left, step = np.arange(len(small)), 1
+    while len(left):
+        left = left[left + step < len(small)]
+        left = left[rows[0, small[left]] == rows[0, small[left + step]]]
+        i, j = small[left], small[left + step]
+        fits = (rows[2, i] != rows[2, j]) & _may(rows[3, i], rows[3, j])
+        yield i[fits], j[fits]
+        step += 1
+    for k in np.flatnonzero(mixed & (many > 256)):  # all with all outside the largest label, and those with its members
+        lo, (label, place) = starts[k], rows[2:, starts[k] : starts[k] + many[k]]
+        names, n = np.unique(label, return_counts=True)
+        other = label != names[np.argmax(n)]
+        for i in np.flatnonzero(other):
+            fits = (label != label[i]) & _may(place, place[i])
+            fits[:i] &= ~other[:i]
+            j = np.flatnonzero(fits)
+            yield np.full(len(j), lo + i), lo + j
 
-    return df.mapInArrow(each, "node long, shingles binary")
+
+def _pairs(postings: DataFrame, near: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(a, b, n): pairs of nodes, a < b, that ``near`` yields for n keys."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(found: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            order = np.lexsort(both)
+            both = both[:, order]
+            starts = np.flatnonzero(np.append(True, (np.diff(both, axis=1) != 0).any(axis=0))) if both.shape[1] else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[0, starts]), pa.array(both[1, starts]), pa.array(np.diff(np.append(starts, both.shape[1])))], ["a", "b", "n"])
+
+        def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not rows.shape[1]:
+                return
+            found, size = [], 0
+            for i, j in near(rows):
+                if len(i):
+                    found.append(np.sort(np.stack([rows[1, i], rows[1, j]]), axis=0))
+                    size += len(i)
+                if size > 1 << 20:
+                    yield told(found)
+                    found, size = [], 0
+            yield told(found)
+
+        held = []
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if not rows.shape[1]:
+                continue
+            last = np.searchsorted(rows[0], rows[0, -1])
+            if last:  # what is held, and all but the batch's last key, is whole
+                yield from whole(np.concatenate([*held, rows[:, :last]], axis=1))
+                held = [rows[:, last:]]
+            elif held and held[-1][0, -1] != rows[0, 0]:
+                yield from whole(np.concatenate(held, axis=1))
+                held = [rows]
+            else:
+                held.append(rows)
+        if held:
+            yield from whole(np.concatenate(held, axis=1))
+
+    return postings.mapInArrow(each, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets differ in no fewer members than their signatures do in bits."""
+    for batch in batches:
+        a, b, n, m, x, y = batch.columns
+        bits = [np.frombuffer(b"".join(z.to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE // 64) for z in (x, y)]
+        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+        p, q = SIMILARITY
+        yield batch.select(["a", "b"]).filter(pa.array((p + q) * apart <= (q - p) * (n.to_numpy() + m.to_numpy())))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,40 +488,59 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = (np.frombuffer(z.as_py(), dtype=np.uint64) for z in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            keep.append(SIMILARITY[1] * both >= SIMILARITY[0] * (len(x) + len(y) - both))
         kept = batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
         yield kept
 
 
-def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_id, component_id) of the rows that are in a group but are not its smallest.
-
-    Documents are linked that come within two bits of each other in one of SEEDS independent
-    fingerprints of three-word shingles, and whose sets of five-word shingles then have a Jaccard
-    similarity of 0.8 or more.  One fingerprint meets a pair at 0.9 in a third of all cases, twelve
-    hardly miss it.  The id is a whole number; rows with a null id are in no group; component_id is the
-    smallest id of the group.
-    """
+def _sets(df: DataFrame) -> DataFrame:
+    """From (id, body) to (node, sorted distinct hashes of the five-word shingles)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
         for batch in batches:
-            found = [fingerprint(t.as_py(), many=SEEDS).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=kind)], ["id", "fps"])
+            for lo in range(0, batch.num_rows, 256):
+                sets = [shingle_set(t.as_py()) for t in batch.column(1).slice(lo, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_number(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())], ["node", "shingles"])
+
+    return df.mapInArrow(each, "node long, shingles binary")
 
-    scratch = Scratch(df.sparkSession, "similar")
+
+def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row_id, component_id) of the rows that are in a group but are not its smallest.
+
+    Documents are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of
+    them: sorted by one order, two such sets share a member among their first fifths.  Equal sets are one
+    node.  Pairs of a node and the first node of one of its keys are verified first; after that, pairs that
+    share a key but are in different groups so far.  The id is a whole number; rows with a null id are in
+    no group; component_id is the smallest id of the group.
+    """
+    spark = df.sparkSession
     rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("body")).filter("id is not null")
-    marked = scratch.put(rows.mapInArrow(each, "id long, fps array<long>"))
-    nodes = Scratch(df.sparkSession, "similar-nodes").put(marked.groupBy("fps").agg(F.min("id").alias("node")))
-    pairs = Scratch(df.sparkSession, "similar-pairs").put(links(nodes.select("fps", "node")))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = Scratch(df.sparkSession, "similar-sets").put(_sets(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]).select("id", "body")))
-    held = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    close = held.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
-    roots = components(close, "similar-components").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    grouped = marked.join(nodes, "fps").select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("component_id"))
-    heads = grouped.filter("id <> component_id")
-    return heads.select(F.col("id").cast(df.schema[row_id].dataType).alias(row_id), "component_id")
+    marked = Scratch(spark, "similar").put(_marks(rows))
+    heads = Scratch(spark, "similar-heads").put(marked.groupBy("node").agg(F.min("id").alias("id")))
+    nodes = Scratch(spark, "similar-nodes").put(marked.join(heads, ["id", "node"], "left_semi").dropDuplicates(["node"]).drop("id"))
+
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+        ends = [nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab"]
+        both = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "sa", "sb")
+        near = Scratch(spark, f"similar-{tag}").put(both.mapInArrow(_near_signatures, "a long, b long"))
+        wanted = heads.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        found = _sets(rows.join(wanted, "id", "left_semi").select("id", "body")).join(wanted, "node", "left_semi")
+        sets = Scratch(spark, f"similar-{tag}-sets").put(found.dropDuplicates(["node"]))
+        held = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        return Scratch(spark, f"similar-{tag}-links").put(held.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
+
+    stars = _pairs(_postings(nodes.withColumn("label", F.col("node"))), first_with_others)
+    first = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")), "first")
+    labels = components(first, "similar-labels").select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = verified(_pairs(_postings(labelled), across_labels), "rest")
+    roots = components(first.unionByName(rest), "similar-components").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    grouped = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
+    grouped = marked.select("id", "node").join(grouped.select("node", "root"), "node").join(least, "root")
+    gone = grouped.filter("id <> component_id")
+    return gone.select(F.col("id").cast(df.schema[row_id].dataType).alias(row_id), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
