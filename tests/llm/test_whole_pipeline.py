@@ -51,3 +51,11 @@ def test_every_pair_at_the_similarity_is_met(spark):
         texts += [" ".join(words), " ".join(edited(rng, words, min(len(words), k % 10 * len(words) // 250)) + ["end"] * (k % 3))]
     rng.shuffle(texts)
     assert found(spark, texts) == brute_groups(texts)
+
+
+def test_texts_of_equal_fingerprints_are_not_equal(spark):
+    """One repeated shingle decides all fingerprints."""
+    rng = random.Random(12)
+    texts = [" ".join(["-"] * 360 + [f"w{rng.randint(0, 10**6)}" for _ in range(250)]) for _ in range(4)]
+    texts.append(texts[1])
+    assert found(spark, texts) == {4: 1}
