@@ -40,14 +40,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.withColumn("_at", first["_level"]).select("key", "source_size", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap").cast("double"))).alias("target"))
 
 
-def mix(df: DataFrame, size: Column, source: str = "source", row_id: str = "doc_id", seed: int = SEED, cut: str = "word", **shares) -> DataFrame:
+def mix(df: DataFrame, size: Column, source: str = "source", row_id: str = "doc_id", seed: int = SEED, cut: str = "word", keep: tuple[str, ...] = (), **shares) -> DataFrame:
     """One row per input row: ``row_id``, ``size``, ``source_size``, ``target`` and ``taken``.
 
     ``cut="word"`` ends each source exactly at its budget inside a document; ``cut="document"`` takes
     a document once more when at least half of it lies inside the budget.  ``taken`` is in the unit of
-    ``size``.  A null source is one source, last; a null size counts as 0; an empty table gives no rows.
+    ``size``; columns named in ``keep`` follow, as only they tell rows of one id apart.  A null source is one source, last; a null size counts as 0; an empty table gives no rows.
     """
-    narrow = df.select(F.col(row_id).alias("_id"), source_key(source).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("size")).withColumn("_hash", seeded(seed, "_id"))
+    narrow = df.select(F.col(row_id).alias("_id"), source_key(source).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), *([F.struct(*keep).alias("_kept")] if keep else [])).withColumn("_hash", seeded(seed, "_id"))
     ranked = with_rank(narrow, ["key"], ["_hash", "_id", "size"], {"_before_me": "size"}, tag="mix")
     sizes = ranked.groupBy("key").agg(F.sum("size").alias("source_size"))
     out = ranked.join(targets(sizes, **shares), "key")
@@ -58,7 +58,7 @@ def mix(df: DataFrame, size: Column, source: str = "source", row_id: str = "doc_
         more = F.greatest(F.lit(0), F.least(F.col("size"), rest))
     else:
         more = F.when((rest > 0) & (rest * 2 >= F.col("size")), F.col("size")).otherwise(F.lit(0))
-    return out.select(F.col("_id").alias(row_id), "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
+    return out.select(F.col("_id").alias(row_id), "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"), *(F.col("_kept")[c].alias(c) for c in keep))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

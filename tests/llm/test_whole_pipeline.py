@@ -59,3 +59,20 @@ def test_texts_of_equal_fingerprints_are_not_equal(spark):
     texts = [" ".join(["-"] * 360 + [f"w{rng.randint(0, 10**6)}" for _ in range(250)]) for _ in range(4)]
     texts.append(texts[1])
     assert found(spark, texts) == {4: 1}
+
+
+def test_mixing_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(14)
+    ids = [None] * 20 + [7] * 20 + list(range(100, 160))
+    rows = [(i, f"t{n} " + "x " * rng.randint(3, 30), "en", f"s{n % 3}", 0) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    times = Counter(r["text"] for r in corpus_pipeline.mix(spark, docs, "").collect())
+    assert max(times.values()) <= 2
+    size = {r[1]: len(r[1].split()) for r in rows}
+    of = {r[1]: r[3] for r in rows}
+    targets = {r["source"]: r["target"] for r in corpus_pipeline.mixing.mix(docs, corpus_pipeline.words("text"), keep=("source",)).collect()}
+    got = Counter()
+    for text, n in times.items():
+        got[of[text]] += n * size[text]
+    assert all(abs(got[s] - t) <= max(size.values()) for s, t in targets.items())
+    assert any(times[r[1]] for r in rows if r[0] is None)
