@@ -76,3 +76,11 @@ def test_mixing_tells_rows_of_one_id_apart(spark):
         got[of[text]] += n * size[text]
     assert all(abs(got[s] - t) <= max(size.values()) for s, t in targets.items())
     assert any(times[r[1]] for r in rows if r[0] is None)
+
+
+def test_a_drifting_group_of_near_copies(spark):
+    """More copies of one text than are handled pair by pair, many of them below the similarity of each other."""
+    rng = random.Random(13)
+    words = [f"w{rng.randint(0, 3000)}" for _ in range(300)]
+    texts = [" ".join(edited(rng, words, rng.choice((3, 4, 5, 6, 7)))) for _ in range(400)]
+    assert found(spark, texts) == brute_groups(texts)
