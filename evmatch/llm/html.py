@@ -41,6 +41,8 @@ APART_NAMES = {
     "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond",
     "share", "sharing", "sidebar", "sitenav", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: fixed values: elements whose class and id speak of the page or the article itself
+WHOLE = {"html", "body", "main", "article"}
 #: fixed values: an opening element of the key ends an open element of the values
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -99,7 +101,7 @@ def runs(page: str) -> Iterator[Run]:
 def labelled(page: str) -> Counter | None:
     """(kind, inside) counts of a page that marks one article; None of any other.
 
-    Kinds are tags and, for words, every name of an open container.
+    Kinds are tags and, for words, every name of an open container; behind ">", of one around the article.
     """
     low = page.lower()
     mark = next((t for t in ("article", "main") if len(re.findall(rf"<{t}[\s>]", low)) == 1), None)
@@ -114,6 +116,8 @@ def labelled(page: str) -> Counter | None:
             found["words", inside] += n
             for name in set(around) - {mark}:
                 found[f" {name}", inside] += n
+            for name in set(around[: around.index(mark)]) if inside else ():
+                found[f" >{name}", True] += n
     return found
 
 
@@ -126,7 +130,9 @@ class Weights:
         odds = {t: math.log((counts.get((t, False), 0) + 1) / outside) - math.log((counts.get((t, True), 0) + 1) / inside) for t in tags}
         self.tags = {t: -min(MOST, max(0.01, o)) for t, o in odds.items()}
         seen = {k[1:] for k, _ in counts if k[0] == " "}
-        self.apart = APART | {f".{n}" for n in APART_NAMES}
+        self.apart = set(APART)
+        #: fixed names, but for those of containers that hold more article words than others
+        self.fixed = {n for n in (f".{n}" for n in APART_NAMES) if counts.get((f" >{n}", True), 0) <= max(LEAST, counts.get((f" {n}", False), 0))}
         for n in seen:
             i, o = counts.get((f" {n}", True), 0), counts.get((f" {n}", False), 0)
             if n[0] == "." and i + o >= LEAST and o >= 9 * (i + 1):  # a bare div or list can hold anything
@@ -135,6 +141,20 @@ class Weights:
     def tag(self, tag: str) -> float:
         return self.tags.get(tag, -0.3)
 
+    def away(self, around: tuple[str, ...], path: tuple[int, ...], held: Counter, total: int) -> bool:
+        """Whether one of the open containers holds no content, by its tag, by a name that labelled pages
+        show to, or by a fixed name; names say nothing of a WHOLE element, fixed ones nothing of a container
+        with most of the page's words."""
+        nth, tag = -1, ""
+        for n in around:
+            if n[0] != ".":
+                nth, tag = nth + 1, n
+                if n in self.apart:
+                    return True
+            elif tag not in WHOLE and (n in self.apart or n in self.fixed and 2 * held[path[nth]] <= total):
+                return True
+        return False
+
 
 def best_region(scores: list[float]) -> tuple[int, int]:
     """The half-open run of the highest sum, the longest of equals from the left; (0, 0) if none is positive."""
@@ -151,8 +171,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: Weights) -> str:
     """Blocks joined by line ends; empty for a page without content."""
     tokens = list(runs(page or ""))
-    out = [bool(weights.apart.intersection(around)) for _, _, around, _ in tokens]
     sizes = [0 if tag else len(text.split()) for tag, text, _, _ in tokens]
+    held: Counter = Counter()
+    for (_, _, _, path), n in zip(tokens, sizes, strict=True):
+        for k in path if n else ():
+            held[k] += n
+    out, total = [], sum(sizes)
+    for k, (_, _, around, path) in enumerate(tokens):
+        same = k and path is tokens[k - 1][3]
+        out.append(out[-1] if same else weights.away(around, path, held, total))
     scores = [weights.tag(tag) if tag else -float(n) if away else float(n) for (tag, _, _, _), n, away in zip(tokens, sizes, out, strict=True)]
     lo, hi = best_region(scores)
     inside = [path for (tag, _, _, path), n, away in zip(tokens[lo:hi], sizes[lo:hi], out[lo:hi], strict=True) if n and not away]
