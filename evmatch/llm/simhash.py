@@ -183,6 +183,8 @@ def neighbours_by_lookup(fps: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[
         free = [k for k in range(64) if varies >> k & 1]
         order = np.argsort(some)
         ranked = some[order]
+        again = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
+        yield lo + order[np.searchsorted(ranked, ranked[again])], lo + order[again]
         for flip in [1 << k for k in free] + [1 << k | 1 << m for k, m in combinations(free, 2)] if len(free) <= 16 else []:
             want = ranked ^ np.uint64(flip)
             at = np.minimum(np.searchsorted(ranked, want), len(ranked) - 1)

@@ -1,6 +1,8 @@
 """Operators on inputs that the given tables do not hold."""
 
-from evmatch.llm import html
+import numpy as np
+
+from evmatch.llm import components, html, simhash
 
 ARTICLE = " ".join(f"word{k}" for k in range(80))
 
@@ -21,3 +23,12 @@ def test_labelled_pages_overrule_the_fixed_names():
     weights = html.Weights(html.labelled(page))
     short = "<body><div class='widget'><p>one two three four five six</p></div><div class='sidebar'>a b c d e f g h i j</div></body>"
     assert html.main_text(short, weights) == "one two three four five six"
+
+
+def test_a_crowded_bucket_with_repeated_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    fps = [int(f) for f in rng.integers(0, 1 << 62, 3) for _ in range(20)]
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    df = spark.createDataFrame([([f], n) for n, f in enumerate(fps)], "fps array<long>, node long")
+    found = {r["a"]: r["b"] for r in components.components(simhash.links(df)).collect()}
+    assert found == {n: n // 20 * 20 for n in range(60) if n % 20}
