@@ -1,7 +1,6 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``WORDS`` words (longer ones where it would have more than
-``PASSAGES``, so every word counts whatever the length).  A passage is encoded by the shares of its
+A document is a bag of passages of ``WORDS`` words, however many.  A passage is encoded by the shares of its
 kinds of bytes, its word lengths and its repetitions; a hidden layer maps that to a representation h.
 Gated attention ``softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the passages, and the weighted
 representation gives the document's score.  All weights are learned from document labels.
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 
 from evmatch.llm.common import seeded, table
 
-WORDS, PASSAGES = 64, 256
+#: words of a passage; passages that are scored at once
+WORDS, PASSAGES = 64, 16_384
 SAMPLE, SEED = 6000, 5
 HIDDEN, GATES, STEPS, RATE, DECAY = 16, 8, 400, 0.02, 1e-4
 KINDS = 14
@@ -51,8 +51,7 @@ def encode(text: str | None) -> np.ndarray:
     starts = np.flatnonzero(np.diff(space, prepend=np.int8(1)) == -1)
     if not len(starts):
         return np.zeros((1, DIMS), dtype=np.float32)
-    step = max(WORDS, -(-len(starts) // PASSAGES))
-    first = starts[::step]
+    first = starts[::WORDS]
     sizes = np.diff([*first, len(data)])
     body = data[first[0] :]
     of = np.repeat(np.arange(len(first)), sizes)
@@ -62,7 +61,7 @@ def encode(text: str | None) -> np.ndarray:
     lengths = ends - starts + 1
     place = (np.arange(len(data), dtype=np.uint64) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(data)]]))).astype(np.uint64)) * np.uint64(2) + np.uint64(1)
     hashes = np.add.reduceat(np.where(space == 0, _MIX[data] * place, np.uint64(0)), starts)
-    bag = np.arange(len(starts)) // step
+    bag = np.arange(len(starts)) // WORDS
     many = np.bincount(bag)
     again = np.append(False, (hashes[1:] == hashes[:-1]) & (bag[1:] == bag[:-1]))
     order = np.lexsort((hashes, bag))
@@ -98,6 +97,38 @@ class GatedAttention:
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
         return _sigmoid(z @ p["c"] + p["b"]), (x, h, t, g, a, of, z)
 
+    def long(self, x: np.ndarray) -> float:
+        """The score of one bag, a slice of PASSAGES at a time."""
+        p, top, weight, z = self.p, -np.inf, 0.0, np.zeros(HIDDEN)
+        for lo in range(0, len(x), PASSAGES):
+            h = np.tanh((x[lo : lo + PASSAGES] - self.mean) / self.scale @ p["E"] + p["e"])
+            raw = (np.tanh(h @ p["V"]) * _sigmoid(h @ p["U"])) @ p["w"]
+            now = max(top, raw.max())
+            a, fade = np.exp(raw - now), np.exp(top - now)
+            top, weight, z = now, weight * fade + a.sum(), z * fade + a @ h
+        return float(_sigmoid(z / weight @ p["c"] + p["b"])[0])
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        out, bags, size = [], [], 0
+
+        def flush() -> None:
+            if bags:
+                out.append(self.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])]))[0])
+                bags.clear()
+
+        for t in texts:
+            x = encode(t.as_py())
+            if size + len(x) > PASSAGES:
+                flush()
+                size = 0
+            if len(x) > PASSAGES:
+                out.append(np.array([self.long(x)]))
+            else:
+                bags.append(x)
+                size += len(x)
+        flush()
+        return np.concatenate(out)
+
     def fit(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> GatedAttention:
         """Full-batch Adam on the log loss."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -151,8 +182,7 @@ def score(docs: DataFrame, model: GatedAttention | None, row_id: str = "doc_id",
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                bags = [encode(t.as_py()) for t in some.column(0)]
-                found = model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])]))[0] if model else np.full(len(bags), 0.5)
+                found = model.scores(some.column(0)) if model else np.full(some.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*some.columns[skip:], pa.array(found)], [*some.schema.names[skip:], "score"])
 
     skip = int(text not in keep)  # a kept text travels once

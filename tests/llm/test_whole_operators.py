@@ -1,8 +1,9 @@
 """Operators on inputs that the given tables do not hold."""
 
 import numpy as np
+import pyarrow as pa
 
-from evmatch.llm import components, html, simhash
+from evmatch.llm import components, html, quality, simhash
 
 ARTICLE = " ".join(f"word{k}" for k in range(80))
 
@@ -32,3 +33,16 @@ def test_a_crowded_bucket_with_repeated_fingerprints(spark, monkeypatch):
     df = spark.createDataFrame([([f], n) for n, f in enumerate(fps)], "fps array<long>, node long")
     found = {r["a"]: r["b"] for r in components.components(simhash.links(df)).collect()}
     assert found == {n: n // 20 * 20 for n in range(60) if n % 20}
+
+
+def test_passages_of_a_very_long_text_are_as_long_as_others(monkeypatch):
+    part = ARTICLE + " "
+    text = part * 512
+    x = quality.encode(text)
+    assert len(x) == 80 * 512 // 64 and np.allclose(x[:5], quality.encode(part * 4))
+    model = quality.GatedAttention()
+    bags = [text, part, None, part * 3, text]
+    whole = [model.forward(b, np.array([0]))[0][0] for b in map(quality.encode, bags)]
+    for many in (16_384, 7):
+        monkeypatch.setattr(quality, "PASSAGES", many)
+        assert np.allclose(model.scores(pa.array(bags)), whole)
