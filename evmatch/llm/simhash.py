@@ -348,8 +348,9 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """From (id, body) to (id, node, size, signature, prefix): a number of the shingle set, its size, the parity of its members by SIGNATURE hash values, and its first members in the order of
-    (count if common, hash), so many that similar sets share one."""
+    """From (id, body) to (id, node, size, signature, prefix): a number of the shingle set, its size, the
+    parity of its members by the low bits of their hashes (SIGNATURE values, or more for a larger set), and
+    its first members in the order of (count if common, hash), so many that similar sets share one."""
     common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,8 +363,9 @@ def _marks(rows: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(halves, half), max(0, len(halves) - 1))
                 often = np.where(halves[at] == half, n[at], 0) if len(halves) else np.zeros(len(s), np.int64)
                 first = np.lexsort((s, often))[: len(s) - (SIMILARITY[0] * len(s) + SIMILARITY[1] - 1) // SIMILARITY[1] + 1]
-                parity = np.bincount((s % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
-                found.append((set_number(s), len(s), np.packbits(parity.astype(np.uint8)).tobytes(), s[first].tobytes()))
+                bits = max(SIGNATURE, 1 << len(s).bit_length())
+                parity = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+                found.append((set_number(s), len(s), np.packbits(parity.astype(np.uint8), bitorder="little").tobytes(), s[first].tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             columns = [pa.array(c, type=k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], type=k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "size", "signature", "prefix"])
@@ -475,13 +477,17 @@ def _pairs(postings: DataFrame, near: Callable[[np.ndarray], Iterator[tuple[np.n
 
 
 def _near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets differ in no fewer members than their signatures do in bits."""
+    """Sets differ in no fewer members than their signatures do in bits; a longer one is folded first."""
+    p, q = SIMILARITY
     for batch in batches:
-        a, b, n, m, x, y = batch.columns
-        bits = [np.frombuffer(b"".join(z.to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE // 64) for z in (x, y)]
-        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-        p, q = SIMILARITY
-        yield batch.select(["a", "b"]).filter(pa.array((p + q) * apart <= (q - p) * (n.to_numpy() + m.to_numpy())))
+        keep = []
+        for n, m, *both in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            (short, x), (long, y) = sorted((8 * len(z), int.from_bytes(z, "little")) for z in both)
+            while long > short:
+                long //= 2
+                y = (y & (1 << long) - 1) ^ y >> long
+            keep.append((p + q) * (x ^ y).bit_count() <= (q - p) * (n + m))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -528,9 +534,12 @@ def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text")
         near = Scratch(spark, f"similar-{tag}").put(both.mapInArrow(_near_signatures, "a long, b long"))
         wanted = heads.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
         found = _sets(rows.join(wanted, "id", "left_semi").select("id", "body")).join(wanted, "node", "left_semi")
-        sets = Scratch(spark, f"similar-{tag}-sets").put(found.dropDuplicates(["node"]))
+        scratch = Scratch(spark, f"similar-{tag}-sets")
+        sets = scratch.put(found.dropDuplicates(["node"]))
         held = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return Scratch(spark, f"similar-{tag}-links").put(held.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
+        close = Scratch(spark, f"similar-{tag}-links").put(held.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
+        scratch.drop(1)
+        return close
 
     stars = _pairs(_postings(nodes.withColumn("label", F.col("node"))), first_with_others)
     first = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")), "first")
