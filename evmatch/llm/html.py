@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from evmatch.llm.common import seeded, table
 
-SAMPLE, SEED, NAMES, LEAST, MOST = 4000, 4, 5000, 20, 1.5
+SAMPLE, SEED, LEAST, MOST = 4000, 4, 20, 1.5
 
 #: fixed values: elements by what they do to text
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "canvas")
+#: fixed values: those that end with the page where their end tag is missing, and cannot close themselves
+TO_THE_END = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
@@ -84,7 +86,10 @@ def runs(page: str) -> Iterator[Run]:
             yield f"/{tag}", "", flat, path
         elif tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else size
+            if end and not (tag not in TO_THE_END and m[3].rstrip().endswith("/")):
+                at = end.end()
+            elif tag in TO_THE_END:
+                at = size
             yield tag, "", flat, path
         else:
             while stack and (stack[-1] in CLOSES.get(tag, ()) or stack[-1] == "p" and tag in BLOCK):
@@ -216,7 +221,7 @@ def fit(pages: DataFrame, row_id: str = "page_id", page: str = "html", sample: i
     chosen = pages.select(F.col(row_id).alias("_id")).filter("_id is not null").orderBy(seeded(SEED, "_id"), "_id").limit(sample).distinct()
     some = pages.select(F.col(row_id).alias("_id"), F.col(page).alias("_page")).join(F.broadcast(chosen), "_id", "left_semi")  # sample ids at most
     counts = some.select("_page").mapInArrow(each, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "kind", "inside").limit(NAMES).collect()
+    rows = counts.orderBy(F.desc("n"), "kind", "inside").collect()
     return Weights({(r["kind"], r["inside"]): r["n"] for r in rows})
 
 

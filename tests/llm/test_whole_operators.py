@@ -46,3 +46,10 @@ def test_passages_of_a_very_long_text_are_as_long_as_others(monkeypatch):
     for many in (16_384, 7):
         monkeypatch.setattr(quality, "PASSAGES", many)
         assert np.allclose(model.scores(pa.array(bags)), whole)
+
+
+def test_a_raw_element_without_an_end_tag_takes_no_text_along():
+    weights = html.Weights({})
+    for icon in ("<svg width='9'/>", "<object data='x' />", "<canvas>"):
+        assert html.main_text(f"<body><p>{ARTICLE} {icon} and the end</p></body>", weights) == f"{ARTICLE} and the end"
+    assert html.main_text(f"<body><p>{ARTICLE}</p><script>never closed", weights) == ARTICLE
