@@ -2,11 +2,17 @@
 
 A page is read as a sequence of tags and text runs.  Words score positive, tags negative; words in
 containers that labelled pages show to hold no content score negative too.  One linear scan finds the
-contiguous region of the highest sum, which is widened to the innermost container of its words.  Inside it, blocks of such containers are left out.
+contiguous run of the highest sum.  It holds all of the article but, at times, a few words behind many
+tags at an end or, after a long stretch of tags, a part; so its ends move out to those of the innermost
+container of its words, and further to those of a container that labelled pages show to hold content
+only.  Words that score negative stay out.
 
 Labelled pages are those that mark their article themselves with one ``article`` or ``main`` element:
-what is inside is content, the rest is not.  Weights of tags and of container names are log odds
-counted over at most ``SAMPLE`` such pages; a page without the element is scored by the same weights.
+what is inside is content, the rest is not.  Weights of tags and of container names are log odds counted
+over at most ``SAMPLE`` such pages.  Names that by general use hold no content start with ``PRIOR`` words
+counted against them, which labelled pages outweigh; other pages are scored by the same weights.
+
+Reading takes time and memory in proportion to the page, however deep it nests.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +31,11 @@ from pyspark.sql import functions as F
 from evmatch.llm.common import seeded, table
 
 SAMPLE, SEED, LEAST, MOST = 4000, 4, 20, 1.5
+#: words that speak against a name before any page is read; how many times the other side counts as proof
+PRIOR, PROOF = 200, 9
 
-#: fixed values: elements by what they do to text
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "canvas")
+#: fixed values: elements whose text is never the page's
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "canvas")
 #: fixed values: those that end with the page where their end tag is missing, and cannot close themselves
 TO_THE_END = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -35,130 +44,182 @@ BLOCK = {
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "menu", "nav",
     "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
-#: fixed values: elements and words of class or id that hold no article text
-APART = {"nav", "header", "footer", "aside", "form", "button", "head", "menu", "dialog", "label", "input"}
+#: fixed values: elements that hold no article text
+APART = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog"}
+#: fixed values: words that begin or end a class, id or role of containers that hold no article text
 APART_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
-    "cookie", "cookies", "disclaimer", "disqus", "footer", "gdpr", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation",
-    "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond",
-    "share", "sharing", "sidebar", "sitenav", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
+    "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "masthead", "menu",
+    "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "paywall", "popup", "promo",
+    "promoted", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "sitenav", "skip", "social",
+    "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
+#: fixed values: words that make a name speak of a state instead of what a container holds
+STATES = {"no", "not", "has", "have", "is", "with", "without", "hide", "hidden", "open", "opened", "closed", "free", "on", "off", "enabled", "disabled", "allowed", "less", "non"}
 #: fixed values: elements whose class and id speak of the page or the article itself
 WHOLE = {"html", "body", "main", "article"}
 #: fixed values: an opening element of the key ends an open element of the values
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: a quoted value ends where white space, a slash or the tag's end follows; any other quote is a plain character
+_VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+')(?=[\s/>])"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|</>|<(?:[!?]|/[^a-zA-Z>])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|{_VALUE}|=)*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 
-Run = tuple[str, str, tuple[str, ...], tuple[int, ...]]  # ("", text, names of containers, containers) or (tag, "", ...)
-
-
-def names(tag: str, attributes: str) -> tuple[str, ...]:
-    """A container's names: its tag, and the words of its class, id and role."""
-    said = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if "=" in attributes else ""
-    return (tag, *(f".{w}" for w in PART.findall(said.lower())))
-
-
-def runs(page: str) -> Iterator[Run]:
-    """Text runs and tags in order, each with the names of all open containers."""
-    at, stack, open_names, serials, opened = 0, [], [], [], 0
-    flat: tuple[str, ...] = ()
-    path: tuple[int, ...] = ()
-    size, find = len(page), TOKEN.search
-    while at < size:
-        m = find(page, at)
-        if m is None:
-            yield "", page[at:], flat, path
-            return
-        if m.start() > at:
-            yield "", page[at : m.start()], flat, path
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag in stack:
-                keep = len(stack) - 1 - stack[::-1].index(tag)
-                del stack[keep:], open_names[keep:], serials[keep:]
-                flat, path = tuple(n for x in open_names for n in x), tuple(serials)
-            yield f"/{tag}", "", flat, path
-        elif tag in _RAW_END:
-            end = _RAW_END[tag].search(page, at)
-            if end and not (tag not in TO_THE_END and m[3].rstrip().endswith("/")):
-                at = end.end()
-            elif tag in TO_THE_END:
-                at = size
-            yield tag, "", flat, path
-        else:
-            while stack and (stack[-1] in CLOSES.get(tag, ()) or stack[-1] == "p" and tag in BLOCK):
-                del stack[-1], open_names[-1], serials[-1]
-            if tag not in VOID and not m[3].rstrip().endswith("/"):
-                stack.append(tag)
-                open_names.append(names(tag, m[3]))
-                opened += 1
-                serials.append(opened if tag not in ("html", "body") else 0)
-            flat, path = tuple(n for x in open_names for n in x), tuple(serials)
-            yield tag, "", flat, path
+
+@lru_cache(maxsize=100_000)
+def against(name: str) -> bool:
+    """Whether a class, id or role by general use names a container without article text."""
+    parts = PART.findall(name)
+    return bool(parts) and (parts[0] in APART_NAMES or parts[-1] in APART_NAMES) and STATES.isdisjoint(parts)
+
+
+def names(attributes: str) -> tuple[str, ...]:
+    """The words of a container's class, id and role, in lower case."""
+    if "=" not in attributes:
+        return ()
+    return tuple({w for a, b, c in NAMED.findall(attributes) for w in (a or b or c).lower().split()})
+
+
+class Page:
+    """Tags and text runs in order, each with its innermost open container.
+
+    ``tokens`` are (tag, text, container): text of a tag is empty, an end tag begins with "/", and the tag
+    of a text run is empty.  ``parent``, ``tag`` and ``names`` are those of each container, outer ones
+    first; container 0 is the page.
+    """
+
+    def __init__(self, page: str):
+        self.tokens: list[tuple[str, str, int]] = []
+        self.parent, self.tag, self.names = [0], [""], [()]
+        at, size, find, put = 0, len(page), TOKEN.search, self.tokens.append
+        stack, opened, endless = [0], Counter(), set()
+        while at < size:
+            m = find(page, at)
+            if m is None:
+                put(("", page[at:], stack[-1]))
+                return
+            if m.start() > at:
+                put(("", page[at : m.start()], stack[-1]))
+            at, tag = m.end(), (m[2] or "").lower()
+            if not tag:
+                continue
+            if m[1]:
+                if opened[tag]:
+                    while True:
+                        last = self.tag[stack.pop()]
+                        opened[last] -= 1
+                        if last == tag:
+                            break
+                put((f"/{tag}", "", stack[-1]))
+            elif tag in _RAW_END:
+                put((tag, "", stack[-1]))
+                if tag in TO_THE_END or not (tag in endless or m[3].rstrip().endswith("/")):
+                    end = _RAW_END[tag].search(page, at)
+                    if end:
+                        at = end.end()
+                    elif tag in TO_THE_END:
+                        at = size
+                    else:
+                        endless.add(tag)
+            else:
+                while len(stack) > 1 and ((top := self.tag[stack[-1]]) in CLOSES.get(tag, ()) or top == "p" and tag in BLOCK):
+                    opened[top] -= 1
+                    stack.pop()
+                if tag not in VOID and not m[3].rstrip().endswith("/"):
+                    self.parent.append(stack[-1])
+                    self.tag.append(tag)
+                    self.names.append(names(m[3]))
+                    opened[tag] += 1
+                    stack.append(len(self.parent) - 1)
+                put((tag, "", stack[-1]))
+
+    def sums(self, values: list[int]) -> list[int]:
+        """Of values of each container, those of all within it."""
+        out = list(values)
+        for v in range(len(out) - 1, 0, -1):
+            out[self.parent[v]] += out[v]
+        return out
+
+    def within(self, says: list[bool]) -> list[bool]:
+        """Whether a container or one around it is so."""
+        out = list(says)
+        for v in range(1, len(out)):
+            out[v] = out[v] or out[self.parent[v]]
+        return out
 
 
 def labelled(page: str) -> Counter | None:
     """(kind, inside) counts of a page that marks one article; None of any other.
 
-    Kinds are tags and, for words, every name of an open container; behind ">", of one around the article.
+    Kinds are tags and, behind a dot, the names of containers with the words in them.  What is inside the
+    article in a container of APART, or with a name of APART_NAMES, counts as outside.
     """
     low = page.lower()
     mark = next((t for t in ("article", "main") if len(re.findall(rf"<{t}[\s>]", low)) == 1), None)
     if mark is None:
         return None
-    found: Counter = Counter()
-    for tag, text, around, _ in runs(page):
-        inside = mark in around and not any(n in APART for n in around)
+    read, found = Page(page), Counter()
+    marked = read.within([t == mark for t in read.tag])
+    inner = [m and t != mark and (t in APART or t not in WHOLE and any(map(against, n))) for m, t, n in zip(marked, read.tag, read.names, strict=True)]
+    away = read.within(inner)
+    sizes = [[0] * len(marked), [0] * len(marked)]
+    for tag, text, v in read.tokens:
+        inside = marked[v] and not away[v]
         if tag:
             found[tag, inside] += 1
-        elif n := len(text.split()):
-            found["words", inside] += n
-            for name in set(around) - {mark}:
-                found[f" {name}", inside] += n
-            for name in set(around[: around.index(mark)]) if inside else ():
-                found[f" >{name}", True] += n
+        else:
+            sizes[inside][v] += len(text.split())
+    for inside, held in enumerate(map(read.sums, sizes)):
+        for v, n in enumerate(held):
+            for name in read.names[v] if n else ():
+                found[f".{name}", bool(inside)] += n
     return found
 
 
 class Weights:
-    """Scores of tags and the container names whose words are not content."""
+    """Scores of tags, and the container names whose words are not content or are content only."""
 
     def __init__(self, counts: dict[tuple[str, bool], int]):
-        inside, outside = (sum(v for (k, i), v in counts.items() if i is side and k != "words" and k[0] != " ") + 1 for side in (True, False))
-        tags = {k for k, _ in counts if k != "words" and k[0] != " "}
+        tags = {k for k, _ in counts if k[0] != "."}
+        inside, outside = (sum(counts.get((t, side), 0) for t in tags) + 1 for side in (True, False))
         odds = {t: math.log((counts.get((t, False), 0) + 1) / outside) - math.log((counts.get((t, True), 0) + 1) / inside) for t in tags}
         self.tags = {t: -min(MOST, max(0.01, o)) for t, o in odds.items()}
-        seen = {k[1:] for k, _ in counts if k[0] == " "}
-        self.apart = set(APART)
-        #: fixed names, but for those of containers that hold more article words than others
-        self.fixed = {n for n in (f".{n}" for n in APART_NAMES) if counts.get((f" >{n}", True), 0) <= max(LEAST, counts.get((f" {n}", False), 0))}
-        for n in seen:
-            i, o = counts.get((f" {n}", True), 0), counts.get((f" {n}", False), 0)
-            if n[0] == "." and i + o >= LEAST and o >= 9 * (i + 1):  # a bare div or list can hold anything
-                self.apart |= {n}
-
-    def tag(self, tag: str) -> float:
+        #: name -> words inside and outside
+        self.seen = {k[1:]: (counts.get((k, True), 0), counts.get((k, False), 0)) for k, _ in counts if k[0] == "."}
+
+    def score(self, tag: str) -> float:
         return self.tags.get(tag, -0.3)
 
-    def away(self, around: tuple[str, ...], path: tuple[int, ...], held: Counter, total: int) -> bool:
-        """Whether one of the open containers holds no content, by its tag, by a name that labelled pages
-        show to, or by a fixed name; names say nothing of a WHOLE element, fixed ones nothing of a container
-        with most of the page's words."""
-        nth, tag = -1, ""
-        for n in around:
-            if n[0] != ".":
-                nth, tag = nth + 1, n
-                if n in self.apart:
-                    return True
-            elif tag not in WHOLE and (n in self.apart or n in self.fixed and 2 * held[path[nth]] <= total):
-                return True
-        return False
+    def apart(self, name: str) -> bool:
+        inside, outside = self.seen.get(name, (0, 0))
+        outside += PRIOR if against(name) else 0
+        return outside >= max(LEAST, PROOF * (inside + 1))
+
+    def content(self, tag: str, name: tuple[str, ...]) -> bool:
+        if tag in ("article", "main"):
+            return True
+        return any((s := self.seen.get(n)) and s[0] >= max(LEAST, PROOF * (s[1] + 1)) for n in name)
+
+    def away(self, read: Page, held: list[int]) -> list[bool]:
+        """Whether a container holds no content, by its tag or its names or those of one around it.
+
+        Names say nothing of a WHOLE element, nor of a container around most of the page's words and the
+        page's article or, where none is marked, its heading.
+        """
+        best = max((v for v, t in enumerate(read.tag) if t in ("article", "main")), key=lambda v: (held[v], -v), default=0)
+        best = best or next((v for v, t in enumerate(read.tag) if t == "h1"), 0)
+        around = set()
+        while best:
+            around.add(best)
+            best = read.parent[best]
+        says = [t in APART for t in read.tag]
+        for v, (t, name) in enumerate(zip(read.tag, read.names, strict=True)):
+            if name and not says[v] and t not in WHOLE and not (v in around and 2 * held[v] > held[0]):
+                says[v] = any(map(self.apart, name))
+        return read.within(says)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -175,36 +236,47 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weights: Weights) -> str:
     """Blocks joined by line ends; empty for a page without content."""
-    tokens = list(runs(page or ""))
-    sizes = [0 if tag else len(text.split()) for tag, text, _, _ in tokens]
-    held: Counter = Counter()
-    for (_, _, _, path), n in zip(tokens, sizes, strict=True):
-        for k in path if n else ():
-            held[k] += n
-    out, total = [], sum(sizes)
-    for k, (_, _, around, path) in enumerate(tokens):
-        same = k and path is tokens[k - 1][3]
-        out.append(out[-1] if same else weights.away(around, path, held, total))
-    scores = [weights.tag(tag) if tag else -float(n) if away else float(n) for (tag, _, _, _), n, away in zip(tokens, sizes, out, strict=True)]
-    lo, hi = best_region(scores)
-    inside = [path for (tag, _, _, path), n, away in zip(tokens[lo:hi], sizes[lo:hi], out[lo:hi], strict=True) if n and not away]
-    if inside:  # the region ends where the innermost container of its words does
-        common = {*inside[0]}.intersection(*inside) - {0}
-        if common:
-            whole = max(common)
-            held = [i for i, t in enumerate(tokens) if whole in t[3]]
-            lo, hi = min(lo, held[0]), max(hi, held[-1] + 1)
+    read = Page(page or "")
+    tokens = read.tokens
+    sizes = [0 if tag else len(text.split()) for tag, text, _ in tokens]
+    own = [0] * len(read.parent)
+    for (_, _, v), n in zip(tokens, sizes, strict=True):
+        own[v] += n
+    away = weights.away(read, read.sums(own))
+    lo, hi = best_region([weights.score(tag) if tag else -float(n) if away[v] else float(n) for (tag, _, v), n in zip(tokens, sizes, strict=True)])
+    inside = [k for k in range(lo, hi) if sizes[k] and not away[tokens[k][2]]]
+    if not inside:
+        return ""
+    # containers around the first word, and of those around the last the innermost that is one of them
+    chain, v = set(), tokens[inside[0]][2]
+    while v:
+        chain.add(v)
+        v = read.parent[v]
+    whole = tokens[inside[-1]][2]
+    while whole and whole not in chain:
+        whole = read.parent[whole]
+    v = whole
+    while v:
+        if weights.content(read.tag[v], read.names[v]):
+            whole = v
+            if read.tag[v] == "article":
+                break
+        v = read.parent[v]
+    if whole and read.tag[whole] not in ("html", "body"):
+        member = read.within([v == whole for v in range(len(own))])
+        held = [k for k, t in enumerate(tokens) if member[t[2]]]
+        lo, hi = min(lo, held[0]), max(hi, held[-1] + 1)
     blocks, now = [], []
-    for (tag, text, _, _), away in zip(tokens[lo:hi], out[lo:hi], strict=True):
+    for tag, text, v in tokens[lo:hi]:
         if tag.lstrip("/") in BLOCK:
             blocks.append("".join(now))
             now = []
-        elif tag in ("br", "wbr"):
+        elif tag:
             now.append(" " if tag == "br" else "")
-        elif not away:
-            now.append(text)
+        elif not away[v]:
+            now.append(html.unescape(text))
     blocks.append("".join(now))
-    return "\n".join(b for b in (" ".join(html.unescape(b).split()) for b in blocks) if b)
+    return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
 def fit(pages: DataFrame, row_id: str = "page_id", page: str = "html", sample: int = SAMPLE) -> Weights:
@@ -221,7 +293,7 @@ def fit(pages: DataFrame, row_id: str = "page_id", page: str = "html", sample: i
     chosen = pages.select(F.col(row_id).alias("_id")).filter("_id is not null").orderBy(seeded(SEED, "_id"), "_id").limit(sample).distinct()
     some = pages.select(F.col(row_id).alias("_id"), F.col(page).alias("_page")).join(F.broadcast(chosen), "_id", "left_semi")  # sample ids at most
     counts = some.select("_page").mapInArrow(each, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "kind", "inside").collect()
+    rows = counts.collect()  # tags and names of sample pages
     return Weights({(r["kind"], r["inside"]): r["n"] for r in rows})
 
 
