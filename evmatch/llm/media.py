@@ -17,8 +17,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ WIDTH, HEIGHT, FPS = 16, 12, 25
 UNIT = WIDTH * HEIGHT
 BLOCK = 2048  # frames at a time
 BINS, SPREADS, LEAST, WARM = 16, 3.0, 0.15, 2
+MOST = 768 << 20  # bytes of a payload; stored they take at most 2 GiB
 
 # ---------------------------------------------------------------- lossless JPEG
 
@@ -91,6 +93,29 @@ def _restore(d: np.ndarray) -> np.ndarray:
     return (np.cumsum(d, axis=2) & 0xFFFF).astype(np.uint8)
 
 
+class Damaged(ValueError):
+    """What cannot be read as the file or frame that it says it is."""
+
+
+def _readable(read: Callable) -> Callable:
+    """Whatever goes wrong in reading bytes that anybody may have written is one kind of error."""
+
+    @wraps(read)
+    def careful(data: bytes):
+        try:
+            return read(data)
+        except (ValueError, LookupError, struct.error, StopIteration, TypeError, OverflowError, ZeroDivisionError) as e:
+            raise Damaged(str(e)) from e
+
+    return careful
+
+
+def _fits(width: int, height: int, data: bytes) -> None:
+    """A sample takes a bit at least, so that no header makes a reader fill more than the file can hold."""
+    if width * height > 8 * 32 * len(data):
+        raise ValueError("fewer bits than samples")
+
+
 @dataclass
 class Header:
     width: int
@@ -138,16 +163,20 @@ def parse_header(jpeg: bytes) -> Header:
             return Header(*size, predictor=body[3], shift=body[5] & 15, restart=restart, codes=tables[body[2] >> 4], start=at)
 
 
+@_readable
 def decode_frame(jpeg: bytes) -> np.ndarray:
     """Samples of any one-component lossless JPEG, difference by difference."""
     h = parse_header(jpeg)
     data = jpeg[h.start : jpeg.rindex(_TAIL)]
+    _fits(h.width, h.height, data)
     out = np.zeros((h.height, h.width), dtype=np.int32)
     first, left, bits, held, at, row0 = 1 << h.precision - h.shift - 1, h.restart, 0, 0, 0, 0
 
     def take(n: int) -> int:
         nonlocal bits, held, at
         while held < n:
+            if at > len(data) + 4:
+                raise ValueError("the data ends too soon")
             byte = data[at] if at < len(data) else 0
             at += 2 if byte == 0xFF else 1
             bits, held = (bits << 8 | byte) & (1 << 40) - 1, held + 8
@@ -181,12 +210,30 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
 
 # ---------------------------------------------------------------- baseline JPEG
 
-#: fixed values: the Huffman tables that motion-JPEG frames may leave out: how many codes of each
-#: length, and the symbols; those of long runs follow in order, from the given size on
-_LUMA_RUNS = {4: 3, 5: 3, 6: 3, 7: 3, 8: 3, 9: 2, 10: 2, 11: 2, 12: 2, 13: 2, 14: 1, 15: 1}
-_CHROMA_RUNS = {4: 3, 5: 3, 6: 3, 7: 3, 8: 2, 9: 2, 10: 2, 11: 2, 12: 2, 13: 2, 14: 2, 15: 2}
-_LUMA = "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a"
-_CHROMA = "0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a"
+#: fixed values: the Huffman tables that motion-JPEG frames may leave out: symbols in code order, of
+#: luminance and chrominance coefficients, and how many codes there are of each length
+_LUMA = [
+    0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71,
+    0x14, 0x32, 0x81, 0x91, 0xa1, 0x08, 0x23, 0x42, 0xb1, 0xc1, 0x15, 0x52, 0xd1, 0xf0, 0x24, 0x33, 0x62, 0x72,
+    0x82, 0x09, 0x0a, 0x16, 0x17, 0x18, 0x19, 0x1a, 0x25, 0x26, 0x27, 0x28, 0x29, 0x2a, 0x34, 0x35, 0x36, 0x37,
+    0x38, 0x39, 0x3a, 0x43, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4a, 0x53, 0x54, 0x55, 0x56, 0x57, 0x58, 0x59,
+    0x5a, 0x63, 0x64, 0x65, 0x66, 0x67, 0x68, 0x69, 0x6a, 0x73, 0x74, 0x75, 0x76, 0x77, 0x78, 0x79, 0x7a, 0x83,
+    0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8a, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9a, 0xa2, 0xa3,
+    0xa4, 0xa5, 0xa6, 0xa7, 0xa8, 0xa9, 0xaa, 0xb2, 0xb3, 0xb4, 0xb5, 0xb6, 0xb7, 0xb8, 0xb9, 0xba, 0xc2, 0xc3,
+    0xc4, 0xc5, 0xc6, 0xc7, 0xc8, 0xc9, 0xca, 0xd2, 0xd3, 0xd4, 0xd5, 0xd6, 0xd7, 0xd8, 0xd9, 0xda, 0xe1, 0xe2,
+    0xe3, 0xe4, 0xe5, 0xe6, 0xe7, 0xe8, 0xe9, 0xea, 0xf1, 0xf2, 0xf3, 0xf4, 0xf5, 0xf6, 0xf7, 0xf8, 0xf9, 0xfa,
+]
+_CHROMA = [
+    0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22,
+    0x32, 0x81, 0x08, 0x14, 0x42, 0x91, 0xa1, 0xb1, 0xc1, 0x09, 0x23, 0x33, 0x52, 0xf0, 0x15, 0x62, 0x72, 0xd1,
+    0x0a, 0x16, 0x24, 0x34, 0xe1, 0x25, 0xf1, 0x17, 0x18, 0x19, 0x1a, 0x26, 0x27, 0x28, 0x29, 0x2a, 0x35, 0x36,
+    0x37, 0x38, 0x39, 0x3a, 0x43, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4a, 0x53, 0x54, 0x55, 0x56, 0x57, 0x58,
+    0x59, 0x5a, 0x63, 0x64, 0x65, 0x66, 0x67, 0x68, 0x69, 0x6a, 0x73, 0x74, 0x75, 0x76, 0x77, 0x78, 0x79, 0x7a,
+    0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8a, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9a,
+    0xa2, 0xa3, 0xa4, 0xa5, 0xa6, 0xa7, 0xa8, 0xa9, 0xaa, 0xb2, 0xb3, 0xb4, 0xb5, 0xb6, 0xb7, 0xb8, 0xb9, 0xba,
+    0xc2, 0xc3, 0xc4, 0xc5, 0xc6, 0xc7, 0xc8, 0xc9, 0xca, 0xd2, 0xd3, 0xd4, 0xd5, 0xd6, 0xd7, 0xd8, 0xd9, 0xda,
+    0xe2, 0xe3, 0xe4, 0xe5, 0xe6, 0xe7, 0xe8, 0xe9, 0xea, 0xf2, 0xf3, 0xf4, 0xf5, 0xf6, 0xf7, 0xf8, 0xf9, 0xfa,
+]
 _COUNTS = {
     0x00: [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], 0x01: [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0],
     0x10: [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], 0x11: [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
@@ -207,16 +254,13 @@ def huffman(counts: list[int], symbols: list[int]) -> dict[tuple[int, int], int]
 
 def standard_tables() -> dict[int, dict[tuple[int, int], int]]:
     out = {which: huffman(_COUNTS[which], list(range(12))) for which in (0x00, 0x01)}
-    for which, head, runs in ((0x10, _LUMA, _LUMA_RUNS), (0x11, _CHROMA, _CHROMA_RUNS)):
-        symbols = list(bytes.fromhex(head))
-        rest = [r << 4 | k for r, low in runs.items() for k in range(low, 11) if r << 4 | k not in symbols]
-        out[which] = huffman(_COUNTS[which], symbols + rest)
-    return out
+    return out | {0x10: huffman(_COUNTS[0x10], _LUMA), 0x11: huffman(_COUNTS[0x11], _CHROMA)}
 
 
 _DCT = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
 
 
+@_readable
 def decode_baseline(jpeg: bytes) -> np.ndarray:
     """Luminance of a baseline or extended sequential JPEG of 8 bits in one interleaved scan."""
     at, quant, tables, restart, parts = 2, {}, standard_tables(), 0, None
@@ -248,11 +292,14 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
             uses = {body[k]: (body[k + 1] >> 4, body[k + 1] & 15) for k in range(1, 1 + 2 * body[0], 2)}
             break
     data = jpeg[at:]
+    _fits(width, height, data)
     place, bits, held = 0, 0, 0
 
     def take(n: int) -> int:
         nonlocal place, bits, held
         while held < n:
+            if place > len(data) + 4:
+                raise ValueError("the data ends too soon")
             byte = data[place] if place < len(data) else 0
             place += 2 if byte == 0xFF and data[place + 1 : place + 2] == b"\0" else 1
             bits, held = (bits << 8 | byte) & (1 << 40) - 1, held + 8
@@ -306,12 +353,16 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
     return np.clip(np.rint(out[:height, :width] + 128), 0, 255).astype(np.uint8)
 
 
+@_readable
 def decode_any(jpeg: bytes) -> np.ndarray:
-    """A frame by the process that its header names."""
+    """A frame by the process that its header names, as samples of 8 bits."""
     at = 2
     while at + 4 <= len(jpeg) and jpeg[at] == 0xFF and jpeg[at + 1] not in (0xC0, 0xC1, 0xC3):
         at += 2 + struct.unpack(">H", jpeg[at + 2 : at + 4])[0]
-    return decode_baseline(jpeg) if jpeg[at + 1 : at + 2] in (b"\xc0", b"\xc1") else decode_frame(jpeg)
+    if jpeg[at + 1 : at + 2] in (b"\xc0", b"\xc1"):
+        return decode_baseline(jpeg)
+    found = decode_frame(jpeg)
+    return found if found.dtype == np.uint8 else (found >> max(0, parse_header(jpeg).precision - 8) & 255).astype(np.uint8)
 
 
 def decode_frames(jpegs: list[bytes]) -> list[np.ndarray]:
@@ -365,8 +416,12 @@ class Avi:
     frames: list[bytes]
 
 
+@_readable
 def read_avi(data: bytes) -> Avi:
-    """Of the first video stream; a ValueError if it is no AVI file."""
+    """Of the first video stream; Damaged if it is no AVI file.
+
+    Frames are taken by the index where its entries lie in the file and do not overlap, else by walking ``movi``.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     size, us, movi, index = (0, 0), 1_000_000 // FPS, None, None
@@ -383,9 +438,12 @@ def read_avi(data: bytes) -> Avi:
         raise ValueError("no movi list")
     video = int.from_bytes(b"00dc", "little")
     if index is not None:
-        rows = index[index[:, 0] == video]
+        rows = index[index[:, 0] == video].astype(np.int64)
         base = movi[0] if not len(rows) or data[movi[0] + int(rows[0, 2]) : movi[0] + int(rows[0, 2]) + 4] == b"00dc" else 0  # offsets from movi or from the file
-        return Avi(*size, us, [data[base + o + 8 : base + o + 8 + n] for o, n in rows[:, 2:].tolist()])
+        spans = rows[np.argsort(rows[:, 2], kind="stable"), 2:]
+        ends = base + spans[:, 0] + 8 + spans[:, 1]
+        if not len(rows) or (ends[-1] <= len(data) and (ends[:-1] <= base + spans[1:, 0]).all()):
+            return Avi(*size, us, [data[base + o + 8 : base + o + 8 + n] for o, n in rows[:, 2:].tolist()])
     return Avi(*size, us, [data[a:b] for name, a, b in _chunks(data, movi[0] + 4, movi[1]) if name == b"00dc"])
 
 
@@ -414,11 +472,20 @@ def cuts(frames: np.ndarray) -> list[int]:
 
 def _samples(avi: Avi) -> np.ndarray:
     frames = decode_frames(avi.frames)
+    if len({f.shape for f in frames}) > 1:
+        raise Damaged("frames of different sizes")
+    if frames and not frames[0].size:
+        raise Damaged("frames without samples")
     return np.stack(frames) if frames else np.zeros((0, max(1, avi.height), max(1, avi.width)), dtype=np.uint8)
 
 
 def store(payload: bytes) -> bytes:
-    """An AVI file whose samples, in order, are the payload; a multiple of UNIT bytes."""
+    """An AVI file whose samples, in order, are the payload; a multiple of UNIT bytes.
+
+    A file holds 2 GiB, as does a cell of a table: a payload beyond MOST bytes is a ValueError.
+    """
+    if len(payload) > MOST:
+        raise ValueError(f"a payload of {len(payload)} bytes; a file takes {MOST}")
     return write_avi(encode_frames(np.frombuffer(payload, dtype=np.uint8).reshape(-1, HEIGHT, WIDTH)))
 
 
@@ -451,7 +518,8 @@ def with_media(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def clips(df: DataFrame, row_id: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row per shot: row_id, clip, start_s, end_s, frames.  A null or unreadable file has no clips."""
+    """One row per shot: row_id, clip, start_s, end_s, frames.  A null or damaged file, or one with a frame
+    that is damaged or of another size, has no clips; no bytes make the job fail."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -460,7 +528,7 @@ def clips(df: DataFrame, row_id: str = "doc_id", media: str = "media") -> DataFr
                 try:
                     avi = read_avi(m.as_py() or b"")
                     frames = _samples(avi)
-                except ValueError:
+                except Damaged:
                     continue
                 starts = cuts(frames)
                 rows += [(i.as_py(), k, a * avi.frame_us / 1e6, b * avi.frame_us / 1e6, b - a) for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(frames)], strict=True))]

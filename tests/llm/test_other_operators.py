@@ -226,3 +226,34 @@ def test_tree_bounds_hold():
 def test_big_integers_do_not_overflow(spark):
     df = spark.createDataFrame([(0, [3e15, 1.0]), (1, [3e15, 2.0]), (2, [-3e15, 1.0])], "vec_id long, embedding array<double>")
     assert json.dumps([r["vec_id"] for r in kdtree.top_k(df.withColumn("embedding", F.transform("embedding", lambda x: x / 2e9)), F.col("vec_id") == 0).orderBy("rank").collect()]) == "[1, 2]"
+
+
+def test_damaged_files_never_fail(spark):
+    """Every truncation of a file, and 10,000 of flipped bytes, both kinds of frames."""
+    rng = np.random.default_rng(12)
+    lossless = media.store(rng.integers(0, 256, 192 * 4, dtype=np.uint8).tobytes())
+    jpegs = media.write_avi([baseline(rng.integers(0, 256, (8, 16)), 9)] * 2, 16, 8)
+    files = [f[:k] for f in (lossless, jpegs) for k in range(len(f))]
+    for n in range(10_000):
+        data = bytearray(lossless if n % 2 else jpegs)
+        for at in rng.integers(0, len(data), rng.integers(1, 4)):
+            data[at] = rng.integers(0, 256)
+        files.append(bytes(data))
+    whole = 0
+    for f in files:
+        try:
+            whole += len(media._samples(media.read_avi(f))) > 0
+        except media.Damaged:
+            pass
+    assert whole > 1000
+    some = spark.createDataFrame([(n, f) for n, f in enumerate([lossless, *files[:: len(files) // 300]])], "doc_id long, media binary")
+    assert 0 in {r["doc_id"] for r in media.clips(some).collect()}
+
+
+def test_an_index_that_names_a_frame_again_and_again():
+    file = media.store(bytes(192) * 2)
+    at = file.rindex(b"idx1")
+    entry = file[at + 8 : at + 24]
+    again = file[:at] + media._chunk(b"idx1", entry * 5000)
+    again = again[:4] + (len(again) - 8).to_bytes(4, "little") + again[8:]
+    assert len(media.read_avi(again).frames) == 2
