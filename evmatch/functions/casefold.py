@@ -1,19 +1,31 @@
-"""One case partner per character, as in the common foldings of Unicode's case-folding table."""
+"""One case partner per character, from the common foldings of Unicode's case-folding table."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+#: fixed values: common foldings that Unicode 16 added, which Python's own tables may lack: (first, last, folded first)
+ADDED = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70))
+LAST = 0x1E943  # no character beyond has case
+
+
+@lru_cache(maxsize=1)
+def _partners() -> dict[str, str]:
+    folds = {chr(k): f for k in range(LAST + 1) if len(f := chr(k).casefold()) == 1 and f != chr(k)}
+    folds |= {chr(first + k): chr(to + k) for first, last, to in ADDED for k in range(last - first + 1)}
+    back: dict[str, str] = {}
+    for c in sorted(folds):
+        back.setdefault(folds[c], c)
+    return back | folds
+
 
 def partner(c: str) -> str | None:
     """The single character that folds together with c, or None.
 
-    A character that folds to another has that one; a folded one has its upper case if that folds
-    back.  Foldings to several characters do not count.
+    A character that folds to another has that one; one that others fold to has the first of them.
+    Foldings to several characters do not count.
     """
-    folded = c.casefold()
-    if folded != c:
-        return folded if len(folded) == 1 else None
-    upper = c.upper()
-    return upper if len(upper) == 1 and upper != c and upper.casefold() == c else None
+    return _partners().get(c)
 
 
 def plain_ascii(text: str) -> bool:

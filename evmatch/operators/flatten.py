@@ -12,7 +12,8 @@ Only used paths are read, so column and nested-field pruning reach the scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 from typing import Protocol
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evmatch.errors import InvalidJson
+from evmatch.operators.local import Leaf, Reader
 from evmatch.plans.pattern import Path
 
 LEAF = "struct<v:string,d:double,trail:array<struct<arr:string,pos:int>>>"
@@ -37,6 +39,10 @@ def _leaf(v: Column, d: Column, trail: list[Column]) -> Column:
     return F.struct(v.alias("v"), d.alias("d"), F.coalesce(steps, F.array().cast("array<struct<arr:string,pos:int>>")).alias("trail")).cast(LEAF)
 
 
+def _offsets(sizes: Iterable[int]) -> list[int]:
+    return [0, *accumulate(sizes)]
+
+
 def _none() -> Column:
     return F.array().cast(LEAVES)
 
@@ -71,6 +77,33 @@ class TypedFlattener:
         v = text_of(c, kind)
         return (F.coalesce(v, F.lit("null")) if self.nulls else v), c.cast("double") if isinstance(kind, T.NumericType) else None
 
+    def element(self, df: DataFrame, path: Path) -> tuple[Path, Column, Callable[[Column], tuple[Column, Column | None]]] | None:
+        """(array's path, array, (v, d) of an element) of a path that crosses one array and no map."""
+        kind, c, at, inner = df.schema, None, None, []
+        for n, key in enumerate((*path, None)):
+            if isinstance(kind, T.ArrayType):
+                if at is not None:
+                    return None
+                at, kind = n, kind.elementType
+            if key is None:
+                break
+            if not isinstance(kind, T.StructType) or key not in kind.names:
+                return None
+            kind = kind[key].dataType
+            if at is not None:
+                inner.append(key)
+            else:
+                c = F.col(f"`{key.replace('`', '``')}`") if c is None else c.getField(key)
+        if at is None or self.nulls or isinstance(kind, (T.StructType, T.ArrayType, T.MapType, T.VariantType, T.NullType)):
+            return None
+
+        def of(x: Column) -> tuple[Column, Column | None]:
+            for key in inner:
+                x = x.getField(key)
+            return text_of(x, kind), x.cast("double") if isinstance(kind, T.NumericType) else None
+
+        return path[:at], c, of
+
     def __call__(self, df: DataFrame, paths: list[Path]) -> tuple[DataFrame, dict[Path, Column]]:
         return df, {p: self._at(df, p) for p in paths}
 
@@ -109,14 +142,19 @@ class TypedFlattener:
         return F.when(c.isNull(), _none()).otherwise(F.array(_leaf(v, d, trail)))
 
 
+LEVEL = "array<struct<v:variant,trail:array<struct<arr:string,pos:int>>,place:string>>"
+
+
 class VariantFlattener:
     """JSON text in one column.  Malformed text has no leaves and a note in ``_event_error``.
 
-    Arrays within arrays are followed to ``depth``.  Repeated keys make an event malformed.
+    A path without arrays is one lookup; arrays are unrolled only in events that have them, ``unrolled``
+    levels of arrays within arrays at once and any deeper ones by a loop.  Repeated keys make an event
+    malformed.
     """
 
-    def __init__(self, event: str = "event", depth: int = 3):
-        self.event, self.depth = event, depth
+    def __init__(self, event: str = "event", unrolled: int = 2):
+        self.event, self.unrolled = event, unrolled
 
     def __call__(self, df: DataFrame, paths: list[Path]) -> tuple[DataFrame, dict[Path, Column]]:
         parsed = F.try_parse_json(F.col(self.event))
@@ -125,26 +163,45 @@ class VariantFlattener:
         return df, {p: self._at(F.col("_event_variant"), p) for p in paths}
 
     def _at(self, v: Column, path: Path) -> Column:
+        plain = F.try_variant_get(v, "$" + "".join(map(self._step, path)), "variant")
+        kind = F.schema_of_variant(plain)
+        one = F.array(self._leaf(F.struct(plain.alias("v"), F.array().cast("array<struct<arr:string,pos:int>>").alias("trail"))))
+        # what is not there at once can still be in arrays on the way, if the event's first field is there
+        there = F.try_variant_get(v, "$" + self._step(path[0]), "variant").isNotNull()
+        deep = F.when(there, self._unrolled(v, path)).otherwise(_none())
+        return F.when(plain.isNotNull() & ~kind.startswith("ARRAY"), F.when(kind.startswith("OBJECT"), _none()).otherwise(one)).otherwise(deep)
+
+    def _unrolled(self, v: Column, path: Path) -> Column:
         steps = F.array().cast("array<struct<arr:string,pos:int>>")
-        level = F.array(F.struct(v.alias("v"), steps.alias("trail"), F.lit("").alias("place")))
+        level = F.array(F.struct(v.alias("v"), steps.alias("trail"), F.lit("").alias("place"))).cast(LEVEL)
+        is_array = lambda x: F.schema_of_variant(x["v"]).startswith("ARRAY")
+        unroll = lambda x: F.flatten(F.transform(x, self._elements)).cast(LEVEL)
+        # no more levels than brackets; the loop idles once nothing is left to unroll
+        many = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(self.event, F.lit(r"\["))))
         for key in path:
             level = F.filter(F.transform(level, self._field(key)), lambda x: x["v"].isNotNull())
-            for _ in range(self.depth):
-                level = F.flatten(F.transform(level, self._elements))
+            for _ in range(self.unrolled):
+                level = F.when(F.exists(level, is_array), unroll(level)).otherwise(level.cast(LEVEL))
+            more = F.aggregate(many, level.cast(LEVEL), lambda acc, _: F.when(F.exists(acc, is_array), unroll(acc)).otherwise(acc))
+            level = F.when(F.exists(level, is_array), more).otherwise(level)
         scalars = F.filter(level, lambda x: ~F.schema_of_variant(x["v"]).rlike("^(OBJECT|ARRAY)"))
+        return F.coalesce(F.transform(scalars, self._leaf), _none())
 
-        def leaf(x: Column) -> Column:
-            kind = F.schema_of_variant(x["v"])
-            number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
-            text = F.when(F.is_variant_null(x["v"]), F.lit("null")).otherwise(F.try_variant_get(x["v"], "$", "string"))
-            return F.struct(text.alias("v"), F.when(number, F.try_variant_get(x["v"], "$", "double")).alias("d"), x["trail"].alias("trail")).cast(LEAF)
-
-        return F.coalesce(F.transform(scalars, leaf), _none())
+    @staticmethod
+    def _leaf(x: Column) -> Column:
+        kind = F.schema_of_variant(x["v"])
+        number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
+        text = F.when(F.is_variant_null(x["v"]), F.lit("null")).otherwise(F.try_variant_get(x["v"], "$", "string"))
+        return F.struct(text.alias("v"), F.when(number, F.try_variant_get(x["v"], "$", "double")).alias("d"), x["trail"].alias("trail")).cast(LEAF)
 
     @staticmethod
-    def _field(key: str) -> Callable[[Column], Column]:
+    def _step(key: str) -> str:
         quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-        return lambda x: F.struct(F.try_variant_get(x["v"], f"$['{quoted}']", "variant").alias("v"), x["trail"].alias("trail"), F.concat(x["place"], F.lit(f".{key}")).alias("place"))
+        return f"['{quoted}']"
+
+    @classmethod
+    def _field(cls, key: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.try_variant_get(x["v"], f"${cls._step(key)}", "variant").alias("v"), x["trail"].alias("trail"), F.concat(x["place"], F.lit(f".{key}")).alias("place"))
 
     @staticmethod
     def _elements(x: Column) -> Column:
@@ -164,25 +221,29 @@ class ExactFlattener:
 
     def __call__(self, df: DataFrame, paths: list[Path]) -> tuple[DataFrame, dict[Path, Column]]:
         event, names = self.event, [f"_leaves_{n}" for n in range(len(paths))]
-        trail = pa.list_(pa.struct([("arr", pa.string()), ("pos", pa.int32())]))
-        kind = pa.list_(pa.struct([("v", pa.string()), ("d", pa.float64()), ("trail", trail)]))
+        def column(found: list[list[Leaf]]) -> pa.Array:
+            """Leaves of each event as one Arrow list column, its children made in one go."""
+            flat = [x for one in found for x in one]
+            steps = [s for x in flat for s in x.trail]
+            inner = pa.StructArray.from_arrays([pa.array([a for a, _ in steps], type=pa.string()), pa.array([i for _, i in steps], type=pa.int32())], ["arr", "pos"])
+            trails = pa.ListArray.from_arrays(pa.array(_offsets(len(x.trail) for x in flat), type=pa.int32()), inner)
+            leaf = pa.StructArray.from_arrays([pa.array([x.v for x in flat], type=pa.string()), pa.array([x.d for x in flat], type=pa.float64()), trails], ["v", "d", "trail"])
+            return pa.ListArray.from_arrays(pa.array(_offsets(map(len, found)), type=pa.int32()), leaf)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from evmatch.operators.local import leaves
-
+            reader = Reader(paths)
             for batch in batches:
-                cols: list[list] = [[] for _ in paths]
+                cols: list[list[list[Leaf]]] = [[] for _ in paths]
                 errors: list[str | None] = []
-                for e in batch.column(event):
-                    found, error = {}, None
+                for e in batch.column(event).to_pylist():
                     try:
-                        found = leaves(e.as_py() if e.is_valid else "", paths)
+                        found, error = reader(e or ""), None
                     except InvalidJson as x:
-                        error = str(x)
+                        found, error = [()] * len(paths), str(x)
                     errors.append(error)
-                    for p, out in zip(paths, cols, strict=True):
-                        out.append([{"v": x.v, "d": x.d, "trail": [{"arr": a, "pos": i} for a, i in x.trail]} for x in found.get(p, [])])
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, type=kind) for c in cols), pa.array(errors, type=pa.string())], [*batch.schema.names, *names, ERROR])
+                    for out, some in zip(cols, found, strict=True):
+                        out.append(some)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(column, cols), pa.array(errors, type=pa.string())], [*batch.schema.names, *names, ERROR])
 
         schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(LEAVES)) for n in names), T.StructField(ERROR, T.StringType())])
         return df.mapInArrow(each, schema), {p: F.col(n) for p, n in zip(paths, names, strict=True)}

@@ -5,9 +5,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass
 from functools import lru_cache
-from typing import Any
+from typing import Any, NamedTuple
 
 from evmatch.errors import InvalidJson
 from evmatch.functions import wildcard
@@ -18,8 +17,7 @@ from evmatch.plans.pattern import Matcher, Path, Pattern
 Trail = tuple[tuple[str, int], ...]
 
 
-@dataclass(frozen=True)
-class Leaf:
+class Leaf(NamedTuple):
     """A value with the array positions it was found at."""
 
     v: str
@@ -56,36 +54,53 @@ def read(event: str | bytes) -> _Pairs:
     return found
 
 
-def leaves(event: str | bytes, paths: Iterable[Path]) -> dict[Path, list[Leaf]]:
-    """The leaves at the given paths.  An array's elements are at the array's own path; an empty array
-    and an object are no leaves; each occurrence of a repeated key counts."""
-    tree: dict = {}
-    for p in paths:
-        node = tree
-        for key in p:
-            node = node.setdefault(key, {})
-        node[None] = p
-    found: dict[Path, list[Leaf]] = {p: [] for p in paths}
-
-    def put(value: Any, node: dict, trail: Trail, place: str) -> None:
+class Reader:
+    """Reads the leaves at given paths, a list for each path, in order.
+
+    An array's elements are at the array's own path; an empty array and an object are no leaves; each
+    occurrence of a repeated key counts.
+    """
+
+    def __init__(self, paths: Iterable[Path]):
+        self.tree: dict = {}
+        self.many = 0
+        for p in paths:
+            node = self.tree
+            for key in p:
+                node = node.setdefault(key, {})
+            node[None] = self.many
+            self.many += 1
+
+    def __call__(self, event: str | bytes) -> list[list[Leaf]]:
+        found: list[list[Leaf]] = [[] for _ in range(self.many)]
+        self._object(read(event), self.tree, (), "", found)
+        return found
+
+    def _object(self, pairs: _Pairs, node: dict, trail: Trail, place: str, found: list[list[Leaf]]) -> None:
+        for n, (key, value) in enumerate(pairs):
+            if key in node:
+                self._put(value, node[key], trail, f"{place}/{n}", found)
+
+    def _put(self, value: Any, node: dict, trail: Trail, place: str, found: list[list[Leaf]]) -> None:
         if isinstance(value, _Pairs):
-            for n, (key, inner) in enumerate(value):
-                if key in node:
-                    put(inner, node[key], trail, f"{place}/{n}")
+            self._object(value, node, trail, place, found)
         elif isinstance(value, list):
             for n, inner in enumerate(value):
-                put(inner, node, (*trail, (place, n)), f"{place}/{n}")
+                self._put(inner, node, (*trail, (place, n)), f"{place}/{n}", found)
         elif None in node:
             if isinstance(value, _Token):
                 leaf = Leaf(str(value), float(value), trail)
             elif isinstance(value, str):
-                leaf = Leaf(_LONE.sub("", value), None, trail)
+                leaf = Leaf(value if value.isascii() else _LONE.sub("", value), None, trail)
             else:
                 leaf = Leaf(json.dumps(value), None, trail)
             found[node[None]].append(leaf)
 
-    put(read(event), tree, (), "")
-    return found
+
+def leaves(event: str | bytes, paths: Iterable[Path]) -> dict[Path, list[Leaf]]:
+    """The leaves at the given paths, by path."""
+    paths = list(paths)
+    return dict(zip(paths, Reader(paths)(event), strict=True))
 
 
 @lru_cache(4096)

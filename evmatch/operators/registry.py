@@ -11,14 +11,14 @@ from collections.abc import Hashable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evmatch.errors import PatternError, UnsupportedMediaType
 from evmatch.operators import local
-from evmatch.operators.flatten import Flattener, TypedFlattener
+from evmatch.operators.flatten import ERROR, Flattener, TypedFlattener
 from evmatch.plans import columns
-from evmatch.plans.join import BROADCAST_TERMS, EVENT, satisfied
+from evmatch.plans.join import EVENT, looked_up, quoted, satisfied
 from evmatch.plans.pattern import Path, Pattern, parse
 
 JSON = "application/json"
@@ -111,7 +111,7 @@ class PatternSet:
 
     def add_pattern(self, id: Hashable, text: str | dict) -> PatternSet:
         """Adds to the id's patterns; what was deleted under it stays deleted."""
-        self._entries.append(_Entry(id, text, parse(text, self.strict_lookaround)))
+        self._entries = [*self._entries, _Entry(id, text, parse(text, self.strict_lookaround))]  # a clone may share the list
         return self
 
     def delete_patterns(self, id: Hashable) -> None:
@@ -207,6 +207,7 @@ class PatternSet:
         typed = isinstance(self.flattener, TypedFlattener)
         scalar = columns.typed_scalars(df, self.flattener) if typed else lambda path: None
         arrays = (lambda path: columns.has_array(df, path)) if typed else (lambda path: True)
+        element = (lambda path: self.flattener.element(df, path)) if typed else lambda path: None
         deep = [p for p in paths if scalar(p) is None]
         df, leaves = self.flattener(df, deep) if deep else (df, {})
         if leaves and not typed:
@@ -215,39 +216,77 @@ class PatternSet:
             leaves = {p: F.col(names[p]) for p in deep}
         found: dict[Hashable, Column] = {}
         for e in live:
-            one = columns.pattern_column(e.pattern, scalar, leaves, arrays)
+            one = columns.pattern_column(e.pattern, scalar, leaves, arrays, element)
             found[e.id] = found[e.id] | one if e.id in found else one
         return df, found
 
-    def match(self, df: DataFrame, into: str = "matches", key: list[str] | None = None) -> DataFrame:
-        """``df`` with an array of the ids (as strings) that each row matches, sorted.
+    def _looked_up(self, df: DataFrame, live: list[_Entry], into: str) -> DataFrame | None:
+        """The plan without a shuffle, if typed fields allow it."""
+        if not isinstance(self.flattener, TypedFlattener) or any(columns.has_array(df, p) for p in self._paths(live)):
+            return None
+        nothing = (F.lit(None).cast("string"), None)
+        return looked_up(df, [e.pattern for e in live], [str(e.id) for e in live], lambda p: self.flattener.scalar(df, p) or nothing, into)
 
-        Beyond FEW patterns the join plan is used, which needs the columns that identify a row.
+    def _joined(self, df: DataFrame, key: list[str], live: list[_Entry], outer: bool = False) -> DataFrame:
+        paths = self._paths(live)
+        flat, leaves = self.flattener(df, paths)
+        single = isinstance(self.flattener, TypedFlattener) and not any(columns.has_array(df, p) for p in paths)
+        kept = [*key, *[c for c in flat.columns if c == ERROR and outer and c not in key]]
+        return satisfied(flat, kept, [e.pattern for e in live], [str(e.id) for e in live], paths, leaves, single, outer)
+
+    def match(self, df: DataFrame, into: str = "matches", observe: Observation | None = None) -> DataFrame:
+        """``df`` with an array of the ids (as strings) that each row matches, sorted; a column of that name is replaced.
+
+        The same rows come out of all plans, whatever columns they have: beyond FEW patterns values are
+        looked up in the row or, with arrays, a row travels with its number through the join plan.  With
+        ``observe`` results are counted for the statistics, which ``absorb`` adds once the rows are written.
         """
-        kept = df.columns
-        if len(self._live()) <= FEW or not key:
-            flat, found = self._compiled(df)
-            ids = F.array_compact(F.array(*(F.when(c, F.lit(str(i))) for i, c in found.items()))) if found else F.array().cast("array<string>")
-            return flat.withColumn(into, F.array_sort(ids)).select(*kept, *[c for c in flat.columns if c == "_event_error"], into)
-        got = self.match_long(df, key).groupBy(*key).agg(F.array_sort(F.collect_set("pattern_id")).alias(into))
-        return df.join(got, key, "left").withColumn(into, F.coalesce(into, F.array().cast("array<string>"))).select(*kept, into)
+        if observe:
+            return self._observed(df, into, observe)
+        kept = [c for c in df.columns if c != into]
+        live = [e for e in self._live() if e.pattern.fields]
+        if len(live) > FEW:
+            if (out := self._looked_up(df, live, into)) is not None:
+                return out
+            return self._joined(df, kept, live, outer=True).select("_key.*", F.array_sort("_ids").alias(into))
+        flat, found = self._compiled(df)
+        ids = F.array_compact(F.array(*(F.when(c, F.lit(str(i))) for i, c in found.items()))) if found else F.array().cast("array<string>")
+        return flat.withColumn(into, F.array_sort(ids)).select(*map(quoted, kept), *[c for c in flat.columns if c == ERROR and c not in kept], into)
+
+    def _observed(self, df: DataFrame, into: str, observe: Observation) -> DataFrame:
+        live, held = {e.id for e in self._live()}, "_held_back"
+        dead = PatternSet(self.flattener)
+        dead._entries = [_Entry(e.id, e.text, e.pattern) for e in self._entries if e.deleted and e.id not in live]
+        both = self.match(dead.match(df, held).select(*map(quoted, df.columns), held), into)
+        return both.observe(observe, F.sum(F.size(into)).alias("emitted"), F.sum(F.size(held)).alias("filtered")).drop(held)
+
+    def absorb(self, observe: Observation) -> int:
+        """Adds what a finished ``match`` counted to the statistics; how many patterns a rebuild dropped then."""
+        self._emitted += observe.get["emitted"] or 0
+        self._filtered += observe.get["filtered"] or 0
+        return self.maybe_rebuild()
 
     def match_long(self, df: DataFrame, key: list[str], plan: str | None = None) -> DataFrame:
-        """(*key, pattern_id), each pattern once a row.  ``plan``: "columns" or "join"; by the number of patterns if not said."""
+        """(*key, pattern_id), each pattern once a row.
+
+        ``plan``: "columns", "lookup" or "join"; by the number of patterns and their fields if not said.
+        """
         live = [e for e in self._live() if e.pattern.fields]
-        plan = plan or ("columns" if len(live) <= FEW else "join")
+        event = getattr(self.flattener, "event", None)
+        df = df.select(*map(quoted, dict.fromkeys([*key, event]))) if event else df
+        plan = plan or ("columns" if len(live) <= FEW else "lookup")
         if plan == "columns" or not live:
             flat, found = self._compiled(df)
             ids = F.array_compact(F.array(*(F.when(c, F.lit(str(i))) for i, c in found.items()))) if found else F.array().cast("array<string>")
             if 0 < len(found) <= PUSHED:
                 flat = flat.filter(_or(found.values()))
-            return flat.select(*key, F.explode(ids).alias("pattern_id"))
-        paths = self._paths(live)
-        flat, leaves = self.flattener(df, paths)
-        numbers = satisfied(flat, key, [e.pattern for e in live], paths, leaves)
-        names = df.sparkSession.createDataFrame([(n, str(e.id)) for n, e in enumerate(live)], "pattern int, pattern_id string")
-        out = numbers.join(F.broadcast(names) if len(live) <= BROADCAST_TERMS else names, "pattern").select(*key, EVENT, "pattern_id")
-        return (out.distinct() if len({e.id for e in live}) < len(live) else out).select(*key, "pattern_id")
+            return flat.select(*map(quoted, key), F.explode(ids).alias("pattern_id"))
+        if plan == "lookup" and (out := self._looked_up(df, live, "_ids")) is not None:
+            return out.select(*map(quoted, key), F.explode("_ids").alias("pattern_id"))
+        out = self._joined(df, key, live)
+        if len({e.id for e in live}) < len(live):
+            out = out.groupBy(EVENT, "_id").agg(F.first("_key").alias("_key"))
+        return out.select("_key.*", F.col("_id").alias("pattern_id"))
 
     def matching(self, df: DataFrame) -> DataFrame:
         """The rows that match any pattern.  Comparisons of plain columns reach the scan."""

@@ -37,16 +37,40 @@ def _joined(trails: Column) -> Callable[[Column], Column]:
     return lambda a: F.transform(F.filter(trails, lambda x: agree(a, x)), lambda x: F.array_union(a, x))
 
 
-def pattern_column(pattern: Pattern, scalar: Callable[[Path], tuple[Column, Column | None] | None], leaves: dict[Path, Column], arrays: Callable[[Path], bool]) -> Column:
-    """Whether a row matches; null counts as no.  Cheap fields come first."""
+def _element_holds(fields: list[tuple[Callable, tuple[Matcher, ...]]]) -> Callable[[Column], Column]:
+    def holds(x: Column) -> Column:
+        whole: Column | None = None
+        for of, matchers in fields:
+            v, d = of(x)
+            one = v.isNotNull() & any_of(matchers, v, d)
+            whole = one if whole is None else whole & one
+        return F.coalesce(whole, F.lit(False))
+
+    return holds
+
+
+def pattern_column(
+    pattern: Pattern, scalar: Callable[[Path], tuple[Column, Column | None] | None], leaves: dict[Path, Column], arrays: Callable[[Path], bool], element: Callable = lambda path: None
+) -> Column:
+    """Whether a row matches; null counts as no.  Cheap fields come first.
+
+    Fields that cross one array each, and never ask for absence, need one element of each array that holds
+    for all fields in it; trails are folded only where arrays are within arrays.
+    """
     if not pattern.fields:
         return F.lit(False)
     fields = sorted(pattern.fields, key=lambda f: cost(f[1]))
     conjuncts: list[Column] = []
     nested = [f for f in fields if scalar(f[0]) is None]
-    for path, matchers in fields:
-        if (flat := scalar(path)) is not None:
-            conjuncts.append(_scalar(matchers, *flat))
+    within = [(f, None if any(m.op == "missing" for m in f[1]) else element(f[0])) for f in nested if arrays(f[0])]
+    if within and all(e for _, e in within):
+        by_array: dict[Path, tuple[Column, list]] = {}
+        for (_, matchers), (at, array, of) in within:
+            by_array.setdefault(at, (array, []))[1].append((of, matchers))
+        conjuncts += [F.coalesce(F.exists(array, _element_holds(some)), F.lit(False)) for array, some in by_array.values()]
+        done = [f for f, _ in within]
+        nested = [f for f in nested if f not in done]
+    conjuncts = [_scalar(matchers, *flat) for path, matchers in fields if (flat := scalar(path)) is not None] + conjuncts
     must = [f for f in nested if not any(m.op == "missing" for m in f[1])]
     free = [f for f in nested if f not in must]
     bound = [f for f in nested if arrays(f[0])]

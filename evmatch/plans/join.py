@@ -7,6 +7,9 @@ condition), so one hash join finds an event's conditions however many patterns t
 plan's size depends only on the matchers that are no equality.  A pattern is then looked up by the
 condition that fewest patterns share, and its others are looked for among the event's.  Only the
 narrow rows that met a condition are grouped by event, and only where a pattern has several fields.
+
+Where no field is in an array and patterns can be found by an equality, ``looked_up`` does the same
+inside the row, so that nothing is exploded or moved.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ CHUNK = 40
 EVENT = "_event_no"
 
 
+def quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def sized(table: DataFrame, rows: int) -> DataFrame:
     """Broadcast only up to BROADCAST_TERMS rows; beyond, the join is shuffled."""
     return F.broadcast(table) if rows <= BROADCAST_TERMS else table
@@ -38,7 +45,8 @@ def _double_key(x: Column) -> Column:
 class Terms:
     """The rows of the term table, what leaves must say to meet them, and the patterns' conditions."""
 
-    def __init__(self, patterns: list[Pattern], paths: list[Path]):
+    def __init__(self, patterns: list[Pattern], paths: list[Path], ids: list[str]):
+        self.ids = ids
         self.rows: list[tuple[int, str, float | None, int]] = []  # path, key, number, condition
         self.starts: dict[int, set[int]] = {}
         self.ends: dict[int, set[int]] = {}
@@ -52,6 +60,8 @@ class Terms:
                     conditions[path, matchers] = len(conditions)
                     self.rows += [(at[path], key, number, conditions[path, matchers]) for m in matchers for key, number in self._keys(at[path], m)]
         self.rows = list(dict.fromkeys(self.rows))
+        #: whether a leaf can meet a condition in one way only
+        self.once = len({c for *_, c in self.rows}) == len(self.rows)
         asked = [[conditions[f] for f in p.fields] for p in patterns]
         shared = Counter(c for cs in asked for c in cs)
         self.patterns = [(n, min(cs, key=lambda c: (shared[c], c)), cs) for n, cs in enumerate(asked)]
@@ -71,13 +81,13 @@ class Terms:
         return [(f"r{mine.setdefault(m, len(mine))}", None)]
 
     def table(self, like: DataFrame) -> DataFrame:
-        raw = like.sparkSession.createDataFrame(self.rows, "path int, key string, number double, condition int")
-        key = F.when(F.col("number").isNotNull(), _double_key(F.col("number"))).otherwise(F.col("key"))
-        return sized(raw.select("path", key.alias("key"), "condition"), len(self.rows))
+        raw = like.sparkSession.createDataFrame(self.rows, "_path int, _said string, number double, _condition int")
+        key = F.when(F.col("number").isNotNull(), _double_key(F.col("number"))).otherwise(F.col("_said"))
+        return sized(raw.select("_path", key.alias("_said"), "_condition"), len(self.rows))
 
     def pattern_table(self, like: DataFrame) -> DataFrame:
-        """(pattern, condition to look it up by, all its conditions)."""
-        raw = like.sparkSession.createDataFrame(self.patterns, "pattern int, condition int, conditions array<int>")
+        """(id of the pattern, condition to look it up by, all its conditions)."""
+        raw = like.sparkSession.createDataFrame([(self.ids[n], *rest) for n, *rest in self.patterns], "_id string, _condition int, _conditions array<int>")
         return sized(raw, sum(len(cs) for _, _, cs in self.patterns))
 
     def saying(self, path: int) -> Callable[[Column], Column]:
@@ -94,12 +104,14 @@ class Terms:
         return F.array_compact(parts[0] if len(parts) == 1 else F.concat(*parts))
 
 
-def satisfied(df: DataFrame, key: list[str], patterns: list[Pattern], paths: list[Path], leaves: dict[Path, Column]) -> DataFrame:
-    """(*key, EVENT, pattern): the numbers of the patterns that each event matches; once each.
+def satisfied(df: DataFrame, key: list[str], patterns: list[Pattern], ids: list[str], paths: list[Path], leaves: dict[Path, Column], single: bool = False, outer: bool = False) -> DataFrame:
+    """(_key, EVENT, _id): ids of the patterns that each event matches, with a struct ``_key`` of its columns ``key``.
 
-    EVENT numbers the rows, so that rows of one key stay apart.
+    EVENT numbers the rows, so that rows of one key stay apart.  ``single`` says that no path crosses an
+    array, so an event has one leaf at most at each.  With ``outer`` there is one row for each event, of an
+    array ``_ids`` that can be empty.
     """
-    terms = Terms(patterns, paths)
+    terms = Terms(patterns, paths, ids)
     parts = []
     no_trail = F.array().cast(STEPS)
     for n, p in enumerate(paths):
@@ -108,21 +120,94 @@ def satisfied(df: DataFrame, key: list[str], patterns: list[Pattern], paths: lis
             nothing = F.array(F.struct(F.lit(n).alias("path"), F.array(F.lit("m")).alias("keys"), no_trail.alias("trail")))
             told = F.when(F.size(leaves[p]) == 0, nothing).otherwise(told)
         parts.append(told)
-    key = [*key, EVENT]
-    each = df.withColumn(EVENT, F.monotonically_increasing_id()).select(*key, F.explode(F.concat(*parts)).alias("_leaf"))
-    said = each.select(*key, F.col("_leaf.path").alias("path"), F.col("_leaf.trail").alias("trail"), F.explode("_leaf.keys").alias("key"))
-    met = said.join(terms.table(df), ["path", "key"]).select(*key, "condition", "trail")
-    if all(len(cs) == 1 for _, _, cs in terms.patterns):
-        return met.select(*key, "condition").distinct().join(terms.pattern_table(df), "condition").select(*key, "pattern")
-    events = met.groupBy(EVENT, *key[:-1]).agg(F.collect_set(F.struct("condition", "trail")).alias("got"))
-    events = events.withColumn("has", F.array_distinct(F.transform("got", lambda g: g["condition"])))
-    found = events.select(*key, "got", "has", F.explode("has").alias("condition")).join(terms.pattern_table(df), "condition")
-    complete = F.size(F.array_except("conditions", "has")) == 0
+    explode, how = (F.explode_outer, "left") if outer else (F.explode, "inner")
+    carried = F.struct(*map(quoted, key)) if key else F.struct(F.lit(0).alias("_"))
+    rows = df.select(carried.alias("_key"), F.monotonically_increasing_id().alias(EVENT), F.concat(*parts).alias("_leaves"))
+    each = rows.select("_key", EVENT, explode("_leaves").alias("_leaf"))
+    said = each.select("_key", EVENT, F.col("_leaf.path").alias("_path"), F.col("_leaf.trail").alias("_trail"), explode("_leaf.keys").alias("_said"))
+    met = said.join(terms.table(df), ["_path", "_said"], how).select("_key", EVENT, "_condition", "_trail")
+    asked = terms.pattern_table(df)
+    if not outer and all(len(cs) == 1 for _, _, cs in terms.patterns):
+        met = met.select("_key", EVENT, "_condition")
+        if not (single and terms.once):
+            met = met.groupBy(EVENT, "_condition").agg(F.first("_key").alias("_key"))
+        return met.join(asked, "_condition").select("_key", EVENT, "_id")
+    # rows of an event lie together, so most meet before anything moves
+    got = F.collect_set(F.when(F.col("_condition").isNotNull(), F.struct("_condition", "_trail")))
+    events = met.groupBy(EVENT).agg(F.first("_key").alias("_key"), got.alias("_got"))
+    events = events.withColumn("_has", F.array_distinct(F.transform("_got", lambda g: g["_condition"])))
+    found = events.select("_key", EVENT, "_got", "_has", explode("_has").alias("_condition")).join(asked, "_condition", how)
+    complete = F.size(F.array_except("_conditions", "_has")) == 0
 
     def meet(acc: Column, c: Column) -> Column:
-        fitting = lambda a: F.filter(F.col("got"), lambda g: (g["condition"] == c) & agree(a, g["trail"]))
-        return F.array_distinct(F.flatten(F.transform(acc, lambda a: F.transform(fitting(a), lambda g: F.array_union(a, g["trail"])))))
+        fitting = lambda a: F.filter(F.col("_got"), lambda g: (g["_condition"] == c) & agree(a, g["_trail"]))
+        return F.array_distinct(F.flatten(F.transform(acc, lambda a: F.transform(fitting(a), lambda g: F.array_union(a, g["_trail"])))))
+
+    nested = F.exists("_got", lambda g: F.size(g["_trail"]) > 0)
+    together = F.when(nested & (F.size("_conditions") > 1), F.size(F.aggregate("_conditions", F.array(no_trail), meet)) > 0).otherwise(True)
+    if outer:
+        return found.groupBy(EVENT).agg(F.first("_key").alias("_key"), F.collect_set(F.when(complete & together, F.col("_id"))).alias("_ids"))
+    return found.filter(complete).filter(together).select("_key", EVENT, "_id")
+
 
-    nested = F.exists("got", lambda g: F.size(g["trail"]) > 0)
-    together = F.when(nested & (F.size("conditions") > 1), F.size(F.aggregate("conditions", F.array(no_trail), meet)) > 0).otherwise(True)
-    return found.filter(complete).filter(together).select(*key, "pattern")
+LOOKUPS, OTHERS = 12, 64
+CANDIDATES = "array<struct<id:string,conditions:array<int>>>"
+
+
+def looked_up(df: DataFrame, patterns: list[Pattern], ids: list[str], scalar: Callable[[Path], tuple[Column, Column | None]], into: str) -> DataFrame | None:
+    """``df`` with the ids of the patterns that each row matches, for fields without arrays: nothing moves.
+
+    A field's value is looked up in a broadcast table for each way to say it (as it is, as a number, its
+    beginning or ending of a length), which gives the conditions it meets and the patterns to be found by
+    them.  Other matchers are expressions.  None if there are too many ways or terms, or a pattern cannot be
+    found by a lookup.
+    """
+    tables: dict[tuple[Path, str], dict[str | float, tuple[set[int], list[int]]]] = {}
+    others: dict[tuple[Path, Matcher], set[int]] = {}
+    conditions: dict[tuple, int] = {}
+    keyed: dict[int, list[tuple[tuple[Path, str], str | float]]] = {}
+    for path, matchers in dict.fromkeys(f for p in patterns for f in p.fields):
+        c = conditions[path, matchers] = len(conditions)
+        d, at = scalar(path)[1], []
+        for m in matchers:
+            if m.op == "exact" or m.op == "number" and d is None:
+                at.append(((path, "s"), m.text))
+            elif m.op == "number":
+                at.append(((path, "n"), m.number + 0.0))
+            elif m.op in ("prefix", "suffix"):
+                at.append(((path, f"{m.op[0]}{len(m.text)}"), m.text))
+            else:
+                others.setdefault((path, m), set()).add(c)
+        if len(at) == len(matchers):
+            keyed[c] = at
+        for way, said in at:
+            tables.setdefault(way, {}).setdefault(said, (set(), []))[0].add(c)
+    if len(tables) > LOOKUPS or len(others) > OTHERS or sum(map(len, tables.values())) > BROADCAST_TERMS:
+        return None
+    asked = [[conditions[f] for f in p.fields] for p in patterns]
+    shared = Counter(c for cs in asked for c in cs)
+    for n, cs in enumerate(asked):
+        lead = min((c for c in cs if c in keyed), key=lambda c: (shared[c], c), default=None)
+        if lead is None:
+            return None
+        for way, said in dict.fromkeys(keyed[lead]):
+            tables[way][said][1].append(n)
+    out, got, kept = df, [], df.columns
+    mark = "_look" + "_" * max((len(c) for c in kept if c.lower().startswith("_look")), default=0)  # begins no other column
+    for k, ((path, way), rows) in enumerate(tables.items()):
+        v, d = scalar(path)
+        said = d + F.lit(0.0) if way == "n" else v if way == "s" else F.substring(v, 1, int(way[1:])) if way[0] == "p" else F.right(v, F.lit(int(way[1:])))
+        raw = [(x, sorted(cs), [(ids[n], asked[n]) for n in ns]) for x, (cs, ns) in rows.items()]
+        table = df.sparkSession.createDataFrame(raw, f"{mark}said{k} {'double' if way == 'n' else 'string'}, {mark}met{k} array<int>, {mark}by{k} {CANDIDATES}")
+        out = out.join(F.broadcast(table), said == F.col(f"{mark}said{k}"), "left")
+        got.append(k)
+    has = [F.coalesce(F.col(f"{mark}met{k}"), F.array().cast("array<int>")) for k in got]
+    for (path, m), cs in others.items():
+        v, d = scalar(path)
+        holds = v.isNull() if m.op == "missing" else v.isNotNull() & predicate(m, v, d)
+        has.append(F.when(F.coalesce(holds, F.lit(False)), F.array(*map(F.lit, sorted(cs)))).otherwise(F.array().cast("array<int>")))
+    candidates = F.concat(*(F.coalesce(F.col(f"{mark}by{k}"), F.array().cast(CANDIDATES)) for k in got))
+    fits = lambda p: F.forall(p["conditions"], lambda c: F.exists(f"{mark}has", lambda h: h == c))
+    out = out.withColumn(f"{mark}all", candidates).withColumn(f"{mark}has", F.concat(*has))
+    found = F.array_sort(F.array_distinct(F.transform(F.filter(f"{mark}all", fits), lambda p: p["id"])))
+    return out.withColumn(into, F.when(F.size(f"{mark}all") > 0, found).otherwise(F.array().cast("array<string>"))).select(*(quoted(c) for c in kept if c != into), into)

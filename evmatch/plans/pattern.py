@@ -7,6 +7,7 @@ gives a ``Pattern``: for every path its matchers.  Paths are tuples, so a dot in
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 from decimal import Decimal
 from typing import Any
@@ -55,7 +56,18 @@ def number_text(x: float) -> str:
 def _number(x: Any) -> float:
     if isinstance(x, bool) or not isinstance(x, (int, float)):
         raise InvalidPattern(f"{x!r} is not a number")
-    return float(x)
+    return _finite(x)
+
+
+def _finite(x: int | float) -> float:
+    """As a double; what is beyond doubles is no number of a pattern."""
+    try:
+        found = float(x)
+    except OverflowError:
+        found = math.inf
+    if not math.isfinite(found):
+        raise InvalidPattern("a number out of range")
+    return found
 
 
 def _string(op: str, x: Any) -> str:
@@ -90,7 +102,7 @@ def _anything_but(body: Any) -> Matcher:
         raise InvalidPattern("anything-but takes strings or numbers")
     if strings:
         return Matcher("anything-but", texts=tuple(dict.fromkeys(strings)))
-    return Matcher("anything-but-numeric", numbers=tuple(dict.fromkeys(map(float, numbers))))
+    return Matcher("anything-but-numeric", numbers=tuple(dict.fromkeys(map(_finite, numbers))))
 
 
 def _operator(body: dict, strict_lookaround: bool) -> Matcher:
@@ -122,7 +134,7 @@ def _matcher(x: Any, strict_lookaround: bool) -> Matcher:
     if isinstance(x, str):
         return Matcher("exact", text=x)
     if isinstance(x, (int, float)):
-        return Matcher("number", number=float(x), text=number_text(float(x)))
+        return Matcher("number", number=_finite(x), text=number_text(_finite(x)))
     if isinstance(x, dict):
         return _operator(x, strict_lookaround)
     raise InvalidPattern("a list inside a list of matchers")

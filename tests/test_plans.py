@@ -100,7 +100,7 @@ def test_rows_of_one_key_stay_apart_in_the_join(spark):
 def test_many_patterns_match_into_an_array(spark):
     patterns = PatternSet.of({f"k{n}": {"v": [n]} for n in range(300)})
     df = spark.range(400).withColumn("v", F.col("id"))
-    got = {r["id"]: r["matches"] for r in patterns.match(df, key=["id"]).collect()}
+    got = {r["id"]: r["matches"] for r in patterns.match(df).collect()}
     assert got == {n: [f"k{n}"] if n < 300 else [] for n in range(400)}
 
 
