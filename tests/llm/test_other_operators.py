@@ -207,20 +207,65 @@ def test_top_k(spark):
     for q in (i for i in fit if i % 10 == 0):
         scores = sorted((-int(fit[q] @ v), i) for i, v in fit.items() if i != q and len(v) == len(fit[q]))[:5]
         expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    found = kdtree.top_k(df, F.col("vec_id") % 10 == 0, k=5, shard_rows=64, query_rows=16)
+    found = kdtree.top_k(df, F.col("vec_id") % 10 == 0, k=5, shard_rows=32)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()) == sorted(expected)
     assert kdtree.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_tree_bounds_hold():
+def brute_top(rows, k, every=10):
+    """(query id, id, score) lists of each query row, among all other rows of its length."""
+    out = []
+    for n, (i, v) in enumerate(rows):
+        if i % every == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j, m) for m, (j, w) in enumerate(rows) if m != n and len(w) == len(v))[:k]
+            out.append((i, [(j, -s) for s, j, _ in found]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_rows", [16, 4096])
+def test_top_k_of_copies_and_repeated_ids(spark, shard_rows):
+    """A third of the rows are one vector, some ids come twice, and many scores tie."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [512, 512, -512] if i % 3 == 0 else rng.integers(-1, 2, 3).tolist()) for i in range(400)]
+    rows += [(i, [int(x) for x in rng.integers(-1, 2, 3)]) for i in (0, 0, 10, 11)] + [(401, [1, 2]), (410, [3, 1])]
+    df = spark.createDataFrame([(i, [x / 1024 for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(5)
+    lists = {}
+    for r in kdtree.top_k(df, F.col("vec_id") % 10 == 0, k=4, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+        lists.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    got = []
+    for i, found in lists.items():  # rows of one query id: their lists interleave by rank
+        many = sum(1 for j, _ in rows if j == i)
+        expected = sorted((n, *one) for q, best in brute_top(rows, 4) if q == i for n, one in enumerate(best, 1))
+        assert sorted(found) == expected and len(found) <= 4 * many
+        got.append(i)
+    assert set(got) == {i for i, _ in rows if i % 10 == 0}
+
+
+def test_trees():
     rng = np.random.default_rng(6)
-    v = rng.integers(-50, 50, (500, 4)).astype(float)
-    tree = kdtree.KDTree(np.arange(500), v, leaf=20)
-    q = rng.integers(-9, 9, (3, 4)).astype(float)
-    bound = tree.bounds(q)
-    for n, (lo, hi) in enumerate(tree.runs):
-        if not tree.kids[n]:
-            assert (tree.vectors[lo:hi] @ q.T <= bound[:, n] + 1e-9).all()
+    v = rng.integers(-50, 50, (2300, 4))
+    v[100:2100] = v[0]
+    tree = kdtree.KDTree(np.arange(2300), np.arange(2300), v, leaf=20, keep=6)
+    again = kdtree.KDTree.load(tree.dump())
+    q = rng.integers(-9, 9, (30, 4))
+    bounds = kdtree.bound(q, again.lo, again.hi)
+    for n, (lo, hi) in enumerate(again.runs):
+        assert (again.vectors[lo:hi] @ q.T <= bounds[:, n]).all()
+    assert len(again.ids) < 800  # of copies the smallest ids are enough
+    for x, best in zip(q, again.search(q, np.full(30, -1), [kdtree.NONE] * 30, 5), strict=True):
+        assert [(s, i) for s, i, _ in best] == [(-s, i) for s, i in sorted((-int(v[i] @ x), i) for i in range(2300))[:5]]
+        floor = best[2][:2]
+        assert list(again.search(x[None], np.array([-1]), [floor], 5))[0][:3] == best[:3]
+
+
+def test_cells_are_even_and_whole():
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(4000, 8)).round(2) * 100
+    v = v.astype(np.int64)
+    cells = kdtree.Cells(v[:1000], 4)
+    counts = np.bincount(cells.of(v), minlength=16)
+    assert len(counts) == 16 and counts.min() > 100 and counts.max() < 500
+    assert (kdtree.Cells(np.zeros((50, 3), dtype=np.int64), 3).of(v[:, :3]) >= 0).all()
 
 
 def test_big_integers_do_not_overflow(spark):
