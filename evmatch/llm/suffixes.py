@@ -9,13 +9,18 @@ few suffixes carry.  Each 50-byte window has an anchor: the leftmost of its 20-b
 least hash.  Equal windows have equal anchors at equal places, and neighbouring windows mostly share
 one, so there is one anchor to some 15 bytes.
 
-1. Anchors are grouped by a 48-bit digit of their hash; those in one document only are dropped.
-   A map task sends one entry per anchor, however many documents it met it in.
-2. The windows of a repeated anchor span a context, at most 80 bytes.  Contexts are grouped by
-   anchor; where a document has the very context of a smaller one, all its windows are repeated.
-   Here, too, a map task sends each context once.
-3. What differs is sorted window by window, eight bytes a pass, and a window in a smaller document
-   removes its bytes in the others.
+1. First digit: 48 bits of the anchor's hash; anchors in one document only are dropped.  A map task
+   sends one entry per anchor, however many documents it met it in.
+2. The windows of a repeated anchor span a context, at most 80 bytes.  Contexts are dealt by anchor and
+   sorted by their bytes, eight a pass; equal groups are repeated contexts, and where a document has the
+   very context of a smaller one, all its windows are repeated.  A map task sends each context once.
+3. Contexts of one anchor that differ are sorted window by window, eight bytes a pass, and a window in
+   a smaller document removes its bytes in the others.
+
+An anchor in more than ``HOT`` documents, such as a common phrase, would gather all its contexts in one
+task; its windows are dealt by their own hash instead and sorted like contexts.  Beyond ``LEVEL``
+buckets dealing takes two passes, by the leading bits first, so that what a task sends to a bucket
+stays large.
 
 Texts are shuffled once, by id, and meet what is found about them twice (the exchange is reused).
 Groups travel per map task, never per document, so a line that a third of all documents share makes
@@ -27,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,8 @@ DEPTH, GRAM = 50, 20
 DIGIT = 48
 BUCKET_BYTES = 4 << 20  # of text, to a bucket of anchors
 FLUSH_ANCHORS, FLUSH_BYTES, SLICE = 3_000_000, 48 << 20, 1 << 20
+HOT, LEVEL = 10_000, 1 << 14
+WINDOWS = 200_000  # that are sorted at once
 _BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 21) - 1)  # more than a slice is long
@@ -183,31 +191,112 @@ def _first_digit(buckets: int):
 
 
 def _reduce_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by bucket to (id, digit) of anchors in several documents."""
+    """From rows sorted by bucket, blobs first, and digit to (id, digit) of anchors in several documents; the
+    digit of one in more than HOT is inverted."""
 
     def out(ids: np.ndarray, digits: np.ndarray) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(ids), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 50_000]), pa.array(digits[lo : lo + 50_000])], ["id", "digit"])
 
-    def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if held:
-            parts = [_open(b) for b in held]
-            d, i, several = _repeated(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            yield from out(i[several], d[several])
-
-    now, held = None, []
+    class Bucket:
+        def __init__(self) -> None:
+            self.blobs: list[bytes] = []
+            self.digits = self.ids = np.zeros(0, np.int64)
+            self.hot: set[int] = set()
+            self.digit, self.many, self.held = -1, 0, []
+
+        def read(self) -> None:
+            if self.blobs:
+                parts = [_open(b) for b in self.blobs]
+                self.blobs = []
+                d, i, several = _repeated(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                # an entry of a blob may have been told with others of its map task
+                self.digits, self.ids = d[several], i[several]
+
+        def rows(self, ids: np.ndarray, digits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            self.read()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(digits)) + 1, [len(digits)]])
+            run, known = np.diff(edges), np.searchsorted(self.digits, digits[edges[:-1]] + 1) - np.searchsorted(self.digits, digits[edges[:-1]])
+            # the first and last digit may go on in other batches
+            plain = run + known <= HOT
+            plain[[0, -1]] = False
+            told = np.repeat(plain, run)
+            yield from out(ids[told], digits[told])
+            for k in np.flatnonzero(~plain).tolist():
+                lo, hi = edges[k], edges[k + 1]
+                if digits[lo] != self.digit:
+                    yield from self.rest()
+                    self.digit, self.many = int(digits[lo]), int(known[k])
+                self.many += int(hi - lo)
+                self.held.append(np.stack([ids[lo:hi], digits[lo:hi]]))
+                if self.many > HOT:
+                    self.hot.add(self.digit)
+                    hot, self.held = np.concatenate(self.held, axis=1), []
+                    yield from out(hot[0], ~hot[1])
+
+        def rest(self) -> Iterator[pa.RecordBatch]:
+            if self.held:
+                told, self.held = np.concatenate(self.held, axis=1), []
+                yield from out(told[0], told[1])
+
+        def close(self) -> Iterator[pa.RecordBatch]:
+            self.read()
+            yield from self.rest()
+            if len(self.ids):
+                first = np.flatnonzero(np.append(True, np.diff(self.digits) != 0))
+                many = np.diff(np.append(first, len(self.digits)))
+                hot = np.repeat(many > HOT, many) | np.isin(self.digits, np.array(sorted(self.hot), dtype=np.int64))
+                yield from out(self.ids, np.where(hot, ~self.digits, self.digits))
+
+    now, bucket = None, Bucket()
     for batch in batches:
-        done = np.asarray(batch.column(2).is_valid())
-        if done.any():
-            some = batch.filter(pa.array(done))
-            yield from out(some.column(2).to_numpy(), some.column(3).to_numpy())
-        for b, blob in zip(batch.column(0), batch.column(1), strict=True):
-            if blob.is_valid:
-                if b.as_py() != now:
-                    yield from close(held)
-                    now, held = b.as_py(), []
-                held.append(blob.as_py())
-    yield from close(held)
+        numbers = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if lo == hi:
+                continue
+            if numbers[lo] != now:
+                yield from bucket.close()
+                now, bucket = numbers[lo], Bucket()
+            some = batch.slice(lo, hi - lo)
+            bucket.blobs += [b for b in some.column(1).to_pylist() if b is not None]
+            done = some.filter(some.column(2).is_valid())
+            if done.num_rows:
+                yield from bucket.rows(done.column(2).to_numpy(), done.column(3).to_numpy())
+    yield from bucket.close()
+
+
+def _deal_first(buckets: int):
+    """Second pass of dealing: from blobs of leading bits to blobs of all buckets, merged as they come."""
+    shift = DIGIT - buckets.bit_length() + 1
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            d, i = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.argsort(d, kind="stable")
+            d, i = d[order], i[order]
+            edges = [0, *(np.flatnonzero(np.diff(d >> shift)) + 1).tolist(), len(d)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                known, at = np.unique(i[lo:hi], return_inverse=True)
+                yield _rows(np.array([d[lo] >> shift]), [_blob(d[lo:hi], at, known)], None, None)
+
+        parts, n = [], 0
+        for batch in batches:
+            done = batch.filter(batch.column(2).is_valid())
+            if done.num_rows:
+                d = done.column(3).to_numpy()
+                yield _rows((d >> shift).astype(np.int32), None, done.column(2).to_numpy(), d)
+            for blob in batch.column(1).to_pylist():
+                if blob is not None:
+                    parts.append(_open(blob))
+                    n += len(parts[-1][0])
+                if n > FLUSH_ANCHORS:
+                    yield from flush()
+                    parts, n = [], 0
+        if n:
+            yield from flush()
+
+    return each
 
 
 # ---------------------------------------------------------------- 2: contexts
@@ -243,17 +332,43 @@ def _pack_entries(entries: list[Entry]) -> bytes:
     return struct.pack("<9I", *map(len, columns)) + b"".join(columns)
 
 
-def _unpack_entries(blob: bytes) -> list[Entry]:
-    sizes, at, parts = struct.unpack_from("<9I", blob), 36, []
-    for n in sizes:
-        parts.append(blob[at : at + n])
-        at += n
-    kinds = ("<u8", "", "u1", "u1", "<u4", "<u4", "<u4", "<i8", "<i8")
-    digits, text, lengths, offs, order, many, starts, ids, hashes = (_unpack(p, k) if k else zstandard.ZstdDecompressor().decompress(p) for p, k in zip(parts, kinds, strict=True))
-    ends, lasts = np.cumsum(lengths, dtype=np.int64).tolist(), np.cumsum(many, dtype=np.int64).tolist()
-    digits, starts = np.cumsum(digits.astype(np.int64)).tolist(), starts.tolist()
-    ids, hashes, n = ids[order].tolist(), hashes[order].tolist(), lengths.tolist()
-    return [(digits[k], text[ends[k] - n[k] : ends[k]], int(offs[k]), ids[k], hashes[k], starts[lasts[k] - int(many[k]) : lasts[k]]) for k in range(len(digits))]
+class Entries:
+    """Entries of one blob or several, column by column."""
+
+    def __init__(self, blobs: list[bytes]):
+        parts = [self._columns(b) for b in blobs]
+        self.digits, self.lengths, self.offs, self.ids, self.hashes, self.many, self.starts = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        self.text = np.frombuffer(b"".join(p[7] for p in parts), dtype=np.uint8)
+        self.first = np.cumsum(self.many) - self.many  # of starts
+
+    @staticmethod
+    def _columns(blob: bytes) -> tuple:
+        sizes, at, parts = struct.unpack_from("<9I", blob), 36, []
+        for n in sizes:
+            parts.append(blob[at : at + n])
+            at += n
+        kinds = ("<u8", "", "u1", "u1", "<u4", "<u4", "<u4", "<i8", "<i8")
+        digits, text, lengths, offs, order, many, starts, ids, hashes = (_unpack(p, k) if k else zstandard.ZstdDecompressor().decompress(p) for p, k in zip(parts, kinds, strict=True))
+        return np.cumsum(digits.astype(np.int64)), lengths.astype(np.int64), offs.astype(np.int64), ids[order], hashes[order], many.astype(np.int64), starts.astype(np.int64), text
+
+    def tuples(self) -> Iterator[Entry]:
+        text, ends = self.text.tobytes(), np.cumsum(self.lengths).tolist()
+        lengths, first, many = self.lengths.tolist(), self.first.tolist(), self.many.tolist()
+        for k, (digit, off, i, h) in enumerate(zip(self.digits.tolist(), self.offs.tolist(), self.ids.tolist(), self.hashes.tolist(), strict=True)):
+            yield digit, text[ends[k] - lengths[k] : ends[k]], off, i, h, self.starts[first[k] : first[k] + many[k]].tolist()
+
+    def matrix(self) -> np.ndarray:
+        """(entries, 2 * DEPTH - GRAM) bytes of the contexts, zeros behind them."""
+        out = np.zeros((len(self.digits), 2 * DEPTH - GRAM), dtype=np.uint8)
+        out[np.arange(out.shape[1]) < self.lengths[:, None]] = self.text
+        return out
+
+
+def _each_window(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Windows of hot anchors, each an anchor of its own."""
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        digits = gram_hashes(data[a : b + DEPTH], DEPTH) >> np.uint64(64 - DIGIT)
+        yield from ((d, k, k, k) for d, k in zip(digits.tolist(), range(a, b + 1), strict=True))
 
 
 def text_hash(data: bytes) -> int:
@@ -275,25 +390,54 @@ class Spans:
                 mine += [a, a + length]
 
 
+def _dealt(entries: list[Entry], shift: int) -> Iterator[pa.RecordBatch]:
+    """A blob for each bucket."""
+    entries.sort(key=lambda e: e[0])
+    lo, held, many, size = 0, [], [], 0
+    while lo < len(entries):
+        bucket, hi = entries[lo][0] >> shift, lo
+        while hi < len(entries) and entries[hi][0] >> shift == bucket:
+            hi += 1
+        many.append(bucket)
+        held.append(_pack_entries(entries[lo:hi]))
+        size += len(held[-1])
+        lo = hi
+        if size > 4 << 20 or lo == len(entries):
+            yield _second_rows(many, held)
+            held, many, size = [], [], 0
+
+
+def _deal_second(buckets: int):
+    """Second pass of dealing, as of anchors."""
+    shift = DIGIT - buckets.bit_length() + 1
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            done = batch.filter(batch.column(2).is_valid())
+            if done.num_rows:
+                yield done
+            for blob in batch.column(1).to_pylist():
+                if blob is not None:
+                    some = list(Entries([blob]).tuples())
+                    held += some
+                    size += 250 * len(some)
+                if size > FLUSH_BYTES:
+                    yield from _dealt(held, shift)
+                    held, size = [], 0
+        if held:
+            yield from _dealt(held, shift)
+
+    return each
+
+
 def _contexts(buckets: int):
     """From (id, body, digits) to a blob per flush and bucket of the distinct contexts, each with the
     smallest document that has it, and rows with the spans of the others."""
     shift = DIGIT - buckets.bit_length() + 1
 
     def flush(smallest: dict, others: list[Entry], spans: Spans) -> Iterator[pa.RecordBatch]:
-        entries = sorted([(digit, c, off, i, h, at) for (c, off), (i, h, at, digit) in smallest.items()] + others, key=lambda e: e[0])
-        lo, held, many, size = 0, [], [], 0
-        while lo < len(entries):
-            bucket, hi = entries[lo][0] >> shift, lo
-            while hi < len(entries) and entries[hi][0] >> shift == bucket:
-                hi += 1
-            many.append(bucket)
-            held.append(_pack_entries(entries[lo:hi]))
-            size += len(held[-1])
-            lo = hi
-            if size > 4 << 20 or lo == len(entries):
-                yield _second_rows(many, held)
-                held, many, size = [], [], 0
+        yield from _dealt([(digit, c, off, i, h, at) for (c, off), (i, h, at, digit) in smallest.items()] + others, shift)
         rows = list(spans.of.items())
         for lo in range(0, len(rows), 20_000):
             some = rows[lo : lo + 20_000]
@@ -306,10 +450,10 @@ def _contexts(buckets: int):
             for i, t, k in zip(*batch.columns, strict=True):
                 doc, data, wanted = i.as_py(), _bytes(t.as_py()), np.unique(k.values.to_numpy(zero_copy_only=False))
                 h = text_hash(data)
-                digits, place, first, last = anchors(np.frombuffer(data, dtype=np.uint8))
-                spot = np.searchsorted(wanted, digits)
-                hit = wanted[np.minimum(spot, len(wanted) - 1)] == digits
-                for digit, p, a, b in zip(digits[hit].tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+                flat = np.frombuffer(data, dtype=np.uint8)
+                found = anchors(flat)
+                hit, hot = (wanted[np.minimum(np.searchsorted(wanted, d), len(wanted) - 1)] == d for d in (found[0], ~found[0]))
+                for digit, p, a, b in chain(zip(*(x[hit].tolist() for x in found), strict=True), _each_window(flat, found[2][hot], found[3][hot])):
                     key = (data[a : b + DEPTH], p - a)
                     seen = smallest.get(key)
                     if seen is None:
@@ -332,68 +476,85 @@ def _contexts(buckets: int):
     return each
 
 
-def windows_by_radix(group: np.ndarray, data: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each row's string also belongs to a row of its group with a smaller id.
+def radix_groups(group: np.ndarray, data: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """New numbers of groups: two rows have one if they are of one group with equal bytes.
 
-    ``data`` is (rows, DEPTH) bytes.  Each pass refines the groups by eight bytes and leaves out rows
-    whose group has one id.
+    Most-significant digit first: each pass refines the groups by eight bytes, and a row whose group is down
+    to one id is sorted no further; it has a number of its own.
     """
     digits = np.zeros((len(data), -(-data.shape[1] // 8) * 8), dtype=np.uint8)
     digits[:, : data.shape[1]] = data
     digits = digits.view(">u8").astype(np.uint64)
-    left = np.arange(len(data))
-    for k in range(digits.shape[1]):
-        if not len(left):
-            break
-        order = np.lexsort((digits[left, k], group[left]))
+    out, left = -1 - np.arange(len(data)), np.arange(len(data))
+    group = np.unique(group, return_inverse=True)[1]
+    for k in range(digits.shape[1] + 1):
+        order = np.argsort(group[left], kind="stable") if k == 0 else np.lexsort((digits[left, k - 1], group[left]))
         left = left[order]
-        g, d = group[left], digits[left, k]
-        new = np.cumsum(np.append(0, (g[1:] != g[:-1]) | (d[1:] != d[:-1])))
-        group = group.copy()
-        group[left] = new
-        edges = np.append(0, np.flatnonzero(np.diff(new)) + 1)
-        mixed = np.maximum.reduceat(ids[left], edges) > np.minimum.reduceat(ids[left], edges)
-        left = left[mixed[new]]
-    out = np.zeros(len(data), dtype=bool)
-    if len(left):
         g = group[left]
-        edges = np.append(0, np.flatnonzero(np.diff(g)) + 1)
-        least = np.minimum.reduceat(ids[left], edges)
-        out[left] = ids[left] > np.repeat(least, np.diff(np.append(edges, len(left))))
+        differs = g[1:] != g[:-1]
+        if k:
+            d = digits[left, k - 1]
+            differs |= d[1:] != d[:-1]
+        new = np.cumsum(np.append(0, differs))[: len(left)]
+        group[left] = new
+        edges = np.append(0, np.flatnonzero(differs) + 1)
+        if len(left):
+            mixed = np.maximum.reduceat(ids[left], edges) > np.minimum.reduceat(ids[left], edges)
+            left = left[mixed[new]]
+        if not len(left):
+            break
+    out[left] = group[left]
     return out
 
 
-def _spans_of(entries: list[Entry]) -> Spans:
+def windows_by_radix(group: np.ndarray, data: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each row's string also belongs to a row of its group with a smaller id."""
+    found = radix_groups(group, data, ids)
+    least = np.zeros(0, dtype=ids.dtype)
+    out, some = np.zeros(len(data), dtype=bool), np.flatnonzero(found >= 0)
+    if len(some):
+        least = np.full(int(found.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, found[some], ids[some])
+        out[some] = ids[some] > least[found[some]]
+    return out
+
+
+def _spans_of(e: Entries) -> Spans:
     """What the documents of one bucket lose; entries are those of all map tasks."""
-    spans, groups = Spans(), {}
-    for digit, c, off, i, h, at in entries:
-        group = groups.setdefault(digit, {})
-        seen = group.get((c, off))
-        if seen is None:
-            group[c, off] = (i, h, at)
-        elif seen[0] == i and seen[1] == h:
-            seen[2].extend(at)
-        elif seen[0] == i:  # another row of the same id: the radix sort will meet it
-            group[c, off, h] = (i, h, at)
-        elif seen[0] < i:
-            spans.add((i, h), at, len(c))
-        else:
-            spans.add(seen[:2], seen[2], len(c))
-            group[c, off] = (i, h, at)
-    rows = [(n, *key[:2], i, h, at) for n, group in enumerate(groups.values()) if len(group) > 1 for key, (i, h, at) in group.items()]
-    if not rows:
+    spans, ids, text = Spans(), e.ids, e.matrix()
+
+    def lose(rows: np.ndarray, inner: np.ndarray, length: np.ndarray) -> None:
+        for n, k, size in zip(rows.tolist(), inner.tolist(), length.tolist(), strict=True):
+            spans.add((int(ids[n]), int(e.hashes[n])), (e.starts[e.first[n] : e.first[n] + e.many[n]] + k).tolist(), size)
+
+    digit = np.unique(e.digits, return_inverse=True)[1]
+    whole = windows_by_radix((digit * 256 + e.offs) * 256 + e.lengths, text, ids)
+    gone = np.flatnonzero(whole)
+    lose(gone, np.zeros_like(gone), e.lengths[gone])
+    # of what is left, anchors with several ids, window by window
+    left = np.flatnonzero(~whole)
+    left = left[np.argsort(digit[left], kind="stable")]
+    if not len(left):
+        return spans
+    edges = np.append(0, np.flatnonzero(np.diff(digit[left])) + 1)
+    mixed = np.maximum.reduceat(ids[left], edges) > np.minimum.reduceat(ids[left], edges)
+    left = left[np.repeat(mixed, np.diff(np.append(edges, len(left))))]
+    if not len(left):
         return spans
-    many = np.array([len(r[1]) - DEPTH + 1 for r in rows])
-    whose = np.repeat(np.arange(len(rows)), many)
-    inner = np.arange(len(whose)) - np.repeat(np.cumsum(many) - many, many)
-    flat = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8)
-    start = np.cumsum([0, *(len(r[1]) for r in rows)])[:-1][whose] + inner
-    place = np.array([r[2] for r in rows])[whose] - inner  # of the anchor in the window
-    group = np.array([r[0] for r in rows], dtype=np.int64)[whose] * DEPTH + place
-    hit = windows_by_radix(group, flat[start[:, None] + np.arange(DEPTH)], np.array([r[3] for r in rows], dtype=np.int64)[whose])
-    for w, k in zip(whose[hit].tolist(), inner[hit].tolist(), strict=True):
-        _, _, _, i, h, at = rows[w]
-        spans.add((i, h), [a + k for a in at], DEPTH)
+    slides = np.lib.stride_tricks.sliding_window_view(text, DEPTH, axis=1)
+    total = np.cumsum(e.lengths[left] - DEPTH + 1)
+    starts = np.append(0, np.flatnonzero(np.diff(digit[left])) + 1)
+    at = 0
+    while at < len(starts):  # whole anchors, about WINDOWS at a time
+        before = total[starts[at] - 1] if starts[at] else 0
+        after = int(np.searchsorted(np.append(total[starts[at + 1 :] - 1], total[-1]), before + WINDOWS)) + at + 1
+        some = left[starts[at] : starts[after] if after < len(starts) else None]
+        many = e.lengths[some] - DEPTH + 1
+        whose = np.repeat(some, many)
+        inner = np.arange(len(whose)) - np.repeat(np.cumsum(many) - many, many)
+        hit = windows_by_radix(digit[whose] * 256 + e.offs[whose] - inner, slides[whose, inner], ids[whose])
+        lose(whose[hit], inner[hit], np.full(int(hit.sum()), DEPTH))
+        at = after
     return spans
 
 
@@ -414,11 +575,11 @@ def _reduce_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if blob.is_valid:
                 if b.as_py() != now:
                     if held:
-                        yield from out(list(_spans_of([e for x in held for e in _unpack_entries(x)]).of.items()))
+                        yield from out(list(_spans_of(Entries(held)).of.items()))
                     now, held = b.as_py(), []
                 held.append(blob.as_py())
     if held:
-        yield from out(list(_spans_of([e for x in held for e in _unpack_entries(x)]).of.items()))
+        yield from out(list(_spans_of(Entries(held)).of.items()))
 
 
 # ---------------------------------------------------------------- the whole
@@ -440,11 +601,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     known = docs.filter("id is not null")
     total = known.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = 1 << max(4, (total // BUCKET_BYTES).bit_length())
-    first = known.mapInArrow(_first_digit(buckets), _FIRST).repartition("bucket").sortWithinPartitions("bucket")
+    coarse = buckets if buckets <= LEVEL else 1 << (buckets.bit_length() // 2)
+    first = known.mapInArrow(_first_digit(coarse), _FIRST).repartition("bucket")
+    if coarse < buckets:
+        first = first.mapInArrow(_deal_first(buckets), _FIRST).repartition("bucket")
+    first = first.sortWithinPartitions("bucket", F.col("blob").isNull(), "digit")
     pairs = first.mapInArrow(_reduce_first, "id long, digit long")
     digits = pairs.groupBy("id").agg(F.collect_list("digit").alias("digits"))  # as many as a text has anchors
     again = known.join(digits.hint("shuffle_hash"), "id").select("id", "body", "digits")
-    second = again.mapInArrow(_contexts(buckets), _SECOND).repartition("bucket").sortWithinPartitions("bucket")
+    second = again.mapInArrow(_contexts(coarse), _SECOND).repartition("bucket")
+    if coarse < buckets:
+        second = second.mapInArrow(_deal_second(buckets), _SECOND).repartition("bucket")
+    second = second.sortWithinPartitions("bucket")
     spans = second.mapInArrow(_reduce_second, "id long, h long, at array<int>")
     return spans.groupBy("id").agg(F.collect_list(F.struct("h", "at")).alias("found"))
 
