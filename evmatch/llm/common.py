@@ -83,6 +83,11 @@ def seeded(seed: int, *cols: str) -> Column:
     return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 16)
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of (_id, _t, _y) one row of each id, whatever the order of rows: that with the least hash of its text."""
+    return rows.groupBy("_id", "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t"))
+
+
 def with_rank(df: DataFrame, group: list[str], order: list[str], total: dict[str, str] | None = None, tag: str = "rank") -> DataFrame:
     """Adds ``rank`` (from 0, within ``group``) and, per entry of ``total``, the exclusive running sum
     of a column under a new name.

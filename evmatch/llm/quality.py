@@ -1,12 +1,14 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``WORDS`` words, however many.  A passage is encoded by the shares of its
-kinds of bytes, its word lengths and its repetitions; a hidden layer maps that to a representation h.
-Gated attention ``softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the passages, and the weighted
-representation gives the document's score.  All weights are learned from document labels.
-
-Fitting uses at most ``SAMPLE`` labelled rows, chosen by hash; only their passages' numbers reach the
-driver.  Scoring is one pass over the documents without a shuffle.
+A document is a bag of passages of ``WORDS`` words, however many.  A passage is encoded by its words and
+its character trigrams, both hashed into buckets, by the shares of its kinds of bytes, its word lengths
+and its repetitions; a learned embedding maps that to a representation h.  Gated attention
+``softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the passages, and the weighted representation gives the
+document's score.  All weights are learned from document labels.
+
+Fitting uses at most ``SAMPLE`` labelled rows, chosen by hash, and of each at most ``BAG`` passages, evenly
+spaced; only these passages' numbers reach the driver.  Scoring uses every passage, in one pass over the
+documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evmatch.llm.common import seeded, table
+from evmatch.llm.common import one_of_each, seeded, table
 
 #: words of a passage; passages that are scored at once
 WORDS, PASSAGES = 64, 16_384
-SAMPLE, SEED = 6000, 5
-HIDDEN, GATES, STEPS, RATE, DECAY = 16, 8, 400, 0.02, 1e-4
-KINDS = 14
+#: labelled rows, and passages of each, that fitting uses at most
+SAMPLE, BAG, SEED = 6000, 64, 5
+HIDDEN, GATES, STEPS, RATE, DECAY = 16, 8, 250, 0.02, 1e-4
+KINDS, BUCKETS = 14, 128  # kinds of bytes; buckets of words, and of trigrams
 
 
 def _kinds() -> np.ndarray:
@@ -41,7 +44,9 @@ def _kinds() -> np.ndarray:
 
 _KIND = _kinds()
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 62, 256).astype(np.uint64)
-DIMS = KINDS + 7
+_LOWER = np.arange(256, dtype=np.uint32)
+_LOWER[65:91] += 32
+DIMS = KINDS + 7 + 2 * BUCKETS
 
 
 def encode(text: str | None) -> np.ndarray:
@@ -68,8 +73,14 @@ def encode(text: str | None) -> np.ndarray:
     fresh = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (bag[order][1:] != bag[order][:-1]))
     mean = np.bincount(bag, lengths) / many
     spread = np.sqrt(np.maximum(0, np.bincount(bag, lengths.astype(float) ** 2) / many - mean**2))
+    kinds = np.bincount(bag * BUCKETS + (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(57)).astype(np.int64), minlength=len(many) * BUCKETS).reshape(-1, BUCKETS) / many[:, None]
+    low = _LOWER[body]
+    grams = low * np.uint32(0x9E3779B1)
+    grams[:-1] += low[1:] * np.uint32(0x85EBCA6B)
+    grams[:-2] += low[2:] * np.uint32(0xC2B2AE35)
+    grams = np.bincount(of * BUCKETS + (grams * np.uint32(0x27D4EB2F) >> np.uint32(25)), minlength=len(first) * BUCKETS).reshape(-1, BUCKETS) / sizes[:, None]
     extra = [np.bincount(bag, again) / many, np.bincount(bag[order], fresh) / many, np.log1p(mean), np.log1p(spread), np.log1p(many) / 4, np.bincount(bag, lengths > 20) / many, np.bincount(bag, lengths < 3) / many]
-    return np.concatenate([np.sqrt(counts / sizes[:, None]), np.stack(extra, axis=1)], axis=1).astype(np.float32)
+    return np.concatenate([np.sqrt(counts / sizes[:, None]), np.stack(extra, axis=1), np.sqrt(kinds), np.sqrt(grams)], axis=1).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -82,12 +93,15 @@ class GatedAttention:
     def __init__(self, dims: int = DIMS, seed: int = SEED):
         rng = np.random.default_rng(seed)
         shapes = {"E": (dims, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, GATES), "U": (HIDDEN, GATES), "w": (GATES,), "c": (HIDDEN,), "b": (1,)}
-        self.p = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if k in "EVUwc" else np.zeros(s) for k, s in shapes.items()}
-        self.mean, self.scale = np.zeros(dims), np.ones(dims)
+        self.p = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if k in "EVUwc" else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
+        self.mean, self.scale = np.zeros(dims, dtype=np.float32), np.ones(dims, dtype=np.float32)
 
     def forward(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Scores of bags, and what their gradients need."""
+        return self._scaled((x - self.mean) / self.scale, starts)
+
+    def _scaled(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, tuple]:
         p = self.p
-        x = (x - self.mean) / self.scale
         h = np.tanh(x @ p["E"] + p["e"])
         t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         raw = (t * g) @ p["w"]
@@ -129,50 +143,61 @@ class GatedAttention:
         flush()
         return np.concatenate(out)
 
+    def gradient(self, y: np.ndarray, score: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
+        """Of the mean log loss, by parameter."""
+        p, (xs, h, t, g, a, of, z) = self.p, kept
+        starts = np.flatnonzero(np.append(True, np.diff(of) != 0))
+        d = ((score - y) / len(y)).astype(h.dtype)
+        dz = d[:, None] * p["c"]
+        per = (dz[of] * h).sum(axis=1)
+        draw = a * (per - np.add.reduceat(a * per, starts)[of])
+        dt, dg = draw[:, None] * p["w"] * g, draw[:, None] * p["w"] * t
+        dv, du = dt * (1 - t * t), dg * g * (1 - g)
+        dh = a[:, None] * dz[of] + dv @ p["V"].T + du @ p["U"].T
+        de = dh * (1 - h * h)
+        return {"E": xs.T @ de, "e": de.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (t * g).T @ draw, "c": z.T @ d, "b": d.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> GatedAttention:
         """Full-batch Adam on the log loss."""
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        p, n = self.p, len(y)
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + x.dtype.type(1e-2)
+        xs, p = (x - self.mean) / self.scale, self.p
         m, v = ({k: np.zeros_like(q) for k, q in p.items()} for _ in range(2))
         for step in range(1, STEPS + 1):
-            score, (xs, h, t, g, a, of, z) = self.forward(x, starts)
-            d = (score - y) / n
-            dz = d[:, None] * p["c"]
-            per = (dz[of] * h).sum(axis=1)
-            draw = a * (per - np.add.reduceat(a * per, starts)[of])
-            dt, dg = draw[:, None] * p["w"] * g, draw[:, None] * p["w"] * t
-            dv, du = dt * (1 - t * t), dg * g * (1 - g)
-            dh = a[:, None] * dz[of] + dv @ p["V"].T + du @ p["U"].T
-            de = dh * (1 - h * h)
-            grad = {"E": xs.T @ de, "e": de.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (t * g).T @ draw, "c": z.T @ d, "b": d.sum(keepdims=True)}
+            grad = self.gradient(y, *self._scaled(xs, starts))
             for k in p:
                 q = grad[k] + DECAY * p[k] * (k != "b")
                 m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q
-                p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                p[k] = (p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(p[k].dtype)
         return self
 
 
+def spaced(x: np.ndarray, most: int = BAG) -> np.ndarray:
+    """At most so many rows, evenly spaced."""
+    return x if len(x) <= most else x[np.arange(most) * len(x) // most]
+
+
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for y, t in zip(batch.column(0), batch.column(1), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([y.as_py()], type=pa.int32()), pa.array([encode(t.as_py()).tobytes()])], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([y.as_py()], type=pa.int32()), pa.array([spaced(encode(t.as_py())).astype(np.float16).tobytes()])], ["y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> GatedAttention | None:
-    """From labels 0 and 1 by row_id; other labels are ignored, of several for an id the least counts.
+    """From labels 0 and 1 by row_id; other labels are ignored, of several for an id the least counts, and of
+    several rows of an id one.
 
     ``sample`` bounds the labelled rows that are used.  Without any label of one kind there is no model.
     """
-    known = labels.select(F.col(row_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"))
+    known = labels.select(F.col(row_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.min("_y").alias("_y"))
     chosen = known.orderBy(seeded(SEED, "_id"), "_id").limit(sample)
-    rows = docs.select(F.col(row_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")  # sample rows at most
+    rows = one_of_each(docs.select(F.col(row_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id"))  # sample ids at most
     got = rows.select("_y", "_t").mapInArrow(_flat, "y int, x binary").toPandas()
     if got["y"].nunique() < 2:
         return None
     got = got.sort_values(["y", "x"])  # the order of rows must not matter
-    bags = [np.frombuffer(x, dtype=np.float32).reshape(-1, DIMS) for x in got["x"]]
+    bags = [np.frombuffer(x, dtype=np.float16).reshape(-1, DIMS) for x in got["x"]]
     starts = np.cumsum([0, *map(len, bags[:-1])])
-    return GatedAttention().fit(np.concatenate(bags).astype(np.float64), starts, got["y"].to_numpy().astype(np.float64))
+    return GatedAttention().fit(np.concatenate(bags).astype(np.float32), starts, got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: GatedAttention | None, row_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -182,7 +207,7 @@ def score(docs: DataFrame, model: GatedAttention | None, row_id: str = "doc_id",
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                found = model.scores(some.column(0)) if model else np.full(some.num_rows, 0.5)
+                found = model.scores(some.column(0)).astype(np.float64) if model else np.full(some.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*some.columns[skip:], pa.array(found)], [*some.schema.names[skip:], "score"])
 
     skip = int(text not in keep)  # a kept text travels once

@@ -168,12 +168,57 @@ def test_quality(corpus):
 
 
 def test_attention_gradient():
+    """Against finite differences, for every parameter."""
     rng = np.random.default_rng(0)
     x, starts, y = rng.normal(size=(9, quality.DIMS)), np.array([0, 4, 5]), np.array([1.0, 0.0, 1.0])
-    model = quality.GatedAttention().fit(x, starts, y)
+    model = quality.GatedAttention()
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+
+    def loss():
+        s = model.forward(x, starts)[0]
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    grad = model.gradient(y, *model.forward(x, starts))
+    for name, v in model.p.items():
+        for at in [tuple(rng.integers(0, n) for n in v.shape) for _ in range(8)]:
+            kept, found = v[at], []
+            for step in (1e-5, -1e-5):
+                v[at] = kept + step
+                found.append(loss())
+            v[at] = kept
+            assert grad[name][at] == pytest.approx((found[0] - found[1]) / 2e-5, rel=1e-4, abs=1e-8), name
+    model = quality.GatedAttention().fit(x.astype(np.float32), starts, y)
     assert ((model.forward(x, starts)[0] > 0.5) == y).all()
 
 
+def test_words_and_trigrams_of_a_passage():
+    """Each bucket of a passage against counting one by one."""
+    text = "The rain, the RAIN\tand\n stones " * 30
+    x = quality.encode(text)
+    words = text.split()
+    data = text.encode()
+    starts = [k for k in range(len(data)) if not chr(data[k]).isspace() and (k == 0 or chr(data[k - 1]).isspace())]
+    assert len(x) == -(-len(words) // 64)
+    for n, row in enumerate(x):
+        lo, hi = starts[64 * n], starts[64 * n + 64] if 64 * n + 64 < len(starts) else len(data)
+        counts = np.zeros(quality.BUCKETS)
+        for k in range(lo, hi):
+            part = [c + 32 if 65 <= c <= 90 else c for c in data[k : k + 3]]
+            h = sum(c * m for c, m in zip(part, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), strict=False)) * 0x27D4EB2F & 0xFFFFFFFF
+            counts[h >> 25] += 1
+        assert np.allclose(row[-quality.BUCKETS :], np.sqrt(counts / (hi - lo)), atol=1e-6)
+        kinds = row[-2 * quality.BUCKETS : -quality.BUCKETS] ** 2
+        assert kinds.sum() == pytest.approx(1, abs=1e-5) and (kinds > 0).sum() <= len(set(words))
+
+
+def test_repeated_rows_of_a_labelled_id_teach_once(spark, corpus):
+    docs, labels = corpus
+    many = docs.unionByName(docs.filter("doc_id < 50")).unionByName(docs.filter("doc_id < 50"))
+    assert np.allclose(quality.fit(many, labels).p["c"], quality.fit(docs, labels).p["c"])
+    once, twice = (toxicity.fit(d, labels) for d in (docs, docs.unionByName(docs)))
+    assert once.weights.keys() == twice.weights.keys()
+
+
 def test_toxicity(corpus):
     docs, labels = corpus
     model = toxicity.fit(docs, labels.filter("not held"))
@@ -189,12 +234,86 @@ def test_restoring():
     s = np.concatenate([[0, 0], toxicity.symbols(text), [0]])
     counts = np.bincount(s[:-2] * 784 + s[1:-1] * 28 + s[2:], minlength=28**3)
     restore = toxicity.Restorer(toxicity.log_probabilities(counts))
-    for written, meant in [("1di0t", "idiot"), ("m o r o n", "moron"), ("s.c.u.m", "scum"), ("looooser", "loser"), ("tra$h", "trash"), ("5tup1d!", "stupid!"), ("m-0-r-0-n", "moron")]:
+    for written, meant in [("1di0t", "idiot"), ("m o r o n", "moron"), ("s.c.u.m", "scum"), ("looooser", "loser"), ("tra$h", "trash"), ("5tup1d!", "stupid!"), ("m-0-r-0-n", "moron"), ("iidiioott", "idiot"), ("s  c   u  m", "scum")]:
         assert restore(f"so {written} then") == f"so {meant} then"
     for plain in ["the 2nd", "eredsh$$$", "OU!! NO!!", "a b c", "", "12345", "x" * 5]:
         assert restore(plain) == plain or plain == "xxxxx"
 
 
+def language(text):
+    s = np.concatenate([[0, 0], toxicity.symbols(text), [0]])
+    return toxicity.log_probabilities(np.bincount(s[:-2] * 784 + s[1:-1] * 28 + s[2:], minlength=28**3))
+
+
+def said(out, log_p):
+    s = [0, 0, *(toxicity._symbol(c) for c in out), 0]
+    return sum(log_p[a, b, c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+
+SPEECH = "the idiot and the moron are scum and the loser is stupid pathetic trash under green doors while seven clocks walk by "
+
+
+def test_viterbi_against_every_source():
+    from itertools import product
+
+    rng, log_p = random.Random(3), language(SPEECH * 20)
+    for _ in range(300):
+        span = "".join(rng.choice("aeinst0134@$!. -") * rng.choice((1, 1, 2, 3)) for _ in range(rng.randint(1, 6)))
+        runs = toxicity.runs_of(span)
+        for has in ((), ("doubling",), ("spelling", "leetspeak")):
+            costs = toxicity.habit(*has)
+            scores = {}
+            for parts in product(*(toxicity.ways(c, n, costs) for c, n in runs)):
+                out = "".join(p for p, _ in parts)
+                scores[out] = max(scores.get(out, -1e9), costs[0] + sum(k for _, k in parts) + said(out, log_p))
+            best, out = toxicity.decode(runs, costs, log_p)
+            assert best == pytest.approx(max(scores.values())) and scores[out] == pytest.approx(best)
+
+
+def test_viterbi_of_long_spans():
+    """Spans beyond any limit against all states at once, one matrix a symbol."""
+    rng, log_p = random.Random(4), language(SPEECH * 20)
+    for size in (65, 200, 1500):
+        span = "".join(rng.choice("moronstupid0135$") * rng.choice((1, 1, 1, 2)) for _ in range(size))
+        runs, costs = toxicity.runs_of(span), toxicity.habit("leetspeak")
+        score = np.full((28, 28), -np.inf)
+        score[0, 0] = costs[0]
+        for c, n in runs:
+            after = np.full((28, 28), -np.inf)
+            for out, cost in toxicity.ways(c, n, costs):
+                now = score + cost
+                for s in (toxicity._symbol(x) for x in out):
+                    moved = np.full((28, 28), -np.inf)
+                    moved[:, s] = (now + log_p[:, :, s]).max(axis=0)
+                    now = moved
+                after = np.maximum(after, now)
+            score = after
+        best, out = toxicity.decode(runs, costs, log_p)
+        assert best == pytest.approx((score + log_p[:, :, 0]).max())
+    assert len(toxicity.restore("m0r0n" * 40_000, log_p)) == 200_000
+
+
+def test_recall_of_restoring():
+    """Words of the language, written by each habit, come back."""
+    rng, restore = random.Random(5), toxicity.Restorer(language(SPEECH * 50))
+    looks = {"o": "0", "i": "1", "e": "3", "a": "4", "s": "5", "t": "7"}
+    words = [w for w in set(SPEECH.split()) if len(w) > 3]
+    habits = {
+        "look-alikes": lambda w: "".join(looks.get(c, c) if rng.random() < 0.6 else c for c in w[:-1]) + w[-1],
+        "doubled": lambda w: "".join(c * 2 for c in w),
+        "repeated": lambda w: (k := rng.randrange(len(w))) is not None and w[:k] + w[k] * rng.randint(3, 6) + w[k + 1 :],
+        "spaced": lambda w: " ".join(w),
+        "wide": lambda w: "".join(c + rng.choice([" ", "  ", " - ", "..."]) for c in w[:-1]) + w[-1],
+        "both": lambda w: ".".join(looks.get(c, c) for c in w[:-1]) + "." + w[-1],
+    }
+    for name, write in habits.items():
+        tries = [w for w in words for _ in range(5)]
+        back = sum(restore(f"so {write(w)} then") == f"so {w} then" for w in tries)
+        assert back >= 0.9 * len(tries), (name, back, len(tries))
+    clean = " ".join(words) * 3
+    assert restore(clean) == clean
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     vectors = [rng.normal(size=6).round(2).tolist() for _ in range(300)]
