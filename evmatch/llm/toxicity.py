@@ -1,28 +1,31 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A character trigram model is counted over all texts.  Spans that the channel may have written
-(leetspeak inside words, letters spelled out with separators, letters repeated three times or more)
-become a lattice: each run of characters can have come from a letter, a repeated letter, a look-alike
-or, for a separator, from nothing.  Viterbi takes the source that the character model and the channel
-together find likeliest, and it replaces the span.  The restored text is scored by a logistic model
-of its words and word beginnings, learned from labelled documents.
+A character trigram model is counted over all texts.  Every span that the channel can have written
+becomes a lattice: words with a look-alike or a repeated letter, and three or more single letters with
+gaps between them.  Each run of characters can have come from a letter, a repeated letter, a look-alike
+or, for a gap, from nothing.  Viterbi takes the source that the character model and the channel together
+find likeliest, whatever the span's length, and it replaces the span; all other text has but one source,
+itself.  The restored text is scored by a logistic model of its words and word beginnings, learned from
+labelled documents.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evmatch.llm.common import Scratch, seeded, table
+from evmatch.llm.common import Scratch, one_of_each, seeded, table
 from evmatch.llm.quality import held_out
 
 SAMPLE, SEED = 3000, 6  # labelled rows of each kind that fitting uses at most
-FEATURES, LEAST_Z, LEAST_DOCS = 4000, 4.5, 2
+LEAST_Z, LEAST_DOCS = 4.5, 2
 STEPS, DECAY = 300, 1e-3
 CUT_LETTERS = (4, 5, 6, 7, 8)
 
@@ -36,6 +39,7 @@ LOOKALIKES = {
 SYMBOLS = 28  # a boundary, a to z, any other letter
 
 
+@lru_cache(4096)
 def _symbol(c: str) -> int:
     import unicodedata
 
@@ -83,59 +87,107 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
 
 LETTER = r"[^\W\d_]"
 LOOK = "".join(re.escape(c) for c in LOOKALIKES)
-TOKEN = re.compile(rf"(?=[^\s]*{LETTER})(?:[{LOOK}]|{LETTER})*(?:{LETTER}[{LOOK}]{{1,3}}{LETTER}|(?<![^\s])[{LOOK}]{{1,2}}{LETTER}{{2}}|{LETTER}{{2}}[0-9@$]{{1,2}}(?!\S))(?:[{LOOK}]|{LETTER})*(?<![!|(+¡])")
-MARKS, TRIPLE = re.compile(rf"[{LOOK}]"), re.compile(rf"({LETTER})\1\1")
-HINT = re.compile(rf"{LETTER}[{LOOK}]{{1,3}}{LETTER}|(?<!\S)[{LOOK}]{{1,2}}{LETTER}{{2}}|{LETTER}{{2}}[0-9@$]{{1,2}}(?!\S)")
-SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[@$!])(?:[ .\-_*~]{{1,2}}(?:[^\W_]|[@$!])){{3,}}(?![^\W_])")
-REPEATED = re.compile(rf"{LETTER}*({LETTER})\1{{2,}}{LETTER}*")
-#: log costs of the channel's ways to write
-SAME, LOOKS, KEPT_MARK, EXTRA, DROPPED, KEPT_GAP = 0.0, -1.5, -4.0, -0.3, -0.2, -3.0
-LONGEST = 64
-
+GAP = " .\\-_*~"
+#: a run of letters and look-alikes with one of these at least; what of it is a word, ``_core`` says
+MARKED = re.compile(rf"{LETTER}*[{LOOK}](?:[{LOOK}]|{LETTER})*")
+#: a word with a letter twice in a row or more
+DOUBLED = re.compile(rf"(?<!{LETTER}){LETTER}*?({LETTER})(?i:\1){LETTER}*")
+#: single letters or look-alikes with gaps of up to GAPS characters between them
+GAPS = 4
+SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[@$!])(?:[{GAP}]{{1,{GAPS}}}(?:[^\W_]|[@$!])){{2,}}(?![^\W_])")
+#: marks that end a word as punctuation, unless letters follow
+ENDS = "!|+(¡"
+#: log costs of the channel's ways to write: a letter as it is, and any repeat but the first
+SAME, EXTRA = 0.0, -0.3
+#: habits of a writer, which hold for a whole span: the cost to have it, and those with and without it of a
+#: doubled letter that means one; of a gap that means nothing, and a gap; of a look-alike, and a mark that means itself
+HABITS = {"doubling": (-10.0, (-0.3,), (-9.0,)), "spelling": (-10.0, (-0.2, -3.0), (-9.0, 0.0)), "leetspeak": (-3.0, (-0.5, -9.0), (-1.5, -4.6))}
+
+
+@lru_cache(16)
+def habit(*has: str) -> tuple[float, ...]:
+    """Costs: to have these habits, of a doubled letter, a dropped gap, a kept gap, a look-alike, a kept mark."""
+    return (sum(HABITS[h][0] for h in has), *(cost for h, (_, own, other) in HABITS.items() for cost in (own if h in has else other)))
+
+
+def ways(c: str, n: int, costs: tuple[float, ...]) -> list[tuple[str, float]]:
+    """Sources of a run of n equal characters, in lower case, with their log costs."""
+    _, double, dropped, kept, looks, mark = costs
+    once = (double if n == 2 else 0.0) + EXTRA * (n - 1)
+    if c.isalpha():
+        return [(c, SAME + once), (c * 2, SAME + EXTRA * (n - 2))] if n > 1 else [(c, SAME)]
+    found = []
+    for letter in LOOKALIKES.get(c, ""):
+        found.append((letter, looks + once))
+        if n > 1:
+            found.append((letter * 2, looks + EXTRA * (n - 2)))
+    if c == " ":
+        return [("", dropped), (" ", kept)]
+    return [*found, (c * n, mark * (1 + (n > 1)))]
+
+
+def runs_of(span: str) -> list[tuple[str, int]]:
+    """Runs of equal characters in lower case; gap characters side by side are one run of spaces."""
+    found: list[tuple[str, int]] = []
+    for c in span.lower():
+        c = " " if c in " .-_*~" else c
+        if found and found[-1][0] == c:
+            found[-1] = (c, found[-1][1] + 1)
+        else:
+            found.append((c, 1))
+    return found
 
-def restore(span: str, log_p: np.ndarray) -> str:
-    """The likeliest source of an obfuscated span, letters in lower case.
 
-    States are the last two symbols; an edge takes one run of a character, as one letter or two, as a
-    look-alike's letter, as itself, or, for a separator, as nothing.
-    """
-    if len(span) > LONGEST:
-        return "".join(restore(span[i : i + LONGEST], log_p) for i in range(0, len(span), LONGEST))
-    low = span.lower()
-    runs: list[tuple[str, int]] = []
-    for c in low:
-        if runs and runs[-1][0] == c:
-            runs[-1] = (c, runs[-1][1] + 1)
-        else:
-            runs.append((c, 1))
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(runs: list[tuple[str, int]], costs: tuple[float, ...], log_p: np.ndarray) -> tuple[float, str]:
+    """Score and text of the likeliest source.  States are the last two symbols, so runs of any number are
+    decoded as a whole."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (costs[0], None)}  # score, and what was said, last first
     for c, n in runs:
-        ways: list[tuple[str, float]] = []
-        if c.isalpha():
-            ways.append((c, SAME + EXTRA * (n - 1)))
-            if n > 1:
-                ways.append((c * 2, SAME + EXTRA * (n - 2)))
-        else:
-            for letter in LOOKALIKES.get(c, ""):
-                ways.append((letter, LOOKS + EXTRA * (n - 1)))
-                if n > 1:
-                    ways.append((letter * 2, LOOKS + EXTRA * (n - 2)))
-            if c in " .-_*~":
-                ways += [("", DROPPED), (" ", KEPT_GAP)]
-            else:
-                ways.append((c * n, KEPT_MARK * (1 + (n > 1))))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, said) in states.items():
-            for out, cost in ways:
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for out, cost in ways(c, n, costs):
+            said = [_symbol(ch) for ch in out]
+            for (a, b), (score, path) in states.items():
                 x, y, total = a, b, score + cost
-                for ch in out:
-                    s = _symbol(ch)
+                for s in said:
                     total += log_p[x, y, s]
                     x, y = y, s
                 if (x, y) not in after or after[x, y][0] < total:
-                    after[x, y] = (total, said + out)
+                    after[x, y] = (total, (path, out))
         states = after
-    return max((score + log_p[a, b, 0], said) for (a, b), (score, said) in states.items())[1]
+    best, end = max((score + log_p[a, b, 0], (a, b)) for (a, b), (score, _) in states.items())
+    path, parts = states[end][1], []
+    while path:
+        path, out = path
+        parts.append(out)
+    return best, "".join(reversed(parts))
+
+
+def restore(span: str, log_p: np.ndarray) -> str:
+    """The likeliest source of a span under any habit, letters in lower case; the span itself if that is
+    what it says already."""
+    runs = runs_of(span)
+    can = {"doubling": any(n == 2 and c != " " for c, n in runs), "spelling": any(c == " " for c, _ in runs), "leetspeak": sum(n for c, n in runs if c in LOOKALIKES) > 1}
+    some = [h for h, possible in can.items() if possible]
+    sets = [has for k in range(len(some) + 1) for has in combinations(some, k)]  # fewer habits first, of equals
+    found = max(((*decode(runs, habit(*has), log_p), -k) for k, has in enumerate(sets)), key=lambda x: (x[0], x[2]))[1]
+    same = "".join(" " if c == " " else c * n for c, n in runs)
+    return span if found == same else found
+
+
+def _core(token: str) -> tuple[int, int]:
+    """The part of a marked run that can be a word: without three or more marks at an end, or punctuation
+    behind it; empty without a letter."""
+    lo, hi = 0, len(token)
+    while lo < hi and not token[lo].isalpha():
+        lo += 1
+    lo = 0 if lo <= 2 else lo
+    end = hi
+    while end > lo and not token[end - 1].isalpha():
+        end -= 1
+    hi = end if hi - end > 2 else hi
+    while hi > end and token[hi - 1] in ENDS:
+        hi -= 1
+    return (lo, hi) if end > lo and any(c.isalpha() for c in token[lo:hi]) else (0, 0)
 
 
 class Restorer:
@@ -150,18 +202,23 @@ class Restorer:
             found = restore(span, self.log_p)
             if len(self.seen) >= self.most:
                 self.seen.clear()
-            self.seen[span] = found
+            if len(span) <= 256:
+                self.seen[span] = found
         return found
 
+    def _marked(self, m: re.Match) -> str:
+        token = m[0]
+        lo, hi = _core(token)
+        core = token[lo:hi]
+        if not core or core.isalpha():
+            return token
+        return token[:lo] + self._source(core) + token[hi:]
+
     def __call__(self, text: str | None) -> str:
         text = text or ""
-        if SPACED.search(text):
-            text = SPACED.sub(lambda m: self._source(m[0]), text)
-        if MARKS.search(text) and HINT.search(text):
-            text = TOKEN.sub(lambda m: self._source(m[0]), text)
-        if TRIPLE.search(text):
-            text = REPEATED.sub(lambda m: self._source(m[0]), text)
-        return text
+        text = SPACED.sub(lambda m: self._source(m[0]), text)
+        text = MARKED.sub(self._marked, text)
+        return DOUBLED.sub(lambda m: self._source(m[0]), text)
 
 
 # ---------------------------------------------------------------- scoring
@@ -193,41 +250,43 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """From labels 0 and 1 by row_id; other labels are ignored, of several for an id the least counts.
+    """From labels 0 and 1 by row_id; other labels are ignored, of several for an id the least counts, and of
+    several rows of an id one; a label without a row teaches nothing.
 
     ``sample`` bounds the labelled rows of each kind.  The character model is counted over all texts.
     Features are kept whose share of toxic documents is above the others' by LEAST_Z deviations.
     """
     log_p = log_probabilities(count_trigrams(docs, text))
-    known = labels.select(F.col(row_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"))
+    known = labels.select(F.col(row_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.min("_y").alias("_y"))
     chosen = None
     for kind in (0, 1):
         part = known.filter(F.col("_y") == kind).orderBy(seeded(SEED, "_id"), "_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(row_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")  # 2 * sample rows at most
+    rows = one_of_each(docs.select(F.col(row_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id"))  # 2 * sample ids at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(log_p)
         for batch in batches:
             for i, y, t in zip(*batch.columns, strict=True):
-                found = sorted(features(restorer(t.as_py())))
+                found = ["", *sorted(features(restorer(t.as_py())))]
                 yield pa.RecordBatch.from_arrays([pa.array([str(i.as_py())] * len(found)), pa.array([y.as_py()] * len(found), type=pa.int32()), pa.array(found, type=pa.string())], ["doc", "y", "feature"])
 
-    sizes = {r["_y"]: r["count"] for r in chosen.groupBy("_y").count().collect()}
+    seen = Scratch(docs.sparkSession, "toxicity").put(rows.select("_id", "_y", "_t").mapInArrow(each, "doc string, y int, feature string"))
+    sizes = {r["y"]: r["count"] for r in seen.filter("feature = ''").groupBy("y").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return Model(log_p, {}, 0.0 if not n0 and not n1 else 4.0 if n1 else -4.0)
-    seen = Scratch(docs.sparkSession, "toxicity").put(rows.select("_id", "_y", "_t").mapInArrow(each, "doc string, y int, feature string"))
-    counts = seen.groupBy("feature").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c")).withColumn("c0", F.col("c") - F.col("c1"))
+    counts = seen.filter("feature <> ''").groupBy("feature").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c")).withColumn("c0", F.col("c") - F.col("c1"))
     share = F.col("c") / (n0 + n1)
     z = (F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-    best = counts.filter(F.col("c1") >= LEAST_DOCS).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
-    names = [r["feature"] for r in best.select("feature").collect()]  # FEATURES rows at most
+    best = Scratch(docs.sparkSession, "toxicity-features").put(counts.filter(F.col("c1") >= LEAST_DOCS).withColumn("z", z).filter(F.col("z") >= LEAST_Z).select("feature"))
+    names = [r["feature"] for r in best.toLocalIterator()]  # of sample documents, and far from chance
     at = {f: k for k, f in enumerate(sorted(names))}
-    bags = seen.join(F.broadcast(best.select("feature")), "feature").groupBy("doc", "y").agg(F.collect_set("feature").alias("f")).toPandas()
-    y = np.concatenate([bags["y"].to_numpy(dtype=float), np.zeros(max(0, n0 - int((bags["y"] == 0).sum()))), np.ones(max(0, n1 - int((bags["y"] == 1).sum())))])
+    bags = seen.join(best.withColumn("hit", F.lit(True)), "feature", "left").groupBy("doc", "y").agg(F.collect_set(F.when(F.col("hit"), F.col("feature"))).alias("f")).toPandas()
+    bags = bags.sort_values(["doc", "y"], ignore_index=True)
+    y = bags["y"].to_numpy(dtype=float)
     row = np.repeat(np.arange(len(bags)), [len(f) for f in bags["f"]])
-    col = np.array([at[f] for fs in bags["f"] for f in fs], dtype=np.int64)
+    col = np.array([at[f] for fs in bags["f"] for f in sorted(fs)], dtype=np.int64)
     weights, bias = _logistic(row, col, len(at), y)
     return Model(log_p, {f: float(weights[k]) for f, k in at.items()}, bias)
 
