@@ -8,8 +8,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one
+    process, as in tests.  On a cluster it must be set, as a machine's own folder is not seen by others."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         found = tempfile.mkdtemp(prefix="evmatch-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,12 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, so that a lost executor never costs an iteration again.
 
-    Results read them lazily, so they stay until the driver's Python ends.
+    Results read them lazily, so they stay until ``release`` is told that results are written, or the
+    driver's Python ends.
     """
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
-        atexit.register(self._delete, "")
+        Scratch.made.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -62,6 +70,18 @@ class Scratch:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(since: int = 0) -> None:
+    """Deletes the scratch tables made from the ``since``-th on; for when what reads them has been written.
+
+    ``len(Scratch.made)`` before an operator is called is what to give after its result is written.
+    """
+    while len(Scratch.made) > since:
+        Scratch.made.pop()._delete("")
+
+
+atexit.register(release)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     return Scratch(df.sparkSession, tag).put(df)
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,26 +121,33 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(df: DataFrame, capacity: int, vocabulary: str, row_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: _id, piece, start, length, ids_crc32 and, if asked for, its ids."""
+    """One row per piece: _id, source_row, piece, start, length, ids_crc32 and, if asked for, its ids.
+
+    ``source_row`` numbers the input rows, so that pieces of copies can be told apart.  The vocabulary is a
+    file of the driver, which Spark brings to the executors.
+    """
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = chunks(vocabulary)
+        coder = chunks(SparkFiles.get(name))
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, value in zip(batch.column(0), batch.column(1), strict=True):
+            for doc, row, value in zip(*batch.columns, strict=True):
                 ids = coder.encode(value.as_py() or "") + end
                 for k, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc.as_py(), k, start, length, zlib.crc32(part), part if with_ids else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    rows.append((doc.as_py(), row.as_py(), k, start, length, zlib.crc32(part), part if with_ids else None))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             made = [pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)]
-            names = ["_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays(made[: 6 if with_ids else 5], names[: 6 if with_ids else 5])
+            names = ["_id", "source_row", "piece", "start", "length", "ids_crc32", "ids"]
+            yield pa.RecordBatch.from_arrays(made[: 7 if with_ids else 6], names[: 7 if with_ids else 6])
 
     kind = df.schema[row_id].dataType.simpleString()
-    return df.select(F.col(row_id), F.col(text)).mapInArrow(cut, f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    numbered = df.select(F.col(row_id), F.monotonically_increasing_id(), F.col(text))
+    return numbered.mapInArrow(cut, f"_id {kind}, source_row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 Bin = tuple[tuple[int, int, int], ...]  # (length, how many, offset) in order
@@ -213,14 +221,14 @@ def lookup(bins: list[tuple[int, Bin]]) -> dict[int, np.ndarray]:
 
 
 def pack(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, row_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: row_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
+    """One row per piece: row_id, source_row, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A null or empty text is one piece that holds the end id alone; repeated rows are packed each for
     itself; an empty table gives no rows; other columns are not read.
     """
     # written first: a range sort reads its input twice, and the texts should be tokenized once
     cut = materialize(pieces(df, capacity, vocabulary, row_id, text, with_ids), "pieces")
-    ranked = with_rank(cut, ["length"], ["_id", "start", "ids_crc32"], tag="pack")
+    ranked = with_rank(cut, ["length"], ["_id", "start", "ids_crc32", "source_row"], tag="pack")
     counts = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}  # capacity rows at most
     found = lookup(plan(counts, capacity))
 

@@ -287,8 +287,11 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, seed: int = SEED, row_id
 
 
 SIMILAR_WORDS, SIMILARITY = 5, (4, 5)
-#: shingles of more documents than COMMON come last in the order; counts travel in SHARDS pieces
-COMMON, SHARDS, SIGNATURE = 100, 1024, 512
+#: what tells documents apart, rows of one id too: the id and a hash of the text
+KEY = "struct<id:long,text_hash:long>"
+#: shingles of more documents than COMMON come last in the order, the TOP most common in each of SHARDS ranges of
+#: hashes: any order gives the same links, so this bounds what is broadcast (12 MB), not what is found
+COMMON, SHARDS, TOP, SIGNATURE = 100, 1024, 1024, 512
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -296,13 +299,22 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([*shingle_hashes(text, SIMILAR_WORDS), np.zeros(0, np.uint64)]))
 
 
+def of_hashes(members: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed number."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(members), 65_000):
+        ones += np.unpackbits(members[i : i + 65_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return int(np.packbits(2 * ones > len(members), bitorder="little").view("<i8")[0])
+
+
 def set_number(members: np.ndarray) -> int:
     """Equal of equal sets only, but for one chance in 2^64."""
     return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """From (id, body) the upper halves of the hashes that are in more than COMMON rows, sorted, and their counts."""
+    """From (id, body) the upper halves of the hashes that are in more than COMMON rows, sorted, and their counts;
+    of each of SHARDS ranges the TOP most common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -327,7 +339,9 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             halves, n = (np.frombuffer(b"".join(x), dtype=np.uint32) for x in zip(*held, strict=True))
             found, at = np.unique(halves, return_inverse=True)
             n = np.bincount(at, n, minlength=len(found)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found[n > COMMON].astype(np.int64)), pa.array(n[n > COMMON])], ["half", "n"])
+            most = np.lexsort((found, -n))[:TOP]
+            most = most[n[most] > COMMON]
+            return pa.RecordBatch.from_arrays([pa.array(found[most].astype(np.int64)), pa.array(n[most])], ["half", "n"])
 
         now, held = None, []
         for batch in batches:
@@ -348,8 +362,8 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """From (id, body) to (id, node, size, signature, prefix): a number of the shingle set, its size, the
-    parity of its members by the low bits of their hashes (SIGNATURE values, or more for a larger set), and
+    """From (id, body) to (id, node, size, fp, signature, prefix): a number of the shingle set, its size and
+    SimHash fingerprint, the parity of its members by the low bits of their hashes (SIGNATURE values, or more for a larger set), and
     its first members in the order of (count if common, hash), so many that similar sets share one."""
     common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))
 
@@ -365,12 +379,12 @@ def _marks(rows: DataFrame) -> DataFrame:
                 first = np.lexsort((s, often))[: len(s) - (SIMILARITY[0] * len(s) + SIMILARITY[1] - 1) // SIMILARITY[1] + 1]
                 bits = max(SIGNATURE, 1 << len(s).bit_length())
                 parity = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-                found.append((set_number(s), len(s), np.packbits(parity.astype(np.uint8), bitorder="little").tobytes(), s[first].tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                found.append((set_number(s), len(s), of_hashes(s), np.packbits(parity.astype(np.uint8), bitorder="little").tobytes(), s[first].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             columns = [pa.array(c, type=k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], type=k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "size", "signature", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "size", "fp", "signature", "prefix"])
 
-    return rows.mapInArrow(each, "id long, node long, size long, signature binary, prefix binary")
+    return rows.mapInArrow(each, f"id {KEY}, node long, size long, fp long, signature binary, prefix binary")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -514,16 +528,19 @@ def _sets(df: DataFrame) -> DataFrame:
 
 
 def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_id, component_id) of the rows that are in a group but are not its smallest.
+    """(row_id, text_hash, component_id) of the documents that are in a group but are not its smallest.
 
     Documents are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of
-    them: sorted by one order, two such sets share a member among their first fifths.  Equal sets are one
-    node.  Pairs of a node and the first node of one of its keys are verified first; after that, pairs that
-    share a key but are in different groups so far.  The id is a whole number; rows with a null id are in
-    no group; component_id is the smallest id of the group.
+    them.  Equal sets are one node.  Candidates are the nodes whose SimHash fingerprints Golay keys bring
+    together, which are most pairs of 0.95 and more but few of 0.8, and, as two similar sets sorted by one order
+    share a member among their first fifths, the nodes that share such a key.  Of those, pairs of a node and
+    the first node of one of its keys are verified first; after that, pairs that share a key but are in
+    different groups so far.  Only the sets themselves decide.  The id is a whole number; rows with a null id are in
+    no group; rows of one id with other texts, so with another xxhash64 ``text_hash``, are other documents,
+    and those equal in both are one; component_id is the smallest id of the group.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("body")).filter("id is not null")
+    rows = df.select(F.struct(F.col(row_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash")).alias("id"), F.col(text).alias("body")).filter("id.id is not null")
     marked = Scratch(spark, "similar").put(_marks(rows))
     heads = Scratch(spark, "similar-heads").put(marked.groupBy("node").agg(F.min("id").alias("id")))
     nodes = Scratch(spark, "similar-nodes").put(marked.join(heads, ["id", "node"], "left_semi").dropDuplicates(["node"]).drop("id"))
@@ -542,7 +559,9 @@ def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text")
         return close
 
     stars = _pairs(_postings(nodes.withColumn("label", F.col("node"))), first_with_others)
-    first = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")), "first")
+    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    near = links(nodes.select(F.array("fp").alias("fps"), "node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = verified(stars.unionByName(near).distinct(), "first")
     labels = components(first, "similar-labels").select(F.col("a").alias("node"), F.col("b").alias("label"))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = verified(_pairs(_postings(labelled), across_labels), "rest")
@@ -551,7 +570,8 @@ def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text")
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
     grouped = marked.select("id", "node").join(grouped.select("node", "root"), "node").join(least, "root")
     gone = grouped.filter("id <> component_id")
-    return gone.select(F.col("id").cast(df.schema[row_id].dataType).alias(row_id), "component_id")
+    kind = df.schema[row_id].dataType
+    return gone.select(F.col("id.id").cast(kind).alias(row_id), "id.text_hash", F.col("component_id.id").cast(kind).alias("component_id")).distinct()
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,55 @@ def test_a_drifting_group_of_near_copies(spark):
     words = [f"w{rng.randint(0, 3000)}" for _ in range(300)]
     texts = [" ".join(edited(rng, words, rng.choice((3, 4, 5, 6, 7)))) for _ in range(400)]
     assert found(spark, texts) == brute_groups(texts)
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    rng = random.Random(15)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(60)) for _ in range(3)]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[1]), (4, texts[2]), (4, texts[2]), (None, texts[0]), (None, None), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert left == sorted([(1, texts[0]), (2, texts[1]), (4, texts[2]), (4, texts[2]), (None, texts[0]), (None, None), (5, None)], key=str)
+
+
+def test_recall_in_bands_of_similarity(spark):
+    """Pairs of every band are found, against all pairs."""
+    rng = random.Random(16)
+    texts = []
+    for k in range(200):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+        texts += [" ".join(words), " ".join(edited(rng, words, k % 5))]
+    sets = [shingles(t) for t in texts]
+    group = found(spark, texts)
+    bands = Counter()
+    for k in range(0, len(texts), 2):
+        a, b = sets[k], sets[k + 1]
+        j = len(a & b) / len(a | b)
+        if j >= 0.8:
+            band = min(19, int(j * 20 + 1e-9))
+            bands[band, group.get(k + 1, k + 1) == group.get(k, k)] += 1
+    assert all(hit for _, hit in bands) and len(bands) >= 3
+
+
+def test_packing_carries_ids_and_copies(spark):
+    docs = spark.createDataFrame([(1, "one two three", "en", "s", 0)] * 3 + [(2, "x " * 5000, "en", "s", 0), (None, None, "en", "s", 0)], SCHEMA)
+    got = corpus_pipeline.pack(spark, docs, "").collect()
+    assert len({r["source_row"] for r in got}) == 5 and all(len(r["ids"]) == 4 * r["length"] for r in got)
+    assert len({(r["source_row"], r["piece"]) for r in got}) == len(got)
+    by_row = Counter()
+    for r in got:
+        by_row[r["doc_id"], r["source_row"]] += r["length"]
+    assert sorted(by_row.values())[:2] == [1, by_row[1, next(n for i, n in by_row if i == 1)]]
+
+
+def test_scratch_is_released(spark, tmp_path):
+    import os
+
+    from evmatch.llm.common import Scratch, materialize, release
+
+    before = len(Scratch.made)
+    materialize(spark.range(5), "released").count()
+    root = Scratch.made[-1].root.removeprefix("file:")
+    assert os.path.isdir(root)
+    release(before)
+    assert not os.path.exists(root) and len(Scratch.made) == before
