@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evmatch.llm import mixing, packing, quality, simhash, suffixes
-from evmatch.llm.common import materialize, table, words
+from evmatch.llm.common import Scratch, materialize, release, table, words
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,9 +27,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the row of the smallest id stays; rows without an id, and rows that share an id, do too."""
-    gone = simhash.similar_documents(docs).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group the document of the smallest id stays; rows without an id do too.  Rows of one id are told
+    apart by their texts; those equal in both are one document."""
+    gone = simhash.similar_documents(docs).select("doc_id", "text_hash")
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def drop_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +48,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in pieces, each with its place; copies that mixing made differ in ``source_row``."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
+    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -67,7 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
+        kept = Scratch(spark, f"pipeline-{name}")
+        before = len(Scratch.made)
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
+            docs = kept.put(docs)
+            release(before)  # what the stage wrote on its way
     return docs
