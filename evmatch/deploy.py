@@ -1,8 +1,9 @@
-"""Makes this package importable in Python workers of any cluster."""
+"""Makes this package importable in Python workers of any cluster, and names the folder that all of it shares."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -11,6 +12,18 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one
+    process, as in tests.  On a cluster it must be set, as a machine's own folder is not seen by others."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        found = tempfile.mkdtemp(prefix="evmatch-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's source to the executors through the driver's file server, once per application."""
     sc = spark.sparkContext

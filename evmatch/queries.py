@@ -5,12 +5,13 @@ A query gives (key, pattern_id) rows; its SQL a WHERE for each pattern.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evmatch.deploy import shared_dir
 from evmatch.operators.flatten import ExactFlattener, TypedFlattener, VariantFlattener
 from evmatch.operators.registry import PatternSet, ValueMatcher
 from evmatch.sources.events import as_event, parquet
@@ -221,10 +222,7 @@ def pattern_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("stream_equals_batch", "SELECT event_id, 'p' AS pattern_id FROM events WHERE event_type = 'purchase' AND value > 50")
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream over the table's files, run to its end into Parquet, and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evmatch-stream-")
-    import uuid
-
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     patterns = PatternSet.of({"p": {"event_type": ["purchase"], "value": [{"numeric": [">", 50]}]}})
