@@ -10,7 +10,7 @@ from evmatch import ExactFlattener, PatternSet, TypedFlattener, ValueMatcher, Va
 from evmatch.operators.flatten import LEAVES
 from evmatch.sources import events as sources
 from evmatch.streaming.match import match_stream, match_with_current
-from test_patterns import BAND_PATTERNS, BANDS
+from test_patterns import HARBOUR_PATTERNS, HARBOUR
 
 MATCHERS = [
     "a", "foo", 1, 35, True, None, {"exists": True}, {"exists": False}, {"prefix": "f"}, {"suffix": "o"}, {"wildcard": "*o*"}, {"wildcard": "f*o"}, {"shellstyle": "*"},
@@ -41,8 +41,8 @@ def random_pattern(rng):
 def world():
     rng = random.Random(7)
     events = [json.dumps({k: random_value(rng) for k in rng.sample(["x", "y", "z"], rng.randint(0, 3))}, ensure_ascii=False) for _ in range(150)]
-    patterns = {f"p{n}": random_pattern(rng) for n in range(45)} | {"bands yes": BAND_PATTERNS["yes"]}
-    events += [json.dumps(BANDS), '{"x":1,}', "", "[1]"]
+    patterns = {f"p{n}": random_pattern(rng) for n in range(45)} | {"harbour yes": HARBOUR_PATTERNS["yes"]}
+    events += [json.dumps(HARBOUR), '{"x":1,}', "", "[1]"]
     expected = {}
     local = PatternSet.of(patterns)
     for n, e in enumerate(events):
