@@ -118,14 +118,14 @@ DIVERSE = {f"d{n}": {"p_size": [n % 50 + 1], "p_type": [{"wildcard": "*S*"}, {"s
 simple("diverse_60_patterns", "part", PART, DIVERSE, {f"d{n}": f"p_size = {n % 50 + 1} AND (p_type LIKE '%S%' OR p_type LIKE '%D')" for n in range(60)})
 
 
-def _orders_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("qty"))).alias("items"))
     return table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_orderstatus", "items")
 
 
 def with_items(name: str, patterns: dict[str, object], sql: str, **options: object) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return PatternSet.of(patterns, **options).match_long(_orders_with_items(spark, sf_dir), ORDER)
+        return PatternSet.of(patterns, **options).match_long(orders_with_items(spark, sf_dir), ORDER)
 
     add(name, sql)(query)
 
@@ -137,14 +137,18 @@ def nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PatternSet.of({"b": {"customer": {"market": {"segment": ["BUILDING"]}, "balance": [{"numeric": [">", 0]}]}, "o_orderstatus": ["O"]}}).match_long(orders, ORDER)
 
 
+#: of the array rule, and of JSON rows
+SAME_ELEMENT = {"a": {"items": {"flag": ["R"], "status": ["F"]}}, "b": {"items": {"flag": ["A"], "status": ["O"], "qty": [{"numeric": ["<", 10]}]}, "o_orderstatus": ["F", "O"]}}
+JSON_ROWS = {"x": {"l_returnflag": ["R"], "l_quantity": [{"numeric": [">=", 40, "<", 45]}]}}
+
 with_items("array_any", {"a": {"items": {"qty": [{"numeric": [">", 49]}]}}}, "SELECT o_orderkey, 'a' AS pattern_id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
-with_items("array_same_element", {"a": {"items": {"flag": ["R"], "status": ["F"]}}, "b": {"items": {"flag": ["A"], "status": ["O"], "qty": [{"numeric": ["<", 10]}]}, "o_orderstatus": ["F", "O"]}}, "SELECT o_orderkey, 'a' AS pattern_id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'F') UNION ALL SELECT o_orderkey, 'b' FROM orders o WHERE o_orderstatus IN ('F', 'O') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A' AND l_linestatus = 'O' AND l_quantity < 10)")
+with_items("array_same_element", SAME_ELEMENT, "SELECT o_orderkey, 'a' AS pattern_id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'F') UNION ALL SELECT o_orderkey, 'b' FROM orders o WHERE o_orderstatus IN ('F', 'O') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A' AND l_linestatus = 'O' AND l_quantity < 10)")
 
 
 @add("array_cross_element_rejected", "SELECT o_orderkey, 'cross' AS pattern_id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'F')")
 def array_cross_element_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders where each field holds in some element but no one element has both."""
-    rows = _orders_with_items(spark, sf_dir)
+    rows = orders_with_items(spark, sf_dir)
     both = PatternSet.of({"both": {"items": {"flag": ["R"], "status": ["F"]}}, "flag": {"items": {"flag": ["R"]}}, "status": {"items": {"status": ["F"]}}}).match(rows)
     has = lambda x: F.array_contains("matches", x)
     return both.filter(has("flag") & has("status") & ~has("both")).select("o_orderkey", F.lit("cross").alias("pattern_id"))
@@ -152,8 +156,7 @@ def array_cross_element_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("array_join_plan", ORACLES["array_same_element"])
 def array_join_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = {"a": {"items": {"flag": ["R"], "status": ["F"]}}, "b": {"items": {"flag": ["A"], "status": ["O"], "qty": [{"numeric": ["<", 10]}]}, "o_orderstatus": ["F", "O"]}}
-    return PatternSet.of(patterns).match_long(_orders_with_items(spark, sf_dir), ORDER, plan="join")
+    return PatternSet.of(SAME_ELEMENT).match_long(orders_with_items(spark, sf_dir), ORDER, plan="join")
 
 
 @add("delete_then_match", "SELECT o_orderkey, 'f' AS pattern_id FROM orders WHERE o_orderstatus = 'F'")
@@ -183,7 +186,7 @@ def matches_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("flatten_count", "SELECT o_orderkey, CAST((SELECT 2 * count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS INTEGER) AS n_leaves FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def flatten_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PatternSet.of({"a": {"items": {"flag": ["R"], "qty": [1]}}}).leaf_count(_orders_with_items(spark, sf_dir)).select("o_orderkey", "n_leaves")
+    return PatternSet.of({"a": {"items": {"flag": ["R"], "qty": [1]}}}).leaf_count(orders_with_items(spark, sf_dir)).select("o_orderkey", "n_leaves")
 
 
 @add("value_matcher", "SELECT p_partkey, concat_ws(',', CASE WHEN p_name = 'small ring' THEN 'exact' END, CASE WHEN p_name LIKE 'small%' THEN 'pre' END, CASE WHEN p_name LIKE '%r%g' THEN 'shell' END) AS ids FROM part")
@@ -195,13 +198,13 @@ def value_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("json_rows_exact", "SELECT l_orderkey, l_linenumber, 'x' AS pattern_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40 AND l_quantity < 45")
 def json_rows_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    return PatternSet.of({"x": {"l_returnflag": ["R"], "l_quantity": [{"numeric": [">=", 40, "<", 45]}]}}, flattener=ExactFlattener()).match_long(as_event(rows), LINE)
+    return PatternSet.of(JSON_ROWS, flattener=ExactFlattener()).match_long(as_event(rows), LINE)
 
 
 @add("json_rows_variant", ORACLES["json_rows_exact"])
 def json_rows_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    return PatternSet.of({"x": {"l_returnflag": ["R"], "l_quantity": [{"numeric": [">=", 40, "<", 45]}]}}, flattener=VariantFlattener()).match_long(as_event(rows), LINE)
+    return PatternSet.of(JSON_ROWS, flattener=VariantFlattener()).match_long(as_event(rows), LINE)
 
 
 @add("malformed_events", "SELECT event_id, event_id % 3 = 0 AS bad, CASE WHEN event_id % 3 <> 0 AND event_type = 'click' THEN 'c' ELSE '' END AS ids FROM events")
