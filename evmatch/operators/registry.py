@@ -269,20 +269,21 @@ class PatternSet:
     def match_long(self, df: DataFrame, key: list[str], plan: str | None = None) -> DataFrame:
         """(*key, pattern_id), each pattern once a row.
 
-        ``plan``: "columns", "lookup" or "join"; by the number of patterns and their fields if not said.
+        ``plan``: "columns", "lookup", "join" or, for what keeps no state, "stream"; by the number of patterns
+        and their fields if not said.
         """
         live = [e for e in self._live() if e.pattern.fields]
         event = getattr(self.flattener, "event", None)
         df = df.select(*map(quoted, dict.fromkeys([*key, event]))) if event else df
-        plan = plan or ("columns" if len(live) <= FEW else "lookup")
-        if plan == "columns" or not live:
+        table = self._looked_up(df, live, "_ids") if plan == "lookup" or plan in (None, "stream") and len(live) > FEW else None
+        if plan == "columns" or not live or table is None and (plan == "stream" or plan is None and len(live) <= FEW):
             flat, found = self._compiled(df)
             ids = F.array_compact(F.array(*(F.when(c, F.lit(str(i))) for i, c in found.items()))) if found else F.array().cast("array<string>")
             if 0 < len(found) <= PUSHED:
                 flat = flat.filter(_or(found.values()))
             return flat.select(*map(quoted, key), F.explode(ids).alias("pattern_id"))
-        if plan == "lookup" and (out := self._looked_up(df, live, "_ids")) is not None:
-            return out.select(*map(quoted, key), F.explode("_ids").alias("pattern_id"))
+        if table is not None:
+            return table.select(*map(quoted, key), F.explode("_ids").alias("pattern_id"))
         out = self._joined(df, key, live)
         if len({e.id for e in live}) < len(live):
             out = out.groupBy(EVENT, "_id").agg(F.first("_key").alias("_key"))

@@ -15,8 +15,12 @@ from evmatch.operators.registry import PatternSet
 
 
 def match_stream(stream: DataFrame, patterns: PatternSet, key: list[str]) -> DataFrame:
-    """(*key, pattern_id) of a stream, by expressions, as appended rows."""
-    return patterns.match_long(stream, key, plan="columns")
+    """(*key, pattern_id) of a stream, as appended rows.
+
+    Few patterns are expressions; many are joins of the stream with static tables of terms, if fields without
+    arrays allow it, and else expressions too.
+    """
+    return patterns.match_long(stream, key, plan="stream")
 
 
 def match_with_current(stream: DataFrame, patterns: Callable[[], PatternSet], key: list[str], path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -137,3 +137,16 @@ def test_ten_thousand_strings_and_numbers():
         for k in range(0, len(values), 37):
             found = local.leaves(json.dumps({"a": values[k]}), [("a",)])
             assert local.matches(patterns[k], found) and not any(local.matches(patterns[m], found) for m in (k - 1, (k * 7 + 1) % len(values)) if m != k)
+
+
+def test_a_stream_of_many_patterns_is_joined(spark, tmp_path):
+    from evmatch.streaming.match import match_stream
+
+    rows = spark.range(200).select("id", (F.col("id") % 90).cast("int").alias("n"), F.lit(None).cast("string").alias("s"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    found = match_stream(stream, PatternSet.of({f"p{k}": {"n": [k], "s": [{"exists": False}]} for k in range(60)}), ["id"])
+    query = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((i, f"p{i % 90}") for i in range(200) if i % 90 < 60)
