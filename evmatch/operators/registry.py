@@ -23,6 +23,7 @@ from evmatch.plans.pattern import Path, Pattern, parse
 
 JSON = "application/json"
 FEW = 50  # patterns up to which each is an expression of its own
+MATCHED = "_matched_ids"
 PUSHED = 8  # ids up to which rows without a match are filtered out by the scan
 REBUILD_LEAST, REBUILD_SHARE = 1000, 0.2
 
@@ -292,16 +293,20 @@ class PatternSet:
     def matching(self, df: DataFrame) -> DataFrame:
         """The rows that match any pattern.  Comparisons of plain columns reach the scan."""
         kept = df.columns
+        if len(self._live()) > FEW:
+            return self.match(df, MATCHED).filter(F.size(MATCHED) > 0).select(*map(quoted, kept))
         flat, found = self._compiled(df)
-        return flat.filter(_or(found.values())).select(*kept)
+        return flat.filter(_or(found.values())).select(*map(quoted, kept))
 
     def count_column(self, df: DataFrame, into: str = "n_matches") -> DataFrame:
-        kept = df.columns
+        kept = [c for c in df.columns if c != into]
+        if len(self._live()) > FEW:
+            return self.match(df, MATCHED).select(*map(quoted, kept), F.size(MATCHED).alias(into))
         flat, found = self._compiled(df)
         total = F.lit(0)
         for c in found.values():
             total = total + F.coalesce(c, F.lit(False)).cast("int")
-        return flat.withColumn(into, total).select(*kept, into)
+        return flat.withColumn(into, total).select(*map(quoted, kept), into)
 
     def leaf_count(self, df: DataFrame, into: str = "n_leaves") -> DataFrame:
         kept = df.columns
@@ -309,7 +314,7 @@ class PatternSet:
         total = F.lit(0)
         for c in leaves.values():
             total = total + F.size(c)
-        return flat.withColumn(into, total).select(*kept, into)
+        return flat.withColumn(into, total).select(*map(quoted, kept), into)
 
 
 class ValueMatcher:

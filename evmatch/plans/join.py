@@ -24,7 +24,7 @@ from evmatch.functions.predicates import predicate
 from evmatch.plans.columns import STEPS, agree
 from evmatch.plans.pattern import Matcher, Path, Pattern
 
-BROADCAST_TERMS = 200_000
+BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 64 << 20
 CHUNK = 40
 EVENT = "_event_no"
 
@@ -33,9 +33,9 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def sized(table: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only up to BROADCAST_TERMS rows; beyond, the join is shuffled."""
-    return F.broadcast(table) if rows <= BROADCAST_TERMS else table
+def sized(table: DataFrame, rows: int, size: int) -> DataFrame:
+    """Broadcast only up to BROADCAST_TERMS rows and BROADCAST_BYTES; beyond, the join is shuffled."""
+    return F.broadcast(table) if rows <= BROADCAST_TERMS and size <= BROADCAST_BYTES else table
 
 
 def _double_key(x: Column) -> Column:
@@ -83,12 +83,13 @@ class Terms:
     def table(self, like: DataFrame) -> DataFrame:
         raw = like.sparkSession.createDataFrame(self.rows, "_path int, _said string, number double, _condition int")
         key = F.when(F.col("number").isNotNull(), _double_key(F.col("number"))).otherwise(F.col("_said"))
-        return sized(raw.select("_path", key.alias("_said"), "_condition"), len(self.rows))
+        return sized(raw.select("_path", key.alias("_said"), "_condition"), len(self.rows), sum(24 + 4 * len(k) for _, k, _, _ in self.rows))
 
     def pattern_table(self, like: DataFrame) -> DataFrame:
         """(id of the pattern, condition to look it up by, all its conditions)."""
         raw = like.sparkSession.createDataFrame([(self.ids[n], *rest) for n, *rest in self.patterns], "_id string, _condition int, _conditions array<int>")
-        return sized(raw, sum(len(cs) for _, _, cs in self.patterns))
+        many = sum(len(cs) for _, _, cs in self.patterns)
+        return sized(raw, many, 8 * many + sum(24 + 4 * len(i) for i in self.ids))
 
     def saying(self, path: int) -> Callable[[Column], Column]:
         return lambda x: F.struct(F.lit(path).alias("path"), self.keys(path, x["v"], x["d"]).alias("keys"), x["trail"].alias("trail"))
@@ -182,9 +183,10 @@ def looked_up(df: DataFrame, patterns: list[Pattern], ids: list[str], scalar: Ca
             keyed[c] = at
         for way, said in at:
             tables.setdefault(way, {}).setdefault(said, (set(), []))[0].add(c)
-    if len(tables) > LOOKUPS or len(others) > OTHERS or sum(map(len, tables.values())) > BROADCAST_TERMS:
-        return None
     asked = [[conditions[f] for f in p.fields] for p in patterns]
+    size = sum(64 + 4 * len(str(said)) for rows in tables.values() for said in rows) + sum(64 + 4 * len(i) + 8 * len(cs) for i, cs in zip(ids, asked, strict=True))
+    if len(tables) > LOOKUPS or len(others) > OTHERS or sum(map(len, tables.values())) > BROADCAST_TERMS or size > BROADCAST_BYTES:
+        return None
     shared = Counter(c for cs in asked for c in cs)
     for n, cs in enumerate(asked):
         lead = min((c for c in cs if c in keyed), key=lambda c: (shared[c], c), default=None)

@@ -27,6 +27,9 @@ def test_the_number_of_patterns_changes_nothing(spark, many):
     got = sorted((str(r["key"]), str(r["path"]), r["matches"]) for r in nested.match(df).collect())
     assert got == sorted((str(k), str(v), sorted(f"p{x}" for x in set(a or ())) if v is not None else []) for k, v, a in rows)
     assert flat.match(df).columns == ["key", "path", "pattern", "matches"]
+    for patterns, many_hit in ((flat, 5), (nested, 2)):
+        assert patterns.matching(df).count() == many_hit
+        assert sorted(r["n"] for r in patterns.count_column(df, "n").collect()) == sorted(r["size(matches)"] for r in patterns.match(df).select(F.size("matches")).collect())
 
 
 @pytest.mark.parametrize("plan", ["columns", "lookup", "join"])
