@@ -89,7 +89,7 @@ LETTER = r"[^\W\d_]"
 LOOK = "".join(re.escape(c) for c in LOOKALIKES)
 GAP = " .\\-_*~"
 #: a run of letters and look-alikes with one of these at least; what of it is a word, ``_core`` says
-MARKED = re.compile(rf"{LETTER}*[{LOOK}](?:[{LOOK}]|{LETTER})*")
+MARKED = re.compile(rf"(?<!{LETTER}){LETTER}*+[{LOOK}](?:[{LOOK}]|{LETTER})*+")
 #: a word with a letter twice in a row or more
 DOUBLED = re.compile(rf"(?<!{LETTER}){LETTER}*?({LETTER})(?i:\1){LETTER}*")
 #: single letters or look-alikes with gaps of up to GAPS characters between them

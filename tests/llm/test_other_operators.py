@@ -293,6 +293,12 @@ def test_viterbi_of_long_spans():
     assert len(toxicity.restore("m0r0n" * 40_000, log_p)) == 200_000
 
 
+def test_restoring_takes_time_in_proportion():
+    restore = toxicity.Restorer(language(SPEECH))
+    for text in ("ab" * 200_000, "a b " * 20_000 + "word", "-" * 200_000, "a" * 200_000, "1" * 200_000, "! " * 50_000, "a1" * 3_000, "_" * 200_000):
+        assert restore(text)
+
+
 def test_recall_of_restoring():
     """Words of the language, written by each habit, come back."""
     rng, restore = random.Random(5), toxicity.Restorer(language(SPEECH * 50))
