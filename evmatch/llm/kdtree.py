@@ -11,8 +11,10 @@ A query is answered in its own shard first, while the tree is built.  Its k-th s
 of the other shards, and it travels only to those whose bound is not below.  So vectors move twice, to
 their shard and with the tree to the queries that ask it, and queries as often as shards can matter.
 
-Shards are at most about twice ``most_shards``, so the boxes that are broadcast have a bounded size; a
-shard's queries pass through its task in batches.
+Shards grow with the table, from SHARD_ROWS up to FULL_ROWS rows as soon as there are FEW_SHARDS, so that
+queries meet few of them, and are at most about twice MOST_SHARDS, so that the boxes that are broadcast have
+a bounded size.  A shard's queries pass through its task in batches.  Vectors travel as integers of two
+bytes a component where they fit.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ from pyspark.sql import functions as F
 from evmatch.llm.common import Scratch, table
 
 K, SCALE, EVERY = 10, 1024, 100
-SHARD_ROWS, MOST_SHARDS, LEAF = 4096, 4096, 128
+SHARD_ROWS, FEW_SHARDS, FULL_ROWS, MOST_SHARDS, LEAF = 4096, 256, 1 << 18, 4096, 128
 SAMPLE = 16_384  # rows, at most, that the cells' splits are taken from
 NONE = (-(1 << 63), (1 << 63) - 1)  # score and id of a k-th best that is not there yet
 
 
 def widest(v: np.ndarray) -> int:
     """The dimension of the largest extent, -1 if all rows are equal."""
-    extent = v.max(axis=0) - v.min(axis=0)
+    extent = v.max(axis=0).astype(np.int64) - v.min(axis=0)
     return int(np.argmax(extent)) if extent.any() else -1
 
 
@@ -83,8 +85,8 @@ class KDTree:
             if above >= 0:
                 kids[above].append(len(lo))
             v, here = vectors[some], len(lo)
-            lo.append(v.min(axis=0))
-            hi.append(v.max(axis=0))
+            lo.append(v.min(axis=0).astype(np.int64))
+            hi.append(v.max(axis=0).astype(np.int64))
             kids.append([])
             d = widest(v) if len(some) > leaf else -1
             if d < 0:
@@ -104,7 +106,7 @@ class KDTree:
         self.least = np.zeros(len(runs), dtype=np.int64)
         for n in range(len(runs) - 1, -1, -1):  # children come after their parent
             self.least[n] = self.least[kids[n]].min() if kids[n, 0] >= 0 else ids[runs[n, 0] : runs[n, 1]].min()
-        self.most = int(max(np.abs(vectors).max(), 1))
+        self.most = int(max(lo.max(), -lo.min(), hi.max(), -hi.min(), 1))
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -119,14 +121,14 @@ class KDTree:
         return made
 
     def exact(self, queries: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Queries, boxes and vectors as doubles where every product and sum is exact in them, else as Python's integers."""
+        """Queries and boxes as doubles where every product and sum is exact in them, else as Python's integers."""
         fits = self.most * int(max(np.abs(queries).max(initial=0), 1)) * queries.shape[1] < 1 << 53
-        return tuple(x.astype(np.float64 if fits else object) for x in (queries, self.lo, self.hi, self.vectors))
+        return tuple(x.astype(np.float64 if fits else object) for x in (queries, self.lo, self.hi))
 
     def search(self, queries: np.ndarray, own: np.ndarray, floors: list[tuple[int, int]], k: int) -> Iterator[list[tuple[int, int, int]]]:
         """For each query up to k (score, id, row), best first, ties to the smaller id; none worse than its
         floor, the (score, id) of its k-th best so far, and none of the query's own row."""
-        asked, lo, hi, vectors = self.exact(queries)
+        asked, lo, hi = self.exact(queries)
         bounds = bound(asked, lo, hi)
         for q, row, b, (floor, last) in zip(asked, own, bounds, floors, strict=True):
             best: list[tuple[int, int, int]] = []  # a heap of (score, -id, -row)
@@ -143,7 +145,7 @@ class KDTree:
                             heapq.heappush(queue, (-b[kid], int(kid)))
                     continue
                 a, z = self.runs[node]
-                scores = vectors[a:z] @ q
+                scores = self.vectors[a:z].astype(q.dtype) @ q
                 some = np.flatnonzero((scores >= floor) & (self.rows[a:z] != row))
                 if len(some) > k:
                     some = some[np.lexsort((self.ids[a:z][some], -scores[some]))][:k]
@@ -170,9 +172,21 @@ def integers(vector: Column | str, scale: int = SCALE) -> Column:
     return F.when(fine, F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def _matrix(cells: pa.Array) -> np.ndarray:
-    """Of binary cells of one length."""
-    return np.frombuffer(b"".join(cells.to_pylist()), dtype="<i8").reshape(len(cells), -1)
+def _packed(v: np.ndarray) -> bytes:
+    """The components in two, four or eight bytes each."""
+    lo, hi = int(v.min()), int(v.max())
+    return v.astype(next(k for k, most in (("<i2", 1 << 15), ("<i4", 1 << 31), ("<i8", 1 << 63)) if -most <= lo and hi < most)).tobytes()
+
+
+def _matrix(cells: pa.Array, d: int) -> np.ndarray:
+    """Of packed cells of d components, all as wide as the widest."""
+    rows = cells.to_pylist()
+    widths = np.array([len(r) // d for r in rows])
+    out = np.empty((len(rows), d), dtype=f"<i{max(widths, default=2)}")
+    for w in np.unique(widths):
+        some = np.flatnonzero(widths == w)
+        out[some] = np.frombuffer(b"".join(rows[k] for k in some.tolist()), dtype=f"<i{w}").reshape(-1, d)
+    return out
 
 
 SHARD = ["d", "cell", "part"]
@@ -196,7 +210,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Recor
                 yield tuple(keys[:, lo].tolist()), batch.slice(lo, hi - lo)
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE, shard_rows: int = SHARD_ROWS, most_shards: int = MOST_SHARDS, sample: int = SAMPLE) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank from 1, row_id, score) of each query row's k best others, ties to the smaller id.
 
     Rows with a null id or vector, or with a null or non-finite component, take no part; vectors meet only
@@ -212,7 +226,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", v
     # cells of the lengths that most vectors have
     sizes = numbered.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(64).collect()
     total = numbered.count()
-    target = max(shard_rows, -(-total // most_shards))
+    target = max(shard_rows, min(-(-total // FEW_SHARDS), FULL_ROWS), -(-total // MOST_SHARDS))
     wanted = {r["d"]: r["n"] for r in sizes if r["n"] > target}
     cells: dict[int, Cells] = {}
     if wanted:
@@ -224,7 +238,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", v
         for d, some in by_length.items():
             levels = max(0, min((wanted[d] // target).bit_length(), len(some).bit_length() - 3))
             cells[d] = Cells(np.array(some, dtype=np.int64).reshape(len(some), d), levels)
-    shared = spark.sparkContext.broadcast(cells)  # most_shards splits of two numbers, about
+    shared = spark.sparkContext.broadcast(cells)  # MOST_SHARDS splits of two numbers, about
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -236,7 +250,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", v
                 if int(d) in known:
                     some = np.flatnonzero(lengths == d)
                     cell[some] = known[int(d)].of(flat[starts[some][:, None] + np.arange(d)])
-            packed = [flat[a : a + n].astype("<i8").tobytes() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+            packed = [_packed(flat[a : a + n]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
             yield _batch([batch.column("id"), batch.column("row"), batch.column("q"), batch.column("d"), cell, packed], "id long, row long, q boolean, d int, cell long, x binary")
 
     placed = Scratch(spark, "topk-cells").put(numbered.mapInArrow(place, "id long, row long, q boolean, d int, cell long, x binary"))
@@ -250,13 +264,13 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", v
         def made(key: tuple, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = pa.Table.from_batches(held).combine_chunks()
             ids, rows, asks = (some.column(c).to_numpy() for c in ("id", "row", "q"))
-            x = _matrix(some.column("x"))
+            x = _matrix(some.column("x"), key[0])
             tree = KDTree(ids, rows, x, keep=k + 1)
-            yield _batch([*([n] for n in key), [tree.dump()], [tree.lo[0].astype("<i8").tobytes()], [tree.hi[0].astype("<i8").tobytes()], [int(tree.least[0])], *([None] for _ in range(5))], _BUILT)
+            yield _batch([*([n] for n in key), [tree.dump()], [tree.lo[0].tobytes()], [tree.hi[0].tobytes()], [int(tree.least[0])], *([None] for _ in range(5))], _BUILT)
             who = np.flatnonzero(asks)
             for at in range(0, len(who), 1024):
                 part = who[at : at + 1024]
-                hits = tree.search(x[part], rows[part], [NONE] * len(part), k)
+                hits = tree.search(x[part].astype(np.int64), rows[part], [NONE] * len(part), k)
                 found = [(int(rows[w]), int(ids[w]), i, r, s) for w, best in zip(part, hits, strict=True) for s, i, r in best]
                 yield _batch([*([n] * len(found) for n in key), *([None] * len(found) for _ in range(4)), *results(found)], _BUILT)
 
@@ -279,7 +293,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", v
     floors = at_home.groupBy("q_row").agg(F.when(F.count(F.lit(1)) >= k, kth).alias("kth")).select(F.col("q_row").alias("row"), (-F.col("kth.s")).alias("floor"), F.col("kth.i").alias("last"))
     asking = dealt.filter("q").join(floors, "row", "left").select(*SHARD, "id", "row", "x", F.coalesce("floor", F.lit(NONE[0])).alias("floor"), F.coalesce("last", F.lit(NONE[1])).alias("last"))
     boxes: dict[int, tuple] = {}
-    for r in trees.select(*SHARD, "lo", "hi", "least").toLocalIterator():  # twice most_shards, about, and one for each other length
+    for r in trees.select(*SHARD, "lo", "hi", "least").toLocalIterator():  # twice MOST_SHARDS, about, and one for each other length
         boxes.setdefault(r["d"], ([], [], [], []))
         for held, one in zip(boxes[r["d"]], ((r["cell"], r["part"]), r["lo"], r["hi"], r["least"]), strict=True):
             held.append(one)
@@ -296,7 +310,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", v
                 most = int(max(np.abs(lo).max(), np.abs(hi).max(), 1))
                 for a in range(0, of_length.num_rows, 256):
                     some = of_length.slice(a, 256)
-                    x = _matrix(some.column("x"))
+                    x = _matrix(some.column("x"), int(d)).astype(np.int64)
                     kind = np.float64 if most * int(max(np.abs(x).max(), 1)) * int(d) < 1 << 53 else object
                     b = bound(x.astype(kind), lo.astype(kind), hi.astype(kind))
                     floor, last, cell, part = (some.column(c).to_numpy()[:, None] for c in ("floor", "last", "cell", "part"))
@@ -310,14 +324,14 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", v
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A shard's tree comes first, then its queries."""
         tree = None
-        for _, some in _groups(batches):
+        for key, some in _groups(batches):
             if some.column("tree").is_valid()[0].as_py():
                 tree = KDTree.load(some.column("tree")[0].as_py())
                 some = some.slice(1)
             for a in range(0, some.num_rows, 1024):
                 part = some.slice(a, 1024)
                 own, ids, floor, last = (part.column(c).to_pylist() for c in ("q_row", "q_id", "floor", "last"))
-                hits = tree.search(_matrix(part.column("x")), np.array(own), list(zip(floor, last, strict=True)), k)
+                hits = tree.search(_matrix(part.column("x"), key[0]).astype(np.int64), np.array(own), list(zip(floor, last, strict=True)), k)
                 yield _batch(results([(q, i, c, r, s) for q, i, best in zip(own, ids, hits, strict=True) for s, c, r in best]), _FOUND)
 
     met = kept.unionByName(away).repartition(*SHARD).sortWithinPartitions(*SHARD, F.col("tree").isNull())
