@@ -660,4 +660,18 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_suffixes": op7_suffixes}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_suffixes": f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ runs AS (SELECT doc_id, k, regexp_extract_all(substr(x, 2 * k + 1), '.{{{2 * DEPTH}}}') AS ws FROM d, range({DEPTH}) t(k)),
+ windows AS (SELECT doc_id, k + {DEPTH} * (unnest(range(1, len(ws) + 1)) - 1) AS a, unnest(ws) AS w FROM runs),
+ least AS (SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w),
+ hits AS (SELECT doc_id, a, lag(a) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM windows JOIN least USING (w) WHERE first_id < doc_id),
+ parts AS (SELECT doc_id, a, sum(CASE WHEN before IS NULL OR a > before + {DEPTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS part FROM hits),
+ spans AS (SELECT doc_id, min(a) AS lo, max(a) + {DEPTH} AS hi, lag(max(a) + {DEPTH}, 1, 0) OVER (PARTITION BY doc_id ORDER BY min(a)) AS last_hi FROM parts GROUP BY doc_id, part),
+ gone AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last_hi, string_agg(substr(x, 2 * last_hi + 1, 2 * (lo - last_hi)), '' ORDER BY lo) AS head FROM spans JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(coalesce(head || substr(x, 2 * last_hi + 1), x))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+}

@@ -80,3 +80,14 @@ def test_rows_of_the_others(results, texts):
     ranks = Counter(r["query_id"] for r in results["op9_topk"][1])
     assert all(i % 100 == 0 and n == 10 for i, n in ranks.items())
     assert all(r["n_chars"] == len(r["text"]) > 0 for r in results["op4_html"][1])
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_queries_against_their_sql(results, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    expected = c.execute(catalog.oracle_sql()[name])
+    columns = [d[0] for d in expected.description]
+    assert sorted(columns) == sorted(k.split()[0] for k in COLUMNS[name].split(", "))
+    assert sorted(str([r[k] for k in columns]) for r in results[name][1]) == sorted(str(list(r)) for r in expected.fetchall())
