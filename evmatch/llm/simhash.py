@@ -307,6 +307,24 @@ def of_hashes(members: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(members), bitorder="little").view("<i8")[0])
 
 
+#: min-wise hashing of the shingle sets: bands of so many hashes each, and candidates of a node
+BANDS, BAND, NEAREST = 24, 5, 6
+_SEEDS = np.random.default_rng(SIMILAR_WORDS).integers(0, 1 << 63, BANDS * BAND).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(members: np.ndarray) -> np.ndarray:
+    """A key for each band, of the least of its hashes over the set; none of an empty set."""
+    if not len(members):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(members), 4096):
+        some = members[i : i + 4096]
+        least = np.minimum(least, ((some ^ some >> np.uint64(31))[None] * _SEEDS[:, None]).min(axis=1))
+    mixed = least ^ least >> np.uint64(29)
+    keys = (mixed * _SEEDS[::-1]).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    return keys.view(np.int64)
+
+
 def set_number(members: np.ndarray) -> int:
     """Equal of equal sets only, but for one chance in 2^64."""
     return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
@@ -362,8 +380,8 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """From (id, body) to (id, node, size, fp, signature, prefix): a number of the shingle set, its size and
-    SimHash fingerprint, the parity of its members by the low bits of their hashes (SIGNATURE values, or more for a larger set), and
+    """From (id, body) to (id, node, size, fp, bands, signature, prefix): a number of the shingle set, its size,
+    SimHash fingerprint and band keys, the parity of its members by the low bits of their hashes (SIGNATURE values, or more for a larger set), and
     its first members in the order of (count if common, hash), so many that similar sets share one."""
     common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))
 
@@ -379,49 +397,86 @@ def _marks(rows: DataFrame) -> DataFrame:
                 first = np.lexsort((s, often))[: len(s) - (SIMILARITY[0] * len(s) + SIMILARITY[1] - 1) // SIMILARITY[1] + 1]
                 bits = max(SIGNATURE, 1 << len(s).bit_length())
                 parity = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-                found.append((set_number(s), len(s), of_hashes(s), np.packbits(parity.astype(np.uint8), bitorder="little").tobytes(), s[first].tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                found.append((set_number(s), len(s), of_hashes(s), band_keys(s).tobytes(), np.packbits(parity.astype(np.uint8), bitorder="little").tobytes(), s[first].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             columns = [pa.array(c, type=k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], type=k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "size", "fp", "signature", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "size", "fp", "bands", "signature", "prefix"])
 
-    return rows.mapInArrow(each, f"id {KEY}, node long, size long, fp long, signature binary, prefix binary")
+    return rows.mapInArrow(each, f"id {KEY}, node long, size long, fp long, bands binary, signature binary, prefix binary")
+
+
+FOLDED = [f"s{k}" for k in range(4)]
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """From (node, label, size, prefix) to a row (key, node, label, place) per member of the prefix;
-    place is what is left of the set from this member on, and the set's size."""
+    """From (node, label, size, prefix, signature) to a row (key, node, label, place, signature folded to 256
+    bits) per member of the prefix; place is what is left of the set from this member on, and the set's size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 node, label, size = (batch.column(k).slice(lo, 1024).to_numpy() for k in range(3))
                 sets = [np.frombuffer(p, dtype=np.int64) for p in batch.column(3).slice(lo, 1024).to_pylist()]
+                folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.int64).reshape(-1, 4), axis=0) for x in batch.column(4).slice(lo, 1024).to_pylist()])
                 many = np.array([len(s) for s in sets])
                 nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 size = np.repeat(size, many)
-                columns = [np.concatenate(sets), np.repeat(node, many), np.repeat(label, many), size - nth << 32 | size]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "label", "place"])
+                columns = [np.concatenate(sets), np.repeat(node, many), np.repeat(label, many), size - nth << 32 | size, *np.repeat(folded, many, axis=0).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "node", "label", "place", *FOLDED])
 
-    return nodes.select("node", "label", "size", "prefix").mapInArrow(each, "key long, node long, label long, place long").repartition("key").sortWithinPartitions("key")
+    kinds = "key long, node long, label long, place long, " + ", ".join(f"{c} long" for c in FOLDED)
+    return nodes.select("node", "label", "size", "prefix", "signature").mapInArrow(each, kinds).repartition("key").sortWithinPartitions("key")
 
 
 def _may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sets whose first common member has these places can be similar."""
+    """Whether sets whose first common member has these (place, *folded) can be similar: by what is left of
+    them, and as they differ in no fewer members than their signatures do in bits."""
     p, q = SIMILARITY
-    return (p + q) * np.minimum(x >> 32, y >> 32) >= p * ((x & 0xFFFFFFFF) + (y & 0xFFFFFFFF))
+    both = (x[0] & 0xFFFFFFFF) + (y[0] & 0xFFFFFFFF)
+    differ = np.bitwise_count((x[1:] ^ y[1:]).view(np.uint64)).sum(axis=0, dtype=np.int64)
+    return ((p + q) * np.minimum(x[0] >> 32, y[0] >> 32) >= p * both) & ((p + q) * differ <= (q - p) * both)
+
 
+def _nearest(nodes: DataFrame) -> DataFrame:
+    """(a, b): of each node b up to NEAREST others that it meets in most bands.
 
-def first_with_others(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of (key, node, label, place) sorted by key: each key's smallest node, with every other."""
-    order = np.lexsort((rows[1], rows[0]))
-    starts = np.flatnonzero(np.append(True, np.diff(rows[0][order]) != 0))
-    head = order[np.repeat(starts, np.diff(np.append(starts, len(order))))]
-    fits = (head != order) & _may(rows[3][head], rows[3][order])
-    yield head[fits], order[fits]
+    In each band a node meets the first and the one before it of those with its key, so a group of any size
+    gives no more than two rows a node and band.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(k, dtype=np.int64) for k in batch.column(1).to_pylist()]
+            for lo in range(0, len(keys), 4096):
+                some = keys[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(np.repeat(batch.column(0).slice(lo, 4096).to_numpy(), [len(k) for k in some]))], ["key", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = head = last = None
+        for batch in batches:
+            keys, found = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(keys):
+                continue
+            new = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
+            heads = found[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+            if not new[0]:  # the key goes on from the batch before
+                heads[: int(np.argmax(new)) if new.any() else len(new)] = head
+            before = np.append(found[0] if last is None else last, found[:-1])
+            key, head, last = keys[-1], heads[-1], found[-1]
+            old = ~new
+            a, b = np.concatenate([heads[old], before[old]]), np.tile(found[old], 2)
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    keyed = nodes.select("node", "bands").mapInArrow(spread, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    pairs = keyed.mapInArrow(meet, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # at most two for each band
+    best = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "a")), False), 1, NEAREST).alias("best"))
+    return best.select(F.explode("best.a").alias("a"), "b")
 
 
 def across_labels(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of (key, node, label, place) sorted by key: all pairs of a key that have different labels."""
+    """Of (key, node, label, place, *folded) sorted by key: all pairs of a key that have different labels and
+    may be similar."""
     edges = np.flatnonzero(np.diff(rows[0])) + 1
     starts = np.append(0, edges)
     many = np.diff(np.append(starts, rows.shape[1]))
@@ -432,15 +487,18 @@ def across_labels(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left = left[left + step < len(small)]
         left = left[rows[0, small[left]] == rows[0, small[left + step]]]
         i, j = small[left], small[left + step]
-        fits = (rows[2, i] != rows[2, j]) & _may(rows[3, i], rows[3, j])
+        other = rows[2, i] != rows[2, j]
+        i, j = i[other], j[other]
+        fits = _may(rows[3:, i], rows[3:, j])
         yield i[fits], j[fits]
         step += 1
     for k in np.flatnonzero(mixed & (many > 256)):  # all with all outside the largest label, and those with its members
-        lo, (label, place) = starts[k], rows[2:, starts[k] : starts[k] + many[k]]
+        lo, some = starts[k], np.ascontiguousarray(rows[2:, starts[k] : starts[k] + many[k]])
+        label = some[0]
         names, n = np.unique(label, return_counts=True)
         other = label != names[np.argmax(n)]
         for i in np.flatnonzero(other):
-            fits = (label != label[i]) & _may(place, place[i])
+            fits = (label != label[i]) & _may(some[1:], some[1:, i : i + 1])
             fits[:i] &= ~other[:i]
             j = np.flatnonzero(fits)
             yield np.full(len(j), lo + i), lo + j
@@ -531,11 +589,11 @@ def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text")
     """(row_id, text_hash, component_id) of the documents that are in a group but are not its smallest.
 
     Documents are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of
-    them.  Equal sets are one node.  Candidates are the nodes whose SimHash fingerprints Golay keys bring
-    together, which are most pairs of 0.95 and more but few of 0.8, and, as two similar sets sorted by one order
-    share a member among their first fifths, the nodes that share such a key.  Of those, pairs of a node and
-    the first node of one of its keys are verified first; after that, pairs that share a key but are in
-    different groups so far.  Only the sets themselves decide.  The id is a whole number; rows with a null id are in
+    them.  Equal sets are one node.  Candidates come first from keys of SimHash fingerprints and of min-wise
+    hashes, in numbers that grow with the nodes however large a group is, and those that hold join most of
+    every group.  Then, as two similar sets sorted by one order share a member among their first fifths, all
+    pairs that share such a key but are in different groups so far are met: none is missed.  Only the sets
+    themselves decide.  The id is a whole number; rows with a null id are in
     no group; rows of one id with other texts, so with another xxhash64 ``text_hash``, are other documents,
     and those equal in both are one; component_id is the smallest id of the group.
     """
@@ -558,10 +616,8 @@ def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text")
         scratch.drop(1)
         return close
 
-    stars = _pairs(_postings(nodes.withColumn("label", F.col("node"))), first_with_others)
-    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    near = links(nodes.select(F.array("fp").alias("fps"), "node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = verified(stars.unionByName(near).distinct(), "first")
+    near = links(nodes.select(F.array("fp").alias("fps"), "node")).unionByName(_nearest(nodes))
+    first = verified(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
     labels = components(first, "similar-labels").select(F.col("a").alias("node"), F.col("b").alias("label"))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = verified(_pairs(_postings(labelled), across_labels), "rest")
