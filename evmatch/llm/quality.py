@@ -158,9 +158,11 @@ class GatedAttention:
         return {"E": xs.T @ de, "e": de.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (t * g).T @ draw, "c": z.T @ d, "b": d.sum(keepdims=True)}
 
     def fit(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> GatedAttention:
-        """Full-batch Adam on the log loss."""
+        """Full-batch Adam on the log loss; ``x`` is overwritten."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + x.dtype.type(1e-2)
-        xs, p = (x - self.mean) / self.scale, self.p
+        x -= self.mean
+        x /= self.scale
+        xs, p = x, self.p
         m, v = ({k: np.zeros_like(q) for k, q in p.items()} for _ in range(2))
         for step in range(1, STEPS + 1):
             grad = self.gradient(y, *self._scaled(xs, starts))
@@ -197,7 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
     got = got.sort_values(["y", "x"])  # the order of rows must not matter
     bags = [np.frombuffer(x, dtype=np.float16).reshape(-1, DIMS) for x in got["x"]]
     starts = np.cumsum([0, *map(len, bags[:-1])])
-    return GatedAttention().fit(np.concatenate(bags).astype(np.float32), starts, got["y"].to_numpy())
+    y, x = got["y"].to_numpy(), np.concatenate(bags)
+    del got, bags
+    return GatedAttention().fit(x.astype(np.float32), starts, y)
 
 
 def score(docs: DataFrame, model: GatedAttention | None, row_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
