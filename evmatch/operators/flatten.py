@@ -142,6 +142,11 @@ class TypedFlattener:
         return F.when(c.isNull(), _none()).otherwise(F.array(_leaf(v, d, trail)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 LEVEL = "array<struct<v:variant,trail:array<struct<arr:string,pos:int>>,place:string>>"
 
 
@@ -163,36 +168,47 @@ class VariantFlattener:
         return df, {p: self._at(F.col("_event_variant"), p) for p in paths}
 
     def _at(self, v: Column, path: Path) -> Column:
-        plain = F.try_variant_get(v, "$" + "".join(map(self._step, path)), "variant")
-        kind = F.schema_of_variant(plain)
-        one = F.array(self._leaf(F.struct(plain.alias("v"), F.array().cast("array<struct<arr:string,pos:int>>").alias("trail"))))
+        """The value at the path is bound to a name with its kind, as what arrays of leaves are used in is not
+        compiled and makes a value each time it is named."""
+        steps = F.array().cast("array<struct<arr:string,pos:int>>")
         # what is not there at once can still be in arrays on the way, if the event's first field is there
         there = F.try_variant_get(v, "$" + self._step(path[0]), "variant").isNotNull()
         deep = F.when(there, self._unrolled(v, path)).otherwise(_none())
-        return F.when(plain.isNotNull() & ~kind.startswith("ARRAY"), F.when(kind.startswith("OBJECT"), _none()).otherwise(one)).otherwise(deep)
+
+        def told(x: Column) -> Column:
+            kind = x["kind"]
+            here = F.array(self._leaf(F.struct(x["v"].alias("v"), steps.alias("trail")), kind, x["v"]))
+            plain = kind.isNotNull() & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
+            return F.when(plain, here).when(kind.startswith("OBJECT"), _none()).otherwise(deep)
+
+        value = F.try_variant_get(v, "$" + "".join(map(self._step, path)), "variant")
+        return bound(F.struct(value.alias("v"), F.schema_of_variant(value).alias("kind")), told)
 
     def _unrolled(self, v: Column, path: Path) -> Column:
+        """Every level is bound to a name, so that it is made once."""
         steps = F.array().cast("array<struct<arr:string,pos:int>>")
         level = F.array(F.struct(v.alias("v"), steps.alias("trail"), F.lit("").alias("place"))).cast(LEVEL)
         is_array = lambda x: F.schema_of_variant(x["v"]).startswith("ARRAY")
         unroll = lambda x: F.flatten(F.transform(x, self._elements)).cast(LEVEL)
+        once = lambda x: F.when(F.exists(x, is_array), unroll(x)).otherwise(x)
         # no more levels than brackets; the loop idles once nothing is left to unroll
         many = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(self.event, F.lit(r"\["))))
+        rest = lambda x: F.when(F.exists(x, is_array), F.aggregate(many, x, lambda acc, _: once(acc))).otherwise(x)
         for key in path:
-            level = F.filter(F.transform(level, self._field(key)), lambda x: x["v"].isNotNull())
+            level = F.filter(F.transform(level, self._field(key)), lambda x: x["v"].isNotNull()).cast(LEVEL)
             for _ in range(self.unrolled):
-                level = F.when(F.exists(level, is_array), unroll(level)).otherwise(level.cast(LEVEL))
-            more = F.aggregate(many, level.cast(LEVEL), lambda acc, _: F.when(F.exists(acc, is_array), unroll(acc)).otherwise(acc))
-            level = F.when(F.exists(level, is_array), more).otherwise(level)
-        scalars = F.filter(level, lambda x: ~F.schema_of_variant(x["v"]).rlike("^(OBJECT|ARRAY)"))
-        return F.coalesce(F.transform(scalars, self._leaf), _none())
+                level = bound(level, once)
+            level = bound(level, rest)
+        kinds = F.transform(level, lambda x: F.struct(x["v"].alias("v"), x["trail"].alias("trail"), F.schema_of_variant(x["v"]).alias("kind")))
+        scalars = F.filter(kinds, lambda x: ~F.coalesce(x["kind"], F.lit("")).rlike("^(OBJECT|ARRAY)"))
+        return F.coalesce(F.transform(scalars, lambda x: self._leaf(x, x["kind"])), _none())
 
     @staticmethod
-    def _leaf(x: Column) -> Column:
-        kind = F.schema_of_variant(x["v"])
-        number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
-        text = F.when(F.is_variant_null(x["v"]), F.lit("null")).otherwise(F.try_variant_get(x["v"], "$", "string"))
-        return F.struct(text.alias("v"), F.when(number, F.try_variant_get(x["v"], "$", "double")).alias("d"), x["trail"].alias("trail")).cast(LEAF)
+    def _leaf(x: Column, kind: Column, v: Column | None = None) -> Column:
+        v = x["v"] if v is None else v
+        number = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        text = F.when(kind == "VOID", F.lit("null")).otherwise(F.try_variant_get(v, "$", "string"))
+        return F.struct(text.alias("v"), F.when(number, F.try_variant_get(v, "$", "double")).alias("d"), x["trail"].alias("trail")).cast(LEAF)
 
     @staticmethod
     def _step(key: str) -> str:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,6 +168,7 @@ def looked_up(df: DataFrame, patterns: list[Pattern], ids: list[str], scalar: Ca
     others: dict[tuple[Path, Matcher], set[int]] = {}
     conditions: dict[tuple, int] = {}
     keyed: dict[int, list[tuple[tuple[Path, str], str | float]]] = {}
+    scalar = cache(scalar)
     for path, matchers in dict.fromkeys(f for p in patterns for f in p.fields):
         c = conditions[path, matchers] = len(conditions)
         d, at = scalar(path)[1], []
