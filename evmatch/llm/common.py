@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from evmatch.deploy import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: rows of which narrow tables take one file more
+NARROW = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +38,10 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
         Scratch.made.append(self)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, files: int | None = None) -> DataFrame:
+        """Writes a table; into ``files`` files, dealt out evenly, where it is too narrow for a file a partition."""
         self.n += 1
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{self.n}")
+        (df.repartition(files) if files else df).write.option("compression", "zstd").parquet(f"{self.root}/{self.n}")
         self.schema = df.schema
         return self.again()
 
@@ -74,6 +77,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return Scratch(df.sparkSession, tag).put(df)
 
 
+def narrow_files(spark: SparkSession, rows: int) -> int:
+    """Files for a table of a few numbers for each of so many rows: they grow with the rows, not with the partitions
+    of a shuffle, as on a local file system Hadoop starts two processes for each file."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // NARROW))
+
+
 def words(text: Column | str) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,17 +26,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("_m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, tag: str = "components") -> DataFrame:
+def components(links: DataFrame, tag: str = "components", files: int | None = None) -> DataFrame:
     """From links (a, b) to (a, b) with b the smallest member of a's component, for every a but that one.
 
     A link with a null end or from a node to itself is ignored; no links give no rows.
+    ``files`` is how many each round is written into, by default one a partition.
     """
     scratch = Scratch(links.sparkSession, tag)
-    now = scratch.put(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.put(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), files)
     size = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     mark = size(now)
     while mark[0]:
-        after = scratch.put(_small_star(_large_star(now)))
+        after = scratch.put(_small_star(_large_star(now)), files)
         scratch.drop(scratch.n - 1)
         now, before, mark = after, mark, size(after)
         if mark == before:

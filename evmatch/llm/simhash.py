@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evmatch.llm.common import Scratch, table
+from evmatch.llm.common import Scratch, narrow_files, table
 from evmatch.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -236,9 +236,9 @@ def in_buckets(keyed: DataFrame, near: Callable, most: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(each, "a long, b long, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, files: int | None = None) -> DataFrame:
     """From (fps array, node) to links (a, b) of nodes, which connect all that have at one place of
-    their arrays fingerprints within two bits."""
+    their arrays fingerprints within two bits.  What is written on the way goes into ``files`` files."""
 
     def with_keys(make: Callable) -> Callable:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def links(distinct: DataFrame) -> DataFrame:
         return lambda fps: golay_keys(fps, golay)
 
     schema = "key long, fp long, node long"
-    first = Scratch(distinct.sparkSession, "simhash-links").put(in_buckets(distinct.mapInArrow(with_keys(by_golay), schema), neighbours_in_order, BUCKET))
+    first = Scratch(distinct.sparkSession, "simhash-links").put(in_buckets(distinct.mapInArrow(with_keys(by_golay), schema), neighbours_in_order, BUCKET), files)
     over = first.filter("b is null").select(F.array("fp").alias("fps"), F.col("a").alias("node")).distinct()
     second = in_buckets(over.mapInArrow(with_keys(lambda: byte_keys), schema), neighbours_by_lookup, 1 << 62)
     return first.filter("b is not null").select("a", "b").unionByName(second.select("a", "b")).distinct()
@@ -600,28 +600,29 @@ def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text")
     spark = df.sparkSession
     rows = df.select(F.struct(F.col(row_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash")).alias("id"), F.col(text).alias("body")).filter("id.id is not null")
     marked = Scratch(spark, "similar").put(_marks(rows))
-    heads = Scratch(spark, "similar-heads").put(marked.groupBy("node").agg(F.min("id").alias("id")))
+    files = narrow_files(spark, marked.count())
+    heads = Scratch(spark, "similar-heads").put(marked.groupBy("node").agg(F.min("id").alias("id")), files)
     nodes = Scratch(spark, "similar-nodes").put(marked.join(heads, ["id", "node"], "left_semi").dropDuplicates(["node"]).drop("id"))
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         ends = [nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab"]
         both = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "sa", "sb")
-        near = Scratch(spark, f"similar-{tag}").put(both.mapInArrow(_near_signatures, "a long, b long"))
+        near = Scratch(spark, f"similar-{tag}").put(both.mapInArrow(_near_signatures, "a long, b long"), files)
         wanted = heads.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
         found = _sets(rows.join(wanted, "id", "left_semi").select("id", "body")).join(wanted, "node", "left_semi")
         scratch = Scratch(spark, f"similar-{tag}-sets")
         sets = scratch.put(found.dropDuplicates(["node"]))
         held = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        close = Scratch(spark, f"similar-{tag}-links").put(held.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
+        close = Scratch(spark, f"similar-{tag}-links").put(held.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), files)
         scratch.drop(1)
         return close
 
-    near = links(nodes.select(F.array("fp").alias("fps"), "node")).unionByName(_nearest(nodes))
+    near = links(nodes.select(F.array("fp").alias("fps"), "node"), files).unionByName(_nearest(nodes))
     first = verified(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    labels = components(first, "similar-labels").select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = components(first, "similar-labels", files).select(F.col("a").alias("node"), F.col("b").alias("label"))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = verified(_pairs(_postings(labelled), across_labels), "rest")
-    roots = components(first.unionByName(rest), "similar-components").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = components(first.unionByName(rest), "similar-components", files).select(F.col("a").alias("node"), F.col("b").alias("root"))
     grouped = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
     grouped = marked.select("id", "node").join(grouped.select("node", "root"), "node").join(least, "root")

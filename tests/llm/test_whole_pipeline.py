@@ -1,6 +1,7 @@
 """Stages of the pipeline on inputs that the given tables do not hold, against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -125,6 +126,31 @@ def test_packing_carries_ids_and_copies(spark):
     assert sorted(by_row.values())[:2] == [1, by_row[1, next(n for i, n in by_row if i == 1)]]
 
 
+def test_narrow_tables_do_not_get_a_file_for_each_partition(spark):
+    """Files cost processes on a local file system; the rows found stay the same."""
+    from pathlib import Path
+
+    from evmatch.llm.common import Scratch
+
+    rng = random.Random(17)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(100)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 1))]
+    before, kept = len(Scratch.made), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found(spark, texts) == brute_groups(texts)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    wide = re.compile(r"/similar(-nodes|-first-sets|-rest-sets)?-[0-9a-f]{32}$")
+    roots = [s.root.removeprefix("file:") for s in Scratch.made[before:]]
+    many = [len(list(t.glob("part-*"))) for r in roots if not wide.search(r) for t in Path(r).iterdir()]
+    assert len(many) >= 7 and max(many) <= spark.sparkContext.defaultParallelism
+
+
 def test_scratch_is_released(spark, tmp_path):
     import os
 
