@@ -599,10 +599,14 @@ def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text")
     """
     spark = df.sparkSession
     rows = df.select(F.struct(F.col(row_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash")).alias("id"), F.col(text).alias("body")).filter("id.id is not null")
-    marked = Scratch(spark, "similar").put(_marks(rows))
-    files = narrow_files(spark, marked.count())
-    heads = Scratch(spark, "similar-heads").put(marked.groupBy("node").agg(F.min("id").alias("id")), files)
-    nodes = Scratch(spark, "similar-nodes").put(marked.join(heads, ["id", "node"], "left_semi").dropDuplicates(["node"]).drop("id"))
+    wide = Scratch(spark, "similar")
+    marked = wide.put(_marks(rows))
+    members = Scratch(spark, "similar-members").put(marked.select("id", "node"))
+    files = narrow_files(spark, members.count())
+    heads = Scratch(spark, "similar-heads").put(members.groupBy("node").agg(F.min("id").alias("id")), files)
+    once = Scratch(spark, "similar-nodes")
+    nodes = once.put(marked.join(heads, ["id", "node"], "left_semi").dropDuplicates(["node"]).drop("id"))
+    wide.drop(1)  # the largest table: only ids and numbers of its rows are read again
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         ends = [nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab"]
@@ -622,10 +626,11 @@ def similar_documents(df: DataFrame, row_id: str = "doc_id", text: str = "text")
     labels = components(first, "similar-labels", files).select(F.col("a").alias("node"), F.col("b").alias("label"))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = verified(_pairs(_postings(labelled), across_labels), "rest")
+    once.drop(1)
     roots = components(first.unionByName(rest), "similar-components", files).select(F.col("a").alias("node"), F.col("b").alias("root"))
     grouped = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    grouped = marked.select("id", "node").join(grouped.select("node", "root"), "node").join(least, "root")
+    grouped = members.join(grouped.select("node", "root"), "node").join(least, "root")
     gone = grouped.filter("id <> component_id")
     kind = df.schema[row_id].dataType
     return gone.select(F.col("id.id").cast(kind).alias(row_id), "id.text_hash", F.col("component_id.id").cast(kind).alias("component_id")).distinct()

@@ -151,6 +151,20 @@ def test_narrow_tables_do_not_get_a_file_for_each_partition(spark):
     assert len(many) >= 7 and max(many) <= spark.sparkContext.defaultParallelism
 
 
+def test_near_duplicates_leave_no_wide_tables(spark):
+    """What the next stage finds on disk is a few numbers a document, not its shingles and signatures."""
+    from pathlib import Path
+
+    from evmatch.llm.common import Scratch
+
+    rng = random.Random(18)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(80)) for _ in range(30)]
+    before = len(Scratch.made)
+    assert found(spark, texts + texts[:3]) == {30: 0, 31: 1, 32: 2}
+    left = [t for s in Scratch.made[before:] if Path(s.root.removeprefix("file:")).exists() for t in Path(s.root.removeprefix("file:")).iterdir()]
+    assert left and not {"signature", "bands", "prefix", "shingles"} & {c for t in left for c in spark.read.parquet(str(t)).columns}
+
+
 def test_scratch_is_released(spark, tmp_path):
     import os
 
