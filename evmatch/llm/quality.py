@@ -78,6 +78,11 @@ def encode(text: str | None) -> np.ndarray:
     grams = low * np.uint32(0x9E3779B1)
     grams[:-1] += low[1:] * np.uint32(0x85EBCA6B)
     grams[:-2] += low[2:] * np.uint32(0xC2B2AE35)
+    over = np.cumsum(sizes[:-1])  # a passage's last trigrams do not see the next one, as a text's last see nothing
+    grams[over - 1] -= low[over] * np.uint32(0x85EBCA6B)
+    two = over[over + 1 < len(low)]
+    grams[over - 2] -= low[over] * np.uint32(0xC2B2AE35)
+    grams[two - 1] -= low[two + 1] * np.uint32(0xC2B2AE35)
     grams = np.bincount(of * BUCKETS + (grams * np.uint32(0x27D4EB2F) >> np.uint32(25)), minlength=len(first) * BUCKETS).reshape(-1, BUCKETS) / sizes[:, None]
     extra = [np.bincount(bag, again) / many, np.bincount(bag[order], fresh) / many, np.log1p(mean), np.log1p(spread), np.log1p(many) / 4, np.bincount(bag, lengths > 20) / many, np.bincount(bag, lengths < 3) / many]
     return np.concatenate([np.sqrt(counts / sizes[:, None]), np.stack(extra, axis=1), np.sqrt(kinds), np.sqrt(grams)], axis=1).astype(np.float32)

@@ -48,6 +48,14 @@ def test_passages_of_a_very_long_text_are_as_long_as_others(monkeypatch):
         assert np.allclose(model.scores(pa.array(bags)), whole)
 
 
+def test_a_passage_is_encoded_as_if_nothing_followed():
+    first = " ".join(ARTICLE.split()[: quality.WORDS]) + " "
+    alone = quality.encode(first)
+    for rest in ("a", "ab", "abc def", "é", ARTICLE):
+        assert np.array_equal(quality.encode(first + rest)[:1], alone)
+        assert np.allclose(quality.encode(first + rest)[1:], quality.encode(rest))
+
+
 def test_a_raw_element_without_an_end_tag_takes_no_text_along():
     weights = html.Weights({})
     for icon in ("<svg width='9'/>", "<object data='x' />", "<canvas>"):
