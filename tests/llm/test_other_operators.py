@@ -203,7 +203,7 @@ def test_words_and_trigrams_of_a_passage():
         lo, hi = starts[64 * n], starts[64 * n + 64] if 64 * n + 64 < len(starts) else len(data)
         counts = np.zeros(quality.BUCKETS)
         for k in range(lo, hi):
-            part = [c + 32 if 65 <= c <= 90 else c for c in data[k : k + 3]]
+            part = [c + 32 if 65 <= c <= 90 else c for c in data[k : min(k + 3, hi)]]
             h = sum(c * m for c, m in zip(part, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), strict=False)) * 0x27D4EB2F & 0xFFFFFFFF
             counts[h >> 25] += 1
         assert np.allclose(row[-quality.BUCKETS :], np.sqrt(counts / (hi - lo)), atol=1e-6)
