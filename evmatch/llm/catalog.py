@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evmatch.llm import html, kdtree, media, mixing, packing, periodicity, quality, sharding, simhash, suffixes, toxicity
+from evmatch.llm import collocations, decontamination, html, kdtree, media, mixing, packing, periodicity, quality, sharding, simhash, suffixes, toxicity
 
-MODULES = (simhash, media, sharding, html, quality, toxicity, suffixes, mixing, kdtree, packing, periodicity)
+MODULES = (simhash, media, sharding, html, quality, toxicity, suffixes, mixing, kdtree, packing, periodicity, collocations, decontamination)
 
 
 def queries() -> dict:
