@@ -2,14 +2,22 @@
 
 ``translate`` turns a source into conditions, each a regular expression for the JVM (and Python's
 ``regex`` module) that must, or must not, match the whole value.  A source without lookaround is one
-condition.  Literals come out escaped one by one, classes as explicit ranges.
+condition.  Literals come out escaped one by one, classes as explicit ranges.  How a condition is matched in
+time that grows with the value's length alone is ``automaton``'s part.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
+from typing import Any
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from evmatch.errors import InvalidPattern
+from evmatch.functions import automaton
+from evmatch.functions.automaton import Alt, Chars, Node, Rep, Seq, Table
 
 LAST = 0x10FFFF
 Ranges = list[tuple[int, int]]
@@ -100,13 +108,24 @@ class Set:
     def text(self, negated: bool = False) -> str:
         inner = "".join(_range(a, b) for a, b in self.ranges) + "".join(self.parts)
         if not inner:
-            return "[\\x00-\\x{10ffff}]" if negated else "(?!)"
+            return "[\\x00-\\x{10ffff}]" if negated else automaton.NEVER
         return f"[{'^' * negated}{inner}]"
 
+    def chars(self, negated: bool = False) -> Chars:
+        kinds = tuple((p[3:-1], p[1] == "P") for p in self.parts)
+        return Chars(self.text(negated), ((tuple(self.ranges), kinds, negated),))
+
+
+def literal(c: str) -> Chars:
+    return Chars(escaped(c), ((((ord(c), ord(c)),), (), False),))
+
+
+ANY = Chars("[\\x00-\\x{d7ff}\\x{e000}-\\x{10ffff}]", ((((0, LAST),), (), False),))
+
 
 @dataclass
 class Atom:
-    text: str
+    node: Node
     width: int | None  # None: varies
     look: str = ""  # one of = ! <= <!
     top: bool = False
@@ -147,14 +166,12 @@ class Parser:
             raise self.fail("a lookaround cannot be repeated")
         if c == "{":
             lo, hi = self.counts()
-            suffix = f"{{{lo}}}" if lo == hi else f"{{{lo},{'' if hi is None else hi}}}"
         else:
             self.i += 1
             lo, hi = {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
-            suffix = c
         if self.peek() == "?":  # lazy: the same for whole values
             self.i += 1
-        return Atom(f"{atom.text}{suffix}", atom.width * lo if lo == hi and atom.width is not None else None)
+        return Atom(Rep(atom.node, lo, hi), atom.width * lo if lo == hi and atom.width is not None else None)
 
     def counts(self) -> tuple[int, int | None]:
         self.i += 1
@@ -177,14 +194,14 @@ class Parser:
         if c == "[":
             return Atom(self.char_class(), 1)
         if c == ".":
-            return Atom("[\\x00-\\x{d7ff}\\x{e000}-\\x{10ffff}]", 1)
+            return Atom(ANY, 1)
         if c == "~":
             return Atom(self.escape_atom(), 1)
         if c in "?*+{":
             raise self.fail("nothing to repeat")
         if c in "]}":
             raise self.fail(f"stray {c}")
-        return Atom(escaped(c), 1)
+        return Atom(literal(c), 1)
 
     def group(self) -> Atom:
         look = ""
@@ -202,10 +219,10 @@ class Parser:
         self.i += 1
         if look and any(a.look for b in inner for a in b):
             raise self.fail("a lookaround inside a lookaround")
-        text, width = joined(inner)
+        node, width = joined(inner)
         if look.startswith("<") and width is None:
             raise self.fail("a lookbehind of varying length")
-        return Atom(f"(?:{text})", width, look)
+        return Atom(node, width, look)
 
     def escape(self) -> tuple[str, Ranges | None, str]:
         """After ~: (character, None, ""), ("", ranges, "") or ("", None, category)."""
@@ -232,13 +249,13 @@ class Parser:
             raise self.fail(f"unknown category {name}")
         raise self.fail("back references are not supported" if c.isdigit() else f"unknown escape ~{c}")
 
-    def escape_atom(self) -> str:
+    def escape_atom(self) -> Chars:
         c, ranges, category = self.escape()
         if c:
-            return escaped(c)
-        return category or Set(ranges or []).text()
+            return literal(c)
+        return Set(list(ranges or []), [category] if category else []).chars()
 
-    def char_class(self) -> str:
+    def char_class(self) -> Chars:
         negated = self.peek() == "^"
         self.i += negated
         found, empty = Set(), True
@@ -247,7 +264,7 @@ class Parser:
             if c == "]":
                 if empty:
                     raise self.fail("empty class")
-                return found.text(negated)
+                return found.chars(negated)
             if c == "[" or c == "-" and not empty and self.peek() not in ("]", "") and not self._after_set:
                 raise self.fail(f"unescaped {c} in a class")
             empty, self._after_set = False, False
@@ -277,21 +294,44 @@ class Parser:
     _after_set = False
 
 
-def joined(branches: list[list[Atom]]) -> tuple[str, int | None]:
-    """Text and width of alternatives; a lookaround below the top counts as plain content."""
+def joined(branches: list[list[Atom]]) -> tuple[Node, int | None]:
+    """Tree and width of alternatives; a lookaround below the top counts as plain content."""
     widths = {None if any(a.width is None for a in b) else sum(a.width for a in b) for b in branches}
-    return "|".join("".join(a.text for a in b) for b in branches), widths.pop() if len(widths) == 1 else None
+    return Alt(tuple(Seq(tuple(a.node for a in b)) for b in branches)), widths.pop() if len(widths) == 1 else None
 
 
 @dataclass(frozen=True)
 class Condition:
+    """What the whole value must match, or must not: the JVM's source, or a table for all values but short ones."""
+
     pattern: str
     positive: bool = True
+    table: Table | None = None
+    short: bool = True  # whether the source does for short values
 
     @property
     def anchored(self) -> str:
         return f"(?s)\\A(?:{self.pattern})\\z"
 
+    def column(self, v: Column) -> Column:
+        met = v.rlike(self.anchored) if self.short else None
+        if self.table:
+            fold = self.table.column(v)
+            met = fold if met is None else F.when(F.char_length(v) <= automaton.SHORT, met).otherwise(fold)
+        return met if self.positive else ~met
+
+    def holds(self, value: str) -> bool:
+        if self.table and not (self.short and len(value) <= automaton.SHORT):
+            return self.table.holds(value) == self.positive
+        return (_compiled(self.anchored).search(value) is not None) == self.positive
+
+
+@lru_cache(4096)
+def _compiled(pattern: str) -> Any:
+    import regex
+
+    return regex.compile(for_python(pattern))
+
 
 def translate(source: str, strict_lookaround: bool = False) -> tuple[Condition, ...]:
     """Conditions on the whole value, cheapest first.
@@ -304,23 +344,31 @@ def translate(source: str, strict_lookaround: bool = False) -> tuple[Condition,
     branches = parser.branches()
     if parser.i < len(source):
         raise parser.fail("unbalanced )")
+
+    def condition(node: Node, positive: bool = True) -> Condition:
+        try:
+            text, table, short = automaton.linear(node)
+        except automaton.TooLarge:
+            raise InvalidPattern(f"regexp: too many states in {source!r}") from None
+        return Condition(text, positive, table, short)
+
     if not any(a.look for b in branches for a in b):
-        return (Condition(joined(branches)[0]),)
+        return (condition(joined(branches)[0]),)
     if len(branches) > 1:
         raise InvalidPattern(f"regexp: lookaround beside alternatives in {source!r}")
     atoms = branches[0]
-    primary = "".join(a.text for a in atoms if not a.look)
+    primary = [a.node for a in atoms if not a.look]
     found: list[tuple[int, Condition]] = []
     for n, a in enumerate(atoms):
-        before = "".join(x.text for x in atoms[:n] if not x.look)
+        before = [x.node for x in atoms[:n] if not x.look]
         if a.look in ("=", "!"):
-            found.append((10 if a.look == "=" else 20, Condition(before + a.text, a.look == "=")))
-            extra = Condition(f"(?:{before})[\\x00-\\x{{10ffff}}]*")
+            found.append((10 if a.look == "=" else 20, condition(Seq((*before, a.node)), a.look == "=")))
+            extra = Seq((*before, Rep(ANY, 0, None)))
         elif a.look:
-            found.append((30 if a.look == "<=" else 40, Condition(a.text + primary, a.look == "<=")))
-            extra = Condition(f"[\\x00-\\x{{10ffff}}]*(?:{primary})")
+            found.append((30 if a.look == "<=" else 40, condition(Seq((a.node, *primary)), a.look == "<=")))
+            extra = Seq((Rep(ANY, 0, None), *primary))
         if a.look and strict_lookaround:
-            found.append((50, extra))
+            found.append((50, condition(extra)))
     return tuple(c for _, c in sorted(found, key=lambda x: x[0]))
 
 

@@ -57,7 +57,7 @@ def predicate(m: Matcher, v: Column, d: Column | None) -> Column:
     if m.op == "regexp":
         fine = None
         for c in m.conditions:
-            one = v.rlike(c.anchored) if c.positive else ~v.rlike(c.anchored)
+            one = c.column(v)
             fine = one if fine is None else fine & one
         return fine
     raise ValueError(m.op)

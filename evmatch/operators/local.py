@@ -137,7 +137,7 @@ def holds(m: Matcher, leaf: Leaf) -> bool:
     if m.op == "cidr":
         return m.block.holds(v)
     if m.op == "regexp":
-        return all((_regex(c.anchored).search(v) is not None) == c.positive for c in m.conditions)
+        return all(c.holds(v) for c in m.conditions)
     return False
 
 
