@@ -24,6 +24,8 @@ def _bounds(d: Column, m: Matcher) -> Column:
     fine = F.lit(True)
     if m.low is not None:
         fine = d >= m.low if m.low_in else d > m.low
+        if m.high is None:
+            fine = fine & ~F.isnan(d)  # which Spark sorts above all numbers
     if m.high is not None:
         upper = d <= m.high if m.high_in else d < m.high
         fine = upper if m.low is None else fine & upper

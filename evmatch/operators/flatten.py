@@ -30,6 +30,14 @@ LEAVES = f"array<{LEAF}>"
 ERROR = "_event_error"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that begins no column's: ``name``, longer by underscores where columns begin so."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
 class Flattener(Protocol):
     def __call__(self, df: DataFrame, paths: list[Path]) -> tuple[DataFrame, dict[Path, Column]]: ...
 
@@ -164,8 +172,9 @@ class VariantFlattener:
     def __call__(self, df: DataFrame, paths: list[Path]) -> tuple[DataFrame, dict[Path, Column]]:
         parsed = F.try_parse_json(F.col(self.event))
         whole = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
-        df = df.withColumn("_event_variant", whole).withColumn(ERROR, F.when(F.col("_event_variant").isNull(), F.lit("not a JSON object")))
-        return df, {p: self._at(F.col("_event_variant"), p) for p in paths}
+        name, error = fresh(df, "_event_variant"), fresh(df, ERROR)
+        df = df.withColumn(name, whole).withColumn(error, F.when(F.col(name).isNull(), F.lit("not a JSON object")))
+        return df, {p: self._at(F.col(name), p) for p in paths}
 
     def _at(self, v: Column, path: Path) -> Column:
         """The value at the path is bound to a name with its kind, as what arrays of leaves are used in is not
@@ -236,7 +245,9 @@ class ExactFlattener:
         self.event = event
 
     def __call__(self, df: DataFrame, paths: list[Path]) -> tuple[DataFrame, dict[Path, Column]]:
-        event, names = self.event, [f"_leaves_{n}" for n in range(len(paths))]
+        mark, error_name = fresh(df, "_leaves_"), fresh(df, ERROR)
+        event, names = self.event, [f"{mark}{n}" for n in range(len(paths))]
+
         def column(found: list[list[Leaf]]) -> pa.Array:
             """Leaves of each event as one Arrow list column, its children made in one go."""
             flat = [x for one in found for x in one]
@@ -259,7 +270,7 @@ class ExactFlattener:
                     errors.append(error)
                     for out, some in zip(cols, found, strict=True):
                         out.append(some)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *map(column, cols), pa.array(errors, type=pa.string())], [*batch.schema.names, *names, ERROR])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(column, cols), pa.array(errors, type=pa.string())], [*batch.schema.names, *names, error_name])
 
-        schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(LEAVES)) for n in names), T.StructField(ERROR, T.StringType())])
+        schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(LEAVES)) for n in names), T.StructField(error_name, T.StringType())])
         return df.mapInArrow(each, schema), {p: F.col(n) for p, n in zip(paths, names, strict=True)}

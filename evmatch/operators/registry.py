@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from evmatch.errors import PatternError, UnsupportedMediaType
 from evmatch.operators import local
-from evmatch.operators.flatten import ERROR, Flattener, TypedFlattener
+from evmatch.operators.flatten import ERROR, Flattener, TypedFlattener, fresh
 from evmatch.plans import columns
+from evmatch.plans.inline import INLINE_BYTES, InRow
 from evmatch.plans.join import EVENT, looked_up, quoted, satisfied
 from evmatch.plans.pattern import Path, Pattern, parse
 
 JSON = "application/json"
-FEW = 50  # patterns up to which each is an expression of its own
+FEW, VALUES = 50, 400  # patterns, and values in all of them, up to which each pattern is an expression of its own
 MATCHED = "_matched_ids"
 PUSHED = 8  # ids up to which rows without a match are filtered out by the scan
 REBUILD_LEAST, REBUILD_SHARE = 1000, 0.2
@@ -35,6 +36,17 @@ def _or(columns: Iterable[Column]) -> Column:
     return F.lit(False) if whole is None else whole
 
 
+def _present(ids: Iterable[Column]) -> Column:
+    """Array of those that are not null; compiled, unlike array_compact."""
+    ids = list(ids)
+    return F.array_except(F.array(*ids), F.array(F.lit(None).cast("string"))) if ids else F.array().cast("array<string>")
+
+
+def _others(df: DataFrame, into: str) -> list[str]:
+    """Columns but the one that is replaced; names that differ in case alone are one."""
+    return [c for c in df.columns if c.lower() != into.lower()]
+
+
 @dataclass(frozen=True)
 class PrunerStats:
     """Results given, and results held back because their pattern was deleted."""
@@ -212,7 +224,8 @@ class PatternSet:
         deep = [p for p in paths if scalar(p) is None]
         df, leaves = self.flattener(df, deep) if deep else (df, {})
         if leaves and not typed:
-            names = {p: f"_leaves_of_{n}" for n, p in enumerate(deep)}
+            mark = fresh(df, "_leaves_of")
+            names = {p: f"{mark}{n}" for n, p in enumerate(deep)}
             df = df.withColumns({names[p]: leaves[p] for p in deep})
             leaves = {p: F.col(names[p]) for p in deep}
         found: dict[Hashable, Column] = {}
@@ -228,31 +241,56 @@ class PatternSet:
         nothing = (F.lit(None).cast("string"), None)
         return looked_up(df, [e.pattern for e in live], [str(e.id) for e in live], lambda p: self.flattener.scalar(df, p) or nothing, into)
 
+    @staticmethod
+    def _many(live: list[_Entry]) -> bool:
+        return len(live) > FEW or sum(1 + len(m.texts) + len(m.numbers) for e in live for _, ms in e.pattern.fields for m in ms) > VALUES
+
+    def _has_arrays(self, df: DataFrame, paths: Iterable[Path]) -> bool:
+        return not isinstance(self.flattener, TypedFlattener) or any(columns.has_array(df, p) for p in paths)
+
+    def _in_row(self, df: DataFrame, live: list[_Entry], into: str, limit: int = INLINE_BYTES) -> DataFrame | None:
+        """The plan whose terms are constants, if they are not too large."""
+        paths = self._paths(live)
+        terms = InRow([e.pattern for e in live], paths, [str(e.id) for e in live], self._has_arrays(df, paths))
+        if terms.size > limit:
+            return None
+        flat, leaves = self.flattener(df, paths)
+        return flat.withColumn(into, terms.column([leaves[p] for p in paths]))
+
     def _joined(self, df: DataFrame, key: list[str], live: list[_Entry], outer: bool = False) -> DataFrame:
         paths = self._paths(live)
         flat, leaves = self.flattener(df, paths)
-        single = isinstance(self.flattener, TypedFlattener) and not any(columns.has_array(df, p) for p in paths)
-        kept = [*key, *[c for c in flat.columns if c == ERROR and outer and c not in key]]
+        single = not self._has_arrays(df, paths)
+        kept = [*key, *(self._error(df, flat) if outer else [])]
         return satisfied(flat, kept, [e.pattern for e in live], [str(e.id) for e in live], paths, leaves, single, outer)
 
+    @staticmethod
+    def _error(df: DataFrame, flat: DataFrame) -> list[str]:
+        """The column of errors, if a flattener made one."""
+        return [c for c in [fresh(df, ERROR)] if c in flat.columns]
+
     def match(self, df: DataFrame, into: str = "matches", observe: Observation | None = None) -> DataFrame:
         """``df`` with an array of the ids (as strings) that each row matches, sorted; a column of that name is replaced.
 
-        The same rows come out of all plans, whatever columns they have: beyond FEW patterns values are
-        looked up in the row or, with arrays, a row travels with its number through the join plan.  With
-        ``observe`` results are counted for the statistics, which ``absorb`` adds once the rows are written.
+        The same rows come out of all plans, whatever columns they have: beyond FEW patterns or VALUES values
+        are looked up in the row or, in sets too large for that, a row travels with its number through the join
+        plan.  With ``observe`` results are counted for the statistics, which ``absorb`` adds once the rows are
+        written.
         """
         if observe:
             return self._observed(df, into, observe)
-        kept = [c for c in df.columns if c != into]
+        kept = _others(df, into)
         live = [e for e in self._live() if e.pattern.fields]
-        if len(live) > FEW:
+        if self._many(live):
             if (out := self._looked_up(df, live, into)) is not None:
                 return out
-            return self._joined(df, kept, live, outer=True).select("_key.*", F.array_sort("_ids").alias(into))
+            if (out := self._in_row(df, live, ids := fresh(df, MATCHED))) is not None:
+                return out.select(*map(quoted, kept), *map(quoted, self._error(df, out)), F.col(ids).alias(into))
+            out = self._joined(df, kept, live, outer=True)
+            return out.select("_key.*", F.array_sort("_ids").alias(into))
         flat, found = self._compiled(df)
-        ids = F.array_compact(F.array(*(F.when(c, F.lit(str(i))) for i, c in found.items()))) if found else F.array().cast("array<string>")
-        return flat.withColumn(into, F.array_sort(ids)).select(*map(quoted, kept), *[c for c in flat.columns if c == ERROR and c not in kept], into)
+        ids = _present(F.when(c, F.lit(str(i))) for i, c in found.items())
+        return flat.withColumn(into, F.sort_array(ids)).select(*map(quoted, kept), *map(quoted, self._error(df, flat)), into)
 
     def _observed(self, df: DataFrame, into: str, observe: Observation) -> DataFrame:
         live, held = {e.id for e in self._live()}, "_held_back"
@@ -270,21 +308,28 @@ class PatternSet:
     def match_long(self, df: DataFrame, key: list[str], plan: str | None = None) -> DataFrame:
         """(*key, pattern_id), each pattern once a row.
 
-        ``plan``: "columns", "lookup", "join" or, for what keeps no state, "stream"; by the number of patterns
-        and their fields if not said.
+        ``plan``: "columns", "lookup", "row", "join" or, for what keeps no state, "stream"; by the number of
+        patterns, their values and fields if not said.
         """
         live = [e for e in self._live() if e.pattern.fields]
         event = getattr(self.flattener, "event", None)
         df = df.select(*map(quoted, dict.fromkeys([*key, event]))) if event else df
-        table = self._looked_up(df, live, "_ids") if plan == "lookup" or plan in (None, "stream") and len(live) > FEW else None
-        if plan == "columns" or not live or table is None and (plan == "stream" or plan is None and len(live) <= FEW):
+        many, ids = self._many(live), fresh(df, MATCHED)
+        table = None
+        if live and (plan == "lookup" or plan in (None, "stream") and many):
+            table = self._looked_up(df, live, ids)
+        if live and table is None and (plan == "row" or plan in (None, "stream") and many):
+            table = self._in_row(df, live, ids)
+        if table is not None:
+            return table.select(*map(quoted, key), F.explode(ids).alias("pattern_id"))
+        if plan in ("columns", "stream") or not live or plan is None and not many:
             flat, found = self._compiled(df)
-            ids = F.array_compact(F.array(*(F.when(c, F.lit(str(i))) for i, c in found.items()))) if found else F.array().cast("array<string>")
             if 0 < len(found) <= PUSHED:
                 flat = flat.filter(_or(found.values()))
-            return flat.select(*map(quoted, key), F.explode(ids).alias("pattern_id"))
-        if table is not None:
-            return table.select(*map(quoted, key), F.explode("_ids").alias("pattern_id"))
+            if not found:
+                return flat.select(*map(quoted, key), F.lit("").alias("pattern_id")).filter(F.lit(False))
+            each = flat.select(*map(quoted, key), F.explode(F.array(*(F.when(c, F.lit(str(i))) for i, c in found.items()))).alias("pattern_id"))
+            return each.filter("pattern_id is not null")
         out = self._joined(df, key, live)
         if len({e.id for e in live}) < len(live):
             out = out.groupBy(EVENT, "_id").agg(F.first("_key").alias("_key"))
@@ -293,15 +338,17 @@ class PatternSet:
     def matching(self, df: DataFrame) -> DataFrame:
         """The rows that match any pattern.  Comparisons of plain columns reach the scan."""
         kept = df.columns
-        if len(self._live()) > FEW:
-            return self.match(df, MATCHED).filter(F.size(MATCHED) > 0).select(*map(quoted, kept))
+        if self._many(self._live()):
+            ids = fresh(df, MATCHED)
+            return self.match(df, ids).filter(F.size(ids) > 0).select(*map(quoted, kept))
         flat, found = self._compiled(df)
         return flat.filter(_or(found.values())).select(*map(quoted, kept))
 
     def count_column(self, df: DataFrame, into: str = "n_matches") -> DataFrame:
-        kept = [c for c in df.columns if c != into]
-        if len(self._live()) > FEW:
-            return self.match(df, MATCHED).select(*map(quoted, kept), F.size(MATCHED).alias(into))
+        kept = _others(df, into)
+        if self._many(self._live()):
+            ids = fresh(df, MATCHED)
+            return self.match(df, ids).select(*map(quoted, kept), F.size(ids).alias(into))
         flat, found = self._compiled(df)
         total = F.lit(0)
         for c in found.values():
@@ -347,7 +394,7 @@ class ValueMatcher:
         for i, p in self._set:
             one = F.coalesce(any_of(p.fields[0][1], v, None), F.lit(False))
             by_id[i] = by_id[i] | one if i in by_id else one
-        return F.array_compact(F.array(*(F.when(c, F.lit(str(i))) for i, c in by_id.items()))) if by_id else F.array().cast("array<string>")
+        return _present(F.when(c, F.lit(str(i))) for i, c in by_id.items())
 
 
 __all__ = ["Builder", "PatternError", "PatternSet", "PrunerStats", "ValueMatcher"]

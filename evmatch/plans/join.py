@@ -1,15 +1,13 @@
-"""Patterns as a table joined with leaves: the plan for many patterns.
-
-Every leaf says what it satisfies as a set of keys: its text, its number, its beginnings and endings
-of the lengths that patterns ask for, and the numbers of the other matchers that hold.  A condition is
-a path with a list of matchers, shared by all patterns that have it; terms are rows (path, key,
-condition), so one hash join finds an event's conditions however many patterns there are, and the
-plan's size depends only on the matchers that are no equality.  A pattern is then looked up by the
-condition that fewest patterns share, and its others are looked for among the event's.  Only the
-narrow rows that met a condition are grouped by event, and only where a pattern has several fields.
-
-Where no field is in an array and patterns can be found by an equality, ``looked_up`` does the same
-inside the row, so that nothing is exploded or moved.
+"""Patterns as a table joined with leaves: the plan for the largest sets; and lookups of plain fields in the row.
+
+Every leaf says keys (see ``terms``), and terms are rows (path, key, condition), so one hash join finds an event's
+conditions however many patterns there are.  A pattern is then looked up by the condition that fewest patterns
+share, and its others are looked for among the event's.  Only the narrow rows that met a condition are grouped by
+event, and only where a pattern has several fields.  Events are numbered for that, and the numbers are written
+before they are used, so that a task that runs again finds the same ones.
+
+Where no field is in an array and patterns can be found by an equality, ``looked_up`` joins a row's values with
+broadcast tables instead, so that nothing is exploded or moved.
 """
 
 from __future__ import annotations
@@ -18,15 +16,17 @@ from collections import Counter
 from collections.abc import Callable
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evmatch.deploy import shared_dir
 from evmatch.functions.predicates import predicate
 from evmatch.plans.columns import STEPS, agree
 from evmatch.plans.pattern import Matcher, Path, Pattern
+from evmatch.plans.terms import Terms, fits, same_letters
 
 BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 64 << 20
-CHUNK = 40
 EVENT = "_event_no"
 
 
@@ -43,67 +43,55 @@ def _double_key(x: Column) -> Column:
     return F.concat(F.lit("n"), (x + F.lit(0.0)).cast("string"))
 
 
-class Terms:
-    """The rows of the term table, what leaves must say to meet them, and the patterns' conditions."""
+class TermTables:
+    """The terms and patterns of a set as tables, and what leaves say to be joined with them."""
 
     def __init__(self, patterns: list[Pattern], paths: list[Path], ids: list[str]):
-        self.ids = ids
-        self.rows: list[tuple[int, str, float | None, int]] = []  # path, key, number, condition
-        self.starts: dict[int, set[int]] = {}
-        self.ends: dict[int, set[int]] = {}
-        self.others: dict[int, dict[Matcher, int]] = {}
-        self.absent: set[int] = set()
-        at = {p: n for n, p in enumerate(paths)}
-        conditions: dict[tuple, int] = {}
-        for pattern in patterns:
-            for path, matchers in pattern.fields:
-                if (path, matchers) not in conditions:
-                    conditions[path, matchers] = len(conditions)
-                    self.rows += [(at[path], key, number, conditions[path, matchers]) for m in matchers for key, number in self._keys(at[path], m)]
-        self.rows = list(dict.fromkeys(self.rows))
-        #: whether a leaf can meet a condition in one way only
-        self.once = len({c for *_, c in self.rows}) == len(self.rows)
-        asked = [[conditions[f] for f in p.fields] for p in patterns]
-        shared = Counter(c for cs in asked for c in cs)
-        self.patterns = [(n, min(cs, key=lambda c: (shared[c], c)), cs) for n, cs in enumerate(asked)]
-
-    def _keys(self, path: int, m: Matcher) -> list[tuple[str, float | None]]:
-        if m.op == "exact":
-            return [(f"s{m.text}", None)]
-        if m.op == "number":
-            return [("n", m.number), (f"t{m.text}", None)]
-        if m.op in ("prefix", "suffix"):
-            (self.starts if m.op == "prefix" else self.ends).setdefault(path, set()).add(len(m.text))
-            return [(f"{'p' if m.op == 'prefix' else 'x'}{len(m.text)}:{m.text}", None)]
-        if m.op == "missing":
-            self.absent.add(path)
-            return [("m", None)]
-        mine = self.others.setdefault(path, {})
-        return [(f"r{mine.setdefault(m, len(mine))}", None)]
+        self.terms, self.ids = Terms(patterns, paths), ids
+        self.checked = {path for (path, _), found in self.terms.said.items() if any(t.pieces or t.exact for t in found)}
+        self.patterns = self.terms.patterns
 
     def table(self, like: DataFrame) -> DataFrame:
-        raw = like.sparkSession.createDataFrame(self.rows, "_path int, _said string, number double, _condition int")
+        """(_path, _said, _condition, _pieces, _exact)."""
+        t = self.terms
+        rows = [(path, key, None, *x) for (path, key), found in t.said.items() for x in found]
+        rows += [(path, None, number, *x) for (path, number), found in t.numbers.items() for x in found]
+        rows += [(path, f"g{node}", None, *x) for (path, node), found in t.nodes.items() for x in found]
+        rows += [(path, "m", None, c, None, None) for path, cs in t.absent.items() for c in cs]
+        kinds = [("_path", pa.int32()), ("_said", pa.string()), ("number", pa.float64()), ("_condition", pa.int32()), ("_pieces", pa.list_(pa.string())), ("_exact", pa.string())]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        raw = like.sparkSession.createDataFrame(pa.table({name: pa.array(c, type=kind) for (name, kind), c in zip(kinds, columns, strict=True)}))
         key = F.when(F.col("number").isNotNull(), _double_key(F.col("number"))).otherwise(F.col("_said"))
-        return sized(raw.select("_path", key.alias("_said"), "_condition"), len(self.rows), sum(24 + 4 * len(k) for _, k, _, _ in self.rows))
+        size = sum(40 + 4 * len(k or "") + 4 * len(e or "") + sum(16 + 4 * len(p) for p in ps or ()) for _, k, _, _, ps, e in rows)
+        return sized(raw.select("_path", key.alias("_said"), "_condition", "_pieces", "_exact"), len(rows), size)
 
     def pattern_table(self, like: DataFrame) -> DataFrame:
         """(id of the pattern, condition to look it up by, all its conditions)."""
-        raw = like.sparkSession.createDataFrame([(self.ids[n], *rest) for n, *rest in self.patterns], "_id string, _condition int, _conditions array<int>")
-        many = sum(len(cs) for _, _, cs in self.patterns)
+        n, leads, asked = zip(*self.patterns, strict=True)
+        raw = like.sparkSession.createDataFrame(pa.table({"_id": pa.array([self.ids[k] for k in n], type=pa.string()), "_condition": pa.array(leads, type=pa.int32()), "_conditions": pa.array(asked, type=pa.list_(pa.int32()))}))
+        many = sum(map(len, asked))
         return sized(raw, many, 8 * many + sum(24 + 4 * len(i) for i in self.ids))
 
     def saying(self, path: int) -> Callable[[Column], Column]:
-        return lambda x: F.struct(F.lit(path).alias("path"), self.keys(path, x["v"], x["d"]).alias("keys"), x["trail"].alias("trail"))
+        v = (lambda x: x["v"]) if path in self.checked else lambda x: F.lit(None).cast("string")
+        return lambda x: F.struct(F.lit(path).alias("path"), self.keys(path, x["v"], x["d"]).alias("keys"), v(x).alias("v"), x["trail"].alias("trail"))
 
     def keys(self, path: int, v: Column, d: Column) -> Column:
-        said = [F.concat(F.lit("s"), v), F.when(d.isNotNull(), _double_key(d)).otherwise(F.concat(F.lit("t"), v))]
-        for n in sorted(self.starts.get(path, ())):
-            said.append(F.concat(F.lit(f"p{n}:"), F.substring(v, 1, n)) if n else F.lit("p0:"))
-        for n in sorted(self.ends.get(path, ())):
-            said.append(F.concat(F.lit(f"x{n}:"), F.right(v, F.lit(n))) if n else F.lit("x0:"))
-        said += [F.when(F.coalesce(predicate(m, v, d), F.lit(False)), F.lit(f"r{k}")) for m, k in self.others.get(path, {}).items()]
-        parts = [F.array(*said[i : i + CHUNK]) for i in range(0, len(said), CHUNK)]
-        return F.array_compact(parts[0] if len(parts) == 1 else F.concat(*parts))
+        parts, ways = [self.terms.texts(path, v, d)], self.terms.ways[path]
+        if ways.number:
+            parts.append(F.array_compact(F.array(F.when(d.isNotNull(), _double_key(d)))))
+        if ways.bounds:
+            bounds = F.from_json(F.lit(str(ways.bounds)), "array<double>")
+            parts.append(F.transform(self.terms.node_numbers(path, d, bounds), lambda n: F.concat(F.lit("g"), n.cast("string"))))
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with EVENT, a number of each, kept in the shared folder: numbers given anew might go to other rows."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
+    return rows.withColumn(EVENT, F.monotonically_increasing_id()).checkpoint()
 
 
 def satisfied(df: DataFrame, key: list[str], patterns: list[Pattern], ids: list[str], paths: list[Path], leaves: dict[Path, Column], single: bool = False, outer: bool = False) -> DataFrame:
@@ -113,23 +101,28 @@ def satisfied(df: DataFrame, key: list[str], patterns: list[Pattern], ids: list[
     array, so an event has one leaf at most at each.  With ``outer`` there is one row for each event, of an
     array ``_ids`` that can be empty.
     """
-    terms = Terms(patterns, paths, ids)
-    parts = []
+    tables = TermTables(patterns, paths, ids)
+    terms, parts = tables.terms, []
     no_trail = F.array().cast(STEPS)
     for n, p in enumerate(paths):
-        told = F.transform(leaves[p], terms.saying(n))
+        told = F.transform(leaves[p], tables.saying(n))
         if n in terms.absent:
-            nothing = F.array(F.struct(F.lit(n).alias("path"), F.array(F.lit("m")).alias("keys"), no_trail.alias("trail")))
+            nothing = F.array(F.struct(F.lit(n).alias("path"), F.array(F.lit("m")).alias("keys"), F.lit(None).cast("string").alias("v"), no_trail.alias("trail")))
             told = F.when(F.size(leaves[p]) == 0, nothing).otherwise(told)
         parts.append(told)
     explode, how = (F.explode_outer, "left") if outer else (F.explode, "inner")
     carried = F.struct(*map(quoted, key)) if key else F.struct(F.lit(0).alias("_"))
-    rows = df.select(carried.alias("_key"), F.monotonically_increasing_id().alias(EVENT), F.concat(*parts).alias("_leaves"))
+    rows = numbered(df.select(carried.alias("_key"), F.concat(*parts).alias("_leaves")))
     each = rows.select("_key", EVENT, explode("_leaves").alias("_leaf"))
-    said = each.select("_key", EVENT, F.col("_leaf.path").alias("_path"), F.col("_leaf.trail").alias("_trail"), explode("_leaf.keys").alias("_said"))
-    met = said.join(terms.table(df), ["_path", "_said"], how).select("_key", EVENT, "_condition", "_trail")
-    asked = terms.pattern_table(df)
-    if not outer and all(len(cs) == 1 for _, _, cs in terms.patterns):
+    said = each.select("_key", EVENT, F.col("_leaf.path").alias("_path"), F.col("_leaf.trail").alias("_trail"), F.col("_leaf.v").alias("_v"), explode("_leaf.keys").alias("_said"))
+    met = said.join(tables.table(df), ["_path", "_said"], how)
+    if tables.checked:
+        fine = F.when(F.col("_pieces").isNotNull(), fits(F.col("_v"), F.col("_pieces"))).when(F.col("_exact").isNotNull(), same_letters(F.col("_v"), F.col("_exact"))).otherwise(True)
+        met = met.withColumn("_condition", F.when(fine, F.col("_condition")))
+        met = met if outer else met.filter("_condition is not null")
+    met = met.select("_key", EVENT, "_condition", "_trail")
+    asked = tables.pattern_table(df)
+    if not outer and all(len(cs) == 1 for _, _, cs in tables.patterns):
         met = met.select("_key", EVENT, "_condition")
         if not (single and terms.once):
             met = met.groupBy(EVENT, "_condition").agg(F.first("_key").alias("_key"))
@@ -201,8 +194,10 @@ def looked_up(df: DataFrame, patterns: list[Pattern], ids: list[str], scalar: Ca
     for k, ((path, way), rows) in enumerate(tables.items()):
         v, d = scalar(path)
         said = d + F.lit(0.0) if way == "n" else v if way == "s" else F.substring(v, 1, int(way[1:])) if way[0] == "p" else F.right(v, F.lit(int(way[1:])))
-        raw = [(x, sorted(cs), [(ids[n], asked[n]) for n in ns]) for x, (cs, ns) in rows.items()]
-        table = df.sparkSession.createDataFrame(raw, f"{mark}said{k} {'double' if way == 'n' else 'string'}, {mark}met{k} array<int>, {mark}by{k} {CANDIDATES}")
+        by = pa.list_(pa.struct([("id", pa.string()), ("conditions", pa.list_(pa.int32()))]))
+        columns = {f"{mark}said{k}": pa.array(list(rows), type=pa.float64() if way == "n" else pa.string()), f"{mark}met{k}": pa.array([sorted(cs) for cs, _ in rows.values()], type=pa.list_(pa.int32()))}
+        columns[f"{mark}by{k}"] = pa.array([[{"id": ids[n], "conditions": asked[n]} for n in ns] for _, ns in rows.values()], type=by)
+        table = df.sparkSession.createDataFrame(pa.table(columns))
         out = out.join(F.broadcast(table), said == F.col(f"{mark}said{k}"), "left")
         got.append(k)
     has = [F.coalesce(F.col(f"{mark}met{k}"), F.array().cast("array<int>")) for k in got]
