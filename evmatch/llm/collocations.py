@@ -7,8 +7,9 @@ the phrase with the word behind it, and its population count is the number of oc
 extended depth-first, some first words at a time, so that few bitmaps are held.  Counts are summed over shards.
 
 What is too rare in all shards together is not extended in any: first words, then pairs are counted, and every shard
-gets back those of its own that are frequent.  These two rounds count by 64-bit hashes, as two phrases with one hash
-can only be kept longer; the last round counts phrases as they are.  Nothing is broadcast; a shard's size is bounded
+gets back those of its own that are frequent; once words are, shards are written anew without the others.  These two
+rounds count by 64-bit hashes, as two phrases with one hash can only be kept longer; the last round counts phrases as
+they are.  Nothing is broadcast; a shard's size is bounded
 by SHARD tokens, or by one document.
 """
 
@@ -30,7 +31,8 @@ SHARD, TOGETHER, CHUNK, PARTS = 1_000_000, 4, 2_000_000, 64
 
 _BORDER = b"\xff"  # no byte of UTF-8
 _TABLE = bytes.maketrans(b".,;:!?\n\v\f\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", _BORDER * 10 + b" abcdefghijklmnopqrstuvwxyz")
-_SHARDS = "shard long, lang string, n long, words array<string>, hashes array<long>, counts array<long>, tokens binary"
+_SHARDS = "shard long, lang string, n long, words array<string>, tokens binary"
+_ARROW = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("tokens", pa.binary())])
 
 
 class _Shard:
@@ -49,23 +51,24 @@ class _Shard:
     def row(self, number: int) -> dict:
         tokens = np.concatenate(self.tokens)
         tokens = tokens[(tokens > 0) | np.concatenate([[False], tokens[:-1] > 0])]  # a border after a word is enough
-        counts = np.bincount(tokens, minlength=len(self.known))[1:]
         words = [w.decode() for w in list(self.known)[1:]]  # all but the border
-        seed = xxhash.xxh64_intdigest(self.lang.encode())
-        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64).view(np.int64)
-        return {"shard": number, "lang": self.lang, "n": int(counts.sum()), "words": words, "hashes": hashes, "counts": counts, "tokens": tokens.tobytes()}
+        return {"shard": number, "lang": self.lang, "n": int(np.count_nonzero(tokens)), "words": words, "tokens": tokens.tobytes()}
+
+
+def _hashes(lang: str, words: list[str]) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("tokens", pa.binary())])
     number, open_ = TaskContext.get().partitionId() << 32, {}
 
     def told(shard: _Shard) -> pa.RecordBatch:
         nonlocal number
         number += 1
-        return pa.RecordBatch.from_pylist([shard.row(number)], schema=schema)
+        return pa.RecordBatch.from_pylist([shard.row(number)], schema=_ARROW)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -79,17 +82,16 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Bitmaps:
-    """The words of a shard that are frequent: bits of 8 positions a byte, by byte and word."""
+    """Bitmaps of a shard's words: bits of 8 positions a byte, by byte and word."""
 
-    def __init__(self, tokens: np.ndarray, hashes: np.ndarray, frequent: np.ndarray):
-        fine = np.concatenate([[False], np.isin(hashes, frequent)])
-        at = np.flatnonzero(fine[tokens])
-        key = (at >> 3).astype(np.int64) * len(fine) + tokens[at]
+    def __init__(self, tokens: np.ndarray, hashes: np.ndarray):
+        at, many = np.flatnonzero(tokens), len(hashes) + 1
+        key = (at >> 3).astype(np.int64) * many + tokens[at]
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.bits = np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first) if len(first) else np.zeros(0, dtype=np.uint8)
-        self.byte, self.word = key[first] // len(fine), (key[first] % len(fine)).astype(np.int32)
+        self.byte, self.word = key[first] // many, (key[first] % many).astype(np.int32)
         self.begins = np.searchsorted(self.byte, np.arange((len(tokens) >> 3) + 3))
         self.hashes = np.concatenate([[0], hashes]).astype(np.int64)
 
@@ -148,11 +150,34 @@ def mine(maps: _Bitmaps, longest: int, pairs: np.ndarray | None = None) -> Itera
         lo = hi
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    for k in range(batch.num_rows):
-        row = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
-        maps = _Bitmaps(np.frombuffer(row["tokens"].as_py(), dtype=np.int32), row["hashes"].values.to_numpy(), np.sort(row["frequent"].values.to_numpy()))
-        yield row | {"maps": maps}
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Shards with their tokens as numbers and the hashes of their words."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names) if name not in ("frequent", "pairs")}
+            given = {name: np.sort(batch.column(i)[k].values.to_numpy()) for i, name in enumerate(batch.schema.names) if name in ("frequent", "pairs")}
+            yield row | given | {"tokens": np.frombuffer(row["tokens"], dtype=np.int32), "hashes": _hashes(row["lang"], row["words"])}
+
+
+def _counted(shard: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard)), pa.array(h), pa.array(n)], ["shard", "h", "n"])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, h, n) of the words of each shard."""
+    for row in _rows(batches):
+        yield _counted(row["shard"], row["hashes"], np.bincount(row["tokens"], minlength=len(row["words"]) + 1)[1:])
+
+
+def _without_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of frequent words alone, with a border for any others."""
+    for row in _rows(batches):
+        fine = np.flatnonzero(np.isin(row["hashes"], row["frequent"]))
+        new = np.zeros(len(row["words"]) + 1, dtype=np.int32)
+        new[fine + 1] = np.arange(1, len(fine) + 1)
+        tokens = new[row["tokens"]]
+        tokens = tokens[(tokens > 0) | np.concatenate([[False], tokens[:-1] > 0])]
+        yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "lang": row["lang"], "n": row["n"], "words": [row["words"][k] for k in fine], "tokens": tokens.tobytes()}], schema=_ARROW)
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,38 +186,35 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, h, n) of the pairs of frequent words in each shard."""
-    for batch in batches:
-        for row in _rows(batch):
-            maps = row["maps"]
-            parts = [(pair_hash(maps.hashes[p[:, 0]], maps.hashes[p[:, 1]]), n) for p, n in mine(maps, 2)]
-            if parts:
-                h, n = _summed(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row["shard"].as_py())), pa.array(h), pa.array(n)], ["shard", "h", "n"])
+    """(shard, h, n) of the pairs of words in each shard."""
+    for row in _rows(batches):
+        maps = _Bitmaps(row["tokens"], row["hashes"])
+        parts = [(pair_hash(maps.hashes[p[:, 0]], maps.hashes[p[:, 1]]), n) for p, n in mine(maps, 2)]
+        if parts:
+            yield _counted(row["shard"], *_summed(parts))
 
 
 def _count_phrases(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, phrase, k, n) of frequent words, and of phrases whose pairs are all frequent, in each shard."""
+    """(lang, phrase, k, n) of words, and of phrases whose pairs are all frequent, in each shard."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                words = np.array(["", *row["words"].as_py()], dtype=object)
-                counts = np.concatenate([[0], row["counts"].values.to_numpy()])
-                alone = np.unique(row["maps"].word)
-                for phrases, n in ((alone[:, None], counts[alone]), *mine(row["maps"], longest, np.sort(row["pairs"].values.to_numpy()))):
-                    text = words[phrases[:, 0]]
-                    for k in range(1, phrases.shape[1]):
-                        text = text + " " + words[phrases[:, k]]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()] * len(n), type=pa.string()), pa.array(text, type=pa.string()), pa.array(np.full(len(n), phrases.shape[1], dtype=np.int32)), pa.array(n)], ["lang", "phrase", "k", "n"])
+        for row in _rows(batches):
+            words = np.array(["", *row["words"]], dtype=object)
+            alone, counts = np.unique(row["tokens"][row["tokens"] > 0], return_counts=True)
+            for phrases, n in ((alone[:, None], counts), *mine(_Bitmaps(row["tokens"], row["hashes"]), longest, row["pairs"])):
+                text = words[phrases[:, 0]]
+                for k in range(1, phrases.shape[1]):
+                    text = text + " " + words[phrases[:, k]]
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n), type=pa.string()), pa.array(text, type=pa.string()), pa.array(np.full(len(n), phrases.shape[1], dtype=np.int32)), pa.array(n)], ["lang", "phrase", "k", "n"])
 
     return each
 
 
 def _frequent(rows: DataFrame, least: int, into: str, parts: int) -> DataFrame:
-    """From (shard, h, n) to (shard, ``into``): the shard's hashes that come ``least`` times in all shards."""
-    often = rows.groupBy("h").agg(F.sum("n").alias("_all")).filter(F.col("_all") >= least).select("h")
-    return rows.select("shard", "h").join(often, "h").repartition(parts, "shard").groupBy("shard").agg(F.collect_list("h").alias(into))
+    """From (shard, h, n) to (shard, ``into``): the shard's hashes that come ``least`` times in all shards.  A hash has a
+    row for each shard at most."""
+    often = rows.withColumn("_all", F.sum("n").over(Window.partitionBy("h"))).filter(F.col("_all") >= least)
+    return often.select("shard", "h").repartition(parts, "shard").groupBy("shard").agg(F.collect_list("h").alias(into))
 
 
 def count_phrases(df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -202,14 +224,16 @@ def count_phrases(df: DataFrame, lang: str = "lang", text: str = "text", least:
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     shards = scratch.put(rows.mapInArrow(_encode, _SHARDS))
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-shards.count() // TOGETHER))
-    each = shards.select("shard", F.explode(F.arrays_zip("hashes", "counts")).alias("_w")).select("shard", F.col("_w.hashes").alias("h"), F.col("_w.counts").alias("n"))
-    words = scratch.put(_frequent(each, least, "frequent", parts))
-    with_words = shards.repartition(parts, "shard").join(words, "shard")
-    pairs = scratch.put(with_words.select("shard", "hashes", "tokens", "frequent").mapInArrow(_count_pairs, "shard long, h long, n long"))
-    with_pairs = with_words.join(_frequent(pairs, least, "pairs", parts), "shard", "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<long>")))
-    told = with_pairs.select("lang", "words", "hashes", "counts", "tokens", "frequent", "pairs").mapInArrow(_count_phrases(longest), "lang string, phrase string, k int, n long")
+    together = shards.repartition(parts, "shard")
+    words = _frequent(together.mapInArrow(_count_words, "shard long, h long, n long"), least, "frequent", parts)
+    sizes = scratch.put(shards.groupBy("lang").agg(F.sum("n").alias("n")))
+    shards = scratch.put(together.join(words, "shard").mapInArrow(_without_rare, _SHARDS))
+    scratch.drop(1)
+    pairs = _frequent(shards.mapInArrow(_count_pairs, "shard long, h long, n long"), least, "pairs", parts)
+    with_pairs = shards.repartition(parts, "shard").join(pairs, "shard", "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<long>")))
+    told = with_pairs.mapInArrow(_count_phrases(longest), "lang string, phrase string, k int, n long")
     found = scratch.put(told.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
-    return found, shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    return found, sizes
 
 
 # ---------------------------------------------------------------- scores
