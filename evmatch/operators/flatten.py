@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evmatch.errors import InvalidJson
+from evmatch.functions.binding import bound
 from evmatch.operators.local import Leaf, Reader
 from evmatch.plans.pattern import Path
 
@@ -150,11 +151,6 @@ class TypedFlattener:
         return F.when(c.isNull(), _none()).otherwise(F.array(_leaf(v, d, trail)))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is made once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 LEVEL = "array<struct<v:variant,trail:array<struct<arr:string,pos:int>>,place:string>>"
 
 
@@ -191,7 +187,7 @@ class VariantFlattener:
             return F.when(plain, here).when(kind.startswith("OBJECT"), _none()).otherwise(deep)
 
         value = F.try_variant_get(v, "$" + "".join(map(self._step, path)), "variant")
-        return bound(F.struct(value.alias("v"), F.schema_of_variant(value).alias("kind")), told)
+        return bound(F.struct(value.alias("v"), F.schema_of_variant(value).alias("kind")), told, LEAVES)
 
     def _unrolled(self, v: Column, path: Path) -> Column:
         """Every level is bound to a name, so that it is made once."""
@@ -206,8 +202,8 @@ class VariantFlattener:
         for key in path:
             level = F.filter(F.transform(level, self._field(key)), lambda x: x["v"].isNotNull()).cast(LEVEL)
             for _ in range(self.unrolled):
-                level = bound(level, once)
-            level = bound(level, rest)
+                level = bound(level, once, LEVEL)
+            level = bound(level, rest, LEVEL)
         kinds = F.transform(level, lambda x: F.struct(x["v"].alias("v"), x["trail"].alias("trail"), F.schema_of_variant(x["v"]).alias("kind")))
         scalars = F.filter(kinds, lambda x: ~F.coalesce(x["kind"], F.lit("")).rlike("^(OBJECT|ARRAY)"))
         return F.coalesce(F.transform(scalars, lambda x: self._leaf(x, x["kind"])), _none())

@@ -18,7 +18,7 @@ from evmatch.errors import PatternError, UnsupportedMediaType
 from evmatch.operators import local
 from evmatch.operators.flatten import ERROR, Flattener, TypedFlattener, fresh
 from evmatch.plans import columns
-from evmatch.plans.inline import INLINE_BYTES, InRow
+from evmatch.plans.inline import InRow, TooManyTerms
 from evmatch.plans.join import EVENT, looked_up, quoted, satisfied
 from evmatch.plans.pattern import Path, Pattern, parse
 
@@ -248,11 +248,12 @@ class PatternSet:
     def _has_arrays(self, df: DataFrame, paths: Iterable[Path]) -> bool:
         return not isinstance(self.flattener, TypedFlattener) or any(columns.has_array(df, p) for p in paths)
 
-    def _in_row(self, df: DataFrame, live: list[_Entry], into: str, limit: int = INLINE_BYTES) -> DataFrame | None:
-        """The plan whose terms are constants, if they are not too large."""
+    def _in_row(self, df: DataFrame, live: list[_Entry], into: str) -> DataFrame | None:
+        """The plan whose terms are constants, if they are not too many."""
         paths = self._paths(live)
-        terms = InRow([e.pattern for e in live], paths, [str(e.id) for e in live], self._has_arrays(df, paths))
-        if terms.size > limit:
+        try:
+            terms = InRow([e.pattern for e in live], paths, [str(e.id) for e in live], self._has_arrays(df, paths))
+        except TooManyTerms:
             return None
         flat, leaves = self.flattener(df, paths)
         return flat.withColumn(into, terms.column([leaves[p] for p in paths]))

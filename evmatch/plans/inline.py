@@ -5,7 +5,7 @@ the conditions it meets, with its positions in arrays; a pattern is a candidate
 patterns share is met, and its other conditions are looked for among those of the row, by values whose array
 positions agree.  Nothing is exploded, moved or numbered, so batches and streams are matched alike.
 
-It is for sets whose constants have up to INLINE_BYTES; the join plan takes larger ones.
+It is for sets of up to INLINE_ENTRIES terms whose constants have up to INLINE_BYTES; the join plan takes larger ones.
 """
 
 from __future__ import annotations
@@ -17,13 +17,21 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evmatch.functions.binding import bound
 from evmatch.plans.columns import STEPS, agree
 from evmatch.plans.pattern import Path, Pattern
-from evmatch.plans.terms import Term, Terms, bound, fits, same_letters
+from evmatch.plans.terms import Term, Terms, fits, same_letters
 
-INLINE_BYTES = 6 << 20
+#: elements of an array whose places are the bits of a number
+BITS = 63
+INLINE_BYTES, INLINE_ENTRIES = 6 << 20, 500_000
 INTS = "array<int>"
-GOT = f"array<struct<path:int,met:{INTS},ex:{INTS},trail:{STEPS}>>"
+LEAF = f"struct<path:int,met:{INTS},ex:{INTS},trail:{STEPS}>"
+GOT = f"array<{LEAF}>"
+
+
+class TooManyTerms(Exception):
+    """The set is for the join plan."""
 
 
 class _Constants:
@@ -42,7 +50,7 @@ def _place(keys: Column, many: int, x: Column) -> Column:
     """Where x is in sorted keys, or null."""
     steps = F.array(*(F.lit(1 << k) for k in range(many.bit_length() - 1, -1, -1)))
     below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(keys, at + s - 1) < x, at + s).otherwise(at))
-    return bound(below, lambda at: F.when(F.get(keys, at) == x, at))
+    return bound(below, lambda at: F.when(F.get(keys, at) == x, at), "int")
 
 
 def _none() -> Column:
@@ -53,11 +61,13 @@ class InRow:
     """A pattern set as one expression over the leaves of a row."""
 
     def __init__(self, patterns: list[Pattern], paths: list[Path], ids: list[str], arrays: bool = True):
-        self.terms = Terms(patterns, paths, complement=True)
+        t = self.terms = Terms(patterns, paths, complement=True)
+        self.entries = sum(len(x) for found in (t.said, t.numbers, t.nodes, t.excluded) for x in found.values())
+        if self.entries > INLINE_ENTRIES:
+            raise TooManyTerms
         self.ids, self.arrays, self.constant = ids, arrays, _Constants()
         self.checked: list[Term] = []
         self.tables = [self._table(n) for n in range(len(paths))]
-        t = self.terms
         by: list[list[int]] = [[] for _ in t.conditions]
         for n, lead, _ in t.patterns:
             if lead is not None:
@@ -66,7 +76,8 @@ class InRow:
         self.asked = self.constant([cs for _, _, cs in t.patterns], f"array<{INTS}>")
         self.names = self.constant(ids, "array<string>")
         self.without = self.constant([t.negative.get(c, -1) for c in range(len(t.conditions))], INTS)
-        self.size = self.constant.size
+        if self.constant.size > INLINE_BYTES:
+            raise TooManyTerms
 
     def _entry(self, term: Term) -> int:
         """The condition, or, for one to be checked, its place among those as a negative number."""
@@ -95,10 +106,32 @@ class InRow:
             self.pieces = self.constant([list(x.pieces) if x.pieces is not None else None for x in self.checked], "array<array<string>>")
             self.exact = self.constant([x.exact for x in self.checked], "array<string>")
             self.of = self.constant([x.condition for x in self.checked], INTS)
-        told = [bound(x, self._told(n)) if n in self.terms.absent else F.transform(x, self._leaf(n)) for n, x in enumerate(leaves)]
+        told = [bound(x, self._told(n), GOT) if n in self.terms.absent else F.transform(x, self._leaf(n)) for n, x in enumerate(leaves)]
         got = told[0] if len(told) == 1 else F.concat(*told)
-        has = lambda g: F.struct(g.alias("got"), F.array_distinct(F.flatten(F.transform(g, lambda x: x["met"]))).alias("has"))
-        return bound(bound(got.cast(GOT), has), self._found)
+        row = f"struct<got:{GOT},has:{INTS}" + (",bits:array<bigint>>" if self.arrays else ">")
+        return bound(bound(got.cast(GOT), self._row, row), self._found, "array<string>")
+
+    def _holds(self, x: Column, c: Column) -> Column:
+        """Whether a leaf meets a condition."""
+        met = F.array_contains(x["met"], c)
+        return met | (x["path"] == F.get(self.without, c)) & ~F.array_contains(x["ex"], c) if self.terms.negative else met
+
+    def _elements(self, got: Column) -> Callable[[Column], Column]:
+        """The elements of the one array in which a condition holds, as bits; all of them if it holds outside."""
+        bit = lambda x: F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.get(x["trail"], F.lit(0))["pos"]), F.lit(-1).cast("long"))
+        return lambda c: F.aggregate(got, F.lit(0).cast("long"), lambda acc, x: F.when(self._holds(x, c), acc.bitwiseOR(bit(x))).otherwise(acc))
+
+    def _row(self, got: Column) -> Column:
+        """What all leaves of a row say; with ``bits`` of each condition met, if they lie in one array at most, in its
+        first BITS elements."""
+        met = F.array_distinct(F.flatten(F.transform(got, lambda x: x["met"])))
+        if not self.arrays:
+            return F.struct(got.alias("got"), met.alias("has"))
+        steps = F.flatten(F.transform(got, lambda x: x["trail"]))
+        one = F.size(F.array_distinct(F.transform(steps, lambda s: s["arr"]))) <= 1
+        flat = one & ~F.exists(got, lambda x: F.size(x["trail"]) > 1) & ~F.exists(steps, lambda s: s["pos"] >= BITS)
+        whole = lambda has: F.struct(got.alias("got"), has.alias("has"), F.when(flat, F.transform(has, self._elements(got))).alias("bits"))
+        return bound(met, whole, f"struct<got:{GOT},has:{INTS},bits:array<bigint>>")
 
     def _told(self, n: int) -> Callable[[Column], Column]:
         """Leaves of a path for whose absence some condition asks."""
@@ -128,7 +161,7 @@ class InRow:
                 met = self._fitting(met, v) if table["checks"] else met
                 return F.struct(F.lit(n).alias("path"), met.alias("met"), ex.alias("ex"), x["trail"].alias("trail"))
 
-            return bound(F.struct(texts.alias("texts"), number.alias("numbers"), nodes.alias("nodes")), made)
+            return bound(F.struct(texts.alias("texts"), number.alias("numbers"), nodes.alias("nodes")), made, LEAF)
 
         return leaf
 
@@ -140,29 +173,29 @@ class InRow:
         return F.transform(F.filter(met, fine), lambda k: F.when(k < 0, F.get(self.of, -k - 1)).otherwise(k))
 
     def _found(self, row: Column) -> Column:
-        got, has = row["got"], row["has"]
-        holds = lambda x, c: F.array_contains(x["met"], c) | (x["path"] == F.get(self.without, c)) & ~F.array_contains(x["ex"], c)
-        if self.terms.negative:
-            held = lambda c: F.array_contains(has, c) | F.exists(got, lambda x: holds(x, c))
-        else:
-            held = lambda c: F.array_contains(has, c)
+        got, has, negative = row["got"], row["has"], self.terms.negative
         candidates = F.flatten(F.transform(has, lambda c: F.get(self.by, c)))
         if self.always:
             candidates = F.concat(candidates, self.constant(self.always, INTS))
-        inside = F.exists(got, lambda x: F.size(x["trail"]) > 0)
+
+        def held(c: Column) -> Column:
+            met = F.array_contains(has, c)
+            return met | F.exists(got, lambda x: self._holds(x, c)) if negative else met
+
+        def bits(c: Column) -> Column:
+            known = F.array_position(has, c).cast("int")
+            return F.when(known > 0, F.get(row["bits"], known - 1)).otherwise(self._elements(got)(c) if negative else F.lit(0).cast("long"))
 
         def meet(acc: Column, c: Column) -> Column:
-            fitting = lambda a: F.filter(got, lambda x: holds(x, c) & agree(a, x["trail"]))
+            fitting = lambda a: F.filter(got, lambda x: self._holds(x, c) & agree(a, x["trail"]))
             return F.array_distinct(F.flatten(F.transform(acc, lambda a: F.transform(fitting(a), lambda x: F.array_union(a, x["trail"])))))
 
-        def matches(p: Column) -> Column:
-            def of(conditions: Column) -> Column:
-                all_held = F.forall(conditions, held)
-                if not self.arrays:
-                    return all_held
-                together = F.size(F.aggregate(conditions, F.array(F.array().cast(STEPS)), meet)) > 0
-                return all_held & F.when((F.size(conditions) > 1) & inside, together).otherwise(True)
-
-            return bound(F.get(self.asked, p), of)
+        def of(conditions: Column) -> Column:
+            if not self.arrays:
+                return F.forall(conditions, held)
+            same = F.aggregate(conditions, F.lit(-1).cast("long"), lambda acc, c: F.when(acc == 0, acc).otherwise(acc.bitwiseAND(bits(c)))) != 0
+            together = F.size(F.aggregate(conditions, F.array(F.array().cast(STEPS)), meet)) > 0
+            return F.when(row["bits"].isNotNull(), same).otherwise(F.forall(conditions, held) & ((F.size(conditions) == 1) | together))
 
+        matches = lambda p: bound(F.get(self.asked, p), of, "boolean")
         return F.array_sort(F.array_distinct(F.transform(F.filter(candidates, matches), lambda p: F.get(self.names, p))))

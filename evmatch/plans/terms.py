@@ -28,6 +28,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evmatch.functions import casefold, cidr
+from evmatch.functions.binding import bound
 from evmatch.functions.predicates import ignore_case_regex, predicate
 from evmatch.plans.pattern import Matcher, Path, Pattern
 
@@ -62,11 +63,6 @@ class Ways:
         return 1 << (2 * len(self.bounds)).bit_length()
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is made once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _grams(parts: tuple[str, ...]) -> set[str]:
     q = min(GRAM, max(map(len, parts)))
     return {p[k : k + q] for p in parts for k in range(len(p) - q + 1)}
@@ -210,11 +206,11 @@ class Terms:
         parts = [F.array_compact(F.array(*said[i : i + CHUNK])) for i in range(0, len(said), CHUNK)]
         none = F.array().cast("array<string>")
         if ways.grams:
-            parts.append(bound(F.split(v, ""), lambda c: F.array_distinct(F.concat(*(self._grams_of(c, q) for q in sorted(ways.grams))))))
+            parts.append(bound(F.split(v, ""), lambda c: F.array_distinct(F.concat(*(self._grams_of(c, q) for q in sorted(ways.grams)))), "array<string>"))
         for version, of in ((4, cidr.v4_number), (6, cidr.v6_digits)):
             lengths = sorted(n for found, n in ways.blocks if found == version)
             if lengths:
-                parts.append(bound(of(v), self._networks(lengths, self._v4 if version == 4 else self._v6)))
+                parts.append(bound(of(v), self._networks(lengths, self._v4 if version == 4 else self._v6), "array<string>"))
         return parts[0] if len(parts) == 1 else F.concat(*parts) if parts else none
 
     @staticmethod
@@ -248,7 +244,7 @@ class Terms:
             leaf = n * 2 + F.when(F.get(bounds, n) == d, 1).otherwise(0) + ways.size
             return F.transform(levels, lambda k: F.call_function("shiftright", leaf, k))
 
-        return F.when(d.isNotNull() & ~F.isnan(d), bound(below, above)).otherwise(F.array().cast("array<int>"))
+        return F.when(d.isNotNull() & ~F.isnan(d), bound(below, above, "array<int>")).otherwise(F.array().cast("array<int>"))
 
 
 def fits(v: Column, pieces: Column) -> Column:
@@ -260,7 +256,7 @@ def fits(v: Column, pieces: Column) -> Column:
         return F.when((at > 0) & (piece != ""), F.when(found > 0, found + F.char_length(piece)).otherwise(0)).otherwise(at)
 
     end = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces) - 2), F.char_length(first) + 1, after)
-    return F.call_function("startswith", v, first) & F.call_function("endswith", v, last) & bound(end, lambda e: (e > 0) & (e - 1 + F.char_length(last) <= F.char_length(v)))
+    return F.call_function("startswith", v, first) & F.call_function("endswith", v, last) & bound(end, lambda e: (e > 0) & (e - 1 + F.char_length(last) <= F.char_length(v)), "boolean")
 
 
 def same_letters(v: Column, exact: Column) -> Column:
@@ -269,4 +265,4 @@ def same_letters(v: Column, exact: Column) -> Column:
     return ~F.concat(v, exact).rlike(casefold.third_of()) | F.call_function("rlike", v, exact)
 
 
-__all__ = ["Term", "Terms", "Ways", "bound", "fits", "same_letters"]
+__all__ = ["Term", "Terms", "Ways", "fits", "same_letters"]
