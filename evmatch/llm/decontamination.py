@@ -27,8 +27,8 @@ from evmatch.llm.common import Scratch, table
 WIDTH = 10
 #: terms as they are before lower-casing
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: characters beyond ASCII that have a lower case
-UPPER = r"[\p{Lu}\p{Lt}\p{IsUppercase}&&[^\x00-\x7F]]"
+#: characters beyond ASCII that have a lower case, or may have one in a Unicode version later than the matcher's
+UPPER = r"[\p{Lu}\p{Lt}\p{IsUppercase}\p{Cn}&&[^\x00-\x7F]]"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: 64-bit entries of the table of documents that matter
