@@ -165,11 +165,19 @@ def bound(queries: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.maximum(queries, 0) @ hi.T + np.minimum(queries, 0) @ lo.T
 
 
+SQUARES = float(1 << 62)
+
+
 def integers(vector: Column | str, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as double; null where the vector cannot take part."""
+    """floor(scale * x) of each component as double; null where the vector cannot take part.
+
+    That is also where the squares of the integers reach SQUARES in sum, as its scores might pass 64 bits; any two
+    others have scores below it.
+    """
     v = F.col(vector) if isinstance(vector, str) else vector
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))), F.lit(False)))
-    return F.when(fine, F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.pow(F.floor(x.cast("double") * scale).cast("double"), 2))
+    return F.when(fine & (squares < SQUARES), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
 def _packed(v: np.ndarray) -> bytes:
@@ -213,7 +221,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Recor
 def top_k(df: DataFrame, is_query: Column, k: int = K, row_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank from 1, row_id, score) of each query row's k best others, ties to the smaller id.
 
-    Rows with a null id or vector, or with a null or non-finite component, take no part; vectors meet only
+    Rows with a null id or vector, with a null or non-finite component, or too long for scores of 64 bits (see
+    ``integers``) take no part; vectors meet only
     those of their own length; of rows that share an id each is a candidate and, if a query, has a list of
     its own, in which the others can be; a query without any other vector gives no rows; an empty table
     gives none; other columns are not read.  ``sample`` bounds the rows that cells are fitted on; every row

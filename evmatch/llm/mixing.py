@@ -45,10 +45,10 @@ def mix(df: DataFrame, size: Column, source: str = "source", row_id: str = "doc_
 
     ``cut="word"`` ends each source exactly at its budget inside a document; ``cut="document"`` takes
     a document once more when at least half of it lies inside the budget.  ``taken`` is in the unit of
-    ``size``; columns named in ``keep`` follow, as only they tell rows of one id apart.  A null source is one source, last; a null size counts as 0; an empty table gives no rows.
+    ``size``; columns named in ``keep`` follow, and order rows of one id and size, as only they tell those apart.  A null source is one source, last; a null size counts as 0; an empty table gives no rows.
     """
     narrow = df.select(F.col(row_id).alias("_id"), source_key(source).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), *([F.struct(*keep).alias("_kept")] if keep else [])).withColumn("_hash", seeded(seed, "_id"))
-    ranked = with_rank(narrow, ["key"], ["_hash", "_id", "size"], {"_before_me": "size"}, tag="mix")
+    ranked = with_rank(narrow, ["key"], ["_hash", "_id", "size", *(["_kept"] if keep else [])], {"_before_me": "size"}, tag="mix")
     sizes = ranked.groupBy("key").agg(F.sum("size").alias("source_size"))
     out = ranked.join(targets(sizes, **shares), "key")
     budget = F.floor(F.col("target"))

@@ -6,9 +6,9 @@ and its repetitions; a learned embedding maps that to a representation h.  Gated
 ``softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the passages, and the weighted representation gives the
 document's score.  All weights are learned from document labels.
 
-Fitting uses at most ``SAMPLE`` labelled rows, chosen by hash, and of each at most ``BAG`` passages, evenly
-spaced; only these passages' numbers reach the driver.  Scoring uses every passage, in one pass over the
-documents without a shuffle.
+Fitting uses at most ``SAMPLE`` labelled rows, chosen by hash, each with all its passages; a row that would bring
+the passages of the rows before it beyond ``MOST`` is left out.  Only passages' numbers reach the driver, row by row.
+Scoring uses every passage, in one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from evmatch.llm.common import one_of_each, seeded, table
 
 #: words of a passage; passages that are scored at once
 WORDS, PASSAGES = 64, 16_384
-#: labelled rows, and passages of each, that fitting uses at most
-SAMPLE, BAG, SEED = 6000, 64, 5
+#: labelled rows that fitting uses at most, and passages of all of them
+SAMPLE, MOST, SEED = 6000, 262_144, 5
 HIDDEN, GATES, STEPS, RATE, DECAY = 16, 8, 250, 0.02, 1e-4
 KINDS, BUCKETS = 14, 128  # kinds of bytes; buckets of words, and of trigrams
 
@@ -178,34 +178,34 @@ class GatedAttention:
         return self
 
 
-def spaced(x: np.ndarray, most: int = BAG) -> np.ndarray:
-    """At most so many rows, evenly spaced."""
-    return x if len(x) <= most else x[np.arange(most) * len(x) // most]
-
-
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for y, t in zip(batch.column(0), batch.column(1), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([y.as_py()], type=pa.int32()), pa.array([spaced(encode(t.as_py())).astype(np.float16).tobytes()])], ["y", "x"])
+        for key, y, t in zip(*(batch.column(k) for k in range(3)), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], type=pa.string()), pa.array([y.as_py()], type=pa.int32()), pa.array([encode(t.as_py()).astype(np.float16).tobytes()])], ["k", "y", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> GatedAttention | None:
+def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, most: int = MOST) -> GatedAttention | None:
     """From labels 0 and 1 by row_id; other labels are ignored, of several for an id the least counts, and of
     several rows of an id one.
 
-    ``sample`` bounds the labelled rows that are used.  Without any label of one kind there is no model.
+    ``sample`` bounds the labelled rows that are used, and ``most`` those whose passages would be more in all.
+    Without any label of one kind there is no model.
     """
     known = labels.select(F.col(row_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.min("_y").alias("_y"))
     chosen = known.orderBy(seeded(SEED, "_id"), "_id").limit(sample)
     rows = one_of_each(docs.select(F.col(row_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id"))  # sample ids at most
-    got = rows.select("_y", "_t").mapInArrow(_flat, "y int, x binary").toPandas()
-    if got["y"].nunique() < 2:
+    encoded = rows.select(F.concat(seeded(SEED, "_id"), F.lit(":"), F.col("_id").cast("string")).alias("k"), "_y", "_t").mapInArrow(_flat, "k string, y int, x binary")
+    got, left = [], most
+    for r in encoded.orderBy("k").toLocalIterator():  # sample rows at most; the order of rows must not matter
+        bag = np.frombuffer(r["x"], dtype=np.float16).reshape(-1, DIMS)
+        if len(bag) <= left:
+            got.append((r["y"], bag))
+            left -= len(bag)
+    if len({y for y, _ in got}) < 2:
         return None
-    got = got.sort_values(["y", "x"])  # the order of rows must not matter
-    bags = [np.frombuffer(x, dtype=np.float16).reshape(-1, DIMS) for x in got["x"]]
-    starts = np.cumsum([0, *map(len, bags[:-1])])
-    y, x = got["y"].to_numpy(), np.concatenate(bags)
-    del got, bags
+    starts = np.cumsum([0, *(len(bag) for _, bag in got[:-1])])
+    y, x = np.array([y for y, _ in got]), np.concatenate([bag for _, bag in got])
+    got.clear()
     return GatedAttention().fit(x.astype(np.float32), starts, y)
 
 
