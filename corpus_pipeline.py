@@ -40,9 +40,10 @@ def drop_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document is there as often as the mixture takes it whole; rows of one id, or of none, each for themselves."""
-    numbered = materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "mixing-rows")
-    taken = mixing.mix(numbered, words("text"), cut="document", keep=("_row",)).filter("taken > 0").select("_row", F.expr("cast(taken div size as int)").alias("_times"))
+    """A document is there as often as the mixture takes it whole; rows of one id, or of none, each for themselves,
+    in the order of their texts' hashes, so that another run takes the same ones."""
+    numbered = materialize(docs.select(*COLUMNS).withColumns({"_text": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}), "mixing-rows")
+    taken = mixing.mix(numbered, words("text"), cut="document", keep=("_text", "_row")).filter("taken > 0").select("_row", F.expr("cast(taken div size as int)").alias("_times"))
     many = numbered.join(taken, "_row")
     return many.select("*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_nth")).select(*COLUMNS)
 
