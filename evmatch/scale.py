@@ -5,11 +5,15 @@ Patterns are made by a rule from numbers; the SQL makes the same ones as a table
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evmatch.deploy import shared_dir
+from evmatch.operators.history import PatternHistory
 from evmatch.operators.registry import PatternSet
-from evmatch.queries import CUST, LINE, ORDER, ORACLES, PART, add, orders_with_items, table
+from evmatch.queries import CUST, EVENT, LINE, ORDER, ORACLES, PART, add, orders_with_items, table
 
 MANY = 10_000
 
@@ -141,4 +145,44 @@ def regexp_long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PatternSet.of(LONG).match_long(rows.select("s_suppkey", F.concat(F.repeat(F.lit("ab"), 50_000), end).alias("v")), ["s_suppkey"])
 
 
+# ---------------------------------------------------------------- patterns over time
+
+SECOND = 1_000_000
+#: 2024-01-01 in microseconds, and a day
+YEAR, DAY = 1_704_067_200 * SECOND, 86_400 * SECOND
+
+
+def history() -> PatternHistory:
+    """For each day of the year a threshold of its own, valid for two days; one pattern for all the year, replaced
+    after fifteen days; and one that is deleted after ten days and comes again after twenty."""
+    made = PatternHistory.of((f"day{n}", {"event_type": ["purchase"], "value": [{"numeric": [">", n % 90]}]}, YEAR + n * DAY, YEAR + (n + 2) * DAY) for n in range(366))
+    made.add_pattern("all", {"event_type": ["click"]}, YEAR)
+    made.replace_patterns("all", {"event_type": [{"prefix": "s"}]}, YEAR + 15 * DAY)
+    made.add_pattern("pause", {"event_type": ["view"]}, YEAR)
+    made.delete_patterns("pause", YEAR + 10 * DAY)
+    return made.add_pattern("pause", {"event_type": ["view"]}, YEAR + 20 * DAY)
+
+
+MATCH_AS_OF = """
+WITH e AS (SELECT *, floor((epoch_us(ts) - 1704067200000000) / 86400000000)::BIGINT AS d FROM events)
+SELECT event_id, 'day' || n AS pattern_id FROM e, unnest([d - 1, d]) u(n) WHERE event_type = 'purchase' AND n BETWEEN 0 AND 365 AND value > n % 90
+UNION ALL SELECT event_id, 'all' FROM e WHERE d >= 0 AND CASE WHEN d < 15 THEN event_type = 'click' ELSE event_type LIKE 's%' END
+UNION ALL SELECT event_id, 'pause' FROM e WHERE event_type = 'view' AND (d BETWEEN 0 AND 9 OR d >= 20)"""
+
+
+@add("match_as_of", MATCH_AS_OF)
+def match_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history().match_long(table(spark, sf_dir, "events"), EVENT, "ts")
+
+
+@add("match_as_of_stream", MATCH_AS_OF)
+def match_as_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream over the table's files, run to its end into Parquet, and read back."""
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    query = history().match_long(stream, EVENT, "ts").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("event_id long, pattern_id string").parquet(f"{out}/rows")
+
+
 __all__ = ["ORACLES"]
