@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evmatch.errors import PatternError, UnsupportedMediaType
 from evmatch.operators import local
 from evmatch.operators.flatten import ERROR, Flattener, TypedFlattener, fresh
-from evmatch.plans import columns
+from evmatch.plans import columns, semi
 from evmatch.plans.inline import InRow, TooManyTerms
 from evmatch.plans.join import EVENT, looked_up, quoted, satisfied
 from evmatch.plans.pattern import Path, Pattern, parse
@@ -339,7 +339,14 @@ class PatternSet:
     def matching(self, df: DataFrame) -> DataFrame:
         """The rows that match any pattern.  Comparisons of plain columns reach the scan."""
         kept = df.columns
-        if self._many(self._live()):
+        live = [e for e in self._live() if e.pattern.fields]
+        if self._many(live):
+            if isinstance(self.flattener, TypedFlattener) and not self.flattener.nulls:
+                patterns = [e.pattern for e in live]
+                if (at_scan := semi.scan_filter(df, patterns)) is not None:
+                    df = df.filter(at_scan)
+                if (rows := semi.semi_joined(df, patterns, self.flattener)) is not None:
+                    return rows
             ids = fresh(df, MATCHED)
             return self.match(df, ids).filter(F.size(ids) > 0).select(*map(quoted, kept))
         flat, found = self._compiled(df)

@@ -105,6 +105,17 @@ def exact_list_100000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PatternSet.of({"odd": {"l_orderkey": list(range(1, 200_000, 2))}}).match_long(table(spark, sf_dir, "lineitem"), LINE)
 
 
+@add("has_matches_1000", "SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 1 AND 1000")
+def has_matches_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter at the scan, then a semi join."""
+    return PatternSet.of({f"c{n}": {"o_custkey": [n]} for n in range(1, 1001)}).matching(table(spark, sf_dir, "orders")).select("o_orderkey")
+
+
+@add("has_matches_1000_fields", "SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 1 AND 1000 AND o_orderstatus = substr('FOP', (o_custkey % 3 + 1)::INT, 1)")
+def has_matches_1000_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PatternSet.of({f"c{n}": {"o_custkey": [n], "o_orderstatus": ["FOP"[n % 3]]} for n in range(1, 1001)}).matching(table(spark, sf_dir, "orders")).select("o_orderkey")
+
+
 # ---------------------------------------------------------------- arrays
 
 #: flag and quantity of one item, and an order's status
