@@ -166,28 +166,23 @@ class VariantFlattener:
         self.event, self.unrolled = event, unrolled
 
     def __call__(self, df: DataFrame, paths: list[Path]) -> tuple[DataFrame, dict[Path, Column]]:
-        parsed = F.try_parse_json(F.col(self.event))
-        whole = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+        """Values at paths, and their kinds, are columns, so that they are compiled and made once; leaves are arrays."""
         name, error = fresh(df, "_event_variant"), fresh(df, ERROR)
-        df = df.withColumn(name, whole).withColumn(error, F.when(F.col(name).isNull(), F.lit("not a JSON object")))
-        return df, {p: self._at(F.col(name), p) for p in paths}
-
-    def _at(self, v: Column, path: Path) -> Column:
-        """The value at the path is bound to a name with its kind, as what arrays of leaves are used in is not
-        compiled and makes a value each time it is named."""
-        steps = F.array().cast("array<struct<arr:string,pos:int>>")
+        text = F.col(self.event)
+        df = df.withColumn(name, F.when(text.rlike(r"\A[ \t\r\n]*\{"), F.try_parse_json(text)))
+        df = df.withColumn(error, F.when(F.col(name).isNull(), F.lit("not a JSON object")))
+        values = {p: f"{name}_v{n}" for n, p in enumerate(paths)}
+        kinds = {p: f"{name}_k{n}" for n, p in enumerate(paths)}
+        df = df.withColumns({values[p]: F.try_variant_get(F.col(name), "$" + "".join(map(self._step, p)), "variant") for p in paths})
+        df = df.withColumns({kinds[p]: F.schema_of_variant(F.col(values[p])) for p in paths})
+        return df, {p: self._at(F.col(name), F.col(values[p]), F.col(kinds[p]), p) for p in paths}
+
+    def _at(self, whole: Column, v: Column, kind: Column, path: Path) -> Column:
+        here = F.array(self._leaf(F.struct(F.array().cast("array<struct<arr:string,pos:int>>").alias("trail")), kind, v))
         # what is not there at once can still be in arrays on the way, if the event's first field is there
-        there = F.try_variant_get(v, "$" + self._step(path[0]), "variant").isNotNull()
-        deep = F.when(there, self._unrolled(v, path)).otherwise(_none())
-
-        def told(x: Column) -> Column:
-            kind = x["kind"]
-            here = F.array(self._leaf(F.struct(x["v"].alias("v"), steps.alias("trail")), kind, x["v"]))
-            plain = kind.isNotNull() & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
-            return F.when(plain, here).when(kind.startswith("OBJECT"), _none()).otherwise(deep)
-
-        value = F.try_variant_get(v, "$" + "".join(map(self._step, path)), "variant")
-        return bound(F.struct(value.alias("v"), F.schema_of_variant(value).alias("kind")), told, LEAVES)
+        there = F.try_variant_get(whole, "$" + self._step(path[0]), "variant").isNotNull()
+        plain = kind.isNotNull() & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
+        return F.when(plain, here).when(kind.startswith("OBJECT") | ~there, _none()).otherwise(self._unrolled(whole, path))
 
     def _unrolled(self, v: Column, path: Path) -> Column:
         """Every level is bound to a name, so that it is made once."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evmatch.deploy import shared_dir
+from evmatch.operators.flatten import ExactFlattener
 from evmatch.operators.history import PatternHistory
 from evmatch.operators.registry import PatternSet
 from evmatch.queries import CUST, EVENT, LINE, ORDER, ORACLES, PART, add, orders_with_items, table
@@ -156,6 +157,40 @@ def regexp_long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PatternSet.of(LONG).match_long(rows.select("s_suppkey", F.concat(F.repeat(F.lit("ab"), 50_000), end).alias("v")), ["s_suppkey"])
 
 
+#: samples of the dialect: a regexp of ours, the column of ``part`` it is for, and the same for SQL's matcher
+SAMPLES = (
+    ("small|large", "p_name", "never"), ("(small|large) .*", "p_name", "(small|large) .*"), ("[^s]+ .{3,5}", "p_name", "[^s]+ .{3,5}"), ("~w+ ~w+", "p_name", r"\w+ \w+"), ("~w+~s~w+", "p_name", r"\w+\s\w+"),
+    ("(~w+~s?)*", "p_name", r"(\w+\s?)*"), ("[a-m]+ [n-z]~w*", "p_name", r"[a-m]+ [n-z]\w*"), (".*(a|e|i)(n|r|l).*", "p_name", ".*(a|e|i)(n|r|l).*"), ("([^aeiou]*[aeiou]){3}[^aeiou]*", "p_name", "([^aeiou]*[aeiou]){3}[^aeiou]*"),
+    ("(.)*ing", "p_name", ".*ing"), ("[a-z ]{10}", "p_name", "[a-z ]{10}"), ("[a-z ]{8,10}", "p_name", "[a-z ]{8,10}"), ("[a-z ]{12,}", "p_name", "[a-z ]{12,}"), ("~p{Ll}+~p{Zs}~p{Ll}+", "p_name", "[a-z]+ [a-z]+"),
+    ("~p{L}*~P{L}~p{L}*", "p_name", "[a-z]* [a-z]*"), ("~i~c* ~i~c*", "p_name", "[a-z]+ [a-z]+"), ("Brand#~d{2}", "p_brand", "Brand#[0-9]{2}"), ("Brand#(1|2)?3", "p_brand", "Brand#[12]?3"), ("Brand#[1-35][^1-3]", "p_brand", "Brand#[1-35][^1-3]"),
+    ("(?:Brand)#1(1|2|3)|Brand#5.", "p_brand", "Brand#1[123]|Brand#5."), ("~D+~d~d?", "p_brand", "[^0-9]+[0-9][0-9]?"), ("[A-Za-z]+[#~-]~d+", "p_brand", "[A-Za-z]+[#-][0-9]+"), ("Brand#1+", "p_brand", "Brand#1+"), ("B.*?#.*?4", "p_brand", "B.*#.*4"),
+    ("[~p{Lu}~d]+", "p_type", "[A-Z0-9]+"), ("~p{IsBasicLatin}{5}", "p_type", ".{5}"), ("(S|P)(T|R|M)(A|O)(N|M|L).*", "p_type", "(S|P)(T|R|M)(A|O)(N|M|L).*"), ("((S|L)~p{Lu}+|PROMO)", "p_type", "[SL][A-Z]+|PROMO"), ("~I*", "p_type", "never"), ("~S{4,6}", "p_type", ".{4,6}"),
+)
+
+
+@add("regexp_samples", " UNION ALL ".join(f"SELECT p_partkey, 's{n}' AS pattern_id FROM part WHERE regexp_full_match({c}, '{sql}')" for n, (_, c, sql) in enumerate(SAMPLES)))
+def regexp_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PatternSet.of({f"s{n}": {c: [{"regexp": source}]} for n, (source, c, _) in enumerate(SAMPLES)}).match_long(table(spark, sf_dir, "part"), PART)
+
+
+# ---------------------------------------------------------------- malformed events
+
+#: what becomes of an event's text, and whether it is one strict JSON object with the type in ``a``
+FORMS = (
+    ("'{\"a\":\"' || event_type || '\"}'", True), ("'{\"a\":\"' || event_type || '\",}'", False), ("'{\"a\":[\"' || event_type || '\",]}'", False), ("'{\"a\":\"' || event_type || '\"} x'", False), ("'{\"a\":\"' || event_type || '\\\\q\"}'", False),
+    ("'{\"n\":01,\"a\":\"' || event_type || '\"}'", False), ("'{\"n\":-,\"a\":\"' || event_type || '\"}'", False), ("'{\"n\":1.,\"a\":\"' || event_type || '\"}'", False), ("'[{\"a\":\"' || event_type || '\"}]'", False), ("' {\"a\" : [ \"' || event_type || '\" ] } '", True),
+    ("'{\"n\":NaN,\"a\":\"' || event_type || '\"}'", False), ("'{\"n\":1e5,\"a\":\"' || event_type || '\"}'", True), ("'{\"n\":{},\"a\":\"' || event_type || '\"}'", True), ("''", False),
+)
+
+
+@add("strict_events_rows", f"SELECT event_id, good, CASE WHEN good AND event_type = 'click' THEN 'c' ELSE '' END AS ids FROM (SELECT *, event_id % {len(FORMS)} IN ({', '.join(str(n) for n, (_, ok) in enumerate(FORMS) if ok)}) AS good FROM events)")
+def strict_events_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``events`` in one of the forms: a bad event is a row with an error."""
+    text = F.element_at(F.array(*(F.expr(form) for form, _ in FORMS)), (F.col("event_id") % len(FORMS) + 1).cast("int"))
+    got = PatternSet.of({"c": {"a": ["click"]}}, flattener=ExactFlattener()).match(table(spark, sf_dir, "events").select("event_id", text.alias("event")))
+    return got.select("event_id", F.col("_event_error").isNull().alias("good"), F.array_join("matches", ",").alias("ids"))
+
+
 # ---------------------------------------------------------------- patterns over time
 
 SECOND = 1_000_000
