@@ -327,6 +327,8 @@ class PatternSet:
             flat, found = self._compiled(df)
             if 0 < len(found) <= PUSHED:
                 flat = flat.filter(_or(found.values()))
+            if len(found) == 1:
+                return flat.select(*map(quoted, key), F.lit(str(next(iter(found)))).alias("pattern_id"))  # filtered above
             if not found:
                 return flat.select(*map(quoted, key), F.lit("").alias("pattern_id")).filter(F.lit(False))
             each = flat.select(*map(quoted, key), F.explode(F.array(*(F.when(c, F.lit(str(i))) for i, c in found.items()))).alias("pattern_id"))

@@ -190,16 +190,26 @@ def looked_up(df: DataFrame, patterns: list[Pattern], ids: list[str], scalar: Ca
         for way, said in dict.fromkeys(keyed[lead]):
             tables[way][said][1].append(n)
     out, got, kept = df, [], df.columns
+    alone = all(len(cs) == 1 for cs in asked)  # then what a value is found with are the ids themselves
     mark = "_look" + "_" * max((len(c) for c in kept if c.lower().startswith("_look")), default=0)  # begins no other column
     for k, ((path, way), rows) in enumerate(tables.items()):
         v, d = scalar(path)
         said = d + F.lit(0.0) if way == "n" else v if way == "s" else F.substring(v, 1, int(way[1:])) if way[0] == "p" else F.right(v, F.lit(int(way[1:])))
+        if alone:
+            found = pa.array([sorted({ids[n] for n in ns}) for _, ns in rows.values()], type=pa.list_(pa.string()))
+            table = df.sparkSession.createDataFrame(pa.table({f"{mark}said{k}": pa.array(list(rows), type=pa.float64() if way == "n" else pa.string()), f"{mark}by{k}": found}))
+            out = out.join(F.broadcast(table), said == F.col(f"{mark}said{k}"), "left")
+            got.append(k)
+            continue
         by = pa.list_(pa.struct([("id", pa.string()), ("conditions", pa.list_(pa.int32()))]))
         columns = {f"{mark}said{k}": pa.array(list(rows), type=pa.float64() if way == "n" else pa.string()), f"{mark}met{k}": pa.array([sorted(cs) for cs, _ in rows.values()], type=pa.list_(pa.int32()))}
         columns[f"{mark}by{k}"] = pa.array([[{"id": ids[n], "conditions": asked[n]} for n in ns] for _, ns in rows.values()], type=by)
         table = df.sparkSession.createDataFrame(pa.table(columns))
         out = out.join(F.broadcast(table), said == F.col(f"{mark}said{k}"), "left")
         got.append(k)
+    if alone:
+        found = [F.coalesce(F.col(f"{mark}by{k}"), F.array().cast("array<string>")) for k in got]
+        return out.withColumn(into, found[0] if len(found) == 1 else F.sort_array(F.array_distinct(F.concat(*found)))).select(*(quoted(c) for c in kept if c.lower() != into.lower()), into)
     has = [F.coalesce(F.col(f"{mark}met{k}"), F.array().cast("array<int>")) for k in got]
     for (path, m), cs in others.items():
         v, d = scalar(path)
@@ -209,4 +219,4 @@ def looked_up(df: DataFrame, patterns: list[Pattern], ids: list[str], scalar: Ca
     fits = lambda p: F.forall(p["conditions"], lambda c: F.exists(f"{mark}has", lambda h: h == c))
     out = out.withColumn(f"{mark}all", candidates).withColumn(f"{mark}has", F.concat(*has))
     found = F.array_sort(F.array_distinct(F.transform(F.filter(f"{mark}all", fits), lambda p: p["id"])))
-    return out.withColumn(into, F.when(F.size(f"{mark}all") > 0, found).otherwise(F.array().cast("array<string>"))).select(*(quoted(c) for c in kept if c != into), into)
+    return out.withColumn(into, F.when(F.size(f"{mark}all") > 0, found).otherwise(F.array().cast("array<string>"))).select(*(quoted(c) for c in kept if c.lower() != into.lower()), into)

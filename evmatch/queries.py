@@ -154,6 +154,12 @@ def array_cross_element_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.filter(has("flag") & has("status") & ~has("both")).select("o_orderkey", F.lit("cross").alias("pattern_id"))
 
 
+@add("array_in_row", ORACLES["array_same_element"])
+def array_in_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of many patterns with arrays, inside the row."""
+    return PatternSet.of(SAME_ELEMENT).match_long(orders_with_items(spark, sf_dir), ORDER, plan="row")
+
+
 @add("array_join_plan", ORACLES["array_same_element"])
 def array_join_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PatternSet.of(SAME_ELEMENT).match_long(orders_with_items(spark, sf_dir), ORDER, plan="join")

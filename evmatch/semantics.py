@@ -5,7 +5,7 @@ They join those of ``queries`` under the same names' tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -18,6 +18,7 @@ from evmatch.operators.flatten import ExactFlattener, VariantFlattener
 from evmatch.operators.registry import PatternSet
 from evmatch.plans.pattern import Path, parse
 from evmatch.queries import CUST, EVENT, LINE, ORDER, ORACLES, PART, add, simple, table
+from evmatch.sources.events import as_event
 
 BY_TYPE = {"c": {"event_type": ["click"]}, "v": {"event_type": ["view"]}, "p": {"event_type": ["purchase"]}}
 
@@ -57,14 +58,18 @@ def rebuild_keeps_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.match_long(table(spark, sf_dir, "events"), EVENT)
 
 
-@add("maybe_rebuild_switched_off", "SELECT 0 AS dropped, 1 AS dropped_after, 2 AS n_before")
+_EMITTED, _HELD = "count(*) FILTER (event_type = 'click')", "count(*) FILTER (event_type = 'view')"
+
+
+@add("maybe_rebuild_switched_off", f"SELECT 0 AS dropped, ({_EMITTED} + {_HELD} >= 1000 AND {_HELD} > 0.2 * {_EMITTED})::INT AS dropped_after, 2 AS n_before FROM events")
 def maybe_rebuild_switched_off(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = PatternSet.builder().with_auto_rebuild(False).build().add_pattern("a", {"x": ["1"]}).add_pattern("b", {"x": ["1"]})
+    """What a table's matching has counted leads to no rebuild while that is off."""
+    patterns, seen = PatternSet.builder().with_auto_rebuild(False).build(), Observation()
+    patterns.add_pattern("c", BY_TYPE["c"]).add_pattern("v", BY_TYPE["v"])
     before = patterns.pattern_count()
-    patterns.delete_patterns("b")
-    for _ in range(1000):
-        patterns.matches_for_event('{"x": "1"}')
-    off = patterns.maybe_rebuild()
+    patterns.delete_patterns("v")
+    patterns.match(table(spark, sf_dir, "events"), observe=seen).write.format("noop").mode("overwrite").save()
+    off = patterns.absorb(seen)
     patterns.auto_rebuild = True
     return spark.createDataFrame([(off, patterns.maybe_rebuild(), before)], "dropped int, dropped_after int, n_before int")
 
@@ -112,20 +117,20 @@ def own_flattener(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PatternSet.of({"f": {"s": ["F"], "p": [{"prefix": "1-"}]}}, flattener=KeyValues()).match_long(lines, ORDER)
 
 
-@add("single_events", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'one' ELSE '' END AS ids, n_regionkey = 1 AS has, (n_regionkey = 1)::INT AS n, 1 AS leaves FROM nation")
+@add("single_events", "SELECT c_custkey, CASE WHEN c_nationkey = 1 THEN 'one' ELSE '' END AS ids, c_nationkey = 1 AS has, (c_nationkey = 1)::INT AS n, 1 AS leaves FROM customer")
 def single_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event by event in plain Python, over the 25 nations."""
-    import json
+    """Event by event, in tasks."""
+    patterns = PatternSet.of({"one": {"c_nationkey": [1]}})
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(key, ",".join(patterns.matches_for_event(e)), patterns.has_matches(e), patterns.count_matches(e), patterns.flatten_only(e)) for key, e in zip(b["c_custkey"], b["event"], strict=True)]
+            yield pd.DataFrame(rows, columns=["c_custkey", "ids", "has", "n", "leaves"])
 
-    patterns = PatternSet.of({"one": {"n_regionkey": [1]}})
-    rows = []
-    for r in table(spark, sf_dir, "nation").toLocalIterator():
-        event = json.dumps(r.asDict())
-        rows.append((r["n_nationkey"], ",".join(patterns.matches_for_event(event)), patterns.has_matches(event), patterns.count_matches(event), patterns.flatten_only(event)))
-    return spark.createDataFrame(rows, "n_nationkey int, ids string, has boolean, n int, leaves int")
+    return as_event(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).mapInPandas(each, "c_custkey long, ids string, has boolean, n int, leaves int")
 
 
-@add("number_keys_sort", "SELECT c_custkey, (row_number() OVER (ORDER BY c_acctbal - 5000, c_custkey))::INT AS place FROM customer")
+@add("number_keys_sort", "SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal - 5000, c_custkey))::INT AS place FROM customer")
 def number_keys_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte keys of numbers are in the numbers' order, and read back to the same number."""
     @F.pandas_udf("binary")
@@ -135,8 +140,8 @@ def number_keys_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise AssertionError("a key that reads back to another number")
         return made
 
-    keyed = table(spark, sf_dir, "customer").select("c_custkey", key(F.col("c_acctbal") - 5000).alias("k"))
-    return keyed.select("c_custkey", F.row_number().over(Window.orderBy("k", "c_custkey")).alias("place"))
+    keyed = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", key(F.col("c_acctbal") - 5000).alias("k"))
+    return keyed.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("k", "c_custkey")).alias("place"))
 
 
 # ---------------------------------------------------------------- many patterns
@@ -186,25 +191,45 @@ simple("arrays_in_arrays_variant", "events", EVENT, IN_ARRAYS, IN_ARRAYS_SQL, ev
 TEXTS = (('{"a":01}', False), ('{"a":-}', False), ('{"a":1.}', False), ('{"a":[1,]}', False), ('{"a":1,}', False), ("{'a':1}", False), ('{"a":1} x', False), ('{"a":"\\u00e9"}', True), ('{"a":"\\q"}', False), ('{"a":NaN}', False), ("[1]", False), ('{"a":1e5}', True), ('{"a":{}}', True), ("", False))
 
 
-@add("strict_events", "SELECT i::INT AS n, (i IN (7, 11, 12)) AS good FROM range(14) t(i)")
+@add("strict_events", f"SELECT event_id, (event_id % {len(TEXTS)} IN (7, 11, 12)) AS good FROM events")
 def strict_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, text) for n, (text, _) in enumerate(TEXTS)], "n int, event string")
-    got = PatternSet.of({"a": {"a": [{"exists": True}]}}, flattener=ExactFlattener()).match(rows)
-    return got.select("n", F.col("_event_error").isNull().alias("good"))
+    """Each row of ``events`` says one of the texts."""
+    text = F.element_at(F.array(*(F.lit(t) for t, _ in TEXTS)), (F.col("event_id") % len(TEXTS) + 1).cast("int"))
+    got = PatternSet.of({"a": {"a": [{"exists": True}]}}, flattener=ExactFlattener()).match(table(spark, sf_dir, "events").select("event_id", text.alias("event")))
+    return got.select("event_id", F.col("_event_error").isNull().alias("good"))
+
+
+def verdicts(rows: DataFrame, key: str, text: str, into: str, accepts: Callable[[str], object]) -> DataFrame:
+    """(key, ``into``): whether each text is taken, judged in tasks, each text once a batch."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known = {}
+            for t in b[text].unique():
+                try:
+                    accepts(t)
+                    known[t] = True
+                except PatternError:
+                    known[t] = False
+            yield pd.DataFrame({key: b[key], into: b[text].map(known).astype(bool)})
+
+    return rows.select(key, text).mapInPandas(each, f"{key} long, {into} boolean")
+
+
+#: pattern texts that are none; ``{t}`` is an event's type
+BAD = (
+    '{"{t}":', '["{t}"]', '{"{t}":1}', '{"{t}":[["x"]]}', '{"a":[{"{t}":1}]}', '{"{t}":[{}]}', '{"{t}":[1e999]}', '{"{t}":[' + "9" * 400 + "]}", '{"{t}":[{"numeric":["<"]}]}', '{"{t}":[{"numeric":["?",1]}]}', '{"{t}":[{"numeric":["<","1"]}]}',
+    '{"{t}":[{"anything-but":[]}]}', '{"{t}":[{"anything-but":["x",1]}]}', '{"{t}":[{"exists":"yes"}]}', '{"{t}":[{"prefix":1}]}', '{"{t}":[{"cidr":"10.0.0.0/33"}]}', '{"{t}":[{"wildcard":"**"}]}', '{"{t}":[{"regexp":"("}]}',
+)
 
 
-@add("bad_patterns", "SELECT i::INT AS n, true AS rejected FROM range(18) t(i)")
+@add("bad_patterns", f"SELECT event_id, event_id % {2 * len(BAD)} < {len(BAD)} AS rejected FROM events")
 def bad_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = ["{", "[]", '{"a":1}', '{"a":[["x"]]}', '{"a":[{"no such":1}]}', '{"a":[{}]}', '{"a":[1e999]}', '{"a":[' + "9" * 400 + "]}", '{"a":[{"numeric":["<"]}]}', '{"a":[{"numeric":["?",1]}]}', '{"a":[{"numeric":["<","1"]}]}']
-    bad += ['{"a":[{"anything-but":[]}]}', '{"a":[{"anything-but":["x",1]}]}', '{"a":[{"exists":"yes"}]}', '{"a":[{"prefix":1}]}', '{"a":[{"cidr":"10.0.0.0/33"}]}', '{"a":[{"wildcard":"**"}]}', '{"a":[{"regexp":"("}]}']
-    rows = []
-    for n, text in enumerate(bad):
-        try:
-            parse(text)
-            rows.append((n, False))
-        except PatternError:
-            rows.append((n, True))
-    return spark.createDataFrame(rows, "n int, rejected boolean")
+    """Patterns made of the events' types, every other one sound."""
+    n = F.col("event_id") % (2 * len(BAD))
+    form = F.coalesce(F.get(F.array(*map(F.lit, BAD)), n.cast("int")), F.lit('{"{t}":["{t}",{"numeric":["<",1]}]}'))
+    rows = table(spark, sf_dir, "events").select("event_id", F.replace(form, F.lit("{t}"), F.col("event_type")).alias("pattern"))
+    return verdicts(rows, "event_id", "pattern", "_taken", parse).select("event_id", (~F.col("_taken")).alias("rejected"))
 
 
 # ---------------------------------------------------------------- regexps and case
@@ -224,17 +249,13 @@ DIALECT = (
 )
 
 
-@add("regexp_dialect", f"SELECT i::INT AS n, i < {sum(ok for _, ok in DIALECT)} AS fine FROM range({len(DIALECT)}) t(i)")
+@add("regexp_dialect", f"SELECT event_id, event_id % {len(DIALECT)} < {sum(ok for _, ok in DIALECT)} AS fine FROM events")
 def regexp_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The translator's own verdict on each sample."""
-    rows = []
-    for n, (source, _) in enumerate(DIALECT):
-        try:
-            iregexp.translate(source)
-            rows.append((n, True))
-        except PatternError:
-            rows.append((n, False))
-    return spark.createDataFrame(rows, "n int, fine boolean")
+    """The translator's own verdict on a sample behind each event's type."""
+    sample = F.element_at(F.array(*(F.lit(source) for source, _ in DIALECT)), (F.col("event_id") % len(DIALECT) + 1).cast("int"))
+    between = F.when(sample.rlike("^[*+]"), F.lit("")).otherwise(F.col("event_type"))  # nothing to repeat is at the start
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(between, sample).alias("source"))
+    return verdicts(rows, "event_id", "source", "fine", iregexp.translate)
 
 
 #: pairs that fold together, one for each kind of letter: Latin, Greek, Cyrillic, Armenian, Georgian, Cherokee, Deseret

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from evmatch import queries, semantics  # noqa: F401
+from evmatch import queries, scale, semantics  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
