@@ -28,6 +28,8 @@ from evmatch.plans.terms import Terms, fits, same_letters
 
 BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 64 << 20
 EVENT = "_event_no"
+#: share of events looked at for common keys, how much of them a key has to be, and terms of such keys that are broadcast
+LOOK, COMMON, COMMON_TERMS = 0.01, 0.001, 50_000
 
 
 def quoted(name: str) -> Column:
@@ -63,6 +65,7 @@ class TermTables:
         raw = like.sparkSession.createDataFrame(pa.table({name: pa.array(c, type=kind) for (name, kind), c in zip(kinds, columns, strict=True)}))
         key = F.when(F.col("number").isNotNull(), _double_key(F.col("number"))).otherwise(F.col("_said"))
         size = sum(40 + 4 * len(k or "") + 4 * len(e or "") + sum(16 + 4 * len(p) for p in ps or ()) for _, k, _, _, ps, e in rows)
+        self.small = len(rows) <= BROADCAST_TERMS and size <= BROADCAST_BYTES
         return sized(raw.select("_path", key.alias("_said"), "_condition", "_pieces", "_exact"), len(rows), size)
 
     def pattern_table(self, like: DataFrame) -> DataFrame:
@@ -86,6 +89,21 @@ class TermTables:
         return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def joined_apart(said: DataFrame, terms: DataFrame, how: str) -> DataFrame:
+    """Keys with a table of terms that is too large for a broadcast.  A key that many events say would be one task's:
+    the terms of common keys, which a look at some events finds, are broadcast, and only the others are shuffled."""
+    looked = said.filter(F.col("_said").isNotNull()).sample(LOOK, seed=1).groupBy("_path", "_said").count().filter(F.col("count") >= 5)
+    total = looked.agg(F.sum("count")).first()[0] or 0
+    common = looked.filter(F.col("count") >= COMMON * total).select("_path", "_said")
+    keys = common.collect()  # 1 / COMMON at most
+    mine = terms.join(F.broadcast(said.sparkSession.createDataFrame(keys, common.schema)), ["_path", "_said"], "left_semi") if keys else None
+    if mine is None or mine.limit(COMMON_TERMS + 1).count() > COMMON_TERMS:
+        return said.join(terms, ["_path", "_said"], how)
+    flagged = said.join(F.broadcast(said.sparkSession.createDataFrame(keys, common.schema).withColumn("_common", F.lit(True))), ["_path", "_said"], "left")
+    often, rest = flagged.filter("_common").drop("_common"), flagged.filter("_common is null").drop("_common")
+    return often.join(F.broadcast(mine), ["_path", "_said"], how).unionByName(rest.join(terms, ["_path", "_said"], how))
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """``rows`` with EVENT, a number of each, kept in the shared folder: numbers given anew might go to other rows."""
     context = rows.sparkSession.sparkContext
@@ -115,7 +133,8 @@ def satisfied(df: DataFrame, key: list[str], patterns: list[Pattern], ids: list[
     rows = numbered(df.select(carried.alias("_key"), F.concat(*parts).alias("_leaves")))
     each = rows.select("_key", EVENT, explode("_leaves").alias("_leaf"))
     said = each.select("_key", EVENT, F.col("_leaf.path").alias("_path"), F.col("_leaf.trail").alias("_trail"), F.col("_leaf.v").alias("_v"), explode("_leaf.keys").alias("_said"))
-    met = said.join(tables.table(df), ["_path", "_said"], how)
+    terms_of = tables.table(df)
+    met = said.join(terms_of, ["_path", "_said"], how) if tables.small else joined_apart(said, terms_of, how)
     if tables.checked:
         fine = F.when(F.col("_pieces").isNotNull(), fits(F.col("_v"), F.col("_pieces"))).when(F.col("_exact").isNotNull(), same_letters(F.col("_v"), F.col("_exact"))).otherwise(True)
         met = met.withColumn("_condition", F.when(fine, F.col("_condition")))

@@ -11,7 +11,7 @@ from evmatch.functions import casefold, wildcard
 from evmatch.functions.predicates import ignore_case_regex
 from evmatch.operators import registry
 from evmatch.operators.flatten import ExactFlattener, VariantFlattener
-from evmatch.plans import inline
+from evmatch.plans import inline, join
 from evmatch.plans.terms import fits, same_letters
 
 MATCHERS = (
@@ -159,3 +159,31 @@ def test_plans_go_by_values(spark):
     got = one.match_long(df, ["id"]).groupBy("pattern_id").count().collect()
     assert {r[0]: r[1] for r in got} == {"even": 500, "not": 666}
     assert registry.VALUES < 1000
+
+
+def test_errors_tell_their_place(spark):
+    texts = ['{"a":1,\n "b":}', '{"a":\n\n 01}', '{"a":"\\q"}', '{"a":[1,2\n}', '{"a":1} x', "[1]"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, event string")
+    got = {r["id"]: r["_event_error"] for r in PatternSet.of({"p": {"a": [1]}}, flattener=ExactFlattener()).match(df).collect()}
+    for k, place in enumerate(["line 2 column 6", "line 3 column 3", "line 1 column 7", "line 2 column 1", "line 1 column 9"]):
+        assert place in got[k], (texts[k], got[k])
+    assert got[5] == "an event is an object"
+
+
+@pytest.mark.parametrize("outer", [False, True])
+def test_a_common_value_is_not_one_task(spark, monkeypatch, outer):
+    """Nine in ten events say one value, and the terms are too many for a broadcast."""
+    monkeypatch.setattr(join, "BROADCAST_TERMS", 10)
+    monkeypatch.setattr(join, "LOOK", 0.2)
+    monkeypatch.setattr(inline, "INLINE_ENTRIES", 0)
+    df = spark.range(0, 20_000, 1, 4).select("id", F.array(F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id").cast("string")))).alias("a"))
+    patterns = PatternSet.of({f"p{k}": {"a": [f"v{k}"]} for k in range(0, 20_000, 10)} | {"hot": {"a": ["hot"]}, "two": {"a": ["hot", "v10"]}})
+    if outer:
+        found = patterns.match(df)
+        assert {r["id"]: r["matches"] for r in found.collect()} == {k: ["hot", "two"] if k % 10 else [f"p{k}", *(["two"] if k == 10 else [])] for k in range(20_000)}
+    else:
+        found = patterns.match_long(df, ["id"])
+        got = found.groupBy("pattern_id").count().collect()
+        assert {r[0]: r[1] for r in got} == {f"p{k}": 1 for k in range(0, 20_000, 10)} | {"hot": 18_000, "two": 18_001}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "BroadcastHashJoin" in plan
