@@ -7,6 +7,8 @@ the values, and no list of patterns is made.
 
 from __future__ import annotations
 
+from functools import cache
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +61,10 @@ def _span(matchers: tuple[Matcher, ...], kind: T.DataType) -> list[tuple[str | f
 def scan_filter(df: DataFrame, patterns: list[Pattern]) -> Column | None:
     """A comparison of stored columns that every row matching a pattern meets, or None."""
     spans: dict[Path, list[tuple[str | float, str | float, bool]]] = {}
+    stored = cache(lambda path: _column(df, path))
     for p in patterns:
         for path, matchers in p.fields:
-            at = _column(df, path)
+            at = stored(path)
             if at and (mine := _span(matchers, at[1])):
                 spans.setdefault(path, []).extend(mine)
                 break
@@ -69,7 +72,7 @@ def scan_filter(df: DataFrame, patterns: list[Pattern]) -> Column | None:
             return None
     whole: Column | None = None
     for path, found in spans.items():
-        c, kind = _column(df, path)
+        c, kind = stored(path)
         order = (lambda x: x.encode()) if isinstance(kind, T.StringType) else (lambda x: x)
         values = {lo for lo, _, exact in found if exact}
         as_stored = (lambda x: int(x) if x == int(x) else x) if isinstance(kind, WHOLE) else lambda x: x
@@ -85,8 +88,9 @@ def scan_filter(df: DataFrame, patterns: list[Pattern]) -> Column | None:
 def semi_joined(df: DataFrame, patterns: list[Pattern], flattener: TypedFlattener) -> DataFrame | None:
     """The rows that match any of patterns of one field each, found by equality, beginning or ending; else None."""
     ways: dict[tuple[Path, str], dict[str | float, None]] = {}
+    plain = cache(lambda path: flattener.scalar(df, path))
     for p in patterns:
-        if len(p.fields) != 1 or (scalar := flattener.scalar(df, p.fields[0][0])) is None:
+        if len(p.fields) != 1 or (scalar := plain(p.fields[0][0])) is None:
             return None
         path, matchers = p.fields[0]
         for m in matchers:
@@ -103,7 +107,7 @@ def semi_joined(df: DataFrame, patterns: list[Pattern], flattener: TypedFlattene
     kept, name = df.columns, fresh(df, "_value")
     out, hit = df, F.lit(False)
     for k, ((path, way), values) in enumerate(ways.items()):
-        v, d = flattener.scalar(df, path)
+        v, d = plain(path)
         said = d + F.lit(0.0) if way == "n" else v if way == "s" else F.substring(v, 1, int(way[1:])) if way[0] == "p" else F.right(v, F.lit(int(way[1:])))
         table = df.sparkSession.createDataFrame(pa.table({f"{name}{k}": pa.array(list(values), type=pa.float64() if way == "n" else pa.string())}))
         keys = sized(table, len(values), sum(24 + 4 * len(str(x)) for x in values))
