@@ -20,6 +20,9 @@ COLUMNS = {
     "op7_suffixes": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op8_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op9_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op11_periodicity": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op13_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op10_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
 }
 
@@ -43,7 +46,7 @@ def test_columns_and_types(results):
 
 
 def test_every_document_once(results, texts):
-    for name in ("op1_simhash", "op2_media", "op3_sharding", "op5_quality", "op6_toxicity", "op7_suffixes", "op8_mixing"):
+    for name in ("op1_simhash", "op2_media", "op3_sharding", "op5_quality", "op6_toxicity", "op7_suffixes", "op8_mixing", "op11_periodicity", "op13_decontamination"):
         assert sorted(r["doc_id"] for r in results[name][1]) == sorted(texts), name
     assert {r["doc_id"] for r in results["op10_packing"][1]} == set(texts)
 
@@ -85,7 +88,7 @@ def test_rows_of_the_others(results, texts):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_queries_against_their_sql(results, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     expected = c.execute(catalog.oracle_sql()[name])
     columns = [d[0] for d in expected.description]
