@@ -52,7 +52,29 @@ def brute(root, weights):
     best = max(marked, key=holds, default=None)  # the first of equals
     around = next((t[2] for t in tokens if best and t[2] and t[2][-1] is best), ())
 
+    inner = lambda t: best in t[2] and t[2][-1] is not best
+    doubted = lambda n: n.tag in html.APART or n.tag != "article" and any(map(html.against, n.name.split()))
+    below = lambda n: n[2][n[2].index(best) + 1 :]
+    plain = [k for k, t in enumerate(tokens) if not t[0] and t[1].split() and best in t[2] and not any(map(doubted, below(t)))]
+
+    def within(node):
+        if node.tag in html.APART:
+            return True
+        if node.tag == "article":
+            return False
+        if any(weights.apart(w, 0) for w in node.name.split()):
+            return True
+        bad = [html.PART.findall(w) for w in node.name.split() if html.against(w)]
+        at = [k for k, t in enumerate(tokens) if not t[0] and t[1].split() and node in t[2]]
+        if not bad or node.tag not in html.PARTS or not at and not any(set(p) <= html.APART_NAMES for p in bad):
+            return False
+        edge = bool(at) and bool(plain) and (at[-1] < plain[0] or at[0] > plain[-1])
+        small = holds(node) <= html.SMALL and html.SHARE * holds(node) <= holds(best)
+        return any(set(p) <= html.APART_NAMES for p in bad) and (small or edge) or edge and any(set(p) & html.READERS for p in bad)
+
     def says(node):
+        if best and any(inner(t) and t[2][-1] is node for t in tokens if t[2]):
+            return within(node)
         if node.tag in html.APART:
             return True
         big = node in around and 2 * holds(node) > words(tokens)
@@ -123,3 +145,54 @@ def test_time_grows_with_the_page(piece):
         html.main_text(piece * n, weights)
         took.append(time.process_time() - began)
     assert took[1] < max(4, 24 * took[0])
+
+
+FIRST, LAST = " ".join(f"one{k}" for k in range(60)), " ".join(f"two{k}" for k in range(60))
+OWN_PARTS = [
+    "<section id='related-work'>{}</section>", "<div class='share-price'>{}</div>", "<section class='search-results'>{}</section>",
+    "<div class='skip-list'>{}</div>", "<div class='widget-theory'>{}</div>", "<span class='alert-level'>{}</span>", "<p class='notice'>{}</p>",
+    "<menu>{}</menu>", "<dialog open>{}</dialog>", "<object>{}</object>", "<header><h1>{}</h1></header>", "<code><span class='comment'>{}</span></code>",
+]
+
+
+@pytest.mark.parametrize("part", OWN_PARTS)
+@pytest.mark.parametrize("text", ["twelve words", "more " * 100])
+def test_names_alone_take_nothing_from_an_article(part, text):
+    text = " ".join(text.split())
+    for page in (f"<p>{FIRST}</p>{part.format(text)}<p>{LAST}</p>", f"<p>{FIRST}</p><p>{LAST}</p>{part.format(text)}", f"{part.format(text)}<p>{FIRST}</p><p>{LAST}</p>"):
+        found = html.main_text(f"<nav><a>home</a></nav><article>{page}</article><footer>f</footer>", html.Weights({}))
+        assert sorted(found.split()) == sorted(f"{FIRST} {LAST} {text}".split())
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<div class='related-posts'><a href='/1'>some other story</a> or <a href='/2'>yet another story</a></div>",
+        "<div class='share-bar'>tell your friends <button>now</button></div>",
+        "<div class='ad'>buy this thing now</div>",
+        "<dialog>closed</dialog>",
+        "<menu><li><button>copy</button></li></menu>",
+        "<nav>contents</nav>",
+        "<form>name <input></form>",
+    ],
+)
+def test_names_with_evidence_are_believed(part):
+    page = f"<article><h1>T</h1><p>{FIRST}</p>{part}<p>{LAST}</p></article>"
+    assert html.main_text(page, html.Weights({})) == f"T\n{FIRST}\n{LAST}"
+
+
+def test_readers_comments_at_the_end_of_an_article_go():
+    thread = "".join(f"<div class='comment'><p>{'I think so too ' * 30}</p></div>" for _ in range(5))
+    for name in ("comments", "comments-area", "comment-list"):
+        assert html.main_text(f"<article><p>{FIRST}</p><p>{LAST}</p><section class='{name}'>{thread}</section></article>", html.Weights({})) == f"{FIRST}\n{LAST}"
+
+
+def test_labelled_articles_teach_a_name_and_its_repeated_texts():
+    same = "sign up to read a new story every single day of the week " * 10
+    page = lambda k: f"<article><p>{FIRST}</p><div class='promo-box'>{same}</div><section class='related-work'>{f'w{k} ' * 400}</section><p>{LAST}</p></article>"
+    counts = Counter()
+    for k in range(5):
+        counts += html.labelled(page(k))
+    weights = html.Weights(counts)
+    assert weights.content("section", ("related-work",)) and not weights.apart("related-work")
+    assert html.main_text(page(9), weights) == f"{FIRST}\n{'w9 ' * 399}w9\n{LAST}"
