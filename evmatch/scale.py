@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evmatch.deploy import shared_dir
 from evmatch.operators.flatten import ExactFlattener
 from evmatch.operators.history import PatternHistory
 from evmatch.operators.registry import PatternSet
+from evmatch.operators.store import PatternStore
 from evmatch.queries import CUST, EVENT, LINE, ORDER, ORACLES, PART, add, orders_with_items, table
 
 MANY = 10_000
@@ -231,4 +232,60 @@ def match_as_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, pattern_id string").parquet(f"{out}/rows")
 
 
+# ---------------------------------------------------------------- patterns of a table, compiled in tasks
+
+
+def new_store(spark: SparkSession) -> PatternStore:
+    return PatternStore.create(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def _pattern(id: str, **fields: Column) -> list[Column]:
+    """``id`` before the row's key, and the JSON of a pattern whose lists are texts of their own."""
+    text = F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{name}": ['), x, F.lit("]")) for name, x in fields.items())), F.lit("}"))
+    return [F.concat(F.lit(id), F.col("c_custkey").cast("string")).alias("pattern_id"), text.alias("pattern_json")]
+
+
+STORE_OF_CUSTOMERS = """
+SELECT o_orderkey, 'c' || c_custkey AS pattern_id FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE CASE WHEN c_nationkey <> 3 THEN o_totalprice > c_acctbal * 20 ELSE c_custkey % 2 = 0 AND o_orderpriority <> '1-URGENT' END"""
+
+
+@add("store_of_customers", STORE_OF_CUSTOMERS)
+def store_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern of every customer; those of one nation are deleted, and half of them come again as others."""
+    customers, key = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    store = new_store(spark)
+    limit = F.concat(F.lit('{"numeric": [">", '), (F.col("c_acctbal") * 20).cast("string"), F.lit("]}"))
+    store.add_patterns(customers.select(*_pattern("c", o_custkey=key, o_totalprice=limit)))
+    some = customers.filter("c_nationkey = 3")
+    store.delete_patterns(some.select(*_pattern("c")))
+    store.add_patterns(some.filter("c_custkey % 2 = 0").select(*_pattern("c", o_custkey=key, o_orderpriority=F.lit('{"anything-but": "1-URGENT"}'))))
+    return store.match_long(table(spark, sf_dir, "orders"), ORDER)
+
+
+@add("store_of_parts", "SELECT l_orderkey, l_linenumber, 'p' || p_partkey AS pattern_id FROM lineitem JOIN part ON l_extendedprice >= 20 * p_retailprice AND l_extendedprice < 20 * p_retailprice + 2 WHERE l_shipmode LIKE '%' || p_size % 10 || '%' OR l_shipmode LIKE 'R%'")
+def store_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two patterns of every part under one id: overlapping ranges, with a wildcard or a beginning."""
+    price = F.col("p_retailprice") * 20
+    span = F.concat(F.lit('{"numeric": [">=", '), price.cast("string"), F.lit(', "<", '), (price + 2).cast("string"), F.lit("]}"))
+    parts = table(spark, sf_dir, "part").withColumn("c_custkey", F.col("p_partkey"))
+    digit = F.concat(F.lit('{"wildcard": "*'), (F.col("p_size") % 10).cast("string"), F.lit('*"}'))
+    store = new_store(spark)
+    store.add_patterns(parts.select(*_pattern("p", l_extendedprice=span, l_shipmode=digit)).union(parts.select(*_pattern("p", l_extendedprice=span, l_shipmode=F.lit('{"prefix": "R"}')))))
+    return store.match_long(table(spark, sf_dir, "lineitem"), LINE)
+
+
+#: fixed values: patterns that are rejected, but for the last, in the order of a customer's key
+MALFORMED = ['{"c_name": ["x"]', '{"c_name": "x"}', '{"c_name": [["x"]]}', '{"c_name": [{"prefix": 1}]}', '{"c_name": [{"numeric": [">"]}]}', '{"c_name": [{"regexp": "(x"}]}', '{"c_name": [{"near": "x"}]}', '{"c_name": [{"cidr": "10.0.0.0/40"}]}', '{"c_name": [{"anything-but": []}]}', '{"c_name": ["x"]}']
+
+
+@add("store_rejected", "SELECT 'c' || c_custkey AS pattern_id FROM customer WHERE c_custkey % 10 < 9")
+def store_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine customers in ten bring a malformed pattern."""
+    texts = F.array(*map(F.lit, MALFORMED))
+    store = new_store(spark)
+    store.add_patterns(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("pattern_id"), F.get(texts, F.col("c_custkey") % 10).alias("pattern_json")))
+    return store.rejected().select("pattern_id")
+
+
 __all__ = ["ORACLES"]
