@@ -1,9 +1,10 @@
 """Pattern sets that no driver holds: compiled in tasks from a table, kept as tables, changed by what is new.
 
-A store is a folder with three tables, each in batches ``seq=n``:
+A store is a folder of tables, each in batches ``seq=n``:
 
-* ``patterns``  (_id, _lead, _conditions)  a pattern with all its conditions and the one to look it up by
-* ``terms``     what a value must say for a condition, as in ``plans.terms``
+* ``patterns``  a pattern with the condition to look it up by, and its others with what decides them
+* ``terms``     what a value must say for a condition that is looked up, as in ``plans.terms``
+* ``ways``      in which ways values are looked up, of each path
 * ``deleted``   (_id)  ids whose patterns of earlier batches are gone
 
 and a ``log`` that is written last, so that a batch is there as a whole or not at all, and one that failed is
@@ -11,7 +12,8 @@ written anew under its number.  Adding or deleting writes a batch and rewrites n
 
 Every term depends on its own pattern alone: a condition is named by a digest of what it says, and a range is
 found in the one to three cells of a grid at least as wide as it is and then compared, so nothing has to be
-known of other ranges.  Only the wildcards' rarest gram and the condition that fewest patterns share are chosen
+known of other ranges.  An event looks up the condition of each pattern that fewest share (and long lists);
+the other conditions are decided for the patterns found so, in the row.  Only the wildcards' rarest gram and the condition that fewest patterns share are chosen
 over a batch, by counting in Spark.  The driver sees the ways that values have to be looked up (lengths of
 beginnings, grid widths, ...) and the expressions of regexps, which are bounded, and no pattern.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 from typing import Any
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from evmatch.deploy import shared_dir, ship
 from evmatch.errors import PatternError
+from evmatch.functions.binding import bound
 from evmatch.operators.flatten import Flattener, TypedFlattener
 from evmatch.plans.columns import STEPS, agree
 from evmatch.plans.join import EVENT, _double_key, joined_apart, numbered, quoted
@@ -38,11 +42,18 @@ from evmatch.plans.terms import Terms, _grams, fits, prefix_length, same_letters
 
 #: ways in all that values may have to be looked up, and regexps among them
 MOST_WAYS, MOST_REGEXPS = 5_000, 500
+#: terms up to which a condition is decided in the row
+FEW = 64
 CONDITIONS = "array<struct<condition:string,path:string,negative:boolean>>"
-TERM = "struct<_condition:string,_path:string,_way:string,_said:string,_number:double,_pieces:array<string>,_exact:string,_low:double,_high:double,_low_in:boolean,_high_in:boolean,_not:boolean,_grams:array<string>>"
-COMPILED = f"_id string, _json string, _error string, _conditions {CONDITIONS}, _keyed array<string>, _terms array<{TERM}>"
-PATTERNS = f"_id string, _json string, _lead string, _conditions {CONDITIONS}, seq int"
-TERMS = TERM[len("struct<") : -1].replace(":", " ").replace(",_grams array<string>", ", seq int")
+CHECK = "struct<_said:string,_number:double,_pieces:array<string>,_exact:string,_low:double,_high:double,_low_in:boolean,_high_in:boolean,_not:boolean>"
+DECIDED = f"array<struct<condition:string,path:string,negative:boolean,terms:array<{CHECK}>>>"
+TERM = "struct<_condition:string,_path:string,_way:string,_said:string,_number:double,_pieces:array<string>,_exact:string,_low:double,_high:double,_low_in:boolean,_high_in:boolean,_not:boolean,_grams:array<string>,_many:boolean>"
+#: a condition to be looked up by, and how many values it may hold for: 0 few, 1 some, 2 most
+KEYED = "struct<_lead:string,_broad:int>"
+COMPILED = f"_id string, _json string, _error string, _conditions {CONDITIONS}, _keyed array<{KEYED}>, _terms array<{TERM}>"
+PATTERNS = f"_id string, _json string, _lead string, _conditions {DECIDED}, seq int"
+TERMS = TERM[len("struct<") : -1].replace(":", " ").replace(",_grams array<string>,_many boolean", ", seq int")
+WAYS = "_path string, _way string, _looked_up boolean, _not boolean, seq int"
 DELETED, REJECTED, LOG = "_id string, seq int", "_id string, _json string, _error string, seq int", "seq int, kind string"
 
 
@@ -116,12 +127,19 @@ class OwnTerms(Terms):
                 self._row(path, "m", "m", c)
         asked = [(c, path) for (path, _), c in self.conditions.items()]
         negative = [path for c, path in asked if c in self.negative]
-        keyed = [self.names[c] for c in self.keyed]
+        broad = dict.fromkeys(self.names, 0)
+        for r in self.rows:
+            kind = 2 if r["_way"] in ("e", "m", "f", "p0", "x0") or r["_way"][0] == "r" else 1 if r["_way"][0] in "wfpx" else 0
+            broad[self.names[r["c"]]] = max(broad[self.names[r["c"]]], kind)
+        keyed = [{"_lead": self.names[c], "_broad": broad[self.names[c]]} for c in sorted(self.keyed)]
         terms = [{**{k: v for k, v in r.items() if k[0] == "_"}, "_path": self.path_names[r["path"]], "_condition": self.names[r["c"]], "_not": r.get("_not", False)} for r in self.rows]
+        sizes = Counter(t["_condition"] for t in terms)
+        for t in terms:
+            t["_many"] = sizes[t["_condition"]] > FEW
         if asked and not keyed:  # found by any value there
             name = f"e:{self.path_names[negative[0]]}"
-            keyed = [name]
-            terms.append({"_condition": name, "_path": self.path_names[negative[0]], "_way": "e", "_said": "e", "_not": False})
+            keyed = [{"_lead": name, "_broad": 2}]
+            terms.append({"_condition": name, "_path": self.path_names[negative[0]], "_way": "e", "_said": "e", "_not": False, "_many": True})
         conditions = [{"condition": self.names[c], "path": self.path_names[path], "negative": c in self.negative} for c, path in asked]
         return {"_conditions": conditions, "_keyed": keyed, "_terms": terms}
 
@@ -129,9 +147,9 @@ class OwnTerms(Terms):
 def compiled(table: DataFrame, strict_lookaround: bool) -> DataFrame:
     """COMPILED rows of (pattern_id, pattern_json): one that cannot be parsed has an ``_error`` and no terms."""
     ship(table.sparkSession)
-    kinds = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    kinds = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     struct = lambda text: pa.struct([(f.split(":", 1)[0], kinds[f.split(":", 1)[1]]) for f in text[len("struct<") : -1].split(",")])
-    schema = pa.schema([("_id", pa.string()), ("_json", pa.string()), ("_error", pa.string()), ("_conditions", pa.list_(struct(CONDITIONS[len("array<") : -1]))), ("_keyed", pa.list_(pa.string())), ("_terms", pa.list_(struct(TERM)))])
+    schema = pa.schema([("_id", pa.string()), ("_json", pa.string()), ("_error", pa.string()), ("_conditions", pa.list_(struct(CONDITIONS[len("array<") : -1]))), ("_keyed", pa.list_(struct(KEYED))), ("_terms", pa.list_(struct(TERM)))])
 
     def one(id: str | None, text: str | None) -> dict[str, Any]:
         row: dict[str, Any] = {"_id": id, "_json": text, "_error": None, "_conditions": [], "_keyed": [], "_terms": []}
@@ -212,12 +230,15 @@ class PatternStore:
         rows = compiled(table, self.strict_lookaround).withColumn("_n", F.monotonically_increasing_id()).checkpoint()
         self._write(rows.filter("_error is not null").select("_id", "_json", "_error"), "rejected", seq)
         fine = rows.filter("_error is null and size(_conditions) > 0")
-        keyed = fine.select("_n", F.explode("_keyed").alias("_lead"))
+        keyed = fine.select("_n", F.inline("_keyed"))
         shared = keyed.groupBy("_lead").agg(F.count("*").alias("_shared"))
-        leads = keyed.join(shared, "_lead").groupBy("_n").agg(F.min_by("_lead", F.struct("_shared", "_lead")).alias("_lead"))
-        self._write(fine.select("_n", "_id", "_json", "_conditions").join(leads, "_n").select("_id", "_json", "_lead", "_conditions"), "patterns", seq)
-        terms = fine.select(F.explode("_terms").alias("_t")).select("_t.*")
-        self._write(with_grams(terms).distinct(), "terms", seq)
+        leads = keyed.join(shared, "_lead").groupBy("_n").agg(F.min_by("_lead", F.struct(F.col("_broad") == 2, "_shared", "_broad", "_lead")).alias("_lead"))
+        led = fine.join(leads, "_n")
+        self._write(led.select("_id", "_json", "_lead", _decided().alias("_conditions")), "patterns", seq)
+        looked_up = F.col("_t._many") | (F.col("_t._condition") == F.col("_lead"))
+        each = led.select("_lead", F.explode("_terms").alias("_t")).select("_t.*", looked_up.alias("_looked_up"))
+        self._write(each.groupBy("_path", "_way", "_looked_up").agg(F.max("_not").alias("_not")), "ways", seq)
+        self._write(with_grams(each.filter("_looked_up").drop("_looked_up", "_many")).distinct(), "terms", seq)
         return self._commit(seq, "added")
 
     def delete_patterns(self, ids: DataFrame) -> int:
@@ -255,8 +276,7 @@ class PatternStore:
         broadcast of their terms if these are few.  Only rows that met a condition are grouped by event.
         """
         flattener = flattener or TypedFlattener()
-        terms = self._read("terms", TERMS, "added")
-        ways = terms.select("_path", "_way", "_not").distinct().limit(MOST_WAYS + 1).collect()
+        ways = self._read("ways", WAYS, "added").groupBy("_path", "_way").agg(F.max("_looked_up").alias("up"), F.max(~F.col("_looked_up")).alias("inside")).limit(MOST_WAYS + 1).collect()
         if len(ways) > MOST_WAYS or sum(w["_way"][0] == "r" for w in ways) > MOST_REGEXPS:
             raise PatternError(f"values would have to be looked up in over {MOST_WAYS} ways, or meet over {MOST_REGEXPS} regexps")
         if not ways:
@@ -266,30 +286,45 @@ class PatternStore:
         names = sorted({w["_path"] for w in ways})
         paths = [tuple(json.loads(n)) for n in names]
         flat, leaves = flattener(df, paths)
-        no_trail, parts = F.array().cast(STEPS), []
-        negative = {w["_path"] for w in ways if w["_not"]}
+        none, parts = F.lit(None).cast("string"), []
         for name, path in zip(names, paths, strict=True):
-            mine = {w["_way"] for w in ways if w["_path"] == name}
-            told = F.transform(leaves[path], _saying(name, _keys(mine, self.strict_lookaround), any(w[0] in "wi" for w in mine)))
-            if "m" in mine:
-                nothing = F.struct(F.lit(name).alias("path"), F.lit(-1).alias("n"), F.array(F.lit("m")).alias("keys"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("double").alias("d"), no_trail.alias("trail"))
+            up, inside = ({w["_way"] for w in ways if w["_path"] == name and w[side]} for side in ("up", "inside"))
+            told = F.transform(leaves[path], _saying(name, self._keys(up), self._keys({w for w in inside if w[0] not in "wf"}), any(w[0] in "wi" for w in up | inside)))
+            if "m" in up | inside:
+                missing = F.array(F.lit("m"))
+                nothing = F.struct(F.lit(name).alias("path"), F.lit(-1).alias("n"), missing.alias("up"), missing.alias("keys"), none.alias("v"), none.cast("double").alias("d"), F.array().cast(STEPS).alias("trail"))
                 told = F.when(F.size(leaves[path]) == 0, F.array(nothing)).otherwise(told)
             parts.append(told)
         carried = F.struct(*map(quoted, key)) if key else F.struct(F.lit(0).alias("_"))
         rows = numbered(flat.select(carried.alias("_key"), F.concat(*parts).alias("_leaves")))
-        beside = F.filter("_leaves", lambda x: x["path"].isin(*negative) & (x["n"] >= 0)) if negative else F.slice("_leaves", 1, 0)
-        rows = rows.withColumn("_all", F.transform(beside, lambda x: F.struct(x["path"].alias("path"), x["n"].alias("n"), x["trail"].alias("trail"))))
-        each = rows.select("_key", "_all", EVENT, F.explode("_leaves").alias("_leaf"))
-        each = each.select("_key", "_all", EVENT, F.col("_leaf.path").alias("_path"), F.col("_leaf.n").alias("_n"), F.col("_leaf.v").alias("_v"), F.col("_leaf.d").alias("_d"), F.col("_leaf.trail").alias("_trail"), F.explode("_leaf.keys").alias("_said"))
+        each = rows.select(EVENT, F.explode("_leaves").alias("_leaf"))
+        each = each.select(EVENT, F.col("_leaf.path").alias("_path"), F.col("_leaf.n").alias("_n"), F.col("_leaf.v").alias("_v"), F.col("_leaf.d").alias("_d"), F.col("_leaf.trail").alias("_trail"), F.explode("_leaf.up").alias("_said"))
+        terms = self._read("terms", TERMS, "added")
         keyed = terms.withColumn("_said", F.when(F.col("_number").isNotNull(), _double_key(F.col("_number"))).otherwise(F.col("_said"))).drop("_number", "_way", "seq").distinct()
-        met = joined_apart(each, keyed, "inner").filter(_fine())
+        met = joined_apart(each, keyed, "inner").filter(_fine(F.col("_v"), F.col("_d"), F.col))
         got = F.collect_set(F.struct(F.col("_condition").alias("c"), F.col("_n").alias("n"), F.col("_trail").alias("trail"), F.col("_not").alias("ex")))
-        events = met.groupBy(EVENT).agg(F.first("_key").alias("_key"), F.first("_all").alias("_all"), got.alias("_got"))
+        events = met.groupBy(EVENT).agg(got.alias("_got")).join(rows, EVENT)
         has = F.array_distinct(F.transform(F.filter("_got", lambda g: ~g["ex"]), lambda g: g["c"]))
         found = events.select("*", F.explode(has).alias("_lead")).join(self.live().select("_id", "_lead", "_conditions"), "_lead")
-        out = found.filter(_together(bool(negative))).select(EVENT, "_key", "_id").dropDuplicates([EVENT, "_id"])
+        out = found.filter(_together()).select(EVENT, "_key", "_id").dropDuplicates([EVENT, "_id"])
         return out.select(*(["_key.*"] if key else []), F.col("_id").alias("pattern_id"))
 
+    def _keys(self, ways: set[str]) -> Callable[[Column, Column], Column]:
+        return _keys(ways, self.strict_lookaround)
+
+
+def _decided() -> Column:
+    """Conditions with the terms that decide them in the row; null where they are looked up."""
+
+    def one(c: Column) -> Column:
+        own = F.filter("_terms", lambda t: t["_condition"] == c["condition"])
+        apart = (c["condition"] == F.col("_lead")) | F.exists(own, lambda t: t["_many"])
+        names = [f.split(":")[0] for f in CHECK[len("struct<") : -1].split(",")]
+        terms = F.transform(own, lambda t: F.struct(*(t[n].alias(n) for n in names)))
+        return F.struct(c["condition"].alias("condition"), c["path"].alias("path"), c["negative"].alias("negative"), F.when(~apart, terms).alias("terms"))
+
+    return F.transform("_conditions", one).cast(DECIDED)
+
 
 def _keys(ways: set[str], strict_lookaround: bool) -> Callable[[Column, Column], Column]:
     """What a value of a path has to say."""
@@ -326,36 +361,44 @@ def _keys(ways: set[str], strict_lookaround: bool) -> Callable[[Column, Column],
     return keys
 
 
-def _saying(path: str, keys: Callable[[Column, Column], Column], checked: bool) -> Callable[[Column, Column], Column]:
+def _saying(path: str, up: Callable[[Column, Column], Column], inside: Callable[[Column, Column], Column], checked: bool) -> Callable[[Column, Column], Column]:
     def said(x: Column, n: Column) -> Column:
         v = x["v"] if checked else F.lit(None).cast("string")
-        return F.struct(F.lit(path).alias("path"), n.alias("n"), keys(x["v"], x["d"]).alias("keys"), v.alias("v"), x["d"].alias("d"), x["trail"].alias("trail"))
+        return F.struct(F.lit(path).alias("path"), n.alias("n"), up(x["v"], x["d"]).alias("up"), inside(x["v"], x["d"]).alias("keys"), v.alias("v"), x["d"].alias("d"), x["trail"].alias("trail"))
 
     return said
 
 
-def _fine() -> Column:
+def _fine(v: Column, d: Column, of: Callable[[str], Column]) -> Column:
     """What a term asks for besides its key."""
-    d, low, high = F.col("_d"), F.col("_low"), F.col("_high")
-    above = low.isNull() | (d > low) | F.col("_low_in") & (d == low)
-    below = high.isNull() | (d < high) | F.col("_high_in") & (d == high)
-    pieces = F.when(F.col("_pieces").isNotNull(), fits(F.col("_v"), F.col("_pieces")))
-    return pieces.when(F.col("_exact").isNotNull(), same_letters(F.col("_v"), F.col("_exact"))).when(F.col("_low_in").isNotNull(), above & below).otherwise(True)
+    low, high = of("_low"), of("_high")
+    above = low.isNull() | (d > low) | of("_low_in") & (d == low)
+    below = (high.isNull() | (d < high) | of("_high_in") & (d == high)) & ~F.isnan(d)
+    pieces = F.when(of("_pieces").isNotNull(), fits(v, of("_pieces")))
+    return pieces.when(of("_exact").isNotNull(), same_letters(v, of("_exact"))).when(of("_low_in").isNotNull(), above & below).otherwise(True)
 
 
-def _together(negative: bool) -> Column:
+def _together() -> Column:
     """Whether all conditions of a pattern hold for values of the same elements of arrays."""
 
+    def holds(t: Column, x: Column) -> Column:
+        by_key = t["_pieces"].isNull() & t["_low_in"].isNull()
+        said = F.when(t["_number"].isNotNull(), x["d"] == t["_number"]).when(by_key, F.array_contains(x["keys"], t["_said"])).otherwise(x["n"] >= 0)
+        return F.coalesce(said & _fine(x["v"], x["d"], lambda name: t[name]), F.lit(False))
+
     def trails(c: Column) -> Column:
-        sure = F.transform(F.filter("_got", lambda g: (g["c"] == c["condition"]) & ~g["ex"]), lambda g: g["trail"])
-        if not negative:
-            return sure
-        left_out = lambda a: F.exists("_got", lambda g: (g["c"] == c["condition"]) & g["ex"] & (g["n"] == a["n"]))
-        default = F.transform(F.filter("_all", lambda a: (a["path"] == c["path"]) & ~left_out(a)), lambda a: a["trail"])
-        return F.when(c["negative"], F.array_union(sure, default)).otherwise(sure)
+        sure = F.filter("_got", lambda g: (g["c"] == c["condition"]) & ~g["ex"])
+        left_out = lambda x: F.exists("_got", lambda g: (g["c"] == c["condition"]) & g["ex"] & (g["n"] == x["n"]))
+        default = F.filter("_leaves", lambda x: (x["path"] == c["path"]) & (x["n"] >= 0) & ~left_out(x))
+        of = lambda found: F.transform(found, lambda x: x["trail"])
+        looked_up = F.when(c["negative"], F.array_union(of(sure), of(default))).otherwise(of(sure))
+        any_of = lambda x, ex: F.exists(c["terms"], lambda t: (t["_not"] == ex) & holds(t, x))
+        inside = F.filter("_leaves", lambda x: (x["path"] == c["path"]) & (any_of(x, F.lit(False)) | c["negative"] & (x["n"] >= 0) & ~any_of(x, F.lit(True))))
+        return F.when(c["terms"].isNull(), looked_up).otherwise(of(inside))
 
     def meet(acc: Column, c: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(acc, lambda a: F.transform(F.filter(trails(c), lambda t: agree(a, t)), lambda t: F.array_union(a, t)))))
+        fitting = lambda a, found: F.transform(F.filter(found, lambda t: agree(a, t)), lambda t: F.array_union(a, t))
+        return bound(trails(c), lambda found: F.array_distinct(F.flatten(F.transform(acc, lambda a: fitting(a, found)))), f"array<{STEPS}>")
 
     alone = (F.size("_conditions") == 1) & ~F.get("_conditions", F.lit(0))["negative"]  # the lead, which holds
     return alone | (F.size(F.aggregate("_conditions", F.array(F.array().cast(STEPS)), meet)) > 0)

@@ -263,16 +263,21 @@ def store_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.match_long(table(spark, sf_dir, "orders"), ORDER)
 
 
-@add("store_of_parts", "SELECT l_orderkey, l_linenumber, 'p' || p_partkey AS pattern_id FROM lineitem JOIN part ON l_extendedprice >= 20 * p_retailprice AND l_extendedprice < 20 * p_retailprice + 2 WHERE l_shipmode LIKE '%' || p_size % 10 || '%' OR l_shipmode LIKE 'R%'")
+STORE_OF_PARTS = """
+SELECT DISTINCT o_orderkey, 'p' || p_partkey AS pattern_id FROM orders JOIN part ON o_totalprice >= 20 * p_retailprice AND o_totalprice < 20 * p_retailprice + 20
+WHERE o_orderpriority LIKE '%' || substr('AEIOU', (p_size % 5 + 1)::INT, 1) || '%' OR o_orderpriority LIKE '3%'"""
+
+
+@add("store_of_parts", STORE_OF_PARTS)
 def store_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two patterns of every part under one id: overlapping ranges, with a wildcard or a beginning."""
     price = F.col("p_retailprice") * 20
-    span = F.concat(F.lit('{"numeric": [">=", '), price.cast("string"), F.lit(', "<", '), (price + 2).cast("string"), F.lit("]}"))
+    span = F.concat(F.lit('{"numeric": [">=", '), price.cast("string"), F.lit(', "<", '), (price + 20).cast("string"), F.lit("]}"))
     parts = table(spark, sf_dir, "part").withColumn("c_custkey", F.col("p_partkey"))
-    digit = F.concat(F.lit('{"wildcard": "*'), (F.col("p_size") % 10).cast("string"), F.lit('*"}'))
+    vowel = F.concat(F.lit('{"wildcard": "*'), F.get(F.split(F.lit("AEIOU"), ""), (F.col("p_size") % 5).cast("int")), F.lit('*"}'))
     store = new_store(spark)
-    store.add_patterns(parts.select(*_pattern("p", l_extendedprice=span, l_shipmode=digit)).union(parts.select(*_pattern("p", l_extendedprice=span, l_shipmode=F.lit('{"prefix": "R"}')))))
-    return store.match_long(table(spark, sf_dir, "lineitem"), LINE)
+    store.add_patterns(parts.select(*_pattern("p", o_totalprice=span, o_orderpriority=vowel)).union(parts.select(*_pattern("p", o_totalprice=span, o_orderpriority=F.lit('{"prefix": "3"}')))))
+    return store.match_long(table(spark, sf_dir, "orders"), ORDER)
 
 
 #: fixed values: patterns that are rejected, but for the last, in the order of a customer's key
