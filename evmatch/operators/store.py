@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evmatch.deploy import shared_dir, ship
+from evmatch.deploy import ship
 from evmatch.errors import PatternError
 from evmatch.functions.binding import bound
 from evmatch.operators.flatten import Flattener, TypedFlattener
@@ -224,10 +224,9 @@ class PatternStore:
 
         Rows that are no patterns go to ``rejected`` with what is wrong; a null id or text is one of them.
         """
-        seq, context = self._next(), self.spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(shared_dir(self.spark))
-        rows = compiled(table, self.strict_lookaround).withColumn("_n", F.monotonically_increasing_id()).checkpoint()
+        seq = self._next()
+        self._write(compiled(table, self.strict_lookaround).withColumn("_n", F.monotonically_increasing_id()), "compiled", seq)
+        rows = self.spark.read.schema(f"{COMPILED}, _n long").parquet(f"{self.path}/compiled/seq={seq}")
         self._write(rows.filter("_error is not null").select("_id", "_json", "_error"), "rejected", seq)
         fine = rows.filter("_error is null and size(_conditions) > 0")
         keyed = fine.select("_n", F.inline("_keyed"))
@@ -239,7 +238,10 @@ class PatternStore:
         each = led.select("_lead", F.explode("_terms").alias("_t")).select("_t.*", looked_up.alias("_looked_up"))
         self._write(each.groupBy("_path", "_way", "_looked_up").agg(F.max("_not").alias("_not")), "ways", seq)
         self._write(with_grams(each.filter("_looked_up").drop("_looked_up", "_many")).distinct(), "terms", seq)
-        return self._commit(seq, "added")
+        self._commit(seq, "added")
+        staged = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/compiled")
+        staged.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(staged, True)
+        return seq
 
     def delete_patterns(self, ids: DataFrame) -> int:
         """Deletes all patterns so far of the ids in ``pattern_id``; an unknown id is no error."""
