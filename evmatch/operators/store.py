@@ -44,6 +44,8 @@ from evmatch.plans.terms import Terms, _grams, fits, prefix_length, same_letters
 MOST_WAYS, MOST_REGEXPS = 5_000, 500
 #: terms up to which a condition is decided in the row
 FEW = 64
+#: conditions of one value that a range, wildcard or beginning weighs as when a lookup is chosen
+SOME = 1000
 CONDITIONS = "array<struct<condition:string,path:string,negative:boolean>>"
 CHECK = "struct<_said:string,_number:double,_pieces:array<string>,_exact:string,_low:double,_high:double,_low_in:boolean,_high_in:boolean,_not:boolean>"
 DECIDED = f"array<struct<condition:string,path:string,negative:boolean,terms:array<{CHECK}>>>"
@@ -231,7 +233,7 @@ class PatternStore:
         fine = rows.filter("_error is null and size(_conditions) > 0")
         keyed = fine.select("_n", F.inline("_keyed"))
         shared = keyed.groupBy("_lead").agg(F.count("*").alias("_shared"))
-        leads = keyed.join(shared, "_lead").groupBy("_n").agg(F.min_by("_lead", F.struct(F.col("_broad") == 2, "_shared", "_broad", "_lead")).alias("_lead"))
+        leads = keyed.join(shared, "_lead").groupBy("_n").agg(F.min_by("_lead", F.struct(F.col("_broad") == 2, F.col("_shared") * F.when(F.col("_broad") == 1, SOME).otherwise(1), "_lead")).alias("_lead"))
         led = fine.join(leads, "_n")
         self._write(led.select("_id", "_json", "_lead", _decided().alias("_conditions")), "patterns", seq)
         looked_up = F.col("_t._many") | (F.col("_t._condition") == F.col("_lead"))
