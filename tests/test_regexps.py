@@ -107,3 +107,14 @@ def test_the_limit_on_states():
 def test_classes_instead_of_alternatives():
     assert automaton.linear(automaton.Rep(automaton.Alt((iregexp.literal("a"), iregexp.literal("b"))), 0, None)) == ("[ab]*", None, True)
     assert iregexp.translate("(ab){2,5}")[0].pattern == "(?:ab){2,5}+"
+
+
+def test_the_source_of_an_automaton(spark):
+    """Loops over first returns say what the fold says, and no table is followed where there is such a source."""
+    sources = ["(a|ab|b)*d?", "((ab)*|c)*", "(a|ab)*(b|bc)*", "(a*b*)*c", "((a|b)*abb)+", "(((ab)*c)*d)*"]
+    tables = [automaton.Positions(automaton.simple(iregexp.joined(iregexp.Parser(s).branches())[0])).table() for s in sources]
+    values = spark.range(4**6).select(F.translate(F.conv("id", 10, 4), "0123", "abcd").alias("v"))
+    said = values.select(*(c for k, t in enumerate(tables) for c in (t.minimal().column(F.col("v")).alias(f"s{k}"), t.fold(F.col("v")).alias(f"t{k}"))))
+    assert all(t.minimal().source() for t in tables)
+    assert said.filter(" or ".join(f"s{k} <> t{k}" for k in range(len(sources)))).count() == 0
+    assert "aggregate(" not in values.select(iregexp.translate(sources[0])[0].column(F.col("v")))._jdf.queryExecution().toString()
