@@ -248,7 +248,7 @@ class PatternSet:
     def _has_arrays(self, df: DataFrame, paths: Iterable[Path]) -> bool:
         return not isinstance(self.flattener, TypedFlattener) or any(columns.has_array(df, p) for p in paths)
 
-    def _in_row(self, df: DataFrame, live: list[_Entry], into: str) -> DataFrame | None:
+    def _in_row(self, df: DataFrame, live: list[_Entry], into: str, ordered: bool = True) -> DataFrame | None:
         """The plan whose terms are constants, if they are not too many."""
         paths = self._paths(live)
         try:
@@ -256,7 +256,7 @@ class PatternSet:
         except TooManyTerms:
             return None
         flat, leaves = self.flattener(df, paths)
-        return flat.withColumn(into, terms.column([leaves[p] for p in paths]))
+        return flat.withColumn(into, terms.column([leaves[p] for p in paths], ordered))
 
     def _joined(self, df: DataFrame, key: list[str], live: list[_Entry], outer: bool = False) -> DataFrame:
         paths = self._paths(live)
@@ -320,12 +320,14 @@ class PatternSet:
         if live and (plan == "lookup" or plan in (None, "stream") and many):
             table = self._looked_up(df, live, ids)
         if live and table is None and (plan == "row" or plan in (None, "stream") and many):
-            table = self._in_row(df, live, ids)
+            table = self._in_row(df, live, ids, ordered=False)
         if table is not None:
             return table.select(*map(quoted, key), F.explode(ids).alias("pattern_id"))
         if plan in ("columns", "stream") or not live or plan is None and not many:
             flat, found = self._compiled(df)
-            if 0 < len(found) <= PUSHED:
+            # a regexp reaches no scan, and would be decided once more in the filter
+            plain = not any(m.op == "regexp" for e in live for _, ms in e.pattern.fields for m in ms)
+            if len(found) == 1 or plain and 0 < len(found) <= PUSHED:
                 flat = flat.filter(_or(found.values()))
             if len(found) == 1:
                 return flat.select(*map(quoted, key), F.lit(str(next(iter(found)))).alias("pattern_id"))  # filtered above

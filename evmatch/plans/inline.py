@@ -74,7 +74,9 @@ class InRow:
                 by[lead].append(n)
         self.by, self.always = self.constant(by, f"array<{INTS}>"), [n for n, lead, _ in t.patterns if lead is None]
         self.asked = self.constant([cs for _, _, cs in t.patterns], f"array<{INTS}>")
-        self.names = self.constant(ids, "array<string>")
+        #: whether what a condition is met with are the ids themselves
+        self.alone = all(lead is not None and len(cs) == 1 for _, lead, cs in t.patterns)
+        self.names = self.constant([list(dict.fromkeys(ids[n] for n in ns)) for ns in by], "array<array<string>>") if self.alone else self.constant(ids, "array<string>")
         self.without = self.constant([t.negative.get(c, -1) for c in range(len(t.conditions))], INTS)
         if self.constant.size > INLINE_BYTES:
             raise TooManyTerms
@@ -100,15 +102,16 @@ class InRow:
         found["checks"] = len(self.checked) > found.pop("checked")
         return found
 
-    def column(self, leaves: list[Column]) -> Column:
-        """Sorted ids of the patterns that match, from each path's array of leaves."""
+    def column(self, leaves: list[Column], ordered: bool = True) -> Column:
+        """Ids of the patterns that match, each once, from each path's array of leaves; sorted unless told not to."""
+        self.ordered = ordered
         if self.checked:
             self.pieces = self.constant([list(x.pieces) if x.pieces is not None else None for x in self.checked], "array<array<string>>")
             self.exact = self.constant([x.exact for x in self.checked], "array<string>")
             self.of = self.constant([x.condition for x in self.checked], INTS)
         told = [bound(x, self._told(n), GOT) if n in self.terms.absent else F.transform(x, self._leaf(n)) for n, x in enumerate(leaves)]
         got = told[0] if len(told) == 1 else F.concat(*told)
-        row = f"struct<got:{GOT},has:{INTS}" + (",bits:array<bigint>>" if self.arrays else ">")
+        row = f"struct<got:{GOT},has:{INTS}" + (",bits:array<bigint>>" if self.arrays and not self.alone else ">")
         return bound(bound(got.cast(GOT), self._row, row), self._found, "array<string>")
 
     def _holds(self, x: Column, c: Column) -> Column:
@@ -125,7 +128,7 @@ class InRow:
         """What all leaves of a row say; with ``bits`` of each condition met, if they lie in one array at most, in its
         first BITS elements."""
         met = F.array_distinct(F.flatten(F.transform(got, lambda x: x["met"])))
-        if not self.arrays:
+        if not self.arrays or self.alone:
             return F.struct(got.alias("got"), met.alias("has"))
         steps = F.flatten(F.transform(got, lambda x: x["trail"]))
         one = F.size(F.array_distinct(F.transform(steps, lambda s: s["arr"]))) <= 1
@@ -172,8 +175,14 @@ class InRow:
 
         return F.transform(F.filter(met, fine), lambda k: F.when(k < 0, F.get(self.of, -k - 1)).otherwise(k))
 
+    def _once(self, found: Column) -> Column:
+        found = found if len(set(self.ids)) == len(self.ids) else F.array_distinct(found)
+        return F.sort_array(found) if self.ordered else found
+
     def _found(self, row: Column) -> Column:
         got, has, negative = row["got"], row["has"], self.terms.negative
+        if self.alone:
+            return self._once(F.flatten(F.transform(has, lambda c: F.get(self.names, c))))
         candidates = F.flatten(F.transform(has, lambda c: F.get(self.by, c)))
         if self.always:
             candidates = F.concat(candidates, self.constant(self.always, INTS))
@@ -198,4 +207,4 @@ class InRow:
             return F.when(row["bits"].isNotNull(), same).otherwise(F.forall(conditions, held) & ((F.size(conditions) == 1) | together))
 
         matches = lambda p: bound(F.get(self.asked, p), of, "boolean")
-        return F.array_sort(F.array_distinct(F.transform(F.filter(candidates, matches), lambda p: F.get(self.names, p))))
+        return self._once(F.transform(F.filter(candidates, matches), lambda p: F.get(self.names, p)))

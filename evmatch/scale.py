@@ -16,6 +16,7 @@ from evmatch.operators.history import PatternHistory
 from evmatch.operators.registry import PatternSet
 from evmatch.operators.store import PatternStore
 from evmatch.queries import CUST, EVENT, LINE, ORDER, ORACLES, PART, add, orders_with_items, table
+from evmatch.sources.events import spread
 
 MANY = 10_000
 
@@ -27,7 +28,7 @@ WILDCARDS = {f"w{n}": {"c_name": [{"wildcard": f"Cust*{n % 1000:03d}*{n // 1000}
 
 @add("wildcards_10000", "SELECT c_custkey, 'w' || n AS pattern_id FROM customer, range(10000) t(n) WHERE c_name LIKE 'Cust%' || lpad((n % 1000)::VARCHAR, 3, '0') || '%' || (n // 1000)")
 def wildcards_10000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PatternSet.of(WILDCARDS).match_long(table(spark, sf_dir, "customer"), CUST)
+    return PatternSet.of(WILDCARDS).match_long(spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")), CUST)
 
 
 def ranges(many: int) -> dict[str, object]:
@@ -72,7 +73,7 @@ def cidr_10000(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: c.cast("string")
     four = F.concat_ws(".", F.lit("10"), part(key % 7), part(key % 256), part(key * 31 % 256))
     six = F.concat(F.lit("2001:db8:"), F.lower(F.hex(key % 5)), F.lit(":"), F.lower(F.hex(key % 251)), F.lit(":0:0:0:1"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(key % 2 == 1, four).otherwise(six).alias("ip"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.when(key % 2 == 1, four).otherwise(six).alias("ip"))
     return PatternSet.of(BLOCKS).match_long(rows, CUST)
 
 
@@ -95,7 +96,7 @@ def ignore_case_10000(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, n = F.col("p_partkey"), (F.col("p_partkey") * 7).cast("string")
     word = F.when(key % 3 > 0, F.lit("künstler ")).when(key % 2 == 0, F.lit("\u212aünstler ")).otherwise(F.lit("künstler "))
     end = F.when((key % 3 == 0) & (key % 2 == 1), F.lit(" σοφος")).otherwise(F.lit(" σοφοσ"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(word, n, end).alias("t"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.concat(word, n, end).alias("t"))
     return PatternSet.of(FOLDED).match_long(rows, PART, plan="row")
 
 
@@ -153,7 +154,7 @@ SELECT s_suppkey, unnest(CASE s_suppkey % 5 WHEN 0 THEN ['or', 'letters', 'neste
 )
 def regexp_long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of 100,000 characters: of a backtracking matcher each would end in a stack overflow, or never."""
-    rows = table(spark, sf_dir, "supplier")
+    rows = spread(table(spark, sf_dir, "supplier").select("s_suppkey"))
     end = F.element_at(F.array(*map(F.lit, ("c", "", "d", "é1", "-"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
     return PatternSet.of(LONG).match_long(rows.select("s_suppkey", F.concat(F.repeat(F.lit("ab"), 50_000), end).alias("v")), ["s_suppkey"])
 

@@ -30,6 +30,16 @@ def parquet(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return spark.readStream.schema(schema or spark.read.parquet(path).schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores, for work that takes long a row: a small file is read by one task.
+
+    The number given here is asked for, as a filter would else be moved before the dealing, and done by that task.
+    """
+    mark = "_dealt" + "_" * max((len(c) for c in df.columns if c.lower().startswith("_dealt")), default=0)
+    dealt = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    return dealt.withColumn(mark, F.monotonically_increasing_id()).filter(F.col(mark) >= 0).drop(mark)
+
+
 def as_event(df: DataFrame, nulls: bool = False, into: str = "event") -> DataFrame:
     """Each row as one JSON event; with ``nulls`` a NULL is written, else left out."""
     return df.withColumn(into, F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": str(not nulls).lower()}))

@@ -187,3 +187,13 @@ def test_a_common_value_is_not_one_task(spark, monkeypatch, outer):
         assert {r[0]: r[1] for r in got} == {f"p{k}": 1 for k in range(0, 20_000, 10)} | {"hot": 18_000, "two": 18_001}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Union" in plan and "BroadcastHashJoin" in plan
+
+
+def test_rows_of_a_small_file_are_dealt_out(spark):
+    """One task's rows go to all cores, and what is asked of them afterwards is not done before."""
+    from evmatch.sources.events import spread
+
+    rows = spread(spark.range(0, 2000, 1, 1).withColumn("_dealt", F.col("id")))
+    assert rows.columns == ["id", "_dealt"] and rows.rdd.getNumPartitions() >= 16
+    plan = rows.filter("hash(id) % 2 = 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("hash") < plan.index("Repartition")
