@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Hashable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -106,6 +106,8 @@ class PatternSet:
         self.auto_rebuild, self.strict_lookaround = auto_rebuild, strict_lookaround
         self._entries: list[_Entry] = []
         self._emitted = self._filtered = 0
+        self._reader: tuple[list[_Entry], list[Path], local.Reader] | None = None
+        self._last: tuple[str | bytes, dict[Path, list[local.Leaf]]] | None = None
 
     @staticmethod
     def builder() -> Builder:
@@ -166,6 +168,13 @@ class PatternSet:
         """A snapshot: later changes to either do not show in the other."""
         return copy.copy(self)
 
+    def in_time(self, times: dict[Hashable, Any]) -> PatternSet:
+        """A set with one more field, of ``times``, in the patterns of each id that have any."""
+        out = copy.copy(self)
+        more = lambda e: replace(e.pattern, fields=(*e.pattern.fields, times[e.id]))
+        out._entries = [replace(e, pattern=more(e)) if e.pattern.fields else e for e in self._entries]
+        return out
+
     # ---- as a table
 
     def to_table(self, spark: SparkSession) -> DataFrame:
@@ -192,9 +201,19 @@ class PatternSet:
     def _paths(entries: Iterable[_Entry]) -> list[Path]:
         return list(dict.fromkeys(p for e in entries for p in e.pattern.paths))
 
+    def _leaves(self, event: str | bytes) -> dict[Path, list[local.Leaf]]:
+        """Leaves of an event; the reader is kept until patterns change, and the last event's leaves for other questions."""
+        if self._reader is None or self._reader[0] is not self._entries:
+            paths = self._paths(self._entries)
+            self._reader, self._last = (self._entries, paths, local.Reader(paths)), None
+        if self._last is None or type(self._last[0]) is not type(event) or self._last[0] != event:
+            _, paths, reader = self._reader
+            self._last = (event, dict(zip(paths, reader(event), strict=True)))
+        return self._last[1]
+
     def matches_for_event(self, event: str | bytes) -> list[Hashable]:
         """Ids of the patterns that a JSON event matches, once each; an InvalidJson error for a bad one."""
-        found = local.leaves(event, self._paths(self._entries))
+        found = self._leaves(event)
         hits = [e for e in self._entries if local.matches(e.pattern, found)]
         ids = list(dict.fromkeys(e.id for e in hits if not e.deleted))
         self._emitted += len(ids)
@@ -209,7 +228,7 @@ class PatternSet:
 
     def flatten_only(self, event: str | bytes) -> int:
         """How many leaves of an event the patterns look at."""
-        return sum(map(len, local.leaves(event, self._paths(self._entries)).values()))
+        return sum(map(len, self._leaves(event).values()))
 
     # ---- DataFrames
 

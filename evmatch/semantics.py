@@ -18,7 +18,7 @@ from evmatch.operators.flatten import ExactFlattener, VariantFlattener
 from evmatch.operators.registry import PatternSet
 from evmatch.plans.pattern import Path, parse
 from evmatch.queries import CUST, EVENT, LINE, ORDER, ORACLES, PART, add, simple, table
-from evmatch.sources.events import as_event
+from evmatch.sources.events import as_event, spread
 
 BY_TYPE = {"c": {"event_type": ["click"]}, "v": {"event_type": ["view"]}, "p": {"event_type": ["purchase"]}}
 
@@ -127,7 +127,7 @@ def single_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = [(key, ",".join(patterns.matches_for_event(e)), patterns.has_matches(e), patterns.count_matches(e), patterns.flatten_only(e)) for key, e in zip(b["c_custkey"], b["event"], strict=True)]
             yield pd.DataFrame(rows, columns=["c_custkey", "ids", "has", "n", "leaves"])
 
-    return as_event(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).mapInPandas(each, "c_custkey long, ids string, has boolean, n int, leaves int")
+    return as_event(spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))).mapInPandas(each, "c_custkey long, ids string, has boolean, n int, leaves int")
 
 
 @add("number_keys_sort", "SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal - 5000, c_custkey))::INT AS place FROM customer")

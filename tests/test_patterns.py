@@ -244,3 +244,22 @@ def test_wildcards_agree_with_their_regex(pattern, value):
 def test_leaves_keep_tokens_and_trails():
     found = local.leaves('{"a":[1.50,{"b":"x"}],"c":null}', [("a",), ("a", "b"), ("c",)])
     assert [x.v for x in found["a",]] == ["1.50"] and found["a", "b"][0].trail == ((("/0"), 1),) and found["c",][0].v == "null"
+
+
+def test_an_event_is_read_once_for_several_questions(monkeypatch):
+    from evmatch.operators import local
+
+    reads, read = [], local.read
+    monkeypatch.setattr(local, "read", lambda event: reads.append(event) or read(event))
+    patterns = PatternSet.of({"a": {"x": [1]}})
+    event = '{"x":1,"y":"a"}'
+    assert patterns.matches_for_event(event) == ["a"] and patterns.has_matches(event) and patterns.flatten_only(event) == 1 and len(reads) == 1
+    patterns.add_pattern("b", {"y": ["a"]})
+    assert patterns.matches_for_event(event) == ["a", "b"] and len(reads) == 2
+    clone = patterns.clone()
+    patterns.delete_patterns("a")
+    assert patterns.matches_for_event(event) == ["b"] and clone.matches_for_event(event) == ["a", "b"]
+    with pytest.raises(InvalidJson):
+        patterns.matches_for_event("{")
+    with pytest.raises(InvalidJson):
+        patterns.matches_for_event("{")
