@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evmatch.operators.flatten import fresh
+from evmatch.operators.flatten import TypedFlattener, fresh
 from evmatch.operators.registry import PatternSet
 from evmatch.plans.join import quoted
 from evmatch.plans.pattern import parse
@@ -104,8 +104,8 @@ class PatternHistory:
         ``time`` is a timestamp, or microseconds as a long; a row without one matches nothing.
         """
         versions = self.versions()
-        numbered = PatternSet.of({n: v.text for n, v in enumerate(versions)}, **self._options)
         found, now = fresh(df, "_versions"), fresh(df, "_now")
+        numbered = self._numbered(versions, now)
         at = quoted(time) if dict(df.dtypes)[time] == "bigint" else F.unix_micros(quoted(time).cast("timestamp"))
         rows = numbered.match(df.withColumn(now, at), found)
         constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
@@ -117,6 +117,15 @@ class PatternHistory:
         kept = [c for c in rows.columns if c not in (found, now) and c.lower() != into.lower()]
         return rows.select(*map(quoted, kept), ids.alias(into))
 
+    def _numbered(self, versions: list[Version], now: str) -> PatternSet:
+        """Versions under their numbers.  Of columns a version's time is one more field, by which few versions are
+        found at any time; a double may be one for several microseconds, so times are compared as they are later."""
+        numbered = PatternSet.of({n: v.text for n, v in enumerate(versions)}, **self._options)
+        if not isinstance(numbered.flattener, TypedFlattener):
+            return numbered
+        bounds = [[">=", v.since, *(["<=", v.until] if v.until < FOREVER else [])] for v in versions]
+        return numbered.in_time({n: parse({now: [{"numeric": x}]}).fields[0] for n, x in enumerate(bounds)})
+
     def match_long(self, df: DataFrame, key: list[str], time: str) -> DataFrame:
         """(*key, pattern_id), each pattern once a row; of batches and streams alike."""
         ids = fresh(df, "_valid")

@@ -72,3 +72,13 @@ def test_a_replayed_stream_gives_the_same(spark, tmp_path):
     assert first == [(k, "a") for k in range(1, 100, 2)]
     assert [r for r in again if r[0] < 200] == [r for r in first if r[0] < 200]
     assert [r for r in again if r[0] * 10 < 2000] == [r for r in first if r[0] * 10 < 2000]
+
+
+def test_versions_are_found_by_their_time(spark):
+    """Time is a field of each version, so that no event meets the conditions of all versions; its bounds are exact."""
+    edge = (1 << 53) + 1  # which no double is
+    made = PatternHistory.of((f"p{n}", {"a": [{"exists": True}]}, edge + n, edge + n + 1) for n in range(60))
+    df = spark.createDataFrame([(k, edge + k) for k in range(-1, 61)], "a long, t long")
+    assert {tuple(r) for r in made.match_long(df, ["a"], "t").collect()} == {(n, f"p{n}") for n in range(60)}
+    fields = {p for e in made._numbered(made.versions(), "_now")._live() for p in e.pattern.paths}
+    assert fields == {("a",), ("_now",)}
