@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from evmatch.errors import PatternError, UnsupportedMediaType
 from evmatch.operators import local
-from evmatch.operators.flatten import ERROR, Flattener, TypedFlattener, fresh
+from evmatch.operators.flatten import ERROR, ExactFlattener, Flattener, TypedFlattener, fresh
 from evmatch.plans import columns, semi
 from evmatch.plans.inline import InRow, TooManyTerms
 from evmatch.plans.join import EVENT, looked_up, quoted, satisfied
@@ -344,11 +344,14 @@ class PatternSet:
             return table.select(*map(quoted, key), F.explode(ids).alias("pattern_id"))
         if plan in ("columns", "stream") or not live or plan is None and not many:
             flat, found = self._compiled(df)
-            # a regexp reaches no scan, and would be decided once more in the filter
-            plain = not any(m.op == "regexp" for e in live for _, ms in e.pattern.fields for m in ms)
-            if len(found) == 1 or plain and 0 < len(found) <= PUSHED:
+            # a regexp reaches no scan, and would be decided once more in the filter; and the optimizer says a filter
+            # on fields of an event anew in terms of its text, which is then parsed for each time a field is named
+            made = not isinstance(self.flattener, (TypedFlattener, ExactFlattener))
+            plain = not made and not any(m.op == "regexp" for e in live for _, ms in e.pattern.fields for m in ms)
+            filtered = not made and len(found) == 1 or plain and 0 < len(found) <= PUSHED
+            if filtered:
                 flat = flat.filter(_or(found.values()))
-            if len(found) == 1:
+            if filtered and len(found) == 1:
                 return flat.select(*map(quoted, key), F.lit(str(next(iter(found)))).alias("pattern_id"))  # filtered above
             if not found:
                 return flat.select(*map(quoted, key), F.lit("").alias("pattern_id")).filter(F.lit(False))

@@ -166,3 +166,13 @@ def test_value_columns(spark):
     values = ValueMatcher().add_string("s", "foo").add_prefix("p", "fo")
     df = spark.createDataFrame([("foo",), ("fox",), (None,)], "v string")
     assert [r[0] for r in df.select(values.column(F.col("v"))).collect()] == [["s", "p"], ["p"], []]
+
+
+def test_an_event_is_not_parsed_again_for_a_filter(spark):
+    """A filter on fields of an event would be said anew in terms of its text, and parse it for each field named."""
+    rows = spark.createDataFrame([(1, '{"a":"x","n":4}'), (2, '{"a":"x","n":9}'), (3, "{")], "id int, event string")
+    for patterns in ({"p": {"a": ["x"], "n": [{"numeric": ["<", 5]}]}}, {"p": {"a": ["x"], "n": [{"numeric": ["<", 5]}]}, "q": {"n": [9]}}):
+        got = PatternSet.of(patterns, flattener=VariantFlattener()).match_long(rows, ["id"])
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json") + plan.count("parseJson") == 1, plan
+        assert sorted(map(tuple, got.collect())) == [(1, "p"), *([(2, "q")] if "q" in patterns else [])]
