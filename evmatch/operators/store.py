@@ -2,7 +2,8 @@
 
 A store is a folder of tables, each in batches ``seq=n``:
 
-* ``patterns``  a pattern with the condition to look it up by, and its others with what decides them
+* ``patterns``  a text with the condition to look it up by, and its others with what decides them; each text once
+* ``ids``       (_id, _what)  ids and the digests of their texts
 * ``terms``     what a value must say for a condition that is looked up, as in ``plans.terms``
 * ``ways``      in which ways values are looked up, of each path
 * ``deleted``   (_id)  ids whose patterns of earlier batches are gone
@@ -16,6 +17,9 @@ known of other ranges.  An event looks up the condition of each pattern that few
 the other conditions are decided for the patterns found so, in the row.  Only the wildcards' rarest gram and the condition that fewest patterns share are chosen
 over a batch, by counting in Spark.  The driver sees the ways that values have to be looked up (lengths of
 beginnings, grid widths, ...) and the expressions of regexps, which are bounded, and no pattern.
+
+Texts that many ids share are compiled, looked up and decided once; ids of the same texts are a group, which an event
+meets or not, and only what is met is spread out over the ids.
 """
 
 from __future__ import annotations
@@ -36,9 +40,10 @@ from evmatch.errors import PatternError
 from evmatch.functions.binding import bound
 from evmatch.operators.flatten import Flattener, TypedFlattener
 from evmatch.plans.columns import STEPS, agree
-from evmatch.plans.join import EVENT, _double_key, joined_apart, numbered, quoted
+from evmatch.plans.join import BROADCAST_TERMS, EVENT, _double_key, joined_apart, numbered, quoted
 from evmatch.plans.pattern import Matcher, parse
 from evmatch.plans.terms import Terms, _grams, fits, prefix_length, same_letters
+from evmatch.sources.events import spread
 
 #: ways in all that values may have to be looked up, and regexps among them
 MOST_WAYS, MOST_REGEXPS = 5_000, 500
@@ -46,16 +51,19 @@ MOST_WAYS, MOST_REGEXPS = 5_000, 500
 FEW = 64
 #: conditions of one value that a range, wildcard or beginning weighs as when a lookup is chosen
 SOME = 1000
+#: ways to look values up to which a row is carried along with each of its keys
+CARRIED = 8
 CONDITIONS = "array<struct<condition:string,path:string,negative:boolean>>"
 CHECK = "struct<_said:string,_number:double,_pieces:array<string>,_exact:string,_low:double,_high:double,_low_in:boolean,_high_in:boolean,_not:boolean>"
 DECIDED = f"array<struct<condition:string,path:string,negative:boolean,terms:array<{CHECK}>>>"
 TERM = "struct<_condition:string,_path:string,_way:string,_said:string,_number:double,_pieces:array<string>,_exact:string,_low:double,_high:double,_low_in:boolean,_high_in:boolean,_not:boolean,_grams:array<string>,_many:boolean>"
 #: a condition to be looked up by, and how many values it may hold for: 0 few, 1 some, 2 most
 KEYED = "struct<_lead:string,_broad:int>"
-COMPILED = f"_id string, _json string, _error string, _conditions {CONDITIONS}, _keyed array<{KEYED}>, _terms array<{TERM}>"
-PATTERNS = f"_id string, _json string, _lead string, _conditions {DECIDED}, seq int"
+COMPILED = f"_what string, _json string, _error string, _conditions {CONDITIONS}, _keyed array<{KEYED}>, _terms array<{TERM}>"
+PATTERNS = f"_what string, _json string, _lead string, _conditions {DECIDED}, seq int"
 TERMS = TERM[len("struct<") : -1].replace(":", " ").replace(",_grams array<string>,_many boolean", ", seq int")
 WAYS = "_path string, _way string, _looked_up boolean, _not boolean, seq int"
+GIVEN, IDS = "_id string, _json string, _what string", "_id string, _what string, seq int"
 DELETED, REJECTED, LOG = "_id string, seq int", "_id string, _json string, _error string, seq int", "seq int, kind string"
 
 
@@ -146,17 +154,15 @@ class OwnTerms(Terms):
         return {"_conditions": conditions, "_keyed": keyed, "_terms": terms}
 
 
-def compiled(table: DataFrame, strict_lookaround: bool) -> DataFrame:
-    """COMPILED rows of (pattern_id, pattern_json): one that cannot be parsed has an ``_error`` and no terms."""
-    ship(table.sparkSession)
+def compiled(texts: DataFrame, strict_lookaround: bool) -> DataFrame:
+    """COMPILED rows of (_what, _json), dealt over all cores: one that cannot be parsed has an ``_error`` and no terms."""
+    ship(texts.sparkSession)
     kinds = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     struct = lambda text: pa.struct([(f.split(":", 1)[0], kinds[f.split(":", 1)[1]]) for f in text[len("struct<") : -1].split(",")])
-    schema = pa.schema([("_id", pa.string()), ("_json", pa.string()), ("_error", pa.string()), ("_conditions", pa.list_(struct(CONDITIONS[len("array<") : -1]))), ("_keyed", pa.list_(struct(KEYED))), ("_terms", pa.list_(struct(TERM)))])
+    schema = pa.schema([("_what", pa.string()), ("_json", pa.string()), ("_error", pa.string()), ("_conditions", pa.list_(struct(CONDITIONS[len("array<") : -1]))), ("_keyed", pa.list_(struct(KEYED))), ("_terms", pa.list_(struct(TERM)))])
 
-    def one(id: str | None, text: str | None) -> dict[str, Any]:
-        row: dict[str, Any] = {"_id": id, "_json": text, "_error": None, "_conditions": [], "_keyed": [], "_terms": []}
-        if id is None or text is None:
-            return row | {"_error": "a pattern needs an id and a text"}
+    def one(what: str, text: str) -> dict[str, Any]:
+        row: dict[str, Any] = {"_what": what, "_json": text, "_error": None, "_conditions": [], "_keyed": [], "_terms": []}
         try:
             return row | OwnTerms(text, strict_lookaround).compiled()
         except PatternError as e:
@@ -166,9 +172,9 @@ def compiled(table: DataFrame, strict_lookaround: bool) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
-                yield pa.RecordBatch.from_pylist([one(i.as_py(), t.as_py()) for i, t in zip(*some.columns, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_pylist([one(w.as_py(), t.as_py()) for w, t in zip(*some.columns, strict=True)], schema=schema)
 
-    return table.select(F.col("pattern_id").cast("string"), F.col("pattern_json").cast("string")).mapInArrow(each, COMPILED)
+    return spread(texts.select("_what", "_json")).mapInArrow(each, COMPILED)
 
 
 def with_grams(terms: DataFrame) -> DataFrame:
@@ -227,22 +233,30 @@ class PatternStore:
         Rows that are no patterns go to ``rejected`` with what is wrong; a null id or text is one of them.
         """
         seq = self._next()
-        self._write(compiled(table, self.strict_lookaround).withColumn("_n", F.monotonically_increasing_id()), "compiled", seq)
-        rows = self.spark.read.schema(f"{COMPILED}, _n long").parquet(f"{self.path}/compiled/seq={seq}")
-        self._write(rows.filter("_error is not null").select("_id", "_json", "_error"), "rejected", seq)
+        given = table.select(F.col("pattern_id").cast("string").alias("_id"), F.col("pattern_json").cast("string").alias("_json"))
+        self._write(given.withColumn("_what", F.sha2("_json", 256)), "given", seq)
+        given = self.spark.read.schema(GIVEN).parquet(f"{self.path}/given/seq={seq}")
+        whole = given.filter("_id is not null and _json is not null")
+        self._write(compiled(whole.select("_what", "_json").distinct(), self.strict_lookaround), "compiled", seq)
+        rows = self.spark.read.schema(COMPILED).parquet(f"{self.path}/compiled/seq={seq}")
+        wrong = whole.join(rows.filter("_error is not null").select("_what", "_error"), "_what").select("_id", "_json", "_error")
+        lacking = given.filter("_id is null or _json is null").select("_id", "_json", F.lit("a pattern needs an id and a text").alias("_error"))
+        self._write(wrong.union(lacking), "rejected", seq)
+        self._write(whole.select("_id", "_what").distinct(), "ids", seq)
         fine = rows.filter("_error is null and size(_conditions) > 0")
-        keyed = fine.select("_n", F.inline("_keyed"))
+        keyed = fine.select("_what", F.inline("_keyed"))
         shared = keyed.groupBy("_lead").agg(F.count("*").alias("_shared"))
-        leads = keyed.join(shared, "_lead").groupBy("_n").agg(F.min_by("_lead", F.struct(F.col("_broad") == 2, F.col("_shared") * F.when(F.col("_broad") == 1, SOME).otherwise(1), "_lead")).alias("_lead"))
-        led = fine.join(leads, "_n")
-        self._write(led.select("_id", "_json", "_lead", _decided().alias("_conditions")), "patterns", seq)
+        leads = keyed.join(shared, "_lead").groupBy("_what").agg(F.min_by("_lead", F.struct(F.col("_broad") == 2, F.col("_shared") * F.when(F.col("_broad") == 1, SOME).otherwise(1), "_lead")).alias("_lead"))
+        led = fine.join(leads, "_what")
+        self._write(led.select("_what", "_json", "_lead", _decided().alias("_conditions")), "patterns", seq)
         looked_up = F.col("_t._many") | (F.col("_t._condition") == F.col("_lead"))
         each = led.select("_lead", F.explode("_terms").alias("_t")).select("_t.*", looked_up.alias("_looked_up"))
         self._write(each.groupBy("_path", "_way", "_looked_up").agg(F.max("_not").alias("_not")), "ways", seq)
         self._write(with_grams(each.filter("_looked_up").drop("_looked_up", "_many")).distinct(), "terms", seq)
         self._commit(seq, "added")
-        staged = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/compiled")
-        staged.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(staged, True)
+        for name in ("given", "compiled"):
+            staged = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            staged.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(staged, True)
         return seq
 
     def delete_patterns(self, ids: DataFrame) -> int:
@@ -259,9 +273,21 @@ class PatternStore:
 
     # ---- what is there
 
-    def live(self) -> DataFrame:
+    def _ids(self) -> DataFrame:
+        """(_id, _what) of the live patterns, once each."""
         dead = self._read("deleted", DELETED, "deleted").groupBy("_id").agg(F.max("seq").alias("_dead"))
-        return self._read("patterns", PATTERNS, "added").join(dead, "_id", "left").filter("_dead is null or seq > _dead").drop("_dead")
+        return self._read("ids", IDS, "added").join(dead, "_id", "left").filter("_dead is null or seq > _dead").select("_id", "_what").distinct()
+
+    def _texts(self) -> DataFrame:
+        """Each text once; any batch's way to look it up will do, as terms are never taken out."""
+        found = self._read("patterns", PATTERNS, "added")
+        if sum(kind == "added" for _, kind in self._batches()) < 2:
+            return found.drop("seq")
+        return found.groupBy("_what").agg(F.first(F.struct("_json", "_lead", "_conditions")).alias("_of")).select("_what", "_of.*")
+
+    def live(self) -> DataFrame:
+        """A row for each id and text."""
+        return self._ids().join(self._texts(), "_what")
 
     def rejected(self) -> DataFrame:
         """(pattern_id, pattern_json, error, seq)"""
@@ -301,16 +327,33 @@ class PatternStore:
             parts.append(told)
         carried = F.struct(*map(quoted, key)) if key else F.struct(F.lit(0).alias("_"))
         rows = numbered(flat.select(carried.alias("_key"), F.concat(*parts).alias("_leaves")))
-        each = rows.select(EVENT, F.explode("_leaves").alias("_leaf"))
-        each = each.select(EVENT, F.col("_leaf.path").alias("_path"), F.col("_leaf.n").alias("_n"), F.col("_leaf.v").alias("_v"), F.col("_leaf.d").alias("_d"), F.col("_leaf.trail").alias("_trail"), F.explode("_leaf.up").alias("_said"))
+        texts = self._texts()
+        beside = texts.filter(F.exists("_conditions", lambda c: c["terms"].isNull() & (c["condition"] != F.col("_lead"))))
         terms = self._read("terms", TERMS, "added")
+        few = terms.count() <= BROADCAST_TERMS
+        carried = (few or sum(w["up"] for w in ways) <= CARRIED) and beside.isEmpty()
+        row = ["_key", "_leaves"] if carried else []
+        each = rows.select(EVENT, *row, F.explode("_leaves").alias("_leaf"))
+        each = each.select(EVENT, *row, F.col("_leaf.path").alias("_path"), F.col("_leaf.n").alias("_n"), F.col("_leaf.v").alias("_v"), F.col("_leaf.d").alias("_d"), F.col("_leaf.trail").alias("_trail"), F.explode("_leaf.up").alias("_said"))
         keyed = terms.withColumn("_said", F.when(F.col("_number").isNotNull(), _double_key(F.col("_number"))).otherwise(F.col("_said"))).drop("_number", "_way", "seq").distinct()
-        met = joined_apart(each, keyed, "inner").filter(_fine(F.col("_v"), F.col("_d"), F.col))
-        got = F.collect_set(F.struct(F.col("_condition").alias("c"), F.col("_n").alias("n"), F.col("_trail").alias("trail"), F.col("_not").alias("ex")))
-        events = met.groupBy(EVENT).agg(got.alias("_got")).join(rows, EVENT)
-        has = F.array_distinct(F.transform(F.filter("_got", lambda g: ~g["ex"]), lambda g: g["c"]))
-        found = events.select("*", F.explode(has).alias("_lead")).join(self.live().select("_id", "_lead", "_conditions"), "_lead")
-        out = found.filter(_together()).select(EVENT, "_key", "_id").dropDuplicates([EVENT, "_id"])
+        met = each.join(F.broadcast(keyed), ["_path", "_said"]) if few else joined_apart(each, keyed, "inner")
+        met = met.filter(_fine(F.col("_v"), F.col("_d"), F.col))
+        one = F.struct(F.col("_condition").alias("c"), F.col("_n").alias("n"), F.col("_trail").alias("trail"), F.col("_not").alias("ex"))
+        if carried:  # nothing but what was met here is asked for, so no other row of the event is
+            leading = met.filter("not _not").select(EVENT, *row, F.array(one).alias("_got"), F.col("_condition").alias("_lead"))
+        else:
+            events = met.groupBy(EVENT).agg(F.collect_set(one).alias("_got")).join(rows, EVENT)
+            leading = events.select("*", F.explode(F.array_distinct(F.transform(F.filter("_got", lambda g: ~g["ex"]), lambda g: g["c"]))).alias("_lead"))
+        found = leading.join(texts.select("_what", "_lead", "_conditions"), "_lead").filter(_together()).select(EVENT, "_key", "_what")
+        ids = self._ids()
+        alike = ids.groupBy("_id").agg(F.count("*").alias("_n"), *(F.bit_xor(F.xxhash64("_what", F.lit(k))).alias(f"_h{k}") for k in range(3)))
+        if alike.filter("_n > 1").isEmpty():
+            groups = ids.withColumnRenamed("_what", "_group")
+            found = found.withColumnRenamed("_what", "_group")
+        else:
+            groups = alike.select("_id", F.concat_ws(":", "_n", "_h0", "_h1", "_h2").alias("_group"))
+            found = found.join(ids.join(groups, "_id").select("_what", "_group").distinct(), "_what")
+        out = found.select(EVENT, "_key", "_group").dropDuplicates([EVENT, "_group"]).join(groups, "_group")
         return out.select(*(["_key.*"] if key else []), F.col("_id").alias("pattern_id"))
 
     def _keys(self, ways: set[str]) -> Callable[[Column, Column], Column]:

@@ -123,3 +123,29 @@ def test_a_value_of_most_events_is_not_one_tasks(spark, folder):
     store.add_patterns(table.unionByName(patterns_table(spark, [("hot", {"s": ["hot"]})])))
     got = {r["pattern_id"]: r["count"] for r in store.match_long(df, ["id"]).groupBy("pattern_id").count().collect()}
     assert got.pop("hot") == 36_000 and len(got) == 500 and set(got.values()) == {1}
+
+
+def test_texts_of_many_ids_are_kept_once(spark, folder):
+    """And compiled, looked up and decided once; an id of two texts is there once, whichever an event meets."""
+    df = spark.createDataFrame([(k, k % 7, "ab"[k % 2]) for k in range(40)], "id int, n int, s string")
+    texts = [{"n": [{"numeric": [">=", 3]}], "s": ["a"]}, {"n": [1, 2]}, {"s": [{"prefix": "b"}]}]
+    patterns = [(f"p{k}", texts[j]) for k in range(300) for j in {k % 3, k // 3 % 3}]
+    store = PatternStore.create(spark, f"{folder}/s")
+    store.add_patterns(patterns_table(spark, patterns))
+    assert spark.read.parquet(f"{folder}/s/patterns").count() == 3
+    alone = PatternSet()
+    for i, p in patterns:
+        alone.add_pattern(i, p)
+    wanted = lambda ids: sorted((r["id"], i) for r in df.collect() for i in alone.matches_for_event(json.dumps({"n": r["n"], "s": r["s"]})) if i in ids)
+    found = lambda: sorted((r["id"], r["pattern_id"]) for r in store.match_long(df, ["id"]).collect())
+    assert found() == wanted({i for i, _ in patterns}) and store.pattern_count() == 300
+    store.delete_patterns(spark.createDataFrame([(f"p{k}",) for k in range(150)], "pattern_id string"))
+    store.add_patterns(patterns_table(spark, [x for x in patterns if x[0] in ("p1", "p2", "p3")]))  # the texts once more, in another batch
+    assert found() == wanted({f"p{k}" for k in [1, 2, 3, *range(150, 300)]})
+
+
+def test_few_texts_are_dealt_over_all_cores(spark, folder):
+    from evmatch.operators.store import compiled
+
+    texts = spark.createDataFrame([(str(k), json.dumps({"n": [k]})) for k in range(100)], "_what string, _json string").coalesce(1)
+    assert compiled(texts, False).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
