@@ -18,6 +18,7 @@ from evmatch.errors import PatternError, UnsupportedMediaType
 from evmatch.operators import local
 from evmatch.operators.flatten import ERROR, ExactFlattener, Flattener, TypedFlattener, fresh
 from evmatch.plans import columns, semi
+from evmatch.plans.classes import class_column
 from evmatch.plans.inline import InRow, TooManyTerms
 from evmatch.plans.join import EVENT, looked_up, quoted, satisfied
 from evmatch.plans.pattern import Path, Pattern, parse
@@ -267,15 +268,20 @@ class PatternSet:
     def _has_arrays(self, df: DataFrame, paths: Iterable[Path]) -> bool:
         return not isinstance(self.flattener, TypedFlattener) or any(columns.has_array(df, p) for p in paths)
 
-    def _in_row(self, df: DataFrame, live: list[_Entry], into: str, ordered: bool = True) -> DataFrame | None:
-        """The plan whose terms are constants, if they are not too many."""
-        paths = self._paths(live)
+    def _row_ids(self, df: DataFrame, live: list[_Entry], ordered: bool = True) -> tuple[DataFrame, Column] | None:
+        """The plans whose tables are constants, if they are not too large."""
+        paths, patterns, ids = self._paths(live), [e.pattern for e in live], [str(e.id) for e in live]
+        if isinstance(self.flattener, TypedFlattener):
+            try:
+                return df, class_column(df, self.flattener, patterns, ids, ordered)
+            except TooManyTerms:
+                pass
         try:
-            terms = InRow([e.pattern for e in live], paths, [str(e.id) for e in live], self._has_arrays(df, paths))
+            terms = InRow(patterns, paths, ids, self._has_arrays(df, paths))
         except TooManyTerms:
             return None
         flat, leaves = self.flattener(df, paths)
-        return flat.withColumn(into, terms.column([leaves[p] for p in paths], ordered))
+        return flat, terms.column([leaves[p] for p in paths], ordered)
 
     def _joined(self, df: DataFrame, key: list[str], live: list[_Entry], outer: bool = False) -> DataFrame:
         paths = self._paths(live)
@@ -304,7 +310,9 @@ class PatternSet:
         if self._many(live):
             if (out := self._looked_up(df, live, into)) is not None:
                 return out
-            if (out := self._in_row(df, live, ids := fresh(df, MATCHED))) is not None:
+            if (made := self._row_ids(df, live)) is not None:
+                ids = fresh(df, MATCHED)
+                out = made[0].withColumn(ids, made[1])
                 return out.select(*map(quoted, kept), *map(quoted, self._error(df, out)), F.col(ids).alias(into))
             out = self._joined(df, kept, live, outer=True)
             return out.select("_key.*", F.array_sort("_ids").alias(into))
@@ -339,7 +347,9 @@ class PatternSet:
         if live and (plan == "lookup" or plan in (None, "stream") and many):
             table = self._looked_up(df, live, ids)
         if live and table is None and (plan == "row" or plan in (None, "stream") and many):
-            table = self._in_row(df, live, ids, ordered=False)
+            if (made := self._row_ids(df, live, ordered=False)) is not None:
+                # not of a column with a name, which the optimizer would make once more to filter by its size
+                return made[0].select(*map(quoted, key), F.explode(made[1]).alias("pattern_id"))
         if table is not None:
             return table.select(*map(quoted, key), F.explode(ids).alias("pattern_id"))
         if plan in ("columns", "stream") or not live or plan is None and not many:
