@@ -8,7 +8,8 @@ condition is found under one of the keys that any value meeting it says:
 * wildcard, shellstyle        the q-gram of its pieces that fewest of the wildcards have; the pieces then decide
 * equals-ignore-case          the text with each character as the first of those that fold with it, however far;
                               the characters decide where three fold together
-* numeric                     nodes of a tree over the stretches between all bounds: a value says those above its own
+* numeric                     nodes of a tree over the stretches between all bounds: a value says those above its own,
+                              at the levels that ranges are found at
 * cidr                        the network at each prefix length in use
 * anything-but                nothing: the condition holds unless an excluded value is said
 * others                      a number for each that holds, which takes an expression each
@@ -55,6 +56,8 @@ class Ways:
     blocks: set[tuple[int, int]] = field(default_factory=set)
     folded: bool = False
     bounds: list[float] = field(default_factory=list)
+    #: levels of the tree, from the leaves, that have terms
+    levels: set[int] = field(default_factory=set)
     others: dict[Matcher, int] = field(default_factory=dict)
 
     @property
@@ -182,11 +185,12 @@ class Terms:
                 continue
             lo = 0 if m.low is None else 2 * at[m.low + 0.0] + (1 if m.low_in else 2)
             hi = 2 * len(at) if m.high is None else 2 * at[m.high + 0.0] + (1 if m.high_in else 0)
-            lo, hi = lo + ways.size, hi + ways.size + 1
+            lo, hi, level = lo + ways.size, hi + ways.size + 1, 0
             while lo < hi:
                 for edge in ([lo] if lo & 1 else []) + ([hi - 1] if hi & 1 else []):
                     self.nodes[path, edge].append(Term(c))
-                lo, hi = (lo + 1) >> 1, hi >> 1
+                    ways.levels.add(level)
+                lo, hi, level = (lo + 1) >> 1, hi >> 1, level + 1
 
     # ---- what a value says
 
@@ -238,7 +242,7 @@ class Terms:
         ways = self.ways[path]
         steps = F.array(*(F.lit(1 << k) for k in range(len(ways.bounds).bit_length() - 1, -1, -1)))
         below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(bounds, at + s - 1) < d, at + s).otherwise(at))
-        levels = F.sequence(F.lit(0), F.lit(int(log2(ways.size))))
+        levels = F.array(*map(F.lit, sorted(ways.levels))).cast("array<int>")
 
         def above(n: Column) -> Column:
             leaf = n * 2 + F.when(F.get(bounds, n) == d, 1).otherwise(0) + ways.size
