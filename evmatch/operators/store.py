@@ -28,6 +28,7 @@ import json
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 from typing import Any
 
@@ -40,7 +41,7 @@ from evmatch.errors import PatternError
 from evmatch.functions.binding import bound
 from evmatch.operators.flatten import Flattener, TypedFlattener
 from evmatch.plans.columns import STEPS, agree
-from evmatch.plans.join import BROADCAST_TERMS, EVENT, _double_key, joined_apart, numbered, quoted
+from evmatch.plans.join import BROADCAST_TERMS, COMMON_TERMS, EVENT, LOOK, _double_key, joined_apart, numbered, quoted
 from evmatch.plans.pattern import Matcher, parse
 from evmatch.plans.terms import Terms, _grams, fits, prefix_length, same_letters
 from evmatch.sources.events import spread
@@ -53,6 +54,8 @@ FEW = 64
 SOME = 1000
 #: ways to look values up to which a row is carried along with each of its keys
 CARRIED = 8
+#: texts that a condition is looked up for, and ids of a text, up to which they lie beside its terms
+TOGETHER = 2
 CONDITIONS = "array<struct<condition:string,path:string,negative:boolean>>"
 CHECK = "struct<_said:string,_number:double,_pieces:array<string>,_exact:string,_low:double,_high:double,_low_in:boolean,_high_in:boolean,_not:boolean>"
 DECIDED = f"array<struct<condition:string,path:string,negative:boolean,terms:array<{CHECK}>>>"
@@ -60,6 +63,7 @@ TERM = "struct<_condition:string,_path:string,_way:string,_said:string,_number:d
 #: a condition to be looked up by, and how many values it may hold for: 0 few, 1 some, 2 most
 KEYED = "struct<_lead:string,_broad:int>"
 COMPILED = f"_what string, _json string, _error string, _conditions {CONDITIONS}, _keyed array<{KEYED}>, _terms array<{TERM}>"
+LED = f"_what string, _json string, _lead string, _conditions {DECIDED}, _terms array<{TERM}>"
 PATTERNS = f"_what string, _json string, _lead string, _conditions {DECIDED}, seq int"
 TERMS = TERM[len("struct<") : -1].replace(":", " ").replace(",_grams array<string>,_many boolean", ", seq int")
 WAYS = "_path string, _way string, _looked_up boolean, _not boolean, seq int"
@@ -68,9 +72,13 @@ DELETED, REJECTED, LOG = "_id string, seq int", "_id string, _json string, _erro
 
 
 def condition_name(path: tuple[str, ...], matchers: tuple[Matcher, ...]) -> str:
-    said = [[m.op, m.text, m.texts, repr(m.number), [repr(x) for x in m.numbers], repr(m.low), repr(m.high), m.low_in, m.high_in, m.pieces] for m in matchers]
-    blocks = [m.block and [m.block.version, str(m.block.low), str(m.block.high)] for m in matchers]
-    return sha256(json.dumps([path, said, blocks]).encode()).hexdigest()[:32]
+    said = [(m.op, m.text, m.texts, m.number, m.numbers, m.low, m.high, m.low_in, m.high_in, m.pieces, m.block and (m.block.version, m.block.low, m.block.high)) for m in matchers]
+    return sha256(ascii((path, said)).encode()).hexdigest()[:32]
+
+
+@lru_cache(maxsize=10_000)
+def path_name(path: tuple[str, ...]) -> str:
+    return json.dumps(path)
 
 
 def cells(low: float, high: float) -> list[tuple[int, int]] | None:
@@ -88,7 +96,7 @@ class OwnTerms(Terms):
         pattern = parse(text, strict_lookaround)
         self.rows: list[dict[str, Any]] = []
         super().__init__([pattern], list(pattern.paths), complement=True)
-        self.path_names = [json.dumps(p) for p in self.paths]
+        self.path_names = [path_name(p) for p in self.paths]
         self.names = [condition_name(self.paths[path], ms) for path, ms in self.conditions]
 
     def _row(self, path: int, way: str, said: str | None, c: int, **more: Any) -> None:
@@ -143,9 +151,9 @@ class OwnTerms(Terms):
             broad[self.names[r["c"]]] = max(broad[self.names[r["c"]]], kind)
         keyed = [{"_lead": self.names[c], "_broad": broad[self.names[c]]} for c in sorted(self.keyed)]
         terms = [{**{k: v for k, v in r.items() if k[0] == "_"}, "_path": self.path_names[r["path"]], "_condition": self.names[r["c"]], "_not": r.get("_not", False)} for r in self.rows]
-        sizes = Counter(t["_condition"] for t in terms)
+        sizes = Counter(t["_condition"] for t in terms) if len(terms) > FEW else {}
         for t in terms:
-            t["_many"] = sizes[t["_condition"]] > FEW
+            t["_many"] = sizes.get(t["_condition"], 0) > FEW
         if asked and not keyed:  # found by any value there
             name = f"e:{self.path_names[negative[0]]}"
             keyed = [{"_lead": name, "_broad": 2}]
@@ -244,11 +252,9 @@ class PatternStore:
         self._write(wrong.union(lacking), "rejected", seq)
         self._write(whole.select("_id", "_what").distinct(), "ids", seq)
         fine = rows.filter("_error is null and size(_conditions) > 0")
-        keyed = fine.select("_what", F.inline("_keyed"))
-        shared = keyed.groupBy("_lead").agg(F.count("*").alias("_shared"))
-        leads = keyed.join(shared, "_lead").groupBy("_what").agg(F.min_by("_lead", F.struct(F.col("_broad") == 2, F.col("_shared") * F.when(F.col("_broad") == 1, SOME).otherwise(1), "_lead")).alias("_lead"))
-        led = fine.join(leads, "_what")
-        self._write(led.select("_what", "_json", "_lead", _decided().alias("_conditions")), "patterns", seq)
+        led = self._led(fine).select("_what", "_json", "_lead", _decided().alias("_conditions"), "_terms")
+        self._write(led, "patterns", seq)
+        led = self.spark.read.schema(LED).parquet(f"{self.path}/patterns/seq={seq}")
         looked_up = F.col("_t._many") | (F.col("_t._condition") == F.col("_lead"))
         each = led.select("_lead", F.explode("_terms").alias("_t")).select("_t.*", looked_up.alias("_looked_up"))
         self._write(each.groupBy("_path", "_way", "_looked_up").agg(F.max("_not").alias("_not")), "ways", seq)
@@ -259,6 +265,20 @@ class PatternStore:
             staged.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(staged, True)
         return seq
 
+    def _led(self, fine: DataFrame) -> DataFrame:
+        """Compiled rows with the condition to look them up by: one that does not hold for most values, if there is one,
+        and then that which fewest share.  What others share is counted only where there is a choice."""
+        narrow = F.filter("_keyed", lambda k: k["_broad"] != 2)
+        fine = fine.withColumn("_choice", F.when(F.size(narrow) > 0, narrow).otherwise(F.col("_keyed")))
+        sure = fine.filter("size(_choice) = 1").withColumn("_lead", F.get("_choice", F.lit(0))["_lead"])
+        others = fine.filter("size(_choice) > 1")
+        if others.isEmpty():
+            return sure
+        choice = others.select("_what", F.inline("_choice"))
+        shared = fine.select(F.inline("_keyed")).groupBy("_lead").agg(F.count("*").alias("_shared"))
+        leads = choice.join(shared, "_lead").groupBy("_what").agg(F.min_by("_lead", F.struct(F.col("_shared") * F.when(F.col("_broad") == 1, SOME).otherwise(1), "_lead")).alias("_lead"))
+        return sure.unionByName(others.join(leads, "_what"))
+
     def delete_patterns(self, ids: DataFrame) -> int:
         """Deletes all patterns so far of the ids in ``pattern_id``; an unknown id is no error."""
         seq = self._next()
@@ -315,27 +335,33 @@ class PatternStore:
         df = df.select(*map(quoted, dict.fromkeys([*key, event]))) if event else df
         names = sorted({w["_path"] for w in ways})
         paths = [tuple(json.loads(n)) for n in names]
+        texts, terms, ids = self._texts(), self._read("terms", TERMS, "added"), self._ids()
+        beside = texts.filter(F.exists("_conditions", lambda c: c["terms"].isNull() & (c["condition"] != F.col("_lead"))))
+        many = terms.count()
+        few = many <= BROADCAST_TERMS
+        carried = (few or sum(w["up"] for w in ways) <= CARRIED) and beside.isEmpty()
+        alike = ids.groupBy("_id").agg(F.count("*").alias("_n"), *(F.bit_xor(F.xxhash64("_what", F.lit(k))).alias(f"_h{k}") for k in range(3)))
+        alone = alike.filter("_n > 1").isEmpty()
+        sides = {name: [{w["_way"] for w in ways if w["_path"] == name and w[side]} for side in ("up", "inside")] for name in names}
+        if carried and alone and all(len(up - {"m"}) <= 1 and up <= {"s", "n", "e", "m"} for up, _ in sides.values()):
+            scalars = _scalars(df, flattener, paths)
+            if scalars:
+                return self._plain(df, key, dict(zip(names, scalars, strict=True)), sides, texts, terms, ids, many <= COMMON_TERMS)
         flat, leaves = flattener(df, paths)
         none, parts = F.lit(None).cast("string"), []
         for name, path in zip(names, paths, strict=True):
-            up, inside = ({w["_way"] for w in ways if w["_path"] == name and w[side]} for side in ("up", "inside"))
+            up, inside = sides[name]
             told = F.transform(leaves[path], _saying(name, self._keys(up), self._keys({w for w in inside if w[0] not in "wf"}), any(w[0] in "wi" for w in up | inside)))
             if "m" in up | inside:
                 missing = F.array(F.lit("m"))
                 nothing = F.struct(F.lit(name).alias("path"), F.lit(-1).alias("n"), missing.alias("up"), missing.alias("keys"), none.alias("v"), none.cast("double").alias("d"), F.array().cast(STEPS).alias("trail"))
                 told = F.when(F.size(leaves[path]) == 0, F.array(nothing)).otherwise(told)
             parts.append(told)
-        carried = F.struct(*map(quoted, key)) if key else F.struct(F.lit(0).alias("_"))
-        rows = numbered(flat.select(carried.alias("_key"), F.concat(*parts).alias("_leaves")))
-        texts = self._texts()
-        beside = texts.filter(F.exists("_conditions", lambda c: c["terms"].isNull() & (c["condition"] != F.col("_lead"))))
-        terms = self._read("terms", TERMS, "added")
-        few = terms.count() <= BROADCAST_TERMS
-        carried = (few or sum(w["up"] for w in ways) <= CARRIED) and beside.isEmpty()
+        rows = numbered(flat.select(_carried(key), F.concat(*parts).alias("_leaves")))
         row = ["_key", "_leaves"] if carried else []
         each = rows.select(EVENT, *row, F.explode("_leaves").alias("_leaf"))
         each = each.select(EVENT, *row, F.col("_leaf.path").alias("_path"), F.col("_leaf.n").alias("_n"), F.col("_leaf.v").alias("_v"), F.col("_leaf.d").alias("_d"), F.col("_leaf.trail").alias("_trail"), F.explode("_leaf.up").alias("_said"))
-        keyed = terms.withColumn("_said", F.when(F.col("_number").isNotNull(), _double_key(F.col("_number"))).otherwise(F.col("_said"))).drop("_number", "_way", "seq").distinct()
+        keyed = terms.withColumn("_said", _term_key()).drop("_number", "_way", "seq").distinct()
         met = each.join(F.broadcast(keyed), ["_path", "_said"]) if few else joined_apart(each, keyed, "inner")
         met = met.filter(_fine(F.col("_v"), F.col("_d"), F.col))
         one = F.struct(F.col("_condition").alias("c"), F.col("_n").alias("n"), F.col("_trail").alias("trail"), F.col("_not").alias("ex"))
@@ -345,9 +371,7 @@ class PatternStore:
             events = met.groupBy(EVENT).agg(F.collect_set(one).alias("_got")).join(rows, EVENT)
             leading = events.select("*", F.explode(F.array_distinct(F.transform(F.filter("_got", lambda g: ~g["ex"]), lambda g: g["c"]))).alias("_lead"))
         found = leading.join(texts.select("_what", "_lead", "_conditions"), "_lead").filter(_together()).select(EVENT, "_key", "_what")
-        ids = self._ids()
-        alike = ids.groupBy("_id").agg(F.count("*").alias("_n"), *(F.bit_xor(F.xxhash64("_what", F.lit(k))).alias(f"_h{k}") for k in range(3)))
-        if alike.filter("_n > 1").isEmpty():
+        if alone:
             groups = ids.withColumnRenamed("_what", "_group")
             found = found.withColumnRenamed("_what", "_group")
         else:
@@ -356,6 +380,46 @@ class PatternStore:
         out = found.select(EVENT, "_key", "_group").dropDuplicates([EVENT, "_group"]).join(groups, "_group")
         return out.select(*(["_key.*"] if key else []), F.col("_id").alias("pattern_id"))
 
+    def _plain(self, df: DataFrame, key: list[str], scalars: dict[str, tuple[Column, Column]], sides: dict[str, list[set[str]]], texts: DataFrame, terms: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+        """``match_long`` of fields in no array whose values say one key each, for ids of one text each.
+
+        A row meets a pattern once then, as that is looked up by one condition, and so by one field.  So rows are not
+        numbered, kept or made distinct, and they move once: to the terms, with which the patterns and ids lie that are
+        found by them.  Where a condition is looked up for many ids, these are joined with what was met.
+        """
+        said, leaves = [], []
+        for name, (v, d) in scalars.items():
+            up, inside = sides[name]
+            one = {"s": F.concat(F.lit("s"), v), "n": F.when(d.isNotNull(), _double_key(d)).otherwise(F.concat(F.lit("t"), v)), "e": F.lit("e")}
+            if up:
+                found = F.when(v.isNotNull(), one[min(up - {"m"})]) if up - {"m"} else F.when(v.isNotNull(), F.lit(None).cast("string"))
+                said.append((name, found.otherwise(F.lit("m")) if "m" in up else found))
+            if inside:
+                text = v if any(w[0] in "wi" for w in inside) else F.lit(None).cast("string")
+                ways = {w for w in inside if w[0] not in "wfm"}
+                keys = F.array(*(one[w] for w in sorted(ways))).cast("array<string>") if ways <= set(one) else self._keys(ways)(v, d)
+                n, keys = F.when(v.isNotNull(), 0).otherwise(-1), F.when(v.isNotNull(), keys).otherwise(F.array(F.lit("m")))
+                leaf = F.struct(F.lit(name).alias("path"), n.alias("n"), keys.alias("keys"), text.alias("v"), d.alias("d"))
+                leaves.append(leaf if "m" in inside else F.when(v.isNotNull(), leaf))
+        values = F.array(*leaves) if leaves else F.array().cast("array<struct<path:string,n:int,keys:array<string>,v:string,d:double>>")
+
+        def asking(rows: DataFrame) -> DataFrame:
+            if len(said) == 1:
+                return rows.select(_carried(key), values.alias("_leaves"), F.lit(said[0][0]).alias("_path"), said[0][1].alias("_said")).filter("_said is not null")
+            each = F.explode(F.array(*(F.struct(F.lit(name).alias("_path"), x.alias("_said")) for name, x in said)))
+            return rows.select(_carried(key), values.alias("_leaves"), each.alias("_s")).select("_key", "_leaves", "_s.*").filter("_said is not null")
+
+        keyed = terms.filter("not _not").select("_path", _term_key().alias("_said"), F.col("_condition").alias("_lead")).distinct()
+        others = F.filter("_conditions", lambda c: c["condition"] != F.col("_lead")).alias("_conditions")  # the lead is met
+        decided = texts.select("_what", "_lead", others)
+        few_of = lambda rows, by: rows.groupBy(by).count().filter(F.col("count") > TOGETHER).isEmpty()
+        together = few_of(decided, "_lead") and few_of(ids, "_what")
+        wanted = keyed.join(decided.join(ids, "_what").drop("_what"), "_lead").drop("_lead") if together else keyed
+        met = asking(df).join(F.broadcast(wanted), ["_path", "_said"]) if few else joined_apart(asking(df), wanted, "inner", asking(df.sample(LOOK, seed=1)))
+        found = (met if together else met.join(decided, "_lead")).filter(_each_holds())
+        out = found if together else found.join(ids, "_what")
+        return out.select(*(["_key.*"] if key else []), F.col("_id").alias("pattern_id"))
+
     def _keys(self, ways: set[str]) -> Callable[[Column, Column], Column]:
         return _keys(ways, self.strict_lookaround)
 
@@ -425,22 +489,51 @@ def _fine(v: Column, d: Column, of: Callable[[str], Column]) -> Column:
     return pieces.when(of("_exact").isNotNull(), same_letters(v, of("_exact"))).when(of("_low_in").isNotNull(), above & below).otherwise(True)
 
 
+def _carried(key: list[str]) -> Column:
+    return (F.struct(*map(quoted, key)) if key else F.struct(F.lit(0).alias("_"))).alias("_key")
+
+
+def _term_key() -> Column:
+    return F.when(F.col("_number").isNotNull(), _double_key(F.col("_number"))).otherwise(F.col("_said"))
+
+
+def _scalars(df: DataFrame, flattener: Flattener, paths: list[tuple[str, ...]]) -> list[tuple[Column, Column]] | None:
+    """(v, d) of each path, if all are of typed columns and in no array or map."""
+    if type(flattener) is not TypedFlattener or flattener.nulls:
+        return None
+    none = F.lit(None)
+    found = [flattener.scalar(df, p) if p[0] in df.columns else (none.cast("string"), None) for p in paths]
+    return [(f[0], none.cast("double") if f[1] is None else f[1]) for f in found if f] if all(found) else None
+
+
+def _meets(t: Column, x: Column) -> Column:
+    """Whether a leaf is what a term asks for."""
+    by_key = t["_pieces"].isNull() & t["_low_in"].isNull()
+    said = F.when(t["_number"].isNotNull(), x["d"] == t["_number"]).when(by_key, F.array_contains(x["keys"], t["_said"])).otherwise(x["n"] >= 0)
+    return F.coalesce(said & _fine(x["v"], x["d"], lambda name: t[name]), F.lit(False))
+
+
+def _inside(c: Column, x: Column) -> Column:
+    """Whether a leaf meets a condition that is decided in the row."""
+    any_of = lambda ex: F.exists(c["terms"], lambda t: (t["_not"] == ex) & _meets(t, x))
+    return (x["path"] == c["path"]) & (any_of(F.lit(False)) | c["negative"] & (x["n"] >= 0) & ~any_of(F.lit(True)))
+
+
+def _each_holds() -> Column:
+    """Whether all conditions hold for values in no array."""
+    return F.forall("_conditions", lambda c: F.exists("_leaves", lambda x: F.coalesce(_inside(c, x), F.lit(False))))
+
+
 def _together() -> Column:
     """Whether all conditions of a pattern hold for values of the same elements of arrays."""
 
-    def holds(t: Column, x: Column) -> Column:
-        by_key = t["_pieces"].isNull() & t["_low_in"].isNull()
-        said = F.when(t["_number"].isNotNull(), x["d"] == t["_number"]).when(by_key, F.array_contains(x["keys"], t["_said"])).otherwise(x["n"] >= 0)
-        return F.coalesce(said & _fine(x["v"], x["d"], lambda name: t[name]), F.lit(False))
-
     def trails(c: Column) -> Column:
         sure = F.filter("_got", lambda g: (g["c"] == c["condition"]) & ~g["ex"])
         left_out = lambda x: F.exists("_got", lambda g: (g["c"] == c["condition"]) & g["ex"] & (g["n"] == x["n"]))
         default = F.filter("_leaves", lambda x: (x["path"] == c["path"]) & (x["n"] >= 0) & ~left_out(x))
         of = lambda found: F.transform(found, lambda x: x["trail"])
         looked_up = F.when(c["negative"], F.array_union(of(sure), of(default))).otherwise(of(sure))
-        any_of = lambda x, ex: F.exists(c["terms"], lambda t: (t["_not"] == ex) & holds(t, x))
-        inside = F.filter("_leaves", lambda x: (x["path"] == c["path"]) & (any_of(x, F.lit(False)) | c["negative"] & (x["n"] >= 0) & ~any_of(x, F.lit(True))))
+        inside = F.filter("_leaves", lambda x: _inside(c, x))
         return F.when(c["terms"].isNull(), looked_up).otherwise(of(inside))
 
     def meet(acc: Column, c: Column) -> Column:

@@ -89,12 +89,14 @@ class TermTables:
         return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def joined_apart(said: DataFrame, terms: DataFrame, how: str) -> DataFrame:
+def joined_apart(said: DataFrame, terms: DataFrame, how: str, some: DataFrame | None = None) -> DataFrame:
     """Keys with a table of terms that is too large for a broadcast.  A key that many events say would be one task's:
-    the terms of common keys, which a look at some events finds, are broadcast, and only the others are shuffled."""
-    looked = said.filter(F.col("_said").isNotNull()).sample(LOOK, seed=1).groupBy("_path", "_said").count().filter(F.col("count") >= 5)
-    total = looked.agg(F.sum("count")).first()[0] or 0
-    common = looked.filter(F.col("count") >= COMMON * total).select("_path", "_said")
+    the terms of common keys, which a look at some events finds, are broadcast, and only the others are shuffled.
+    ``some`` are keys of the share LOOK of the events, where that is less work than taking it from ``said``."""
+    some = said.sample(LOOK, seed=1) if some is None else some
+    looked = some.filter(F.col("_said").isNotNull()).groupBy("_path", "_said").count()
+    often = (F.col("count") >= 5) & (F.col("count") >= COMMON * F.col("_all"))
+    common = looked.crossJoin(looked.agg(F.sum("count").alias("_all"))).filter(often).select("_path", "_said")
     keys = common.collect()  # 1 / COMMON at most
     mine = terms.join(F.broadcast(said.sparkSession.createDataFrame(keys, common.schema)), ["_path", "_said"], "left_semi") if keys else None
     if mine is None or mine.limit(COMMON_TERMS + 1).count() > COMMON_TERMS:

@@ -10,7 +10,7 @@ import json
 import math
 from dataclasses import dataclass
 from decimal import Decimal
-from typing import Any
+from typing import Any, NamedTuple
 
 from evmatch.errors import InvalidJson, InvalidPattern
 from evmatch.functions import cidr as cidr_blocks
@@ -19,8 +19,7 @@ from evmatch.functions import iregexp, wildcard
 Path = tuple[str, ...]
 
 
-@dataclass(frozen=True)
-class Matcher:
+class Matcher(NamedTuple):
     """One alternative of a field; ``op`` says which of the other members count."""
 
     op: str

@@ -149,3 +149,62 @@ def test_few_texts_are_dealt_over_all_cores(spark, folder):
 
     texts = spark.createDataFrame([(str(k), json.dumps({"n": [k]})) for k in range(100)], "_what string, _json string").coalesce(1)
     assert compiled(texts, False).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_plain_fields_of_one_key_move_once(spark, folder):
+    """Rows whose values say one key each meet a pattern once: none is numbered, kept or made distinct, however many ids
+    a text has; other sets are matched as they were, with the same result."""
+    events = [(k % 30, k % 11, None if k % 5 == 0 else float(k % 9), None if k % 7 == 0 else "ab-c"[k % 4]) for k in range(60)]
+    df = spark.createDataFrame([*events, (1, None, math.nan, "a"), (1, None, math.nan, "a")], "id int, n int, d double, s string")
+    others = [{"d": [{"numeric": [">", 4]}]}, {"s": [{"anything-but": ["a", "b"]}]}, {"s": ["a", {"prefix": "b"}], "d": [1, 2, {"exists": False}]}, {"s": [{"exists": False}]}, {"none": [{"exists": False}]}, {"s": [{"wildcard": "*b*"}, {"equals-ignore-case": "C"}]}, {}]
+    alike = lambda n: {"n": [n % 11]} | others[n % len(others)]
+    one, many = [(f"p{k}", alike(k)) for k in range(80)], [(f"q{k}", alike(k % 3)) for k in range(80)]
+    two_ways = [("w", {"s": ["a", {"prefix": "a"}]}), *one]
+    two_texts = [("p1", {"n": [3]}), *one]
+    for k, (patterns, plain) in enumerate([(one, True), (many, True), (one[:7], True), (two_ways, False), (two_texts, False)]):
+        alone = PatternSet()
+        for i, p in patterns:
+            alone.add_pattern(i, p)
+        store = PatternStore.create(spark, f"{folder}/s{k}")
+        store.add_patterns(patterns_table(spark, patterns))
+        got = store.match_long(df, ["id"])
+        expected = alone.match_long(df, ["id"])
+        listed = lambda found: sorted((r["id"], r["pattern_id"]) for r in found.collect())
+        assert listed(got) == listed(expected) and got.columns == expected.columns
+        assert ("_event_no" in got._jdf.queryExecution().optimizedPlan().toString()) != plain
+
+
+def test_rows_are_looked_for_in_a_table_too_large_for_a_broadcast(spark, folder, monkeypatch):
+    from evmatch.operators import store as module
+
+    monkeypatch.setattr(module, "COMMON_TERMS", 10)
+    df = spark.range(3000).select((F.col("id") % 700).alias("id"), (F.col("id") % 50).alias("n"), (F.col("id") % 13).cast("double").alias("d"))
+    table = spark.range(50).select(F.concat(F.lit("p"), "id").alias("pattern_id"), F.concat(F.lit('{"n": ['), "id", F.lit('], "d": [{"numeric": ["<", '), F.col("id") % 5, F.lit("]}]}")).alias("pattern_json"))
+    store = PatternStore.create(spark, f"{folder}/s")
+    store.add_patterns(table)
+    got = sorted((r["id"], r["pattern_id"]) for r in store.match_long(df, ["id"]).collect())
+    assert got == sorted((k % 700, f"p{k % 50}") for k in range(3000) if k % 13 < k % 50 % 5)
+
+
+def test_what_others_share_is_counted_only_where_there_is_a_choice(spark, folder):
+    """Beside a range, that most values may be in, an equality is the only choice."""
+    store = PatternStore.create(spark, f"{folder}/s")
+    rows = lambda texts: spark.createDataFrame([(t,) for t in texts], "_json string").select(F.md5("_json").alias("_what"), "_json")
+    from evmatch.operators.store import compiled
+
+    sure = [json.dumps({"a": [k % 3], "b": [{"numeric": [">", k]}]}) for k in range(20)]
+    led = store._led(compiled(rows(sure), False))
+    assert "Join" not in led._jdf.queryExecution().optimizedPlan().toString() and led.filter("_lead is not null").count() == 20
+    choice = [json.dumps({"a": [1], "c": [k]}) for k in range(4)]
+    led = {r["_json"]: r for r in store._led(compiled(rows(sure + choice), False)).collect()}
+    assert len(led) == 24 and len({led[t]["_lead"] for t in choice}) == 4 and len({led[t]["_lead"] for t in sure}) == 3
+
+
+def test_a_key_is_common_by_its_share_of_all_events(spark):
+    """A few events of one key among many of others are no reason to join apart."""
+    from evmatch.plans.join import joined_apart
+
+    said = spark.range(20_000).select(F.lit("p").alias("_path"), F.when(F.col("id") < 6, F.lit("k")).otherwise(F.col("id").cast("string")).alias("_said"))
+    terms = spark.createDataFrame([("p", "k", 1), ("p", "77", 2)], "_path string, _said string, c int")
+    got = joined_apart(said, terms, "inner", said)
+    assert got.count() == 7 and "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
