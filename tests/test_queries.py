@@ -26,3 +26,11 @@ def test_query(spark, duck, name):
     assert sorted(columns) == sorted(got.columns)
     back = [columns.index(got.columns[k]) for k in order]
     assert sorted(str([r[k] for k in order]) for r in got.collect()) == sorted(str([r[k] for k in back]) for r in expected.fetchall())
+
+
+def test_items_are_dealt_before_they_are_listed(spark):
+    """A list of one item each is no less to move, and making it is a sort of its own."""
+    from evmatch.queries import orders_with_items
+
+    plan = orders_with_items(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("ObjectHashAggregate") < plan.index("Exchange hashpartitioning(l_orderkey")
