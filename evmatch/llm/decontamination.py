@@ -1,7 +1,7 @@
 """Benchmark passages in a corpus, through a distributed positional inverted index.
 
 ``build`` stores a posting (term, document, position) for every token.  Every task writes a segment of its own
-documents, sorted by the term's hash, so building moves nothing, and a lookup reads the pages where its terms are.
+documents, sorted by the term's hash, so building moves nothing, and a term's postings stand in a row.
 
 ``phrases`` looks for windows of consecutive item words.  Terms of the items are counted in the index.  A window
 starts from the postings of its rarest term, each of which puts the item at one place of a document; the list of the
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from evmatch.llm.common import Scratch, table
 
 WIDTH = 10
-#: terms as they are before lower-casing
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: characters beyond ASCII that have a lower case, or may have one in a Unicode version later than the matcher's
-UPPER = r"[\p{Lu}\p{Lt}\p{IsUppercase}\p{Cn}&&[^\x00-\x7F]]"
+#: terms as they are before lower-casing: of ASCII the digits and letters.  What separates them is named one by one, which
+#: the matcher keeps as one table of bits; a range would be a test of its own for each character of a text
+TERM = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+#: characters beyond ASCII (asked first) that have a lower case, or may have one in a Unicode version later than the matcher's
+UPPER = r"[[^\x00-\x7F]&&[\p{Lu}\p{Lt}\p{IsUppercase}\p{Cn}]]"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: 64-bit entries of the table of documents that matter
@@ -54,7 +55,7 @@ def _bounded(rows: DataFrame, *texts: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (key, term, doc, pos) by hash of the term, and ``documents`` (doc, row id, n_words)."""
+    """``postings`` (term, doc, pos) by hash of the term, and ``documents`` (doc, row id, n_words)."""
 
     postings: DataFrame
     documents: DataFrame
@@ -67,18 +68,18 @@ def build(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> Index:
     numbered = df.select(F.col(row_id).alias("_id"), F.monotonically_increasing_id().alias("doc"), F.concat(terms(F.col(text).cast("string")), F.array(F.lit(None).cast("string"))).alias("_terms"))
     said = numbered.select("_id", "doc", F.posexplode("_terms").alias("pos", "term"))
     none = F.col("term").isNull()
-    rows = said.select(F.when(~none, F.xxhash64("term")).alias("key"), "term", "doc", "pos", F.when(none, F.col("_id")).alias("_id"))
-    kept = Scratch(df.sparkSession, "postings").put(rows.sortWithinPartitions("key"))
-    return Index(kept.filter("key is not null").select("key", "term", "doc", "pos"), kept.filter("key is null").select("doc", F.col("_id").alias(row_id), F.col("pos").cast("long").alias("n_words")))
+    rows = said.select("term", "doc", "pos", F.when(none, F.col("_id")).alias("_id"))
+    kept = Scratch(df.sparkSession, "postings").put(rows.sortWithinPartitions(F.xxhash64("term")))
+    return Index(kept.filter("term is not null").select("term", "doc", "pos"), kept.filter("term is null").select("doc", F.col("_id").alias(row_id), F.col("pos").cast("long").alias("n_words")))
 
 
 def _words(items: DataFrame) -> DataFrame:
-    return items.select("item", F.size("_terms").alias("n"), F.posexplode("_terms").alias("ip", "term")).withColumn("key", F.xxhash64("term"))
+    return items.select("item", F.size("_terms").alias("n"), F.posexplode("_terms").alias("ip", "term"))
 
 
 def _of_terms(postings: DataFrame, asked: DataFrame) -> DataFrame:
-    """Postings beside what is asked by (key, term)."""
-    return postings.join(_bounded(asked, "term"), ["key", "term"])
+    """Postings beside what is asked by term."""
+    return postings.join(_bounded(asked, "term"), "term")
 
 
 def _of_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -90,13 +91,13 @@ def _of_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def windows(words: DataFrame, counts: DataFrame, width: int) -> DataFrame:
-    """(item, s, many, _rare): each window whose terms all occur, with (count, ip, key, term) of its two rarest words.
+    """(item, s, many, _rare): each window whose terms all occur, with (count, ip, term) of its two rarest words.
 
     An item of fewer than ``width`` words is one window.
     """
     last = F.greatest(F.lit(0), F.col("n") - width)
-    counted = words.join(counts, ["key", "term"], "left").withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.least(last, F.col("ip") - width + 1)), F.least(last, F.col("ip")))))
-    every = counted.groupBy("item", "s").agg(F.count(F.lit(1)).alias("many"), F.count("count").alias("_met"), F.array_sort(F.collect_list(F.struct("count", "ip", "key", "term"))).alias("_rare"))
+    counted = words.join(counts, "term", "left").withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.least(last, F.col("ip") - width + 1)), F.least(last, F.col("ip")))))
+    every = counted.groupBy("item", "s").agg(F.count(F.lit(1)).alias("many"), F.count("count").alias("_met"), F.array_sort(F.collect_list(F.struct("count", "ip", "term"))).alias("_rare"))
     return every.filter("many = _met").select("item", "s", "many", F.slice("_rare", 1, 2).alias("_rare"))
 
 
@@ -108,19 +109,19 @@ class _Search:
         rows = items.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), terms(F.col(text).cast("string")).alias("_terms"))
         self.items = self.scratch.put(rows.filter(F.size("_terms") > 0))
         self.words = _words(self.items)
-        self.asked = self.words.select("key", "term").distinct()
-        counts = self.scratch.put(_of_terms(index.postings, self.asked).groupBy("key", "term").count())
+        self.asked = self.words.select("term").distinct()
+        counts = self.scratch.put(_of_terms(index.postings, self.asked).groupBy("term").count())
         self.windows = self.scratch.put(windows(self.words, counts, width))
 
     def places(self, slop: int) -> DataFrame:
         """(item, i1, doc, off): where rarest words of windows put items, the second rarest being within ``slop``."""
         first, second = F.col("_rare")[0], F.get("_rare", F.lit(1))
-        pairs = self.windows.select("item", first["key"].alias("key"), first["term"].alias("term"), first["ip"].alias("i1"), second["key"].alias("key2"), second["term"].alias("term2"), second["ip"].alias("i2")).distinct()
-        found = _of_terms(self.index.postings, pairs).select("item", "i1", "key2", "term2", "i2", "doc", (F.col("pos") - F.col("i1")).alias("off"))
+        pairs = self.windows.select("item", first["term"].alias("term"), first["ip"].alias("i1"), second["term"].alias("term2"), second["ip"].alias("i2")).distinct()
+        found = _of_terms(self.index.postings, pairs).select("item", "i1", "term2", "i2", "doc", (F.col("pos") - F.col("i1")).alias("off"))
         seeds = self.scratch.put(found)
-        lists = _of_documents(_of_terms(self.index.postings, pairs.filter("i2 is not null").select(F.col("key2").alias("key"), F.col("term2").alias("term")).distinct()), seeds)
+        lists = _of_documents(_of_terms(self.index.postings, pairs.filter("i2 is not null").select(F.col("term2").alias("term")).distinct()), seeds)
         wanted = seeds.filter("i2 is not null").withColumn("pos", F.explode(F.sequence(F.col("off") + F.col("i2") - slop, F.col("off") + F.col("i2") + slop)))
-        both = wanted.join(lists.select(F.col("key").alias("key2"), F.col("term").alias("term2"), "doc", "pos"), ["doc", "pos", "key2", "term2"], "left_semi")
+        both = wanted.join(lists.select(F.col("term").alias("term2"), "doc", "pos"), ["doc", "pos", "term2"], "left_semi")
         return both.unionByName(seeds.filter("i2 is null"), allowMissingColumns=True).select("item", "i1", "doc", "off")
 
     def stretches(self, places: DataFrame, slop: int) -> DataFrame:
@@ -129,7 +130,7 @@ class _Search:
         lists = _of_documents(_of_terms(self.index.postings, self.asked), places)
         shift = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
         wanted = places.join(_bounded(self.words, "term"), "item").withColumn("_by", shift).withColumn("pos", F.col("off") + F.col("ip") + F.col("_by"))
-        met = wanted.join(lists, ["doc", "pos", "key", "term"]).select(*places.columns, "ip")
+        met = wanted.join(lists, ["doc", "pos", "term"]).select(*places.columns, "ip")
         met = met.distinct() if slop else met
         island = F.col("ip") - F.row_number().over(Window.partitionBy(*places.columns).orderBy("ip"))
         return met.withColumn("_island", island).groupBy(*places.columns, "_island").agg(F.min("ip").alias("a"), F.max("ip").alias("b")).drop("_island")

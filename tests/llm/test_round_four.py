@@ -197,6 +197,23 @@ def test_lower_case_is_ascii_alone(spark):
     assert odd.count() == 0
 
 
+def test_what_separates_terms_is_named_one_by_one(spark):
+    """No range, which the matcher asks for each character of a text; of every character the terms are those of the contract."""
+    assert "-" not in decontamination.TERM
+    df = spark.range(1, 0x110000).filter("id < 55296 or id > 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'utf-32')").alias("c"))
+    contract = F.regexp_extract_all(F.translate("c", decontamination.CAPITALS, decontamination.SMALL), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    assert df.filter(decontamination.terms(F.col("c")) != contract).count() == 0
+
+
+def test_postings_of_a_term_stand_together(spark):
+    """In each segment, and no column is stored that tells the term once more."""
+    df = spark.createDataFrame([(k, "b a b c %d a" % (k % 3)) for k in range(40)], "doc_id int, text string").coalesce(1)
+    postings = decontamination.build(df).postings
+    assert postings.columns == ["term", "doc", "pos"]
+    said = [r["term"] for r in postings.collect()]
+    assert len(said) == 240 and 1 + sum(a != b for a, b in zip(said, said[1:])) == len(set(said)) == 6
+
+
 def test_the_decontamination_plan_has_no_python(spark):
     found = decontamination.op13_decontamination(spark, SF)
     assert "Python" not in found._jdf.queryExecution().toString() and "InArrow" not in found._jdf.queryExecution().toString()
