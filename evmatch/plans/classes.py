@@ -10,7 +10,8 @@ several arrays or too many pairs of classes are for the plans that look up condi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable
 from itertools import product
 from math import prod
 
@@ -28,7 +29,12 @@ Matchers = tuple[Matcher, ...]
 
 
 class _Field:
-    """A field's classes: ``members[k]`` has the conditions that values of class k meet; class 0 is of no value."""
+    """A field's classes: ``found[matchers]`` are the classes whose values meet a condition, of ``size`` in all; class 0 is
+    of no value.
+
+    Atoms are the values that no bound and no other value parts.  They are gone through in order, with the conditions
+    that change from one to the next, so a field costs what its classes list and not each condition for each value.
+    """
 
     def __init__(self, conditions: list[Matchers], numeric: bool):
         ops = {m.op for ms in conditions for m in ms}
@@ -38,39 +44,64 @@ class _Field:
         if numeric:
             found = {x + 0.0 for m in every for x in ([m.number] if m.op == "number" else m.numbers or [x for x in (m.low, m.high) if x is not None])}
             self.said: list = sorted(found)
-            self.at = {x: n for n, x in enumerate(self.said)}
-            atoms, holds = range(-1, 2 * len(self.said) + 1), self._number  # -1: NaN; 2 * k before the k-th, 2 * k + 1 the k-th
+            self.many, spans = 2 * len(self.said) + 2, self._numbers  # 0: NaN; 2 * k + 1 before the k-th, 2 * k + 2 the k-th
         else:
             self.said = sorted({t for m in every for t in ((m.text,) if m.op in ("exact", "number") else m.texts)}, key=str.encode)
-            atoms, holds = [None, *self.said], self._text
-        self.members: list[frozenset[Matchers]] = [frozenset(ms for ms in conditions if any(m.op == "missing" for m in ms))]
-        place: dict[frozenset[Matchers], int] = {}
-        self.classes: list[int] = []
-        for a in atoms:
-            met = frozenset(ms for ms in conditions if any(holds(m, a) for m in ms))
-            if met not in place:
-                place[met] = len(self.members)
-                self.members.append(met)
-            self.classes.append(place[met])
-
-    @staticmethod
-    def _text(m: Matcher, v: str | None) -> bool:
-        """``v`` is None for any text that no matcher names."""
+            self.many, spans = len(self.said) + 1, self._texts  # 0: any text that no matcher names
+        self.at = {x: n for n, x in enumerate(self.said)}
+        changes: dict[int, list[tuple[int, int]]] = {}
+        for c, ms in enumerate(conditions):
+            for first, end in (span for m in dict.fromkeys(ms) for span in spans(m) if span[0] < span[1]):
+                changes.setdefault(first, []).append((c, 1))
+                changes.setdefault(end, []).append((c, -1))
+        met: list[list[int]] = [[0] if any(m.op == "missing" for m in ms) else [] for ms in conditions]
+        place: dict[frozenset[int], int] = {}
+        held, least, other = Counter[int](), frozenset[int](), set[int]()  # ``other``: what differs from the first atom's
+        listed, self.size, self.classes = sum(map(len, met)), 1, []
+        for a in range(self.many):
+            for c, by in changes.get(a, ()):
+                held[c] += by
+            for c in {c for c, _ in changes.get(a, ())}:
+                (other.discard if (held[c] > 0) == (c in least) else other.add)(c)
+            if not a:
+                least, other = frozenset(other), set()
+            if not a or a in changes:
+                key = frozenset(other)
+                if key not in place:
+                    place[key], self.size = self.size, self.size + 1
+                    now = least ^ key
+                    listed += len(now)
+                    if listed > INLINE_ENTRIES:  # patterns would be listed as often at least
+                        raise TooManyTerms
+                    for c in now:
+                        met[c].append(place[key])
+            self.classes.append(place[key])
+        self.found = dict(zip(conditions, met, strict=True))
+
+    def _but(self, atoms: Iterable[int]) -> list[tuple[int, int]]:
+        """All atoms but some."""
+        edges = sorted(atoms)
+        return list(zip([0, *(a + 1 for a in edges)], [*edges, self.many], strict=True))
+
+    def _texts(self, m: Matcher) -> list[tuple[int, int]]:
+        """The atoms that a matcher takes, as spans without their end."""
         if m.op in ("exact", "number"):
-            return v == m.text
-        return m.op in ("exists", "anything-but-numeric") or m.op == "anything-but" and v not in m.texts
+            return [(self.at[m.text] + 1, self.at[m.text] + 2)]
+        if m.op == "anything-but":
+            return self._but(self.at[t] + 1 for t in m.texts)
+        return [(0, self.many)] if m.op in ("exists", "anything-but-numeric") else []
 
-    def _number(self, m: Matcher, s: int) -> bool:
-        at = lambda x: 2 * self.at[x + 0.0]
+    def _numbers(self, m: Matcher) -> list[tuple[int, int]]:
+        at = lambda x: 2 * self.at[x + 0.0] + 1
         if m.op == "number":
-            return s == at(m.number) + 1
+            return [(at(m.number) + 1, at(m.number) + 2)]
         if m.op == "anything-but-numeric":
-            return all(s != at(x) + 1 for x in m.numbers)
-        if m.op != "numeric" or s < 0:
-            return m.op == "exists"
-        if m.low is None and m.high is None:
-            return False
-        return (m.low is None or s >= at(m.low) + (1 if m.low_in else 2)) and (m.high is None or s <= at(m.high) + (1 if m.high_in else 0))
+            return self._but({at(x) + 1 for x in m.numbers})
+        if m.op == "exists":
+            return [(0, self.many)]
+        if m.op != "numeric" or m.low is None and m.high is None:
+            return []
+        return [(1 if m.low is None else at(m.low) + (1 if m.low_in else 2), self.many if m.high is None else at(m.high) + (2 if m.high_in else 1))]
 
     def column(self, v: Column, d: Column | None, constant: _Constants) -> Column:
         """The class of a value."""
@@ -111,22 +142,23 @@ def class_column(df: DataFrame, flattener: TypedFlattener, patterns: list[Patter
             fields[path] = _Field(list(found), _numeric(df, path))
         else:
             raise TooManyTerms
-    many = lambda paths: prod(len(fields[p].members) for p in paths)
+    many = lambda paths: prod(fields[p].size for p in paths)
     if len(arrays) > 1 or many(fields) > PAIRS:
         raise TooManyTerms
-    strides = lambda paths: {p: prod(len(fields[q].members) for q in list(paths)[:n]) for n, p in enumerate(paths)}
+    strides = lambda paths: {p: prod(fields[q].size for q in list(paths)[:n]) for n, p in enumerate(paths)}
     out_by, in_by = strides(outside), strides(within)
     alone: list[list[str]] = [[] for _ in range(many(outside))]
     pairs: list[list[list[str]]] = [[[] for _ in range(many(within))] for _ in alone] if arrays else []
     entries = 0
     for pattern, i in zip(patterns, ids, strict=True):
         asked = dict(pattern.fields)
-        fine = lambda p: [k for k, met in enumerate(fields[p].members) if p not in asked or asked[p] in met]  # noqa: B023, E731
+        fine = lambda p: fields[p].found[asked[p]] if p in asked else range(fields[p].size)  # noqa: B023, E731
         keys = lambda by: [sum(k * by[p] for k, p in zip(ks, by, strict=True)) for ks in product(*map(fine, by))]  # noqa: B023, E731
-        inside = keys(in_by) if any(p in within for p in asked) else None
-        entries += prod(len(fine(p)) for p in fields if p in outside or inside is not None)
+        nested = any(p in within for p in asked)
+        entries += prod(len(fine(p)) for p in fields if p in outside or nested)
         if entries > INLINE_ENTRIES:
             raise TooManyTerms
+        inside = keys(in_by) if nested else None
         for o in keys(out_by):
             for to in [alone[o]] if inside is None else [pairs[o][k] for k in inside]:
                 to.append(i)

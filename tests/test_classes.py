@@ -1,14 +1,16 @@
 """The plan by classes of values: comparisons on typed columns and one array of them."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from evmatch import PatternSet
 from evmatch.operators.flatten import TypedFlattener
-from evmatch.plans.classes import class_column
+from evmatch.plans.classes import _Field, class_column
 from evmatch.plans.inline import TooManyTerms
+from evmatch.plans.pattern import parse
 
 SCHEMA = "id int, s string, n double, items array<struct<t:string,q:double>>"
 TEXTS, NUMBERS = [f"t{k}" for k in range(9)], [-7, -1.5, 0, 1, 2, 2.5, 7, 8, 1e300]
@@ -64,3 +66,22 @@ def test_other_sets_are_for_other_plans(spark):
         with pytest.raises(TooManyTerms):
             class_column(df, TypedFlattener(), [one._live()[0].pattern], ["p"], False)
         assert one.match_long(df, ["id"], plan="row").collect() == one.match_long(df, ["id"], plan="join").collect()
+
+
+def test_classes_of_many_values_are_found_in_time_of_their_number():
+    """Not of conditions times values: 5,000 ranges, exclusions and lists each took minutes."""
+    many, began = 5000, time.process_time()
+    fields = [[({"numeric": [">", 10 * n, "<=", 10 * n + 15]},) for n in range(many)], [(f"t{n}", f"t{n + 1}") for n in range(many)], [({"anything-but": list(range(many))},), tuple(range(0, many, 2))]]
+    made = []
+    for numeric, conditions in zip((True, False, True), fields, strict=True):
+        parsed = [parse({"x": list(ms)}).fields[0][1] for ms in conditions]
+        made.append((parsed, _Field(parsed, numeric)))
+    assert time.process_time() - began < 10
+    (ranges, by_range), (_, by_text), (lists, by_list) = made
+    value = lambda f, x: f.classes[2 * f.at[x] + 2]
+    assert value(by_range, 70) in by_range.found[ranges[6]] and value(by_range, 70) not in by_range.found[ranges[7]]
+    assert by_range.size == 2 + 2 * many - 1  # of no value, of no range, each range alone or with the next
+    assert by_text.size == 2 + many + 1
+    assert [value(by_list, x) in by_list.found[lists[1]] for x in (0, 1)] == [True, False] and by_list.size == 4
+    with pytest.raises(TooManyTerms):
+        _Field([parse({"x": [{"numeric": [">", n]}]}).fields[0][1] for n in range(many)], True)
