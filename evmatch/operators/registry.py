@@ -127,7 +127,8 @@ class PatternSet:
 
     def add_pattern(self, id: Hashable, text: str | dict) -> PatternSet:
         """Adds to the id's patterns; what was deleted under it stays deleted."""
-        self._entries = [*self._entries, _Entry(id, text, parse(text, self.strict_lookaround))]  # a clone may share the list
+        self._entries.append(_Entry(id, text, parse(text, self.strict_lookaround)))
+        self._reader = None
         return self
 
     def delete_patterns(self, id: Hashable) -> None:
@@ -167,7 +168,9 @@ class PatternSet:
 
     def clone(self) -> PatternSet:
         """A snapshot: later changes to either do not show in the other."""
-        return copy.copy(self)
+        out = copy.copy(self)
+        out._entries = [*self._entries]
+        return out
 
     def in_time(self, times: dict[Hashable, Any]) -> PatternSet:
         """A set with one more field, of ``times``, in the patterns of each id that have any."""

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from evmatch.functions.binding import bound
 from evmatch.operators.flatten import TypedFlattener
-from evmatch.plans.inline import INLINE_BYTES, INLINE_ENTRIES, TooManyTerms, _Constants, _place
+from evmatch.plans import inline
+from evmatch.plans.inline import TooManyTerms, _Constants, _place
 from evmatch.plans.pattern import Matcher, Path, Pattern
 
 #: pairs of classes, and values of a field up to which they are compared one by one
@@ -71,7 +72,7 @@ class _Field:
                     place[key], self.size = self.size, self.size + 1
                     now = least ^ key
                     listed += len(now)
-                    if listed > INLINE_ENTRIES:  # patterns would be listed as often at least
+                    if listed > inline.INLINE_ENTRIES:  # patterns would be listed as often at least
                         raise TooManyTerms
                     for c in now:
                         met[c].append(place[key])
@@ -156,7 +157,7 @@ def class_column(df: DataFrame, flattener: TypedFlattener, patterns: list[Patter
         keys = lambda by: [sum(k * by[p] for k, p in zip(ks, by, strict=True)) for ks in product(*map(fine, by))]  # noqa: B023, E731
         nested = any(p in within for p in asked)
         entries += prod(len(fine(p)) for p in fields if p in outside or nested)
-        if entries > INLINE_ENTRIES:
+        if entries > inline.INLINE_ENTRIES:
             raise TooManyTerms
         inside = keys(in_by) if nested else None
         for o in keys(out_by):
@@ -171,7 +172,7 @@ def class_column(df: DataFrame, flattener: TypedFlattener, patterns: list[Patter
         said = F.array_distinct(F.transform(array, lambda x: number(in_by, lambda p: within[p](x))))
         listed = lambda of: F.flatten(F.transform(said, lambda k: F.get(of, k)))
         parts.append(F.coalesce(bound(F.get(constant(pairs, "array<array<array<string>>>"), row), listed, "array<string>"), F.array().cast("array<string>")))
-    if constant.size > INLINE_BYTES:
+    if constant.size > inline.INLINE_BYTES:
         raise TooManyTerms
     found = F.array_distinct(parts[0] if len(parts) == 1 else F.concat(*parts)) if parts else F.array().cast("array<string>")
     return F.sort_array(found) if ordered else found

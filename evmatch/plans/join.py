@@ -60,13 +60,32 @@ class TermTables:
         rows += [(path, None, number, *x) for (path, number), found in t.numbers.items() for x in found]
         rows += [(path, f"g{node}", None, *x) for (path, node), found in t.nodes.items() for x in found]
         rows += [(path, "m", None, c, None, None) for path, cs in t.absent.items() for c in cs]
+        size = sum(40 + 4 * len(k or "") + 4 * len(e or "") + sum(16 + 4 * len(p) for p in ps or ()) for _, k, _, _, ps, e in rows)
+        self.small = len(rows) <= BROADCAST_TERMS and size <= BROADCAST_BYTES
+        return sized(self._rows(like, rows), len(rows), size)
+
+    @staticmethod
+    def _rows(like: DataFrame, rows: list[tuple]) -> DataFrame:
         kinds = [("_path", pa.int32()), ("_said", pa.string()), ("number", pa.float64()), ("_condition", pa.int32()), ("_pieces", pa.list_(pa.string())), ("_exact", pa.string())]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
         raw = like.sparkSession.createDataFrame(pa.table({name: pa.array(c, type=kind) for (name, kind), c in zip(kinds, columns, strict=True)}))
         key = F.when(F.col("number").isNotNull(), _double_key(F.col("number"))).otherwise(F.col("_said"))
-        size = sum(40 + 4 * len(k or "") + 4 * len(e or "") + sum(16 + 4 * len(p) for p in ps or ()) for _, k, _, _, ps, e in rows)
-        self.small = len(rows) <= BROADCAST_TERMS and size <= BROADCAST_BYTES
-        return sized(raw.select("_path", key.alias("_said"), "_condition", "_pieces", "_exact"), len(rows), size)
+        return raw.select("_path", key.alias("_said"), "_condition", "_pieces", "_exact")
+
+    def under(self, like: DataFrame, keys: list[tuple[int, str]], most: int) -> DataFrame | None:
+        """The rows of ``table`` under some keys, from the driver's own terms; None if they are more than ``most``."""
+        t, rows = self.terms, []
+        for path, key in keys:
+            if key[0] == "n":
+                found = t.numbers.get((path, float(key[1:])), ())
+            elif key[0] == "g":
+                found = t.nodes.get((path, int(key[1:])), ())
+            else:
+                found = [(c, None, None) for c in t.absent.get(path, ())] if key == "m" else t.said.get((path, key), ())
+            rows += [(path, key, None, *x) for x in found]
+            if len(rows) > most:
+                return None
+        return self._rows(like, rows)
 
     def pattern_table(self, like: DataFrame) -> DataFrame:
         """(id of the pattern, condition to look it up by, all its conditions)."""
@@ -89,17 +108,22 @@ class TermTables:
         return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def joined_apart(said: DataFrame, terms: DataFrame, how: str, some: DataFrame | None = None) -> DataFrame:
+def joined_apart(said: DataFrame, terms: DataFrame, how: str, some: DataFrame | None = None, held: TermTables | None = None) -> DataFrame:
     """Keys with a table of terms that is too large for a broadcast.  A key that many events say would be one task's:
     the terms of common keys, which a look at some events finds, are broadcast, and only the others are shuffled.
-    ``some`` are keys of the share LOOK of the events, where that is less work than taking it from ``said``."""
+    ``some`` are keys of the share LOOK of the events, where that is less work than taking it from ``said``; ``held`` has
+    the terms where they are the driver's, which then asks no job for those of common keys."""
     some = said.sample(LOOK, seed=1) if some is None else some
     looked = some.filter(F.col("_said").isNotNull()).groupBy("_path", "_said").count()
     often = (F.col("count") >= 5) & (F.col("count") >= COMMON * F.col("_all"))
     common = looked.crossJoin(looked.agg(F.sum("count").alias("_all"))).filter(often).select("_path", "_said")
     keys = common.collect()  # 1 / COMMON at most
-    mine = terms.join(F.broadcast(said.sparkSession.createDataFrame(keys, common.schema)), ["_path", "_said"], "left_semi") if keys else None
-    if mine is None or mine.limit(COMMON_TERMS + 1).count() > COMMON_TERMS:
+    if keys and held:
+        mine = held.under(said, [tuple(k) for k in keys], COMMON_TERMS)
+    else:
+        mine = terms.join(F.broadcast(said.sparkSession.createDataFrame(keys, common.schema)), ["_path", "_said"], "left_semi") if keys else None
+        mine = None if mine is None or mine.limit(COMMON_TERMS + 1).count() > COMMON_TERMS else mine
+    if mine is None:
         return said.join(terms, ["_path", "_said"], how)
     flagged = said.join(F.broadcast(said.sparkSession.createDataFrame(keys, common.schema).withColumn("_common", F.lit(True))), ["_path", "_said"], "left")
     often, rest = flagged.filter("_common").drop("_common"), flagged.filter("_common is null").drop("_common")
@@ -136,7 +160,7 @@ def satisfied(df: DataFrame, key: list[str], patterns: list[Pattern], ids: list[
     each = rows.select("_key", EVENT, explode("_leaves").alias("_leaf"))
     said = each.select("_key", EVENT, F.col("_leaf.path").alias("_path"), F.col("_leaf.trail").alias("_trail"), F.col("_leaf.v").alias("_v"), explode("_leaf.keys").alias("_said"))
     terms_of = tables.table(df)
-    met = said.join(terms_of, ["_path", "_said"], how) if tables.small else joined_apart(said, terms_of, how)
+    met = said.join(terms_of, ["_path", "_said"], how) if tables.small else joined_apart(said, terms_of, how, held=tables)
     if tables.checked:
         fine = F.when(F.col("_pieces").isNotNull(), fits(F.col("_v"), F.col("_pieces"))).when(F.col("_exact").isNotNull(), same_letters(F.col("_v"), F.col("_exact"))).otherwise(True)
         met = met.withColumn("_condition", F.when(fine, F.col("_condition")))

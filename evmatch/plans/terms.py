@@ -185,10 +185,10 @@ class Terms:
                 continue
             lo = 0 if m.low is None else 2 * at[m.low + 0.0] + (1 if m.low_in else 2)
             hi = 2 * len(at) if m.high is None else 2 * at[m.high + 0.0] + (1 if m.high_in else 0)
-            lo, hi, level = lo + ways.size, hi + ways.size + 1, 0
+            lo, hi, level, term = lo + ways.size, hi + ways.size + 1, 0, Term(c)
             while lo < hi:
                 for edge in ([lo] if lo & 1 else []) + ([hi - 1] if hi & 1 else []):
-                    self.nodes[path, edge].append(Term(c))
+                    self.nodes[path, edge].append(term)
                     ways.levels.add(level)
                 lo, hi, level = (lo + 1) >> 1, hi >> 1, level + 1
 

@@ -52,7 +52,7 @@ def ranges_10000(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("ranges_100000", _ranges_sql(10 * MANY))
 def ranges_100000(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond a plan's constants: terms are a table."""
-    return PatternSet.of(ranges(10 * MANY)).match_long(table(spark, sf_dir, "orders"), ORDER)
+    return PatternSet.of(ranges(10 * MANY)).match_long(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")), ORDER)
 
 
 #: networks of several lengths within each other, v4 and v6

@@ -197,3 +197,30 @@ def test_rows_of_a_small_file_are_dealt_out(spark):
     assert rows.columns == ["id", "_dealt"] and rows.rdd.getNumPartitions() >= 16
     plan = rows.filter("hash(id) % 2 = 0")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("hash") < plan.index("Repartition")
+
+
+def test_adding_a_pattern_copies_no_others():
+    """A set of 100,000 was copied 100,000 times; a clone still keeps its own."""
+    patterns = PatternSet.of({"a": {"x": [1]}})
+    held, clone = patterns._entries, patterns.clone()
+    assert patterns.matches_for_event('{"x":1}') == ["a"]
+    patterns.add_pattern("b", {"x": [1]})
+    assert patterns._entries is held and patterns.matches_for_event('{"x":1}') == ["a", "b"]
+    clone.add_pattern("c", {"x": [1]})
+    assert clone.matches_for_event('{"x":1}') == ["a", "c"] and patterns.pattern_ids() == ["a", "b"]
+
+
+def test_terms_of_common_keys_are_found_without_a_job(spark):
+    """What the driver holds under some keys is what the table has under them."""
+    patterns = PatternSet.of({f"p{k}": {"x": [k * 1e7, {"numeric": [">", k, "<=", k + 9]}], "y": [f"t{k % 3}", {"prefix": "t"}, {"wildcard": f"a*{k}"}, {"exists": False}]} for k in range(20)})
+    paths = patterns._paths(patterns._live())
+    tables = join.TermTables([e.pattern for e in patterns._live()], paths, [str(k) for k in range(20)])
+    df = spark.range(1)
+    rows = [(r["_path"], r["_said"], r["_condition"], r["_pieces"], r["_exact"]) for r in tables.table(df).collect()]
+    keys = list(dict.fromkeys(r[:2] for r in rows))
+    assert {k[0] for _, k in keys} >= {"n", "g", "s", "m", "w", "p"}
+    for some in (keys, keys[::3]):
+        got = [(r["_path"], r["_said"], r["_condition"], r["_pieces"], r["_exact"]) for r in tables.under(df, some, len(rows)).collect()]
+        assert sorted(map(str, got)) == sorted(str(r) for r in rows if r[:2] in some)
+    assert tables.under(df, [*keys, (0, "g1"), (1, "snone")], len(rows) - 1) is None
+    assert tables.under(df, [(0, "g999999"), (1, "snone")], 5).collect() == []
